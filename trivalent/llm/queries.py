@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import OP5_SQL, op5_decontamination
+from .pii import op2_pii
+from .quality import op6_quality_classifier
 from .sentencepiece_bpe import op9_sentencepiece
 from .simhash import op1_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op5_decontamination, op6_quality_classifier, op9_sentencepiece)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_decontamination": OP5_SQL}
