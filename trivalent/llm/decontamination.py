@@ -177,14 +177,14 @@ def _runs(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, hit_runs (first word and one past the last of each run of words
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """A row for each row of docs: text_hash, doc_id, n_words, hit_runs (first word and one past the last of each run of words
     that lie in an occurrence of a window), items (ids of the items with such windows, as sorted strings).
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     Null and empty texts have no words. Null item ids are reported as 'null'. Repeated rows are each reported.
-    An empty benchmark hits nothing. keep_text adds the text column."""
-    ddl = "row long, doc_id long, n_words long, runs array<array<long>>, items array<string>"
+    An empty benchmark hits nothing. text_hash is the text's xxhash64."""
+    ddl = "text_hash long, doc_id long, n_words long, runs array<array<long>>, items array<string>"
     docs = docs.select("doc_id", text_bytes())
     parts = []
     for items in _blocks(benchmark, block):
@@ -202,12 +202,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
 
             return each
 
-        parts.append(map_columns(docs.select(F.xxhash64("text").alias("row"), "doc_id", "text"), make, ddl))
+        parts.append(map_columns(docs.select(F.xxhash64("text").alias("text_hash"), "doc_id", "text"), make, ddl))
     if not parts:
-        none = lambda: lambda doc_id, text: (doc_id, [len(words_of(t)) for t in text], [[]] * len(text), [[]] * len(text))
-        return map_columns(docs, none, "doc_id long, n_words long, hit_runs array<array<long>>, items array<string>")
+        none = lambda: lambda text_hash, doc_id, text: (text_hash, doc_id, [len(words_of(t)) for t in text], [[]] * len(text), [[]] * len(text))
+        parts = [map_columns(docs.select(F.xxhash64("text").alias("text_hash"), "doc_id", "text"), none, ddl)]
     if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", F.col("runs").alias("hit_runs"), "items")
+        return parts[0].select("text_hash", "doc_id", "n_words", F.col("runs").alias("hit_runs"), "items")
     return _added(parts)
 
 
@@ -219,14 +219,21 @@ def _added(parts: list[DataFrame]) -> DataFrame:
     n = len(parts)
 
     def make():
-        def each(doc_id, n_words, rows, runs, items):
-            return doc_id, n_words, rows, [_runs(np.array([x for part in r for x in part] or np.empty((0, 2)), np.int64).reshape(-1, 2)) for r in runs], [sorted({x for part in i for x in part}) for i in items]
+        def each(text_hash, doc_id, n_words, rows, runs, items):
+            return text_hash, doc_id, n_words, rows, [_runs(np.array([x for part in r for x in part] or np.empty((0, 2)), np.int64).reshape(-1, 2)) for r in runs], [sorted({x for part in i for x in part}) for i in items]
 
         return each
 
-    grouped = out.groupBy("row", "doc_id", "n_words").agg((F.count("*") / n).cast("long").alias("rows"), F.collect_list(F.when(F.size("runs") > 0, F.col("runs"))).alias("runs"), F.collect_list(F.when(F.size("items") > 0, F.col("items"))).alias("items")).drop("row")
-    made = map_columns(grouped, make, "doc_id long, n_words long, rows long, hit_runs array<array<long>>, items array<string>")
-    return made.select(F.explode(F.sequence(F.lit(1).cast("long"), "rows")), "doc_id", "n_words", "hit_runs", "items").drop("col")
+    grouped = out.groupBy("text_hash", "doc_id", "n_words").agg((F.count("*") / n).cast("long").alias("rows"), F.collect_list(F.when(F.size("runs") > 0, F.col("runs"))).alias("runs"), F.collect_list(F.when(F.size("items") > 0, F.col("items"))).alias("items"))
+    made = map_columns(grouped, make, "text_hash long, doc_id long, n_words long, rows long, hit_runs array<array<long>>, items array<string>")
+    return made.select(F.explode(F.sequence(F.lit(1).cast("long"), "rows")), "text_hash", "doc_id", "n_words", "hit_runs", "items").drop("col")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without those that contain a window of the benchmark, in all their columns."""
+    from .corpus import matching
+
+    return matching(docs, overlaps(docs, benchmark, **options).where(F.size("hit_runs") > 0), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

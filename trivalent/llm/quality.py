@@ -271,9 +271,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality")).drop("text_hash")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs without what the classifier rejects, in all their columns."""
-    found = classify(docs, labels, **options)
-    rejected = found.where("not keep").select(F.col("doc_id").alias("rejected_id"), "text_hash").distinct()
-    text = F.xxhash64(F.coalesce(F.col(options.get("text", "text")).cast("binary"), F.lit(b"")))
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.rejected_id) & (text == rejected.text_hash), "left_anti")
+    from .corpus import matching
+
+    return matching(docs, classify(docs, labels, text=text, **options).where("not keep"), "left_anti", text)

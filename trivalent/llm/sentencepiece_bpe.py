@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,7 @@ class PrefixTableEncoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.seen: dict[str, tuple[int, str, str]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.id_lists: dict[str, list[int]] = {}
         self.unit = self._units()
 
     def _units(self) -> re.Pattern:
@@ -154,9 +156,24 @@ class PrefixTableEncoder:
     def normalise(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def _fresh_ids(self, word: str) -> list[int]:
+        ids = [i for u in self.unit.findall(SPACE + word) for i in self.encode_unit(u)]
+        if len(word) <= LONGEST:
+            if len(self.id_lists) >= REMEMBERED:
+                self.id_lists.clear()
+            self.id_lists[word] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
+        if self._words_alone(text):
+            get, fresh = self.id_lists.get, self._fresh_ids
+            return list(chain.from_iterable([get(w) or fresh(w) for w in text.split(" ")]))
         return [i for u in self.unit.findall(self.normalise(text)) for i in self.encode_unit(u)]
 
+    def _words_alone(self, text: str) -> bool:
+        """Whether single spaces alone part the words: then each word with the space before it stands alone."""
+        return bool(text) and self.parts_words and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " "
+
     def pieces_text(self, ids: list[int]) -> str:
         """The ids' text with its dummy prefix: bytes are gathered and read as UTF-8, control ids are dropped."""
         out, held = [], bytearray()
@@ -197,12 +214,10 @@ class PrefixTableEncoder:
         return made
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, their decimal form joined by commas, and the decoded text.
-
-        Where single spaces alone part the words, each word with the space before it stands alone."""
+        """Number of ids, their decimal form joined by commas, and the decoded text."""
         if not text:
             return 0, "", ""
-        if self.parts_words and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+        if self._words_alone(text):
             get, fresh = self.words.get, self._fresh_word
             counts, ids, texts = zip(*[get(w) or fresh(w) for w in text.split(" ")])
             return sum(counts), ",".join(ids), "".join(texts).removeprefix(" ")

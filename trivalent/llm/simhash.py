@@ -73,10 +73,10 @@ def fingerprints(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     return map_columns(docs.select("doc_id", text_bytes(text)), make, "doc_id long, fp long")
 
 
-def _links(radius: int):
+def _links(radius: int, nearest: bool):
     """A function over partitions sorted by bucket: links within buckets, neighbours by rising offset.
 
-    Small buckets give all their links, others a spanning forest of them."""
+    Small buckets give all their links, others a spanning forest of them; nearest: one of least total distance."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def distance(x, y):
@@ -95,12 +95,26 @@ def _links(radius: int):
                 left = left[~near]
         return out
 
+    def least_forest(fp):
+        best, to = distance(fp[1:], fp[0]), np.zeros(len(fp) - 1, np.int64)
+        left, out = np.arange(1, len(fp)), []
+        while len(left):
+            i = int(best.argmin())
+            u = left[i]
+            if best[i] <= radius:
+                out.append(np.stack([fp[[to[i]]], fp[[u]]]))
+            left, best, to = np.delete(left, i), np.delete(best, i), np.delete(to, i)
+            d = distance(fp[left], fp[u])
+            to = np.where(d < best, u, to)
+            best = np.minimum(d, best)
+        return out
+
     def links(key, fp):
         out = []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         for s, n in zip(starts[sizes > FOREST], sizes[sizes > FOREST]):
-            out += forest(fp[s : s + n])
+            out += (least_forest if nearest else forest)(fp[s : s + n])
         group = np.repeat(sizes, sizes)
         at = np.flatnonzero((group <= FOREST) & (group > 1))
         end = np.repeat(starts + sizes, sizes)
@@ -148,19 +162,21 @@ def near_links(nodes: DataFrame, radius: int, seed: int = 1, bits: range = range
     members, out = nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), None
     for level in range(LEVELS):
         rows = _dealt(members, covering_masks(radius, seed + level, bits), level)
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        if level + 1 < LEVELS:
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > (1 if compared is None else bucket))
+        small = rows
+        if compared is None:  # most buckets have one fingerprint
             sizes = checkpointed(sizes)
-            hot = sizes.where(F.col("n") > bucket)
-            small = rows.join(sizes.where(F.col("n") <= bucket), "bucket")
-        else:
-            small = rows.join(sizes, "bucket")
-        found = small.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links(radius if compared is None else compared), schema_of("a long, b long"))
+            small = rows.join(sizes if level + 1 == LEVELS else sizes.where(F.col("n") <= bucket), "bucket")
+        hot = checkpointed(sizes.where(F.col("n") > bucket).select("bucket"))
+        over = not hot.isEmpty()
+        if over and compared is not None and level + 1 < LEVELS:
+            small = rows.join(hot, "bucket", "left_anti")
+        found = small.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links(radius if compared is None else compared, compared is not None), schema_of("a long, b long"))
         found = found.distinct()
         out = found if out is None else out.union(found)
-        if level + 1 == LEVELS or hot.isEmpty():
+        if level + 1 == LEVELS or not over:
             return out
-        members = checkpointed(rows.join(hot.select("bucket"), "bucket").select("bucket", "fp"))
+        members = checkpointed(rows.join(hot, "bucket").select("bucket", "fp"))
     return out
 
 
