@@ -9,12 +9,13 @@ from .pii import op2_pii
 from .quality import op6_quality_classifier
 from .sentencepiece_bpe import op9_sentencepiece
 from .simhash import op1_simhash_near_dedup
+from .substring_dedup import op7_substring_dedup
 from .url_filter import op8_url_filter
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_pii, op3_nearest_neighbours, op4_warc, op5_decontamination, op6_quality_classifier, op8_url_filter, op9_sentencepiece, op10_html_extraction)
+    for f in (op1_simhash_near_dedup, op2_pii, op3_nearest_neighbours, op4_warc, op5_decontamination, op6_quality_classifier, op7_substring_dedup, op8_url_filter, op9_sentencepiece, op10_html_extraction)
 }
 
 ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}
