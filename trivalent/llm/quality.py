@@ -154,18 +154,20 @@ def shards(model: DataFrame, rows: int = SHARD_ROWS):
         n *= 2
     for i in range(n):
         part = keyed.where(F.col("pair").isNull() | (F.col("pair") % n == i)).select("k", "back_off", "lang", "code", "value").toArrow()
+        lang = part["lang"].combine_chunks().dictionary_encode()
+        which = lang.indices.to_numpy().astype(np.int64) * 32 + part["k"].to_numpy() * 2 + part["back_off"].to_numpy().astype(np.int64)
+        code, value = part["code"].to_numpy(), part["value"].to_numpy()
+        del part
+        order = np.lexsort((code, which))
+        which, code, value = which[order], code[order], value[order]
+        del order
+        starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else []
+        names = lang.dictionary.to_pylist()
         groups = {}
-        if part.num_rows:
-            key = part.select(["k", "back_off", "lang"]).to_pylist()
-            names = {tuple(x.values()): 0 for x in key}
-            number = {x: j for j, x in enumerate(names)}
-            which = np.fromiter((number[tuple(x.values())] for x in key), np.int64, len(key))
-            code, value = part["code"].to_numpy(), part["value"].to_numpy()
-            order = np.lexsort((code, which))
-            ends = np.searchsorted(which[order], np.arange(len(number) + 1))
-            for x, j in number.items():
-                own = order[ends[j] : ends[j + 1]]
-                groups[x] = code[own], value[own]
+        for a, b in zip(starts, [*starts[1:], len(which)]):
+            x = int(which[a])
+            groups[x % 32 // 2, bool(x % 2), names[x // 32]] = code[a:b].copy(), value[a:b].copy()
+        del which, code, value
         yield i, n, groups
 
 
