@@ -7,8 +7,13 @@ its block, which is all that the windows of this anchor can cover. Sorted by wor
 
 - an anchor whose block came before is settled: all its windows are repeats;
 - an anchor whose word has one block only has no repeated window;
-- of other words, the first anchor of each block is left, at the borders of repeats. Only their
-  windows are hashed one by one and sorted, and all but the first of each are repeats.
+- of other words, the first anchor of each block is left, at the borders of repeats. Its windows
+  are looked at in parts of equal distance to the anchor, again with what all windows of a part
+  share as the word and what they cover as the block; what is left then is hashed window by
+  window and sorted, and all but the first of each are repeats.
+
+Rows that a task itself sees to repeat are settled there and dealt out evenly, so that a block
+that is in very many documents isn't one task's matter.
 
 Order is induced from the sample to all windows, each of which is judged as the definition
 says. Texts that are copies of another are settled before. Sorting is Spark's (external,
@@ -31,6 +36,8 @@ from .common import checkpointed, map_columns, schema_of, table, text_bytes
 from .corpus import hinted
 
 LENGTH, WORD = 100, 32
+#: Windows whose anchor lies at one of so many neighbouring distances are a part.
+PART = 16
 _LOW = (1 << 20) - 1
 
 
@@ -73,77 +80,123 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return at[first], first, np.diff(np.r_[first, len(at)]), (word[first] >> np.uint64(20)).astype(np.int64)
 
 
-def _place(first, count):
-    """A run of windows as one number that sorts by its start. A run has at most LENGTH windows."""
-    return first << 8 | count
+def _place(first, count, back=0):
+    """A run of windows as one number that sorts by its start, with the distance from there to their anchor; both are below 256."""
+    return first << 16 | back << 8 | count
+
+
+def _unplaced(place):
+    return place >> 16, place >> 8 & 255, place & 255
 
 
 _ANCHORS = "word long, block long, ord long, place long"
 
 
+def _spread(word, block, ord, place):
+    """The words, but negative and dealt evenly for rows that repeat a block of an earlier one among these."""
+    order = np.lexsort((place, ord, block, word))
+    w, b = word[order], block[order]
+    again = order[1:][(w[1:] == w[:-1]) & (b[1:] == b[:-1])]
+    word = word.copy()
+    mixed = (ord[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[again].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    word[again] = -1 - (mixed >> np.uint64(20)).astype(np.int64)
+    return word
+
+
 def _anchor_rows(length: int):
     def make():
         import xxhash
 
         def each(ord, text):
-            out = []
+            out = [[np.empty(0, np.int64)] * 4]
             for o, t in zip(ord, text):
                 at, first, count, word = anchors(t, length)
                 left = length - WORD
                 block = [xxhash.xxh3_64_intdigest(t[max(a - left, 0) : a + length], min(a, left)) for a in at.tolist()]
-                out.append((word, np.array(block, np.uint64).view(np.int64), np.full(len(at), o, np.int64), _place(first, count)))
-            return [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
+                out.append((word, np.array(block, np.uint64).view(np.int64), np.full(len(at), o, np.int64), _place(first, count, at - first)))
+            word, block, ord, place = (np.concatenate(c) for c in zip(*out))
+            return [pa.array(c) for c in (_spread(word, block, ord, place), block, ord, place)]
+
+        return each
+
+    return make
+
+
+def _part_rows(length: int):
+    """Rows for the parts of anchors' windows, with the bytes that a part covers."""
 
-        return lambda ord, text: [pa.array(c, pa.int64()) for c in each(ord, text)]
+    def make():
+        import xxhash
+
+        def each(ord, text, places):
+            word, block, o, p, content = [], [], [], [], []
+            for i, t, each_place in zip(ord, text, places):
+                for place in each_place:
+                    first, back, count = _unplaced(place)
+                    anchor, end = first + back, first + count
+                    while first < end:
+                        distance = anchor - first
+                        nearest = distance // PART * PART
+                        last = min(end - 1, anchor - nearest)
+                        inner = anchor - nearest  # up to where the part's farthest window ends: what all its windows share
+                        word.append(xxhash.xxh3_64_intdigest(t[inner : inner - PART + 1 + length], nearest) >> 20)
+                        whole = t[first : last + length]
+                        block.append(xxhash.xxh3_64_intdigest(whole, distance))
+                        o.append(i)
+                        p.append(_place(first, last - first + 1))
+                        content.append(whole)
+                        first = last + 1
+            word, block, o, p = np.array(word, np.int64), np.array(block, np.uint64).view(np.int64), np.array(o, np.int64), np.array(p, np.int64)
+            return [pa.array(c) for c in (_spread(word, block, o, p), block, o, p)] + [pa.array(content, pa.binary())]
+
+        return each
 
     return make
 
 
 def _repeats(batches):
-    """Rows (word, block, ord, place) in order. Out: ord, place, settled; settled: all its windows are repeats, else they must be looked at."""
-    arrow = pa.schema([("ord", pa.int64()), ("place", pa.int64()), ("settled", pa.bool_())])
+    """Rows (word, block, and what is kept) in order. Out: what is kept, and settled: all its windows are repeats, else they must be looked at."""
     last, held = None, None  # last row's word and block; the row of a word's first block while that is its only one
 
-    def out(ord, place, settled):
-        return pa.RecordBatch.from_arrays([pa.array(ord, pa.int64()), pa.array(place, pa.int64()), pa.array(settled, pa.bool_())], schema=arrow)
+    def out(rows, settled):
+        return pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(settled, pa.bool_())], names=[*rows.schema.names[2:], "settled"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        word, block, ord, place = (c.to_numpy() for c in b.columns)
+        word, block = b.column(0).to_numpy(), b.column(1).to_numpy()
         new_word = np.r_[last is None or word[0] != last[0], word[1:] != word[:-1]]
         new_block = new_word | np.r_[last is None or block[0] != last[1], block[1:] != block[:-1]]
         group = np.cumsum(new_word)
         blocks = np.bincount(group, new_block)
         look = new_block & (~new_word | (blocks[group] > 1))
         if held is not None and blocks[0]:  # the word that was open goes on with another block
-            yield out([held[0]], [held[1]], [False])
+            yield out(held, [False])
             held = None
         if new_word.any():
             held = None
-            if blocks[-1] == 1:
-                i = int(np.flatnonzero(new_word)[-1])
-                held = int(ord[i]), int(place[i])
+            if blocks[-1] == 1 and word[-1] >= 0:
+                held = b.slice(int(np.flatnonzero(new_word)[-1]), 1)
         last = word[-1], block[-1]
-        keep = ~new_block | look
-        yield out(ord[keep], place[keep], ~new_block[keep])
+        settled = ~new_block | (word < 0)
+        keep = settled | look
+        yield out(b.filter(pa.array(keep)), settled[keep])
 
 
 def _window_rows(length: int):
     def make():
         import xxhash
 
-        def each(ord, text, places):
+        def each(ord, place, content):
             digests, o, p = [], [], []
-            for i, t, each_place in zip(ord, text, places):
-                for place in each_place:
-                    first, count = place >> 8, place & 255
-                    for w in range(first, first + count):
-                        digests.append(xxhash.xxh3_128_digest(t[w : w + length]))
-                        p.append(w << 8 | 1)
-                    o += [i] * count
+            for i, at, c in zip(ord, place, content):
+                first, _, count = _unplaced(at)
+                digests += [xxhash.xxh3_128_digest(c[w : w + length]) for w in range(count)]
+                p += [_place(w, 1) for w in range(first, first + count)]
+                o += [i] * count
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(o, pa.int64()), pa.array(p, pa.int64())
+            o, p, word, block = np.array(o, np.int64), np.array(p, np.int64), both[:, 0] & (2**63 - 1), both[:, 1].copy()
+            return [pa.array(c) for c in (_spread(word, block, o, p), block, o, p)]
 
         return each
 
@@ -152,15 +205,14 @@ def _window_rows(length: int):
 
 def _later(batches):
     """Rows (word, block, ord, place) in order: all but the first of each pair of word and block."""
-    arrow = pa.schema([("ord", pa.int64()), ("place", pa.int64())])
     last = None
     for b in batches:
         if not b.num_rows:
             continue
-        word, block, ord, place = (c.to_numpy() for c in b.columns)
+        word, block = b.column(0).to_numpy(), b.column(1).to_numpy()
         same = np.r_[last is not None and (word[0], block[0]) == last, (word[1:] == word[:-1]) & (block[1:] == block[:-1])]
         last = word[-1], block[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(ord[same]), pa.array(place[same])], schema=arrow)
+        yield b.filter(pa.array(same | (word < 0))).select(["ord", "place"])
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -193,8 +245,8 @@ def _runs(places: list[int], length: int) -> list[tuple[int, int]]:
     """Places (runs of window starts) as maximal runs of bytes."""
     out: list[list[int]] = []
     for place in sorted(places):
-        a = place >> 8
-        b = a + (place & 255) - 1 + length
+        a, _, count = _unplaced(place)
+        b = a + count - 1 + length
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -235,9 +287,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     found = checkpointed(_in_order(rows).mapInArrow(_repeats, schema_of("ord long, place long, settled boolean")))
     packed = _packed(own)
     look = found.where("not settled").groupBy("ord").agg(F.collect_list("place").alias("places"))  # a document's own anchors
-    windows = map_columns(packed.join(look, "ord").select("ord", "packed", "places"), _unpacked(_window_rows(length)), _ANCHORS, rows=100)
+    parts = map_columns(packed.join(look, "ord").select("ord", "packed", "places"), _unpacked(_part_rows(length)), _ANCHORS + ", content binary", rows=100)
+    again = checkpointed(_in_order(parts).mapInArrow(_repeats, schema_of("ord long, place long, content binary, settled boolean")).withColumn("content", F.when(~F.col("settled"), F.col("content"))))
+    windows = map_columns(again.where("not settled").select("ord", "place", "content"), _window_rows(length), _ANCHORS, rows=5000)
     more = _in_order(windows).mapInArrow(_later, schema_of("ord long, place long"))
-    runs = found.where("settled").select("ord", "place").union(more).groupBy("ord").agg(F.collect_list("place").alias("places"))
+    runs = found.where("settled").select("ord", "place").union(again.where("settled").select("ord", "place")).union(more).groupBy("ord").agg(F.collect_list("place").alias("places"))
 
     def make():
         def each(ord, text, places):
