@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_columns, text_bytes
 from .components import components
-from .simhash import fingerprint, near_links, shingles_of
+from .simhash import near_links, shingles_of, wide_fingerprint
 
 #: Rows of 16 bytes that are sent to all tasks at most; beyond that the join is shuffled.
 SMALL_ROWS = 500_000
@@ -62,21 +62,30 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     return map_columns(docs.select("fp", text_bytes(text).alias("text")), make, "fp long, hashes binary")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, compared: int = 14, text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, compared: int = 14, wide: int = 30, text: str = "text") -> DataFrame:
     """doc_id, text_hash, fp, root for each row: rows with one root are near copies.
 
     Fingerprints that meet in a table of a covering family over 32 of the 64 bits (every pair within `radius` of
-    those, and most pairs somewhat beyond) and differ in at most `compared` bits are candidates; at a similarity of
-    0.8 of the word shingles' sets, 14 bits are the 99th percentile. A candidate is a link if the sets, compared whole,
-    have at least `similarity`. Equal fingerprints are one node. Null and empty texts are alike."""
+    those, and most pairs somewhat beyond) and differ in at most `compared` bits, and in at most `wide` of the 128 bits with
+    a second fingerprint's, are candidates; at a similarity of 0.8 of the word shingles' sets, 14 and 30 bits are the
+    99th percentiles. A candidate is a link if the sets, compared whole, have at least `similarity`. Equal fingerprints
+    are one node. Null and empty texts are alike."""
 
     def make():
-        return lambda doc_id, text_hash, text: (doc_id, text_hash, [fingerprint(t, words) for t in text])
+        def each(doc_id, text_hash, text):
+            made = [wide_fingerprint(t, words) for t in text]
+            return doc_id, text_hash, [m[0] for m in made], [m[1] for m in made]
+
+        return each
 
     rows = docs.select("doc_id", text_hash(text).alias("text_hash"), text_bytes(text).alias("text"))
-    prints = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, fp long"))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    links = checkpointed(near_links(nodes.select("fp"), radius, bits=range(32), compared=compared))
+    prints = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, fp long, fp2 long"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "fp2")).alias("first")))
+    links = near_links(nodes.select("fp"), radius, bits=range(32), compared=compared)
+    more = nodes.select("fp", F.col("first.fp2").alias("fp2"))
+    links = links.join(more.toDF("a", "a2"), "a").join(more.toDF("b", "b2"), "b")
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    links = checkpointed(links.where(apart <= wide).select("a", "b"))
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     need = hinted(checkpointed(nodes.join(ends, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("key_id"), F.col("first.text_hash").alias("key_hash"))))
     texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
