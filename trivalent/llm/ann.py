@@ -24,8 +24,8 @@ from .common import checkpointed, schema_of, table
 
 #: Vectors that the tree is fitted on at most, and children a node.
 SAMPLE, BRANCHES = 50_000, 8
-#: Vectors wanted in a leaf, most leaves of a tree, and vectors a block.
-LEAF, LEAVES, BLOCK = 500, 32_768, 2048
+#: Most leaves of a tree, of which half the root of the number of vectors are wanted, and vectors a block.
+LEAVES, BLOCK = 32_768, 2048
 #: Queries that calibrate, and the recall they must reach.
 CALIBRATION, RECALL = 200, 0.97
 
@@ -53,7 +53,7 @@ class Tree:
         node = len(self.centres)
         self.centres.append(None)
         self.below.append(None)
-        centres, own = _kmeans(x, branches, rng)
+        centres, own = _kmeans(x, min(branches, max(2, round(len(x) / leaf_size))), rng)
         below = []
         for k in range(len(centres)):
             part = x[own == k]
@@ -201,7 +201,7 @@ def _blocks(rows: DataFrame, by: list[str], size: int, names: tuple[str, str]) -
     return lists.select(*by, F.col("m.vec_id").alias(names[0]), F.col("m.x").alias(names[1]))
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, sample: int = SAMPLE, leaf: int = LEAF, recall: float = RECALL, id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict]:
+def nearest(vectors: DataFrame, queries, k: int = 20, sample: int = SAMPLE, leaves: int | None = None, recall: float = RECALL, id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict]:
     """query_id, rank, vec_id, score of the k nearest found for the rows for which the condition `queries` holds, and what was calibrated.
 
     Vectors that are null, zero, of another length than most, or not finite, and rows without an id, take no part. Repeated ids are
@@ -214,7 +214,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, sample: int = SAMPLE, leaf
         return spark.createDataFrame([], schema_of("query_id long, rank int, vec_id long, score double")), {}
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "x").toArrow()
     points = _augmented(_matrix(chosen["x"].combine_chunks()), largest)
-    leaf_size = len(points) / min(LEAVES, max(1, n / leaf), max(1, len(points) / BRANCHES))
+    leaf_size = len(points) / min(LEAVES, leaves or max(1, n**0.5 / 2), max(1, len(points) / BRANCHES))
     tree = Tree(points, max(leaf_size, 1), BRANCHES)
     shared = spark.sparkContext.broadcast((tree, largest))  # at most LEAVES * 8 / 7 centres
 
