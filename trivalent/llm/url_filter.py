@@ -81,12 +81,13 @@ def template_tree(paths: DataFrame) -> DataFrame:
         label = F.when(wild, "*").when(differs | (F.col("children") == 1), F.col("segment")).otherwise("~")
         child = child.select("host", "template", "segment", F.concat("template", F.lit("/"), label).alias("below"))
         out = out.join(child, ["host", "template", "segment"], "left").withColumn("template", F.coalesce("below", "template")).drop("below", "segment")
+        out = checkpointed(out)  # each level uses the one before more than once
     return out
 
 
 def judged_templates(paths: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """host, shape, template, purity."""
-    placed = checkpointed(template_tree(paths))
+    placed = template_tree(checkpointed(paths))
     total = placed.agg(F.sum("good"), F.sum("bad")).first()
     prior = ((total[0] or 0) + 1) / ((total[0] or 0) + (total[1] or 0) + 1)
     smooth = lambda good, bad, p: (good + strength * p) / (good + bad + strength)

@@ -65,9 +65,11 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at, fields = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
-        if end < 0 or end == at:  # the line feed between records
-            at = end + 1 if end >= 0 else len(data)
+        if end == at:  # the line feed between records
+            at += 1
             continue
+        if end < 0:
+            raise ValueError("ARC file ends within a header line")
         line = data[at:end].decode("utf-8", "replace").split(" ")
         content = data[end + 1 : end + 1 + int(line[-1])]
         if len(content) < int(line[-1]):
