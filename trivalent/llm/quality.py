@@ -100,7 +100,7 @@ def _order_tables(counts: DataFrame) -> list[DataFrame]:
     """For each order from 1: lang, code, n (raw counts at the highest, distinct left neighbours below)."""
     tables = [counts]
     for k in range(ORDER - 1, 0, -1):
-        tables.append(tables[-1].groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).agg(F.count("*").alias("n")))
+        tables.append(checkpointed(tables[-1].groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).agg(F.count("*").alias("n"))))
     return tables[::-1]
 
 
