@@ -153,7 +153,7 @@ def test_quality_keeps_clean_text_and_finds_junk(spark):
 
 def test_quality_shards_agree_and_odd_rows(spark, sf, odd):
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
-    whole, cut = ({r.doc_id: (r.keep, round(r.perplexity or 0, 6)) for r in quality.classify(docs, labels, shard_rows=n).collect()} for n in (2_000_000, 3000))
+    whole, cut = ({r.doc_id: (r.keep, round(r.perplexity or 0, 6)) for r in quality.classify(docs, labels, shard_rows=n).collect()} for n in (2_000_000, 60_000))
     assert whole == cut
     few = spark.createDataFrame([(3, 1, 0), (4, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(odd, few).count() == len(TEXTS)
