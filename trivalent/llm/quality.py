@@ -27,6 +27,8 @@ ORDER = 5
 SHARD_ROWS = 2_000_000
 HELD_OUT = 10
 QUANTILE, MARGIN = 0.99, 0.15
+#: Ids of trusted documents that are sent to all tasks at most; beyond that the join with the texts is shuffled.
+SMALL_ROWS = 500_000
 #: Held-out documents that a language and length need for a quantile of their own.
 ENOUGH = 30
 
@@ -255,8 +257,13 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
     logarithm, plus margin. With too few of these, the language's highest serves. What has no perplexity or no
     threshold can't be judged and is kept. Null ids are scored like any other."""
     trusted = _trusted(labels)
-    packed = _packed(docs, text, lang)
-    train = packed.join(trusted.where("not held"), packed.doc_id == F.col("trusted_id")).select("lang", "packed")
+    train = checkpointed(trusted.where("not held").select("trusted_id"))
+    if train.count() <= SMALL_ROWS:  # 8 bytes each: sent to all tasks, so that no text is shuffled
+        train = _packed(docs.join(F.broadcast(train), docs.doc_id == F.col("trusted_id"), "left_semi"), text, lang)
+    else:
+        packed = _packed(docs, text, lang)
+        train = packed.join(train, packed.doc_id == F.col("trusted_id"), "left_semi")
+    train = train.select("lang", "packed")
     model = kneser_ney(checkpointed(ngram_counts(train)))
     scored = checkpointed(perplexities(docs, model, text, lang, shard_rows))
     held = scored.where("perplexity is not null").join(trusted.where("held"), scored.doc_id == F.col("trusted_id")).select("lang", _band(F.col("n_bytes")).alias("band"), F.log("perplexity").alias("x"))
