@@ -256,3 +256,22 @@ def test_pipeline_stages_are_what_brute_force_gives(spark, sf):
     assert kept[0] > kept[1] > kept[2] > kept[3] == kept[4] == kept[5] > 0
     sf_run = corpus_pipeline.run(spark, sf)
     assert sorted(r.doc_id for r in sf_run.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_dense_buckets_lose_no_similar_pair(spark):
+    """Nodes that all meet and are near, of which only pairs of the same number modulo 3 are links, and these are never the nearest."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        fp2 = int(sum(1 << int(b) for b in rng.choice(63, 4, replace=False)))
+        rows.append((i, i % 3 << 40 | i // 3 % 2 << 41 + i % 3, fp2))
+    nodes = spark.createDataFrame(rows, "node long, fp long, fp2 long")
+    tested = []
+
+    def verified(links):
+        tested.append(links.count())
+        return links.where("(b - a) % 3 = 0 and (a div 3 + b div 3) % 2 = 1")
+
+    links = [(r.a, r.b) for r in simhash.similar_pairs(nodes, 6, range(32), 14, 30, verified).collect()]
+    got = groups(links, range(120))
+    assert len(tested) == 2 and tested[0] < 3000 and {frozenset(i for i in got if got[i] == r) for r in set(got.values())} == {frozenset(range(k, 120, 3)) for k in range(3)}

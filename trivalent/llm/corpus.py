@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_columns, text_bytes
 from .components import components
-from .simhash import near_links, shingles_of, wide_fingerprint
+from .simhash import shingles_of, similar_pairs, wide_fingerprint
 
 #: Rows of 16 bytes that are sent to all tasks at most; beyond that the join is shuffled.
 SMALL_ROWS = 500_000
@@ -31,7 +31,7 @@ def matching(docs: DataFrame, keys: DataFrame, how: str, text: str = "text") ->
 
 
 def jaccard_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose ends' sets (fp, hashes: sorted 32-bit hashes as bytes) are similar enough."""
+    """The links (a, b) whose ends' sets (node, hashes: sorted 32-bit hashes as bytes) are similar enough."""
 
     def make():
         def each(a, b, x, y):
@@ -45,8 +45,8 @@ def jaccard_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
         return each
 
-    one = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return map_columns(links.join(one, "a").join(two, "b").select("a", "b", "x", "y"), make, "a long, b long")
 
 
@@ -57,9 +57,9 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
         def hashes(t):
             return np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles_of(t, words)], np.uint32)).tobytes()
 
-        return lambda fp, text: (fp, [hashes(t) for t in text])
+        return lambda node, text: (node, [hashes(t) for t in text])
 
-    return map_columns(docs.select("fp", text_bytes(text).alias("text")), make, "fp long, hashes binary")
+    return map_columns(docs.select("node", text_bytes(text).alias("text")), make, "node long, hashes binary")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, compared: int = 14, wide: int = 30, text: str = "text") -> DataFrame:
@@ -80,17 +80,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
 
     rows = docs.select("doc_id", text_hash(text).alias("text_hash"), text_bytes(text).alias("text"))
     prints = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, fp long, fp2 long"))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "fp2")).alias("first")))
-    links = near_links(nodes.select("fp"), radius, bits=range(32), compared=compared)
-    more = nodes.select("fp", F.col("first.fp2").alias("fp2"))
-    links = links.join(more.toDF("a", "a2"), "a").join(more.toDF("b", "b2"), "b")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    links = checkpointed(links.where(apart <= wide).select("a", "b"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    need = hinted(checkpointed(nodes.join(ends, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("key_id"), F.col("first.text_hash").alias("key_hash"))))
-    texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
-    sets = checkpointed(shingle_sets(texts.select("fp", "text"), words).dropDuplicates(["fp"]))
-    roots = components(jaccard_links(links, sets, similarity), "a", "b")
+    nodes = checkpointed(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("doc_id", "text_hash", "fp2")).alias("first")))
+
+    def verified(links):
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = hinted(checkpointed(nodes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("key_id"), F.col("first.text_hash").alias("key_hash"))))
+        texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
+        return jaccard_links(links, checkpointed(shingle_sets(texts.select("node", "text"), words).dropDuplicates(["node"])), similarity)
+
+    links = similar_pairs(nodes.select("node", F.col("node").alias("fp"), F.col("first.fp2").alias("fp2")), radius, range(32), compared, wide, verified)
+    roots = components(links, "a", "b")
     return prints.join(roots, prints.fp == roots.node, "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -13,6 +13,7 @@ are dealt to smaller buckets, and a pair within the radius meets in one of them.
 
 from __future__ import annotations
 
+import functools
 import random
 
 import numpy as np
@@ -26,8 +27,10 @@ from .components import components
 SEED = 42
 #: A bucket of more fingerprints is hashed again; so often at most.
 BUCKET, LEVELS = 8192, 3
-#: In buckets of more fingerprints, only links that join what is not joined yet are written.
+#: In larger buckets, only links that join what is not joined yet are written.
 FOREST = 32
+#: Near pairs a member from which a bucket of candidates is dense.
+DENSE = 32
 
 
 def covering_masks(radius: int, seed: int, bits: range = range(64)) -> list[int]:
@@ -89,10 +92,10 @@ def fingerprints(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     return map_columns(docs.select("doc_id", text_bytes(text)), make, "doc_id long, fp long")
 
 
-def _links(radius: int, nearest: bool):
+def _links(radius: int):
     """A function over partitions sorted by bucket: links within buckets, neighbours by rising offset.
 
-    Small buckets give all their links, others a spanning forest of them; nearest: one of least total distance."""
+    Small buckets give all their links, others a spanning forest of them."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def distance(x, y):
@@ -111,26 +114,12 @@ def _links(radius: int, nearest: bool):
                 left = left[~near]
         return out
 
-    def least_forest(fp):
-        best, to = distance(fp[1:], fp[0]), np.zeros(len(fp) - 1, np.int64)
-        left, out = np.arange(1, len(fp)), []
-        while len(left):
-            i = int(best.argmin())
-            u = left[i]
-            if best[i] <= radius:
-                out.append(np.stack([fp[[to[i]]], fp[[u]]]))
-            left, best, to = np.delete(left, i), np.delete(best, i), np.delete(to, i)
-            d = distance(fp[left], fp[u])
-            to = np.where(d < best, u, to)
-            best = np.minimum(d, best)
-        return out
-
     def links(key, fp):
         out = []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         for s, n in zip(starts[sizes > FOREST], sizes[sizes > FOREST]):
-            out += (least_forest if nearest else forest)(fp[s : s + n])
+            out += forest(fp[s : s + n])
         group = np.repeat(sizes, sizes)
         at = np.flatnonzero((group <= FOREST) & (group > 1))
         end = np.repeat(starts + sizes, sizes)
@@ -163,39 +152,172 @@ def _links(radius: int, nearest: bool):
     return run
 
 
-def _dealt(members: DataFrame, masks: list[int], level: int) -> DataFrame:
-    """bucket, fp: a row for each mask. bucket: a hash of the mask's number, the bits it keeps, and the bucket before.
+def _dealt(members: DataFrame, masks: list[int], level: int, *others: str) -> DataFrame:
+    """bucket, fp and others: a row for each mask. bucket: a hash of the mask's number, the bits it keeps, and the bucket before.
     Buckets that share a hash by chance are compared together; that adds no link, as distances are checked."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.xxhash64(F.lit(level), F.lit(t), F.col("bucket"), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
-    return members.select("fp", F.explode(keys).alias("bucket")).select("bucket", "fp")
+    return members.select("fp", *others, F.explode(keys).alias("bucket")).select("bucket", "fp", *others)
 
 
-def near_links(nodes: DataFrame, radius: int, seed: int = 1, bits: range = range(64), compared: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links between distinct fingerprints `fp` that meet in a table and differ in at most `compared` bits (default: radius).
-
-    With all 64 bits and compared = radius, their components are exactly those of all pairs within the radius."""
+def near_links(nodes: DataFrame, radius: int, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links between distinct fingerprints `fp` that differ in at most `radius` bits; their components are exactly those of all such pairs."""
     members, out = nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), None
     for level in range(LEVELS):
-        rows = _dealt(members, covering_masks(radius, seed + level, bits), level)
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > (1 if compared is None else bucket))
-        small = rows
-        if compared is None:  # most buckets have one fingerprint
-            sizes = checkpointed(sizes)
-            small = rows.join(sizes if level + 1 == LEVELS else sizes.where(F.col("n") <= bucket), "bucket")
+        rows = _dealt(members, covering_masks(radius, seed + level), level)
+        sizes = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))  # most buckets have one fingerprint
+        small = rows.join(sizes if level + 1 == LEVELS else sizes.where(F.col("n") <= bucket), "bucket")
         hot = checkpointed(sizes.where(F.col("n") > bucket).select("bucket"))
-        over = not hot.isEmpty()
-        if over and compared is not None and level + 1 < LEVELS:
-            small = rows.join(hot, "bucket", "left_anti")
-        found = small.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links(radius if compared is None else compared, compared is not None), schema_of("a long, b long"))
+        found = small.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links(radius), schema_of("a long, b long"))
         found = found.distinct()
         out = found if out is None else out.union(found)
-        if level + 1 == LEVELS or not over:
+        if level + 1 == LEVELS or hot.isEmpty():
             return out
         members = checkpointed(rows.join(hot, "bucket").select("bucket", "fp"))
     return out
 
 
+def _near_pairs(fp, fp2, compared: int, wide: int, root=None):
+    """Index pairs (i, j), i < j, within both distances and with different roots, block by block."""
+    n = len(fp)
+    step = max(1, (1 << 20) // n)
+    for s in range(0, n, step):
+        near = np.bitwise_count(fp[s : s + step, None] ^ fp[None, s:]) <= compared
+        if root is not None:
+            near &= root[s : s + step, None] != root[None, s:]
+        i, j = np.nonzero(near)
+        i, j = i[j > i] + s, j[j > i] + s
+        ok = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(fp2[i] ^ fp2[j]) <= wide
+        yield i[ok], j[ok]
+
+
+def _least_forest(fp, fp2, compared: int, wide: int):
+    """Index pairs of a spanning forest of least total distance over all near pairs."""
+    far = 1 << 20
+
+    def distances(to):
+        d = np.bitwise_count(fp[to] ^ fp[u]).astype(np.int64)
+        both = d + np.bitwise_count(fp2[to] ^ fp2[u])
+        return np.where((d <= compared) & (both <= wide), both, far)
+
+    u, left, i, j = 0, np.arange(1, len(fp)), [], []
+    best, to = distances(left), np.zeros(len(left), np.int64)
+    while len(left):
+        at = int(best.argmin())
+        u = left[at]
+        if best[at] < far:
+            i.append(to[at])
+            j.append(u)
+        left, best, to = np.delete(left, at), np.delete(best, at), np.delete(to, at)
+        d = distances(left)
+        to = np.where(d < best, u, to)
+        best = np.minimum(d, best)
+    return np.array(i, np.int64), np.array(j, np.int64)
+
+
+def _candidates(compared: int, wide: int, crossing: bool):
+    """A function over partitions sorted by bucket (bucket, node, fp, fp2, root): a, b for candidates, or dense for a bucket's number.
+
+    A bucket gives all its near pairs, or, with over DENSE of these a member, a least forest of them and its number.
+    crossing: all near pairs whose roots differ, however many."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.int64())])
+
+    def made(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=arrow)
+
+    def one(key, node, fp, fp2, root):
+        if crossing:
+            if (root != root[0]).any():
+                for i, j in _near_pairs(fp, fp2, compared, wide, root):
+                    yield made(node[i], node[j])
+            return
+        found, n = [], 0
+        for i, j in _near_pairs(fp, fp2, compared, wide):
+            found.append((i, j))
+            n += len(i)
+            if n > DENSE * len(fp):
+                found = [_least_forest(fp, fp2, compared, wide)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key])], schema=arrow)
+                break
+        for i, j in found:
+            yield made(node[i], node[j])
+
+    def buckets(key, *columns):
+        node, fp, fp2, _ = columns
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        large = (sizes > 2) if crossing else (sizes > 2 * DENSE)  # no smaller one can be dense
+        for s, n in zip(starts[large], sizes[large]):
+            yield from one(int(key[s]), *(c[s : s + n] for c in columns))
+        if crossing:
+            return
+        group, end = np.repeat(sizes, sizes), np.repeat(starts + sizes, sizes)
+        at = np.flatnonzero((group <= 2 * DENSE) & (group > 1))
+        for o in range(1, 2 * DENSE):
+            at = at[at + o < end[at]]
+            if not len(at):
+                break
+            d = np.bitwise_count(fp[at] ^ fp[at + o]).astype(np.int64)
+            near = at[d <= compared]
+            near = near[d[d <= compared] + np.bitwise_count(fp2[near] ^ fp2[near + o]) <= wide]
+            if len(near):
+                yield made(node[near], node[near + o])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            columns[2:4] = [c.view(np.uint64) for c in columns[2:4]]
+            held = [np.r_[a, b] for a, b in zip(held, columns)] if held else columns
+            if len(held[0]):
+                whole = int(np.searchsorted(held[0] == held[0][-1], True))  # the last bucket may go on
+                if whole:
+                    yield from buckets(*(c[:whole] for c in held))
+                    held = [c[whole:] for c in held]
+        if held and len(held[0]):
+            yield from buckets(*held)
+
+    return run
+
+
+def similar_pairs(nodes: DataFrame, radius: int, bits: range, compared: int, wide: int, verified, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links that have the same components as all verified ones of the candidates.
+
+    Candidates are pairs of nodes (node, fp, fp2) that meet in a table of a covering family over the given bits of fp and
+    differ in at most `compared` bits of fp and `wide` of both. verified takes candidates (a, b) and returns those that are
+    links. Dense buckets first give a forest of candidates only; then all their candidates between nodes that the
+    verified links haven't joined, so that a candidate is left out only where its ends are joined anyway."""
+    members = nodes.select(F.lit(0).cast("long").alias("bucket"), "node", "fp", "fp2")
+    tables = []
+    for level in range(LEVELS):
+        rows = _dealt(members, covering_masks(radius, seed + level, bits), level, "node", "fp2")
+        if level + 1 == LEVELS:
+            tables.append(rows)
+            break
+        hot = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("bucket"))
+        if hot.isEmpty():
+            tables.append(rows)
+            break
+        tables.append(rows.join(hot, "bucket", "left_anti"))
+        members = checkpointed(rows.join(hot, "bucket", "left_semi").select("bucket", "node", "fp", "fp2"))
+
+    def found(rows, crossing):
+        rows = rows.select("bucket", "node", "fp", "fp2", "root").repartition("bucket").sortWithinPartitions("bucket", "node")
+        return rows.mapInArrow(_candidates(compared, wide, crossing), schema_of("a long, b long, dense long"))
+
+    def pairs(df):
+        return checkpointed(df.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    first = [checkpointed(found(t.withColumn("root", F.lit(0).cast("long")), False)) for t in tables]
+    links = checkpointed(verified(pairs(functools.reduce(DataFrame.union, first))))
+    dense = [f.where("dense is not null").select(F.col("dense").alias("bucket")) for f in first]
+    if all(d.isEmpty() for d in dense):
+        return links
+    roots = checkpointed(components(links, "a", "b").select("node", "root"))
+    again = [t.join(d, "bucket", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) for t, d in zip(tables, dense)]
+    return links.union(verified(pairs(functools.reduce(DataFrame.union, [found(t, True) for t in again]))))
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp, component_id for each row of docs.
 
