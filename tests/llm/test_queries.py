@@ -275,3 +275,16 @@ def test_dense_buckets_lose_no_similar_pair(spark):
     links = [(r.a, r.b) for r in simhash.similar_pairs(nodes, 6, range(32), 14, 30, verified).collect()]
     got = groups(links, range(120))
     assert len(tested) == 2 and tested[0] < 3000 and {frozenset(i for i in got if got[i] == r) for r in set(got.values())} == {frozenset(range(k, 120, 3)) for k in range(3)}
+
+
+def test_repeated_passages_neither_join_nor_part_documents(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    line = "one line again and again "
+    texts = [line * 400 + words(k, 60) for k in range(3)] + [words(9, 200), words(9, 200) + " " + words(9, 20) * 30, words(8, 150), words(8, 150) + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(simhash.shingles_of(t.encode(), 5)) for t in texts]
+    similar = [(a, b) for a in range(7) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert similar == [(4, 3), (6, 5)]
+    got = {r.doc_id: r.root for r in corpus.similar_groups(docs).collect()}
+    assert [(a, b) for a in range(7) for b in range(a) if got[a] == got[b]] == similar
+    assert sorted(r.doc_id for r in corpus.one_of_each_group(docs).collect()) == [0, 1, 2, 3, 5]

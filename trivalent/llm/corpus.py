@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_columns, text_bytes
 from .components import components
-from .simhash import shingles_of, similar_pairs, wide_fingerprint
+from .simhash import shingles_of, similar_pairs, set_fingerprint
 
 #: Rows of 16 bytes that are sent to all tasks at most; beyond that the join is shuffled.
 SMALL_ROWS = 500_000
@@ -63,24 +63,23 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, compared: int = 14, wide: int = 30, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, root for each row: rows with one root are near copies.
+    """doc_id, text_hash, node, root for each row: rows with one root are near copies.
 
     Fingerprints that meet in a table of a covering family over 32 of the 64 bits (every pair within `radius` of
     those, and most pairs somewhat beyond) and differ in at most `compared` bits, and in at most `wide` of the 128 bits with
     a second fingerprint's, are candidates; at a similarity of 0.8 of the word shingles' sets, 14 and 30 bits are the
-    99th percentiles. A candidate is a link if the sets, compared whole, have at least `similarity`. Equal fingerprints
-    are one node. Null and empty texts are alike."""
+    99th percentiles. A candidate is a link if the sets, compared whole, have at least `similarity`. Texts with
+    equal sets are one node; different sets are compared even if their fingerprints are equal. Null and empty texts are alike."""
 
     def make():
         def each(doc_id, text_hash, text):
-            made = [wide_fingerprint(t, words) for t in text]
-            return doc_id, text_hash, [m[0] for m in made], [m[1] for m in made]
+            return doc_id, text_hash, *([*c] for c in zip(*(set_fingerprint(t, words) for t in text)))
 
         return each
 
     rows = docs.select("doc_id", text_hash(text).alias("text_hash"), text_bytes(text).alias("text"))
-    prints = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, fp long, fp2 long"))
-    nodes = checkpointed(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("doc_id", "text_hash", "fp2")).alias("first")))
+    prints = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, node long, fp long, fp2 long"))
+    nodes = checkpointed(prints.groupBy("node", "fp", "fp2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
 
     def verified(links):
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -88,9 +87,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
         texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
         return jaccard_links(links, checkpointed(shingle_sets(texts.select("node", "text"), words).dropDuplicates(["node"])), similarity)
 
-    links = similar_pairs(nodes.select("node", F.col("node").alias("fp"), F.col("first.fp2").alias("fp2")), radius, range(32), compared, wide, verified)
+    links = similar_pairs(nodes, radius, range(32), compared, wide, verified)
     roots = components(links, "a", "b")
-    return prints.join(roots, prints.fp == roots.node, "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+    return prints.join(roots, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -67,20 +67,21 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits((2 * ones > len(parts)).astype(np.uint8), bitorder="little").view("<i8")[0]) if parts else 0
 
 
-def wide_fingerprint(text: bytes, words: int) -> tuple[int, int]:
-    """128 bits of the same kind, as two signed numbers."""
+def set_fingerprint(text: bytes, words: int) -> tuple[int, int, int]:
+    """A hash of the set of shingles and 128 bits voted by its members, one vote each whatever the repeats, as three signed numbers."""
     import xxhash
 
     digest = xxhash.xxh3_128_digest
-    parts = shingles_of(text, words)
-    ones = np.zeros(128, np.int64)
+    parts = sorted({digest(p, SEED) for p in shingles_of(text, words)})
+    whole, ones = xxhash.xxh64(seed=SEED), np.zeros(128, np.int64)
     for at in range(0, len(parts), 32768):
-        h = np.frombuffer(b"".join(digest(p, SEED) for p in parts[at : at + 32768]), np.uint8)
-        ones += np.unpackbits(h.reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        joined = b"".join(parts[at : at + 32768])
+        whole.update(joined)
+        ones += np.unpackbits(np.frombuffer(joined, np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
     if not parts:
-        return 0, 0
+        return 0, 0, 0
     a, b = np.packbits((2 * ones > len(parts)).astype(np.uint8), bitorder="little").view("<i8")
-    return int(a), int(b)
+    return int.from_bytes(whole.digest(), "little", signed=True), int(a), int(b)
 
 
 def fingerprints(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
