@@ -72,6 +72,25 @@ def test_disguises(text, found):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    "text, whole",
+    [
+        ("x jоhn@example.com y", "jоhn@example.com"), ("x a@mail.example [dot] com y", "a@mail.example [dot] com"), ("call +44 20 7946 ０９５８ now", "+44 20 7946 ０９５８"),
+        ("call +44 20 7946 zero nine five eight.", "+44 20 7946 zero nine five eight"), ("mail anna at example dot it", "anna at example dot it"), ("mail anna at mail dot host dot example", "anna at mail dot host dot example"),
+        ("𝐛𝐨𝐛@example.com", "𝐛𝐨𝐛@example.com"), ("bob at mail dot example dot tv", "bob at mail dot example dot tv"), ("ip ১.২.৩.৪ here", "১.২.৩.৪"), ("mail ᴀnnᴀ@example.com", "ᴀnnᴀ@example.com"),
+    ],
+)
+def test_disguises_are_covered_whole(text, whole):
+    at = text.index(whole)
+    assert (at, at + len(whole)) in [(s, e) for _, s, e in pii.all_spans(text)[1]]
+
+
+@pytest.mark.parametrize("text", ["We arrived at some point after ten", "Write to a@b.com. In the end it. Is", "look at example.com", "he stared at the dot"])
+def test_prose_is_no_disguise(text):
+    base, more = pii.all_spans(text)
+    assert base == more
+
+
 def test_covering_masks_leave_no_pair_out():
     rng = random.Random(2)
     masks = simhash.covering_masks(4, 1)

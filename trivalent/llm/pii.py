@@ -5,7 +5,7 @@ look-alike characters (full-width forms, Cyrillic and Greek letters, other scrip
 invisible characters), spelled digits, and "at" and "dot" in words or brackets. Each
 rewriting knows which source characters every output character stands for, so what the
 same detectors find in the normalised text is mapped back to the source. A finding is added
-if it uses a rewritten character and doesn't overlap a plain finding of its kind.
+if it uses a rewritten character and isn't within a plain finding of its kind, which may be only its head or tail.
 """
 
 from __future__ import annotations
@@ -72,13 +72,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(k, s, e) for k, kind in enumerate(KINDS) for s, e in DETECTORS[kind](text)]
 
 
-# The transducers' alphabets. Digits of other scripts and full-width forms follow from their Unicode values.
+# The transducers' alphabets. All scripts' digits and all compatibility forms follow from Unicode's own tables; the look-alikes
+# of other scripts are listed here, as Python has no table of them.
 _LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ѕ": "S", "Ј": "J",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "κ": "k", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "。": ".", "․": ".", "·": ".", "∙": ".", " ": " ", " ": " ", " ": " ", " ": " ", "　": " ",
 }
+_LOOKALIKES |= dict(zip(
+    "ӏԍցոսօհյզԱՍՏՕԼΜΖӀԌᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏞᏟᏢᏦᏴⲟⲣⲥⲞⲢⲤⲘⲚⲦɑɡɩıʏʀᴀʙᴄᴅᴇɢʜᴊᴋʟᴍɴᴏᴘᴛᴜᴠᴡᴢꜱϲϳϹͿѵѴԚԜԁգ℮ғвмнткг",
+    "lGgnuohjqUUSOLMZlGDRTAJEWMHGZSLCPKBopcOPCMNTagiiyrabcdeghjklmnoptuvwzscjCJvVQWdqefbmhtkr", strict=True))
+_LOOKALIKES |= {"‚": ",", "﹣": "-", "⁃": "-", "﹘": "-", "⸱": ".", "۔": ".", "𝟎": "0", "ⅼ": "l"}
 _INVISIBLE = "­​‌‍⁠﻿"
 _SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -88,13 +93,40 @@ _SPELLED = {
 }
 #: Last labels that make words a disguised address.
 _ENDINGS = frozenset("com org net edu gov mil int info biz io co dev app eu uk us ca au in de fr es ch at nl pl ru jp cn br mx".split())
+#: All countries' labels, the reserved ones and frequent others: where the words can't be prose.
+_MORE_ENDINGS = _ENDINGS | frozenset(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr "
+    "ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz "
+    "na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+    "aero arpa asia cat coop jobs mobi museum name post pro tel travel xxx example test invalid localhost local onion academy agency art bank berlin blog cafe cloud club codes company consulting design digital email events expert family finance fun global group guru hamburg "
+    "health help host house icu koeln law life link live london love ltd media money network news ninja nyc one online page paris party photo photos plus press program radio review rocks school science services shop site social software solutions space store studio support swiss team tech tips today tools "
+    "top tours town training vip video wales web website wien wiki win work world wtf xyz zone".split()
+)
 _AT, _DOT, _PLUS = "at|arroba|chez|klammeraffe", "dot|punkt|punto|point", "plus|más"
 
-_SOFT = re.compile("[" + "".join(_LOOKALIKES) + _INVISIBLE + "！-～٠-٩۰-۹०-९০-৯⁰¹²³⁴-⁹₀-₉①-⑨]")
+
+def _folds() -> dict[str, str]:
+    """What each character outside ASCII stands for: a digit, what its compatibility form is if that is ASCII, or what it looks like."""
+    import unicodedata
+
+    out = {}
+    for first, last in ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000)):  # no other has a fold
+        for c in map(chr, range(first, last)):
+            digit = unicodedata.digit(c, None)
+            new = unicodedata.normalize("NFKC", c) if digit is None else str(digit)
+            if new.isascii() and (len(new) == 1 or new.isalnum()):
+                out[c] = new
+    return out | _LOOKALIKES | dict.fromkeys(_INVISIBLE, "")
+
+
+_FOLDS = _folds()
+#: Beyond the first plane whole ranges, as the engine tries these one by one; not all in them have a fold.
+_SOFT = re.compile("[" + "".join(re.escape(c) for c in _FOLDS if c < "\U00010000") + "\U00010000-\U0001f2ff\U0001fbf0-\U0001fbf9]")
 _BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*[\])}}>]\s*", re.I)
-#: Bare words count only in the whole form name at host dot end: two steps, as each takes one direction.
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]+)(?P<at>\s+(?:{_AT})\s+|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z0-9-]+)*?(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)
-_BARE_DOT = re.compile(rf"\s+(?:{_DOT})\s+|\s*\.\s*", re.I)
+#: Bare words count only in the whole form name at host dot end.
+_SEPARATOR = rf"(?:\s+(?:{_DOT})\s+|\s*\.\s*)"
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]+)(?P<at>\s+(?:{_AT})\s+|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:{_SEPARATOR}[A-Za-z0-9-]+)+)", re.I)
+_BARE_DOT = re.compile(_SEPARATOR, re.I)
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _TOKEN = rf"(?:(?:{_NUMBER_WORD})(?![^\W_])|[0-9]+)"
 _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS})\s+)?{_TOKEN}(?:(?:\s*[-.,()]\s*|\s+(?:(?:{_DOT})\s+)?){_TOKEN}){{3,}}", re.I)
@@ -122,33 +154,45 @@ class Tape:
         self.spans = spans + self.spans[at:]
 
 
-def _plain(c: str) -> str:
-    import unicodedata
-
-    if c in _INVISIBLE:
-        return ""
-    if c in _LOOKALIKES:
-        return _LOOKALIKES[c]
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0)
-    return str(unicodedata.digit(c))
-
-
 def lookalikes(tape: Tape) -> None:
-    tape.rewrite([(m.start(), m.end(), _plain(m[0])) for m in _SOFT.finditer(tape.text)])
+    tape.rewrite([(m.start(), m.end(), _FOLDS[m[0]]) for m in _SOFT.finditer(tape.text) if m[0] in _FOLDS])
 
 
 def brackets(tape: Tape) -> None:
     tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)])
 
 
+def _host_dots(at: str, host: str) -> list[tuple[int, int, str]]:
+    """The separators (start, end, text) of the longest part of host that makes an address.
+
+    Its last label is one of _ENDINGS, or of all if the words before it can't be prose: "at some point to" could."""
+    dots = [(*d.span(), d[0]) for d in _BARE_DOT.finditer(host)]
+    word = at.strip().lower()
+    spelled, good = set(), 0
+    for n, (_, end, dot) in enumerate(dots):
+        if at == "@" and dot[0] == "." and dot != ".":  # a sentence ends here
+            break
+        label = host[end : dots[n + 1][0] if n + 1 < len(dots) else len(host)]
+        if dot.strip() != ".":
+            spelled.add(dot.strip().lower())
+        if not (label.isalpha() and len(label) > 1) or not spelled and word.isalpha():
+            continue
+        sure = spelled and (word in ("@", "arroba", "klammeraffe") or spelled == {"dot"}) and (dot == "." or dot.strip() != ".")
+        if label.lower() in (_MORE_ENDINGS if sure else _ENDINGS):
+            good = n + 1
+    return dots[:good]
+
+
 def bare_words(tape: Tape) -> None:
-    edits = []
-    for m in _BARE.finditer(tape.text):
-        last = re.split(r"[\s.]", m["host"])[-1].lower()
-        if last in _ENDINGS and (re.search(rf"\s(?:{_DOT})\s", m["host"], re.I) or not m["at"].strip().isalpha()):
+    edits, at = [], 0
+    while m := _BARE.search(tape.text, at):
+        start, dots = m.start("host"), _host_dots(m["at"], m["host"])
+        if dots:
             edits.append((*m.span("at"), "@"))
-            edits += [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _BARE_DOT.finditer(m["host"]) if d[0] != "."]
+            edits += [(start + a, start + b, ".") for a, b, dot in dots if dot != "."]
+            at = start + dots[-1][1]
+        else:
+            at = m.end("at")  # the host may be a name
     tape.rewrite([e for e in edits if tape.text[e[0] : e[1]] != e[2]])
 
 
@@ -178,7 +222,7 @@ TRANSDUCERS = (lookalikes, brackets, bare_words, spelled_digits)
 
 def _disguised_parts(text: str) -> list[tuple[int, int]]:
     """Stretches around what may be a disguise: text without any is not rewritten at all."""
-    found = [m.start() for m in _SOFT.finditer(text)] if not text.isascii() else []
+    found = [m.start() for m in _SOFT.finditer(text) if m[0] in _FOLDS] if not text.isascii() else []
     found += [m.start() for m in _TRIGGER_ASCII.finditer(text)]
     found += [m.start() for m in _SPELLED_RUN.finditer(text)] if _SPELLED_HINT.search(text) else []
     return found
@@ -200,7 +244,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         own = tape.spans[start:end]
         if any(x[2] for x in own):
             s, e = min(x[0] for x in own), max(x[1] for x in own)
-            if not any(k == kind and s < b and a < e for k, a, b in more):
+            if not any(k == kind and a <= s and e <= b for k, a, b in base):
                 more.append((kind, s, e))
     return base, sorted(more)
 
