@@ -159,3 +159,17 @@ def test_kneser_ney_sums_to_one(spark):
     for context in (b"\0\0\0\0", b"abra", b"zzzz", b"bra "):
         code = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)])
         assert np.exp(quality._log_probabilities(code, tables, "en")).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_limits_of_sparse_lengths_are_no_maximum():
+    plain = [("en", 5, 1400 + i, 1) for i in range(200)] + [("fr", 5, 1300 + i, 1) for i in range(20)] + [("en", 7, 1450, 1)]
+    odd = [("en", 2, 3000, 1), ("fr", 2, 2900, 1)]
+    got = {(g, b): x for g, b, x in quality.limits(plain + odd)}
+    assert set(got) == {(g, b) for g in ("en", "fr") for b in quality.BANDS}
+    assert got["en", 7] < 1.61 and got["fr", 7] < 1.61 and got["fr", 5] < 1.61 and 1.59 < got["en", 5] < 1.6
+    assert quality.limits([]) == []
+
+
+def test_toxic_text_is_not_trusted(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    assert sorted(r.trusted_id for r in quality._trusted(labels).collect()) == [1, 5]

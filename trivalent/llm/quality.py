@@ -29,8 +29,9 @@ HELD_OUT = 10
 QUANTILE, MARGIN = 0.99, 0.15
 #: Ids of trusted documents that are sent to all tasks at most; beyond that the join with the texts is shuffled.
 SMALL_ROWS = 500_000
-#: Held-out documents that a language and length need for a quantile of their own.
-ENOUGH = 30
+#: A language and length lends from others as much as this number of documents counts, with weights of NEAR to the power of
+#: the bands between, times ABROAD for other languages. Steps of the logarithm in which documents are counted.
+LENT, NEAR, ABROAD, STEP = 100, 0.25, 0.5, 0.001
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,22 +240,51 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", lang: st
     return out.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("total") / F.col("n_bytes"))).alias("perplexity"), "text_hash")
 
 
+BANDS = range(2, 8)
+
+
 def _band(n_bytes):
     """Length band: a perplexity of fewer bytes varies more."""
-    return F.least(F.lit(7), F.greatest(F.lit(2), F.floor(F.log2(n_bytes + F.lit(1)) / 2))).cast("int")
+    return F.least(F.lit(BANDS[-1]), F.greatest(F.lit(BANDS[0]), F.floor(F.log2(n_bytes + F.lit(1)) / 2))).cast("int")
+
+
+def limits(counts: list[tuple[str, int, int, int]], quantile: float = QUANTILE) -> list[tuple[str, int, float]]:
+    """(lang, band, x) for every band of every language in counts (lang, band, x in steps, documents): the quantile of x.
+
+    A language's and band's own documents count fully. All others count as LENT of these at most, nearer bands and the
+    same language more, by their distance from their language's median: so the more documents a band has, the more is its
+    quantile its own, and no odd one of another length sets it."""
+    langs = sorted({c[0] for c in counts})
+    lang, band = np.array([langs.index(c[0]) for c in counts], int), np.array([c[1] for c in counts], int)
+    x, n = np.array([c[2] for c in counts], float), np.array([c[3] for c in counts], float)
+
+    def at(x, weight, share):
+        order = np.argsort(x, kind="stable")
+        below = np.cumsum(weight[order])
+        return x[order][min(np.searchsorted(below, share * below[-1] * (1 - 1e-12)), len(x) - 1)]
+
+    middle = np.array([at(x[lang == g], n[lang == g], 0.5) for g in range(len(langs))])
+    out = []
+    for g, name in enumerate(langs):
+        for b in BANDS:
+            own = (lang == g) & (band == b)
+            lent = np.where(own, 0, n * NEAR ** np.abs(band - b) * np.where(lang == g, 1, ABROAD))
+            weight = np.where(own, n, lent * min(1, LENT / max(lent.sum(), 1e-9)))
+            out.append((name, b, float((at(x - middle[lang], weight, quantile) + middle[g] + 1) * STEP)))
+    return out
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    """Ids whose labels all say quality 1: labels may repeat."""
-    ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("trusted_id")).agg(F.min("quality").alias("quality"))
-    return ids.where("quality = 1").select("trusted_id", (F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT)) == 0).alias("held"))
+    """Ids whose labels all say quality 1 and none toxic: labels may repeat, and a null toxic isn't."""
+    ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("trusted_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    return ids.where("quality = 1 and toxic = 0").select("trusted_id", (F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT)) == 0).alias("held"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row for each row of docs: doc_id, lang, n_bytes, perplexity, threshold, keep, text_hash.
 
     Rejected is what lies above the threshold of its language and length: the held-out trusted documents' quantile of the
-    logarithm, plus margin. With too few of these, the language's highest serves. What has no perplexity or no
+    logarithm, plus margin; where these are few, other lengths and languages lend some (see limits). What has no perplexity or no
     threshold can't be judged and is kept. Null ids are scored like any other."""
     trusted = _trusted(labels)
     train = checkpointed(trusted.where("not held").select("trusted_id"))
@@ -267,17 +297,16 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
     model = kneser_ney(checkpointed(ngram_counts(train)))
     scored = checkpointed(perplexities(docs, model, text, lang, shard_rows))
     held = scored.where("perplexity is not null").join(trusted.where("held"), scored.doc_id == F.col("trusted_id")).select("lang", _band(F.col("n_bytes")).alias("band"), F.log("perplexity").alias("x"))
-    bands = held.groupBy("lang", "band").agg(F.count("*").alias("n"), F.percentile("x", quantile).alias("q"))
-    whole = held.groupBy("lang").agg(F.max("x").alias("highest"))
-    limits = bands.where(F.col("n") >= ENOUGH).select("lang", "band", "q")
-    out = scored.withColumn("band", _band(F.col("n_bytes"))).join(F.broadcast(whole), "lang", "left").join(F.broadcast(limits), ["lang", "band"], "left")
-    threshold = F.exp(F.coalesce("q", "highest") + F.lit(margin))
+    counts = held.groupBy("lang", "band", F.floor(F.col("x") / STEP).alias("step")).count().collect()  # as many as steps, not as documents
+    bounds = docs.sparkSession.createDataFrame(limits([tuple(c) for c in counts], quantile), "lang string, band int, q double")
+    out = scored.withColumn("band", _band(F.col("n_bytes"))).join(F.broadcast(bounds), ["lang", "band"], "left")
+    threshold = F.exp(F.col("q") + F.lit(margin))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("keep"), "text_hash")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the model of its language's trusted documents, and whether it stays."""
-    return classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality")).drop("text_hash")
+    return classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")).drop("text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
