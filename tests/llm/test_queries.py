@@ -288,3 +288,11 @@ def test_repeated_passages_neither_join_nor_part_documents(spark):
     got = {r.doc_id: r.root for r in corpus.similar_groups(docs).collect()}
     assert [(a, b) for a in range(7) for b in range(a) if got[a] == got[b]] == similar
     assert sorted(r.doc_id for r in corpus.one_of_each_group(docs).collect()) == [0, 1, 2, 3, 5]
+
+
+def test_url_templates_reach_any_depth(spark):
+    rows = [(i, f"http://h.org/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)] + [(200, "http://deep.org/" + "y/" * 300 + "200")]
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(0, 100)], "label_id long, good boolean")
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert len(got) == 201 and {(r.page_id % 2, r.verdict) for r in got} == {(0, "allow"), (1, "block")}
+    assert {r.template for r in got if r.page_id == 1} == {"/a/b/c/d/e/f/spam/<n>"}

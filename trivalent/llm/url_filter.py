@@ -11,6 +11,8 @@ the whole table's; templates below the threshold are rejected. Everything is Dat
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,6 @@ from .common import checkpointed, table
 
 #: (verdict, host, path), the contract's rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Levels of the tree; what lies deeper is one segment.
-LEVELS = 4
 #: A node's children are a wildcard from so many distinct ones on, at so many a page.
 DISTINCT, RATIO = 20, 0.5
 #: Deviations at which siblings differ.
@@ -49,7 +49,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shapes(path: Column) -> Column:
-    """The path's segments with variable ones by their kind; those beyond LEVELS - 1 are joined."""
+    """The path's segments with variable ones by their kind."""
 
     def kind(s: Column) -> Column:
         return (
@@ -59,19 +59,18 @@ def shapes(path: Column) -> Column:
             .otherwise(F.regexp_replace(s, "[0-9]+", "<n>"))
         )
 
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, kind)
-    head, tail = F.slice(parts, 1, LEVELS - 1), F.slice(parts, LEVELS, 2**31 - 1 - LEVELS)
-    return F.when(F.size(tail) > 0, F.concat(head, F.array(F.array_join(tail, "/")))).otherwise(head)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), kind)
 
 
 def template_tree(paths: DataFrame) -> DataFrame:
-    """paths (host, shape, n, good, bad) with template: the host's and shape's place in the tree."""
-    out = paths.withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        out = out.withColumn("segment", F.get("shape", F.lit(level)))
-        child = out.where("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")))
+    """paths (host, shape, n, good, bad) with template: the host's and shape's place in the tree.
+
+    Levels are walked as long as any node has more than one shape below it; a single shape's other segments stay as they are."""
+    rows, finished, level = paths.withColumn("template", F.lit("")), [], 0
+    while True:
+        out = rows.withColumn("segment", F.get("shape", F.lit(level)))
+        child = out.where("segment is not null").groupBy("host", "template", "segment").agg(F.count("*").alias("shapes"), *(F.sum(c).alias(c) for c in ("n", "good", "bad")))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("shapes").alias("all_shapes"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")))
         child = child.join(node, ["host", "template"])
         own, rest = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
         pooled = F.col("all_good") / (F.col("all_good") + F.col("all_bad"))
@@ -79,10 +78,14 @@ def template_tree(paths: DataFrame) -> DataFrame:
         differs = F.coalesce((own > 0) & (rest > 0) & (pooled > 0) & (pooled < 1) & (gap > DIFFERENT), F.lit(False))
         wild = (F.col("children") >= DISTINCT) & (F.col("children") >= RATIO * F.col("all_n"))
         label = F.when(wild, "*").when(differs | (F.col("children") == 1), F.col("segment")).otherwise("~")
-        child = child.select("host", "template", "segment", F.concat("template", F.lit("/"), label).alias("below"))
-        out = out.join(child, ["host", "template", "segment"], "left").withColumn("template", F.coalesce("below", "template")).drop("below", "segment")
-        out = checkpointed(out)  # each level uses the one before more than once
-    return out
+        child = child.select("host", "template", "segment", F.concat("template", F.lit("/"), label).alias("below"), (F.col("all_shapes") == 1).alias("alone"))
+        rest_of = F.concat("template", F.lit("/"), F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
+        out = out.join(child, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("alone"), rest_of).otherwise(F.coalesce("below", "template")))
+        out = checkpointed(out.withColumn("over", F.coalesce("alone", F.lit(True))).drop("below", "segment", "alone"))  # each level uses the one before more than once
+        finished.append(out.where("over").drop("over"))
+        rows, level = out.where("not over").drop("over"), level + 1
+        if rows.isEmpty():
+            return checkpointed(functools.reduce(DataFrame.unionByName, finished))
 
 
 def judged_templates(paths: DataFrame, strength: float = STRENGTH) -> DataFrame:
