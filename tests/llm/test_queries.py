@@ -258,23 +258,60 @@ def test_pipeline_stages_are_what_brute_force_gives(spark, sf):
     assert sorted(r.doc_id for r in sf_run.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
 
 
-def test_dense_buckets_lose_no_similar_pair(spark):
-    """Nodes that all meet and are near, of which only pairs of the same number modulo 3 are links, and these are never the nearest."""
+def jaccard_groups(sets):
+    ids = sorted(sets)
+    similar = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    return groups([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and similar(sets[a], sets[b])], ids)
+
+
+@pytest.mark.parametrize("block", [4, 7, 256])
+def test_verified_groups_of_any_block(spark, block):
+    """A root of near sets, chains in which only neighbours are similar, and sets that are like none: cut into blocks or not."""
     rng = np.random.default_rng(4)
-    rows = []
-    for i in range(120):
-        fp2 = int(sum(1 << int(b) for b in rng.choice(63, 4, replace=False)))
-        rows.append((i, i % 3 << 40 | i // 3 % 2 << 41 + i % 3, fp2))
-    nodes = spark.createDataFrame(rows, "node long, fp long, fp2 long")
-    tested = []
-
-    def verified(links):
-        tested.append(links.count())
-        return links.where("(b - a) % 3 = 0 and (a div 3 + b div 3) % 2 = 1")
-
-    links = [(r.a, r.b) for r in simhash.similar_pairs(nodes, 6, range(32), 14, 30, verified).collect()]
-    got = groups(links, range(120))
-    assert len(tested) == 2 and tested[0] < 3000 and {frozenset(i for i in got if got[i] == r) for r in set(got.values())} == {frozenset(range(k, 120, 3)) for k in range(3)}
+    sets = {}
+    for i in range(60):  # a chain: each set is 0.9 of the one before
+        sets[i] = set(range(10 * i, 10 * i + 100))
+    for i in range(60, 120):  # a group around one set
+        sets[i] = set(range(5000, 5100)) - set(int(x) for x in rng.integers(5000, 5100, 4))
+    for i in range(120, 150):  # near each other, but not enough
+        sets[i] = set(range(9000, 9070)) | set(range(20000 + 100 * i, 20030 + 100 * i))
+    rows = [(i, i % 2 if i >= 150 else 0, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    rows += [(200, 1, b""), (201, 1, np.array([1, 2], np.uint64).tobytes())]
+    got = {r.node: r.label for r in corpus.verified_groups(spark.createDataFrame(rows, "node long, root long, hashes binary"), 0.8, block).collect()}
+    want = jaccard_groups(sets) | {200: 200, 201: 201}
+    assert len({(got[i], want[i]) for i in want}) == len(set(got.values())) == len(set(want.values())) and len(got) == len(want)
+
+
+def test_recall_of_pairs_at_the_border_and_a_large_group(spark):
+    """Pairs of 0.80 to 0.84, and 400 near copies of one text: no false group, hardly a link lost, none in the large group."""
+    rng = np.random.default_rng(5)
+    texts = []
+    while len(texts) < 400:
+        w = [f"w{x}" for x in rng.integers(0, 20000, 120)]
+        x = [f"w{rng.integers(0, 20000)}" if i in set(rng.integers(0, 120, 3).tolist()) else v for i, v in enumerate(w)]
+        a, b = ({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (w, x))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.84:
+            texts += [" ".join(w), " ".join(x)]
+    base = [f"v{x}" for x in rng.integers(0, 20000, 200)]
+    for _ in range(400):
+        x = list(base)
+        for at in rng.integers(0, 200, rng.integers(1, 5)):
+            x[at] = f"u{rng.integers(0, 20000)}"
+        texts.append(" ".join(x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.root for r in corpus.similar_groups(docs, block=64).collect()}
+    want = jaccard_groups({i: set(simhash.shingles_of(t.encode(), 5)) for i, t in enumerate(texts)})
+    assert len({(got[i], want[i]) for i in got}) == len(set(got.values()))
+    assert sum(got[i] == got[i + 1] for i in range(0, 400, 2)) >= 0.97 * 200
+    assert len({(got[i], want[i]) for i in range(400, 800)}) == len({want[i] for i in range(400, 800)})
+
+
+def test_columns_that_clash_with_helpers(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", 0, 0, 0, 0), (1, "a b", "en", 0, 0, 0, 0), (2, "A b", "en", 0, 0, 0, 0), (3, "c", "en", 0, 0, 0, 0)], "doc_id long, text string, lang string, key_id int, key_hash int, trusted_id int, text_hash int")
+    assert corpus.one_of_each_group(docs).columns == docs.columns and sorted(r.doc_id for r in corpus.one_of_each_group(docs).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in decontamination.clean(docs, spark.createDataFrame([(1, "c")], "item_id long, text string")).collect()) == [1, 1, 2]
+    few = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(docs, few).columns == docs.columns
 
 
 def test_repeated_passages_neither_join_nor_part_documents(spark):

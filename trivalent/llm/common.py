@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of about 16 bytes that are sent to all tasks at most; beyond that a join is shuffled.
+SMALL_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named table, with only the given columns."""
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where all is one machine, a temporary one."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
@@ -36,11 +41,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hinted(small: DataFrame) -> DataFrame:
+    """small (already computed) with a broadcast hint if its counted rows, of about 16 bytes, allow it."""
+    return F.broadcast(small) if small.count() <= SMALL_ROWS else small
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh path in the shared folder for files of this run."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

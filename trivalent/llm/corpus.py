@@ -7,17 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_columns, text_bytes
+from .common import checkpointed, fresh, hinted, map_columns, schema_of, text_bytes
 from .components import components
-from .simhash import shingles_of, similar_pairs, set_fingerprint
+from .simhash import WORDS, candidate_links, set_fingerprint, shingle_hashes
 
-#: Rows of 16 bytes that are sent to all tasks at most; beyond that the join is shuffled.
-SMALL_ROWS = 500_000
-
-
-def hinted(small: DataFrame) -> DataFrame:
-    """small (already computed) with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(small) if small.count() <= SMALL_ROWS else small
+#: Sets that are compared with each other in one step, and about how many bytes of them.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 
 
 def text_hash(text: str = "text"):
@@ -26,85 +21,219 @@ def text_hash(text: str = "text"):
 
 def matching(docs: DataFrame, keys: DataFrame, how: str, text: str = "text") -> DataFrame:
     """docs whose id and text hash are among keys (doc_id, text_hash), or are not: how is left_semi or left_anti."""
-    keys = hinted(checkpointed(keys.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")).distinct()))
-    return docs.join(keys, docs.doc_id.eqNullSafe(F.col("key_id")) & (text_hash(text) == F.col("key_hash")), how)
-
-
-def jaccard_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose ends' sets (node, hashes: sorted 32-bit hashes as bytes) are similar enough."""
+    key_id, key_hash = fresh(docs, "key_id"), fresh(docs, "key_hash")
+    keys = hinted(checkpointed(keys.select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash)).distinct()))
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col(key_id)) & (text_hash(text) == F.col(key_hash)), how)
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of left shares with each of right, by products of their incidence matrices, some members at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)  # exact below 2^24 members
+    both = np.concatenate([*left, *right])
+    side = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    members, number = np.unique(both, return_inverse=True)
+    in_left = np.bincount(number[side < len(left)], minlength=len(members)) > 0
+    in_right = np.bincount(number[side >= len(left)], minlength=len(members)) > 0
+    shared = in_left & in_right
+    column = np.cumsum(shared) - 1
+    side, number = side[shared[number]], column[number[shared[number]]]
+    order = np.argsort(number, kind="stable")
+    side, number = side[order], number[order]
+    for at in range(0, int(shared.sum()), 8192):
+        s, e = np.searchsorted(number, [at, at + 8192])
+        m = np.zeros((len(left) + len(right), 8192), np.float32)
+        m[side[s:e], number[s:e] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    shared = _intersections(left, right)
+    sizes = np.array([len(x) for x in left], np.float64)[:, None] + np.array([len(x) for x in right], np.float64)[None, :]
+    return (shared >= similarity * (sizes - shared)) & (sizes > 0)
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The first member of each one's component under a symmetric matrix of links."""
+    out = np.full(len(near), -1)
+    for i in range(len(near)):
+        if out[i] < 0:
+            reached = np.zeros(len(near), bool)
+            front = reached.copy()
+            front[i] = True
+            while front.any():
+                reached |= front
+                front = near[front].any(0) & ~reached
+            out[reached] = i
+    return out
+
+
+def _groups(batches):
+    """Rows in order of their first two columns, a group of equal ones at a time, as lists of the other columns."""
+    key, rows = None, []
+    for batch in batches:
+        for *own, values in zip(*(c.to_pylist() for c in batch.columns[:2]), zip(*(c.to_pylist() for c in batch.columns[2:]))):
+            if own != key and rows:
+                yield key, list(zip(*rows))
+                rows = []
+            key = own
+            rows.append(values)
+    if rows:
+        yield key, list(zip(*rows))
+
+
+def _sets(hashes) -> list[np.ndarray]:
+    return [np.frombuffer(h, np.uint64) for h in hashes]
+
+
+def _block_labels(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, root, label for sets (root, block, node, hashes): the smallest node of each one's component within its block."""
+    arrow = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("label", pa.int64())])
+
+    def run(batches):
+        for (root, _), (node, hashes) in _groups(batches):
+            node, held = np.array(node, np.int64), _sets(hashes)
+            order = np.argsort(node)
+            held = [held[i] for i in order]
+            label = node[order][_labels(_similar(held, held, similarity))]
+            yield pa.RecordBatch.from_arrays([pa.array(node[order]), pa.array(np.full(len(node), root)), pa.array(label)], schema=arrow)
+
+    rows = sets.select("root", "block", "node", "hashes").repartition("root", "block").sortWithinPartitions("root", "block", "node")
+    return rows.mapInArrow(run, schema_of("node long, root long, label long"))
+
+
+def _crossing_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between labels for sets (root, pair, rest, label, hashes): of each that is rest with all of its pair of blocks."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for _, (rest, label, hashes) in _groups(batches):
+            rest, label, held = np.array(rest), np.array(label, np.int64), _sets(hashes)
+            one, two = np.flatnonzero(rest), np.flatnonzero(~rest)
+            if len(one) and len(two):
+                i, j = np.nonzero(_similar([held[x] for x in one], [held[x] for x in two], similarity))
+                ends = np.unique(np.sort(np.stack([label[one[i]], label[two[j]]], 1), 1), axis=0)
+                ends = ends[ends[:, 0] != ends[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=arrow)
+
+    rows = sets.select("root", "pair", "rest", "label", "hashes").repartition("root", "pair").sortWithinPartitions("root", "pair")
+    return rows.mapInArrow(run, schema_of("a long, b long"))
+
+
+def verified_groups(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """node, label for sets (node, root, hashes): nodes of one root have one label if a chain of links joins them.
+
+    A link is a pair of one root with at least `similarity`, each pair's whole sets compared. Roots with more than a block of nodes are cut into
+    blocks: first each block is grouped on its own, then one node a group stands for it among the others' as long as that joins any,
+    and last all nodes outside of their root's largest group are compared with all blocks. So a group of any number of
+    similar nodes takes work in proportion to it, and no pair is left out but those of nodes that are joined anyway."""
+
+    def blocks(df):
+        n, size = F.count("*"), F.sum(F.length("hashes"))
+        return df.groupBy("root").agg(F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
+
+    def dealt(df, counts, salt):
+        return df.join(hinted(counts), "root", "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.coalesce("blocks", F.lit(1))))
+
+    large = checkpointed(blocks(sets))
+    labels = checkpointed(_block_labels(dealt(sets, large, 0), similarity))
+    if large.isEmpty():
+        return labels.select("node", "label")
+    sets = checkpointed(sets.join(hinted(large.select("root")), "root", "left_semi"))
+    own = checkpointed(labels.join(hinted(large.select("root")), "root", "left_semi"))
+    links, heads, salt = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").limit(0), own.where("node = label"), 0
+    while True:
+        several = checkpointed(heads.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"))
+        heads = checkpointed(sets.join(heads.select("node"), "node", "left_semi").join(hinted(several.select("root")), "root", "left_semi"))
+        before, salt = heads.count(), salt + 1
+        found = checkpointed(_block_labels(dealt(heads, checkpointed(blocks(heads)), salt), similarity))
+        links = links.union(found.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b"))
+        heads = found.where("node = label")
+        if heads.count() == before:
+            break
+    own = _relabelled(own, links)
+    sizes = own.groupBy("root", "label").count()
+    main = sizes.groupBy("root").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    main = checkpointed(main.select("root", F.col("m.label").alias("main")))
+    if not main.isEmpty():
+        rows = checkpointed(sets.join(own.drop("root"), "node").join(hinted(main), "root").withColumn("rest", F.col("label") != F.col("main")))
+        of = lambda rest: F.greatest(F.lit(1), F.ceil(F.count(rest) / block), F.ceil(F.sum(F.when(rest.isNotNull(), F.length("hashes"))) / BLOCK_BYTES))
+        counts = checkpointed(rows.groupBy("root").agg(of(F.when(F.col("rest"), 1)).alias("few"), of(F.lit(1)).alias("many")))
+        rows = rows.join(hinted(counts), "root")
+        to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        place = lambda n: F.pmod(F.xxhash64("node", F.lit(-1)), F.col(n))
+        one = rows.where("rest").withColumn("pair", F.explode(F.transform(to("many"), lambda k: place("few") * F.col("many") + k)))
+        two = rows.withColumn("rest", F.lit(False)).withColumn("pair", F.explode(F.transform(to("few"), lambda k: k * F.col("many") + place("many"))))
+        own = _relabelled(own, _crossing_links(one.unionByName(two), similarity))
+    return labels.join(hinted(large.select("root")), "root", "left_anti").select("node", "label").union(own.select("node", "label"))
+
+
+def _relabelled(own: DataFrame, links: DataFrame) -> DataFrame:
+    """own (root, node, label) with labels that links (a, b) join made one."""
+    joined = checkpointed(components(links, "a", "b").select(F.col("node").alias("label"), F.col("root").alias("joined")))
+    return checkpointed(own.join(hinted(joined), "label", "left").select("root", "node", F.coalesce("joined", "label").alias("label")))
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """node, root, hashes (sorted 64-bit hashes of the shingles as bytes) for docs with node, root and text."""
 
     def make():
-        def each(a, b, x, y):
-            near = []
-            for p, q in zip(x, y):
-                u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                near.append(both >= similarity * (len(u) + len(v) - both))
-            near = pa.array(near, pa.bool_())
-            return pa.array(a, pa.int64()).filter(near), pa.array(b, pa.int64()).filter(near)
+        return lambda node, root, text: (node, root, [shingle_hashes(t, words).tobytes() for t in text])
 
-        return each
-
-    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return map_columns(links.join(one, "a").join(two, "b").select("a", "b", "x", "y"), make, "a long, b long")
+    return map_columns(docs.select("node", "root", "text"), make, "node long, root long, hashes binary")
 
 
-def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    def make():
-        import xxhash
+def similar_nodes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, wide: int = 60, text: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash, node for each row, and a table node, root, first (doc_id, text_hash): nodes of one root are near copies.
 
-        def hashes(t):
-            return np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles_of(t, words)], np.uint32)).tobytes()
+    A node is a set of word shingles; rows with equal sets share it, whatever their texts repeat. Candidates are nodes that meet in
+    a table of a covering family and differ in at most `wide` of 256 bits: at a similarity of 0.8 these are 39 in the mean, with a deviation
+    of 6. Nodes that candidates join are compared by their whole sets (see verified_groups).
 
-        return lambda node, text: (node, [hashes(t) for t in text])
-
-    return map_columns(docs.select("node", text_bytes(text).alias("text")), make, "node long, hashes binary")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, compared: int = 14, wide: int = 30, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, node, root for each row: rows with one root are near copies.
-
-    Fingerprints that meet in a table of a covering family over 32 of the 64 bits (every pair within `radius` of
-    those, and most pairs somewhat beyond) and differ in at most `compared` bits, and in at most `wide` of the 128 bits with
-    a second fingerprint's, are candidates; at a similarity of 0.8 of the word shingles' sets, 14 and 30 bits are the
-    99th percentiles. A candidate is a link if the sets, compared whole, have at least `similarity`. Texts with
-    equal sets are one node; different sets are compared even if their fingerprints are equal. Null and empty texts are alike."""
+    Null and empty texts are one node; repeated rows and rows with null ids are rows like any other; an empty table gives empty ones.
+    Of ties the smallest id is first (null last), and of equal ids the smallest hash of the text."""
 
     def make():
         def each(doc_id, text_hash, text):
-            return doc_id, text_hash, *([*c] for c in zip(*(set_fingerprint(t, words) for t in text)))
+            return doc_id, text_hash, *([*c] for c in zip(*(set_fingerprint(shingle_hashes(t, words)) for t in text)))
 
         return each
 
+    prints = [f"f{i}" for i in range(WORDS)]
     rows = docs.select("doc_id", text_hash(text).alias("text_hash"), text_bytes(text).alias("text"))
-    prints = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, node long, fp long, fp2 long"))
-    nodes = checkpointed(prints.groupBy("node", "fp", "fp2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    known = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, node long, " + ", ".join(f"{p} long" for p in prints)))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = checkpointed(known.groupBy("node", *prints).agg(F.min(order).alias("first")))
+    links = candidate_links(nodes.select("node", *prints), radius, wide)
+    roots = checkpointed(components(links, "a", "b"))
+    need = nodes.join(roots, "node").select("node", "root", F.col("first.doc_id").alias("key_id"), F.col("first.text_hash").alias("key_hash"))
+    need = hinted(checkpointed(need))
+    texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
+    sets = checkpointed(shingle_sets(texts, words).dropDuplicates(["node"]))  # a row may be repeated
+    labels = verified_groups(sets, similarity, block)
+    rooted = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("root"), "first")
+    return known.select("doc_id", "text_hash", "node"), checkpointed(rooted)
 
-    def verified(links):
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = hinted(checkpointed(nodes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("key_id"), F.col("first.text_hash").alias("key_hash"))))
-        texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
-        return jaccard_links(links, checkpointed(shingle_sets(texts.select("node", "text"), words).dropDuplicates(["node"])), similarity)
 
-    links = similar_pairs(nodes, radius, range(32), compared, wide, verified)
-    roots = components(links, "a", "b")
-    return prints.join(roots, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, text_hash, node, root for each row: rows with one root are near copies (see similar_nodes for what is defined how)."""
+    known, rooted = similar_nodes(docs, **options)
+    return known.join(rooted.select("node", "root"), "node").select("doc_id", "text_hash", "node", "root")
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with one document of each group of near copies: that with the smallest id (null ids last).
 
-    Of rows that repeat in id and text one stays as well."""
-    groups = checkpointed(similar_groups(docs, text=text, **options))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = groups.groupBy("root").agg(F.min(order).alias("first")).select("root", "first.*")
-    by_key = groups.join(first.select("root", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash")), "root")
-    others = by_key.where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))))
-    kept = matching(docs, others, "left_anti", text)
-    repeated = checkpointed(groups.groupBy("doc_id", "text_hash").count().where("count > 1"))
+    Of rows that repeat in id and text one stays as well. Rows of a hot group are never joined by their group: what stays is a row
+    a group, found by minima, and all other rows go."""
+    known, rooted = similar_nodes(docs, text=text, **options)
+    kept = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")))
+    own = known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    own = checkpointed(own.join(kept, own.doc_id.eqNullSafe(F.col("kept_id")) & (own.text_hash == kept.kept_hash), "left"))
+    left = matching(docs, own.where("kept_hash is null"), "left_anti", text)
+    repeated = own.where("kept_hash is not null and n > 1")
     if repeated.isEmpty():
-        return kept
-    alone = matching(kept, repeated, "left_anti", text)
-    again = matching(kept, repeated, "left_semi", text).withColumn("_hash", text_hash(text)).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return alone.unionByName(again)
+        return left
+    alone, again = (matching(left, repeated, how, text) for how in ("left_anti", "left_semi"))
+    name = fresh(docs, "text_hash")
+    return alone.unionByName(again.withColumn(name, text_hash(text)).dropDuplicates(["doc_id", name]).drop(name))

@@ -289,7 +289,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
     trusted = _trusted(labels)
     train = checkpointed(trusted.where("not held").select("trusted_id"))
     if train.count() <= SMALL_ROWS:  # 8 bytes each: sent to all tasks, so that no text is shuffled
-        train = _packed(docs.join(F.broadcast(train), docs.doc_id == F.col("trusted_id"), "left_semi"), text, lang)
+        own = docs.select("doc_id", text, lang)
+        train = _packed(own.join(F.broadcast(train), own.doc_id == F.col("trusted_id"), "left_semi"), text, lang)
     else:
         packed = _packed(docs, text, lang)
         train = packed.join(train, packed.doc_id == F.col("trusted_id"), "left_semi")

@@ -8,12 +8,12 @@ finds every pair; nothing is left to chance.
 
 Equal fingerprints are one node. A bucket that is too large for comparison in one task is
 hashed again under a second, independent family, which keeps the guarantee: its members
-are dealt to smaller buckets, and a pair within the radius meets in one of them.
+are dealt to smaller buckets, and a pair within the radius meets in one of them. What is
+too large even then is cut into blocks, and every pair of blocks is a task's matter.
 """
 
 from __future__ import annotations
 
-import functools
 import random
 
 import numpy as np
@@ -21,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_columns, schema_of, table, text_bytes
+from .common import checkpointed, hinted, map_columns, schema_of, table, text_bytes
 from .components import components
 
 SEED = 42
-#: A bucket of more fingerprints is hashed again; so often at most.
-BUCKET, LEVELS = 8192, 3
+#: A bucket of more fingerprints is hashed again; one that still has more is compared in pairs of blocks.
+BUCKET = 8192
 #: In larger buckets, only links that join what is not joined yet are written.
 FOREST = 32
-#: Near pairs a member from which a bucket of candidates is dense.
-DENSE = 32
+#: Pairs a member beyond which a bucket gives a forest of its candidates only.
+DENSE = 4
+#: Fingerprints of sets have 64 * WORDS bits; tables are made of the first PARTS * 32.
+WORDS, PARTS = 4, 4
 
 
 def covering_masks(radius: int, seed: int, bits: range = range(64)) -> list[int]:
@@ -67,21 +69,41 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits((2 * ones > len(parts)).astype(np.uint8), bitorder="little").view("<i8")[0]) if parts else 0
 
 
-def set_fingerprint(text: bytes, words: int) -> tuple[int, int, int]:
-    """A hash of the set of shingles and 128 bits voted by its members, one vote each whatever the repeats, as three signed numbers."""
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of each hash, for every salt."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) % (1 << 64))
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The set of shingles of a lower-cased (A-Z) text as sorted 64-bit hashes: words are hashed, and runs of them mixed in order."""
+    import xxhash
+
+    w = text.lower().split()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+    k = min(words, len(w))
+    out = np.full(len(w) - k + 1 if w else 0, k, np.uint64)
+    for i in range(k):
+        out = _mixed(out ^ h[i : i + len(out)], i)
+    return np.unique(out)
+
+
+def set_fingerprint(hashes: np.ndarray) -> tuple[int, ...]:
+    """A hash of the set, and the 64 * WORDS bits voted by its members, one vote each whatever the repeats, as signed numbers."""
     import xxhash
 
-    digest = xxhash.xxh3_128_digest
-    parts = sorted({digest(p, SEED) for p in shingles_of(text, words)})
-    whole, ones = xxhash.xxh64(seed=SEED), np.zeros(128, np.int64)
-    for at in range(0, len(parts), 32768):
-        joined = b"".join(parts[at : at + 32768])
-        whole.update(joined)
-        ones += np.unpackbits(np.frombuffer(joined, np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    if not parts:
-        return 0, 0, 0
-    a, b = np.packbits((2 * ones > len(parts)).astype(np.uint8), bitorder="little").view("<i8")
-    return int.from_bytes(whole.digest(), "little", signed=True), int(a), int(b)
+    if not len(hashes):
+        return (0,) * (WORDS + 1)
+    out = [int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "little", signed=True)]
+    for salt in range(WORDS):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65536):
+            mixed = _mixed(hashes[at : at + 65536], salt).astype("<u8")
+            ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0]))
+    return tuple(out)
 
 
 def fingerprints(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
@@ -161,162 +183,126 @@ def _dealt(members: DataFrame, masks: list[int], level: int, *others: str) -> Da
     return members.select("fp", *others, F.explode(keys).alias("bucket")).select("bucket", "fp", *others)
 
 
+def split_buckets(rows: DataFrame, member: str, bucket: int) -> DataFrame:
+    """rows with the key `bucket` of each that has over `bucket` rows replaced by keys of pairs of blocks, as often as there are blocks.
+
+    Members are dealt to blocks by hash, so that any two of a bucket meet under some key, and no key has many more than 2 * bucket rows."""
+    sizes = checkpointed(rows.groupBy("bucket").agg(F.ceil(F.count("*") / bucket).alias("blocks")).where("blocks > 1"))
+    if sizes.isEmpty():
+        return rows
+    own = F.pmod(F.xxhash64(member, F.lit(SEED)), F.col("blocks"))
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
+    dealt = rows.join(hinted(sizes), "bucket", "left").withColumn("bucket", F.explode(F.when(F.col("blocks").isNull(), F.array("bucket")).otherwise(keys)))
+    return dealt.drop("blocks")
+
+
 def near_links(nodes: DataFrame, radius: int, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints `fp` that differ in at most `radius` bits; their components are exactly those of all such pairs."""
-    members, out = nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), None
-    for level in range(LEVELS):
-        rows = _dealt(members, covering_masks(radius, seed + level), level)
-        sizes = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))  # most buckets have one fingerprint
-        small = rows.join(sizes if level + 1 == LEVELS else sizes.where(F.col("n") <= bucket), "bucket")
-        hot = checkpointed(sizes.where(F.col("n") > bucket).select("bucket"))
-        found = small.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links(radius), schema_of("a long, b long"))
-        found = found.distinct()
-        out = found if out is None else out.union(found)
-        if level + 1 == LEVELS or hot.isEmpty():
-            return out
-        members = checkpointed(rows.join(hot, "bucket").select("bucket", "fp"))
-    return out
-
-
-def _near_pairs(fp, fp2, compared: int, wide: int, root=None):
-    """Index pairs (i, j), i < j, within both distances and with different roots, block by block."""
-    n = len(fp)
-    step = max(1, (1 << 20) // n)
-    for s in range(0, n, step):
-        near = np.bitwise_count(fp[s : s + step, None] ^ fp[None, s:]) <= compared
-        if root is not None:
-            near &= root[s : s + step, None] != root[None, s:]
-        i, j = np.nonzero(near)
-        i, j = i[j > i] + s, j[j > i] + s
-        ok = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(fp2[i] ^ fp2[j]) <= wide
-        yield i[ok], j[ok]
-
-
-def _least_forest(fp, fp2, compared: int, wide: int):
-    """Index pairs of a spanning forest of least total distance over all near pairs."""
-    far = 1 << 20
-
-    def distances(to):
-        d = np.bitwise_count(fp[to] ^ fp[u]).astype(np.int64)
-        both = d + np.bitwise_count(fp2[to] ^ fp2[u])
-        return np.where((d <= compared) & (both <= wide), both, far)
-
-    u, left, i, j = 0, np.arange(1, len(fp)), [], []
-    best, to = distances(left), np.zeros(len(left), np.int64)
+
+    def found(rows):
+        return rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links(radius), schema_of("a long, b long")).distinct()
+
+    rows = _dealt(nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), covering_masks(radius, seed), 0)
+    sizes = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))  # most buckets have one fingerprint
+    links = found(rows.join(sizes.where(F.col("n") <= bucket), "bucket"))
+    hot = checkpointed(sizes.where(F.col("n") > bucket).select("bucket"))
+    if hot.isEmpty():
+        return links
+    members = checkpointed(rows.join(hinted(hot), "bucket").select("bucket", "fp"))
+    again = _dealt(members, covering_masks(radius, seed + 1), 1)
+    return links.union(found(split_buckets(again, "fp", bucket)))
+
+
+def _distance(x, y):
+    """Differing bits of fingerprints (rows of numbers), broadcast against each other."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
+
+
+def _forest(prints: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a spanning forest over all pairs within `wide` bits, found breadth first."""
+    left, i, j = np.arange(len(prints)), [], []
     while len(left):
-        at = int(best.argmin())
-        u = left[at]
-        if best[at] < far:
-            i.append(to[at])
-            j.append(u)
-        left, best, to = np.delete(left, at), np.delete(best, at), np.delete(to, at)
-        d = distances(left)
-        to = np.where(d < best, u, to)
-        best = np.minimum(d, best)
-    return np.array(i, np.int64), np.array(j, np.int64)
-
-
-def _candidates(compared: int, wide: int, crossing: bool):
-    """A function over partitions sorted by bucket (bucket, node, fp, fp2, root): a, b for candidates, or dense for a bucket's number.
-
-    A bucket gives all its near pairs, or, with over DENSE of these a member, a least forest of them and its number.
-    crossing: all near pairs whose roots differ, however many."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.int64())])
-
-    def made(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=arrow)
-
-    def one(key, node, fp, fp2, root):
-        if crossing:
-            if (root != root[0]).any():
-                for i, j in _near_pairs(fp, fp2, compared, wide, root):
-                    yield made(node[i], node[j])
-            return
-        found, n = [], 0
-        for i, j in _near_pairs(fp, fp2, compared, wide):
-            found.append((i, j))
-            n += len(i)
-            if n > DENSE * len(fp):
-                found = [_least_forest(fp, fp2, compared, wide)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key])], schema=arrow)
-                break
-        for i, j in found:
-            yield made(node[i], node[j])
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            u = queue.pop()
+            near = _distance(prints[left], prints[u]) <= wide
+            new, left = left[near], left[~near]
+            i.append(np.full(len(new), u))
+            j.append(new)
+            queue.extend(new)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *i]), np.concatenate([none, *j])
+
+
+def _candidates(wide: int):
+    """A function over partitions sorted by bucket (bucket, node, fingerprint's numbers): a, b, links whose components are those of
+    all pairs of a bucket within `wide` bits. A bucket with more than DENSE such pairs a member gives a forest of them."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def buckets(key, *columns):
-        node, fp, fp2, _ = columns
+    def pairs_of(prints):
+        n, i, j = len(prints), [], []
+        step = max(1, (1 << 18) // n)
+        for s in range(0, n, step):
+            u, v = np.nonzero(_distance(prints[s : s + step, None], prints[None, s:]) <= wide)
+            u, v = u[v > u] + s, v[v > u] + s
+            i.append(u)
+            j.append(v)
+            if sum(map(len, i)) > DENSE * n:
+                return _forest(prints, wide)
+        return np.concatenate(i), np.concatenate(j)
+
+    def buckets(key, node, prints):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        large = (sizes > 2) if crossing else (sizes > 2 * DENSE)  # no smaller one can be dense
-        for s, n in zip(starts[large], sizes[large]):
-            yield from one(int(key[s]), *(c[s : s + n] for c in columns))
-        if crossing:
-            return
+        for s, n in zip(starts[sizes > 2 * DENSE], sizes[sizes > 2 * DENSE]):
+            i, j = pairs_of(prints[s : s + n])
+            yield node[s + i], node[s + j]
         group, end = np.repeat(sizes, sizes), np.repeat(starts + sizes, sizes)
         at = np.flatnonzero((group <= 2 * DENSE) & (group > 1))
-        for o in range(1, 2 * DENSE):
+        for o in range(1, 2 * DENSE):  # together at most DENSE pairs a member
             at = at[at + o < end[at]]
             if not len(at):
                 break
-            d = np.bitwise_count(fp[at] ^ fp[at + o]).astype(np.int64)
-            near = at[d <= compared]
-            near = near[d[d <= compared] + np.bitwise_count(fp2[near] ^ fp2[near + o]) <= wide]
-            if len(near):
-                yield made(node[near], node[near + o])
+            near = at[_distance(prints[at], prints[at + o]) <= wide]
+            yield node[near], node[near + o]
 
     def run(batches):
+        def made(found):
+            for a, b in found:
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
+
         held = None
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            columns[2:4] = [c.view(np.uint64) for c in columns[2:4]]
-            held = [np.r_[a, b] for a, b in zip(held, columns)] if held else columns
+            key, node, *prints = (c.to_numpy() for c in batch.columns)
+            new = key, node, np.stack(prints, 1).view(np.uint64)
+            held = tuple(np.concatenate(x) for x in zip(held, new)) if held else new
             if len(held[0]):
                 whole = int(np.searchsorted(held[0] == held[0][-1], True))  # the last bucket may go on
                 if whole:
-                    yield from buckets(*(c[:whole] for c in held))
-                    held = [c[whole:] for c in held]
+                    yield from made(buckets(*(c[:whole] for c in held)))
+                    held = tuple(c[whole:] for c in held)
         if held and len(held[0]):
-            yield from buckets(*held)
+            yield from made(buckets(*held))
 
     return run
 
 
-def similar_pairs(nodes: DataFrame, radius: int, bits: range, compared: int, wide: int, verified, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links that have the same components as all verified ones of the candidates.
-
-    Candidates are pairs of nodes (node, fp, fp2) that meet in a table of a covering family over the given bits of fp and
-    differ in at most `compared` bits of fp and `wide` of both. verified takes candidates (a, b) and returns those that are
-    links. Dense buckets first give a forest of candidates only; then all their candidates between nodes that the
-    verified links haven't joined, so that a candidate is left out only where its ends are joined anyway."""
-    members = nodes.select(F.lit(0).cast("long").alias("bucket"), "node", "fp", "fp2")
-    tables = []
-    for level in range(LEVELS):
-        rows = _dealt(members, covering_masks(radius, seed + level, bits), level, "node", "fp2")
-        if level + 1 == LEVELS:
-            tables.append(rows)
-            break
-        hot = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("bucket"))
-        if hot.isEmpty():
-            tables.append(rows)
-            break
-        tables.append(rows.join(hot, "bucket", "left_anti"))
-        members = checkpointed(rows.join(hot, "bucket", "left_semi").select("bucket", "node", "fp", "fp2"))
-
-    def found(rows, crossing):
-        rows = rows.select("bucket", "node", "fp", "fp2", "root").repartition("bucket").sortWithinPartitions("bucket", "node")
-        return rows.mapInArrow(_candidates(compared, wide, crossing), schema_of("a long, b long, dense long"))
-
-    def pairs(df):
-        return checkpointed(df.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    first = [checkpointed(found(t.withColumn("root", F.lit(0).cast("long")), False)) for t in tables]
-    links = checkpointed(verified(pairs(functools.reduce(DataFrame.union, first))))
-    dense = [f.where("dense is not null").select(F.col("dense").alias("bucket")) for f in first]
-    if all(d.isEmpty() for d in dense):
-        return links
-    roots = checkpointed(components(links, "a", "b").select("node", "root"))
-    again = [t.join(d, "bucket", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) for t, d in zip(tables, dense)]
-    return links.union(verified(pairs(functools.reduce(DataFrame.union, [found(t, True) for t in again]))))
+def candidate_links(nodes: DataFrame, radius: int, wide: int, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """a, b over nodes (node, f0 to f3): links whose components are those of all candidates.
+
+    The first half of the fingerprint is cut into PARTS of 32 bits, each with a covering family of `radius`: a pair that differs in at
+    most PARTS * (radius + 1) - 1 of these bits is within the radius in one part at least, and so certainly meets in a table; of
+    pairs further apart most do. Pairs that meet and differ in at most `wide` of all bits are candidates."""
+    prints = [f"f{i}" for i in range(WORDS)]
+    keys = []
+    for part in range(PARTS):
+        value = F.shiftrightunsigned(f"f{part // 2}", 32 * (part % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+        masks = covering_masks(radius, seed + part, range(32))
+        keys += [F.xxhash64(F.lit(part), F.lit(t), value.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]
+    rows = nodes.select("node", *prints, F.explode(F.array(*keys)).alias("bucket"))
+    rows = split_buckets(rows, "node", bucket).select("bucket", "node", *prints)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_candidates(wide), schema_of("a long, b long")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", bucket: int = BUCKET) -> DataFrame:

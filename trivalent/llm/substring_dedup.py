@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_columns, schema_of, table, text_bytes
-from .corpus import hinted
+from .common import hinted
 
 LENGTH, WORD = 100, 32
 #: Windows whose anchor lies at one of so many neighbouring distances are a part.
