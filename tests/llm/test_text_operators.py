@@ -140,6 +140,32 @@ def test_pages_without_an_article():
     assert html_text.main_text("<div>" * 3000 + "x") == "x"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p title=it's>First para, here.</p><p>Second, isn't lost.</p><p>Third.</p></article>", "First para, here.\nSecond, isn't lost.\nThird."),
+        ('<p data-x="a>b" class=\'c\'>Text, in it.</p>', "Text, in it."),
+        ('<article><p>One, two.</p><div class="social-history"><p>The history, of it.</p></div><section id="related-work"><p>Others, too.</p></section></article>', "One, two.\nThe history, of it.\nOthers, too."),
+        ('<body><div class="content with-sidebar"><article><h1>T</h1><p>Body, of text.</p></article></div><div class="sidebar"><p>Latest</p></div></body>', "T\nBody, of text."),
+        ('<body><form action=/post><div><h1>Head</h1><p>A page within a form, with a sentence. And one more, of some length.</p><p>Last one, here.</p></div></form></body>', "Head\nA page within a form, with a sentence. And one more, of some length.\nLast one, here."),
+        ("<body><main><article><p>First, of two.</p></article><article><p>Second, of two.</p></article></main><footer><p>Foot, of it.</p></footer></body>", "First, of two.\nSecond, of two."),
+        ('<article><p>Long body of an article, with commas, and more of that.</p><div class="comments"><p>I like it.</p><p>Me too.</p></div><p>End.</p></article>', "Long body of an article, with commas, and more of that.\nEnd."),
+        ("<body><h1>Lead</h1><div><p>The body of it, long enough to be the body, and so on.</p><p>Then more of it, long enough as well, and so on.</p></div><ul class=menu><li>a<li>b</ul></body>", "Lead\nThe body of it, long enough to be the body, and so on.\nThen more of it, long enough as well, and so on."),
+    ],
+)
+def test_content_of_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_scores_decide(monkeypatch):
+    """Without the ratios what the prior is against comes in: nothing is selected by names alone."""
+    page = '<body><div class="ad"><p>Buy it now.</p></div><article><h1>Title</h1><p>First para, with a comma, and a second sentence. And a third one.</p></article></body>'
+    assert html_text.main_text(page) == "Title\nFirst para, with a comma, and a second sentence. And a third one."
+    scores = html_text.content_scores
+    monkeypatch.setattr(html_text, "content_scores", lambda e, t: (np.ones(len(t)), scores(e, t)[1]))
+    assert html_text.main_text(page).startswith("Buy it now.")
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     data = warc.arc_version_block(version, "n") + b"\n" + warc.arc_record(version, "http://a/", b"line\nfeed", "n") + b"\n" + warc.arc_record(version, "u", b"", "n") + b"\n"

@@ -2,9 +2,13 @@
 
 A page is read as a row of text nodes, each with the path of tags from the root to it. For
 every path the text length and the punctuation a node are summed up; both ratios are smoothed
-over the nodes in page order and fused, and nodes at or above a part of their deviation are
-content. The deepest element that holds nearly all content is the article; its nodes are
-the text, but for regions that are marked as something else.
+over the nodes in page order and fused to the node's score. What an element calls itself (nav,
+footer, class="sidebar") is a prior that weighs the score; it removes nothing by itself.
+
+Nodes whose score reaches a part of the scores' deviation are content. The gaps between them
+are filled: short nodes of the same article belong to it (in pages without article or main,
+those of the deepest element that holds nearly all content), unless the prior is against them.
+A heading belongs to what follows it.
 """
 
 from __future__ import annotations
@@ -19,16 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, table
 
-#: Weights of the smoothing over neighbours, the part of the deviation that makes content, and the share that the article holds.
+#: Weights of the smoothing over neighbours, the part of the deviation that makes content, and the share of content that a page's article holds.
 SMOOTHING, PART, SHARE = (0.25, 0.5, 0.25), 0.5, 0.9
+#: Priors that weigh a node's score: in an element that calls itself something else than content, and in an article.
+AGAINST, FOR = 0.05, 4.0
+#: Part of the page from which a class or a form that holds it isn't believed.
+MOST = 0.5
 
 #: Elements nested deeper stand beside each other, as in browsers.
 DEEPEST = 512
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("nav footer aside form head script style noscript template iframe object svg math button select textarea menu dialog title".split())
+_NO_TEXT = frozenset("head script style noscript template iframe object svg math button select textarea menu title".split())
+_APART = frozenset("nav footer aside dialog header".split())
 _BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-_MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side-bar|comments?\w*|disqus\w*|respond|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|menu\w*|navbar|nav|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|widget\w*|toolbar|masthead|site-header|page-header|footer\w*|copyright|login|signup|search)(?:$|[\s_-])", re.I)
+#: A class or id is against content if it is one of these words, alone or with affixes that say where or what kind of box it is.
+_NAMES = "ads?|advert\\w*|adsense|sponsor\\w*|promo\\w*|banner|sidebar|comments?|commentary|disqus|respond|replies|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|recommendations|widgets?|toolbar|masthead|header|footer|copyright|login|signup|search"
+_BEFORE = "site|page|main|global|left|right|top|bottom|post|entry|article|user|reader|skip|sticky|google|js|wp"
+_AFTER = "list|section|box|block|area|container|wrapper|wrap|widget|links|link|bar|notice|banner|form|buttons?|icons?|panel|inner|outer|top|bottom|left|right|posts|articles|stories|items?|unit|slot|thread|body|nav|menu|overlay|[0-9]+"
+_MARK = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:{_NAMES})(?:[_-](?:{_NAMES}|{_AFTER}))*", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: An opening tag of the first closes open ones of the second, up to one of the third.
 _IMPLIED = {
@@ -36,38 +49,44 @@ _IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 _CLOSES_P = _BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption", "html", "body", "head", "title"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|svg|template)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|svg|template)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S | re.I)
+#: A quote opens a value only after the equals sign; elsewhere it is a character like any other.
+_ATTRIBUTE = re.compile(r"([^\s=>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_INLINE = frozenset("p span b i a em strong li h1 h2 h3 h4 h5 h6 td th dt dd blockquote pre".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，、؟।]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "skipped", "depth")
+    __slots__ = ("tag", "path", "parent", "skipped", "against", "depth")
 
-    def __init__(self, tag, parent, skipped):
-        self.tag, self.parent, self.skipped = tag, parent, skipped
+    def __init__(self, tag, parent, skipped=False, against=""):
+        self.tag, self.parent, self.skipped, self.against = tag, parent, skipped, against
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _is_skipped(tag: str, rest: str, parent: _Element) -> bool:
-    if parent.skipped or tag in _SKIPPED:
-        return True
-    if tag == "header":  # an article's own header has its title
-        return "/article" not in parent.path and "/main" not in parent.path
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if "=" in rest or "hidden" in rest:
+def _element(tag: str, rest: str, parent: _Element) -> _Element:
+    """An element in its parent: skipped if nothing in it is shown, against if its tag ("tag") or attributes ("name") speak against content."""
+    against = ""
+    if tag in _APART and not (tag == "header" and ("/article" in parent.path or "/main" in parent.path)):  # an article's own header has its title
+        against = "tag"
+    elif tag == "form":
+        against = "name"
+    skipped = parent.skipped or tag in _NO_TEXT
+    if not skipped and ("=" in rest or "hidden" in rest) and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(rest):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES or name in ("class", "id") and _MARKS.search(value):
-                return True
-    return False
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                skipped = True
+            elif name == "role" and value.lower() in _ROLES or name in ("class", "id") and any(_MARK.fullmatch(x) for x in value.split()):
+                against = against or "name"
+    return _Element(tag, parent, skipped, against)
 
 
 def text_blocks(html: str) -> list[tuple[_Element, str]]:
     """Blocks in page order with the element that holds each: text between the borders of block elements, white space made one space."""
-    root = _Element("", None, False)
+    root = _Element("", None)
     top, blocks, held, at = root, [], [], 0
     owner = root
 
@@ -113,7 +132,7 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
                 e = e.parent
         if not m["rest"].rstrip().endswith("/") or tag in _BLOCKS:
             parent = top if top.depth < DEEPEST else top.parent
-            top = _Element(tag, parent, _is_skipped(tag, m["rest"], parent))
+            top = _element(tag, m["rest"], parent)
     if at < len(html) and not top.skipped:
         if not held:
             owner = top
@@ -122,46 +141,79 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
     return blocks
 
 
-def content_scores(paths: list[str], texts: list[str]) -> np.ndarray:
-    """Each node's fused ratio: its path's text a node times one more than its path's punctuation a node, smoothed in page order."""
+def _above(e: _Element):
+    while e:
+        yield e
+        e = e.parent
+
+
+def priors(elements: list[_Element], weights: np.ndarray) -> np.ndarray:
+    """Each node's prior by the elements around it: AGAINST, FOR in an article or main, or 1.
+
+    An element that holds an article isn't believed against it, nor is a class or a form that holds MOST of the page's weight."""
+    inside, held = defaultdict(float), set()
+    for e, w in zip(elements, weights):
+        for x in _above(e):
+            inside[x] += w
+            if x.tag in ("article", "main") and not x.against and x.parent not in held:
+                held.update(y for y in _above(x.parent) if y.tag not in ("nav", "footer", "aside", "dialog"))
+    total = sum(weights) or 1
+    believed = {x for x in inside if x.against and x not in held and (x.against == "tag" or inside[x] < MOST * total)}
+    out = np.ones(len(elements))
+    for i, e in enumerate(elements):
+        if any(x in believed for x in _above(e)):
+            out[i] = AGAINST
+        elif any(x.tag in ("article", "main") for x in _above(e)):
+            out[i] = FOR
+    return out
+
+
+def content_scores(elements: list[_Element], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's score and prior. The score fuses its path's ratios, smoothed in page order: the text a node times one more
+    than the punctuation a node, weighed by the prior."""
     length, marks, n = defaultdict(int), defaultdict(int), defaultdict(int)
-    for p, t in zip(paths, texts):
-        length[p] += len(t)
-        marks[p] += len(_PUNCTUATION.findall(t))
-        n[p] += 1
-    ratios = np.array([[length[p] / n[p], marks[p] / n[p]] for p in paths])
+    for e, t in zip(elements, texts):
+        length[e.path] += len(t)
+        marks[e.path] += len(_PUNCTUATION.findall(t))
+        n[e.path] += 1
+    ratios = np.array([[length[e.path] / n[e.path], marks[e.path] / n[e.path]] for e in elements])
     padded = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
     smooth = sum(w * padded[i : i + len(ratios)] for i, w in enumerate(SMOOTHING))
-    return smooth[:, 0] * (1 + smooth[:, 1])
+    fused = smooth[:, 0] * (1 + smooth[:, 1])
+    prior = priors(elements, np.array([len(t) for t in texts], float))
+    return fused * prior, prior
+
+
+def content_nodes(score: np.ndarray, against: np.ndarray) -> np.ndarray:
+    """Nodes at or above a part of the scores' deviation. Where the prior is against a node, it must reach the mean of the others too."""
+    least = min(PART * score.std(), score.max())
+    return (score >= least) & (~against | (score >= (score[~against].mean() if not against.all() else np.inf)))
 
 
 def main_text(html: str) -> str:
-    """The article's blocks joined by line feeds; empty if the page has no text outside of marked regions."""
+    """The content nodes and the gaps between them, in page order, joined by line feeds; empty if the page has none."""
     blocks = text_blocks(html)
     if not blocks:
         return ""
-    score = content_scores([e.path for e, _ in blocks], [t for _, t in blocks])
-    size = np.array([len(t) for _, t in blocks])
-    content = score >= min(PART * score.std(), score.max())
+    elements, texts = [e for e, _ in blocks], [t for _, t in blocks]
+    score, prior = content_scores(elements, texts)
+    content = content_nodes(score, prior < 1)
+    if not content.any():
+        return ""
     inside: dict[_Element, int] = defaultdict(int)
-    for (e, _), n, is_content in zip(blocks, size, content):
+    for e, t, is_content in zip(elements, texts, content):
         if is_content:
-            while e:
-                inside[e] += n
-                e = e.parent
-    articles = [e for e in inside if e.tag in ("article", "main")]
-    most = max(inside.values())
-    if articles:  # marked as the article: the one that holds most, and among equals the deepest
-        best = max(articles, key=lambda e: (inside[e], e.depth))
-    else:
-        best = max((e for e in inside if inside[e] >= SHARE * most and e.tag not in ("p", "span", "b", "i", "a", "em", "strong", "li", "h1", "h2", "h3")), key=lambda e: e.depth)
-
-    def within(e):
-        while e and e is not best:
-            e = e.parent
-        return e is best
-
-    return "\n".join(t for e, t in blocks if within(e))
+            for x in _above(e):
+                inside[x] += len(t)
+    articles = {x for x in inside if x.tag in ("article", "main")}
+    if not articles:
+        most = max(inside.values())
+        articles = {max((x for x in inside if inside[x] >= SHARE * most and x.tag not in _INLINE), key=lambda x: x.depth)}
+    kept = [c or p >= 1 and any(x in articles for x in _above(e)) for e, c, p in zip(elements, content, prior)]
+    for i in range(len(kept) - 2, -1, -1):  # a heading belongs to what follows it
+        if not kept[i] and kept[i + 1] and prior[i] >= 1 and any(x.tag in _HEADINGS for x in _above(elements[i])):
+            kept[i] = True
+    return "\n".join(t for t, keep in zip(texts, kept) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
