@@ -77,6 +77,7 @@ def test_disguises(text, found):
     [
         ("x jоhn@example.com y", "jоhn@example.com"), ("x a@mail.example [dot] com y", "a@mail.example [dot] com"), ("call +44 20 7946 ０９５８ now", "+44 20 7946 ０９５８"),
         ("call +44 20 7946 zero nine five eight.", "+44 20 7946 zero nine five eight"), ("mail anna at example dot it", "anna at example dot it"), ("mail anna at mail dot host dot example", "anna at mail dot host dot example"),
+        ("write jane_at_example_dot_com now", "jane_at_example_dot_com"), ("write john dot doe at example dot com now", "john dot doe at example dot com"), ("write j-d-at-mail-dot-example-dot-org", "j-d-at-mail-dot-example-dot-org"), ("a [at] b (dot) com   [at] c", "a [at] b (dot) com"),
         ("𝐛𝐨𝐛@example.com", "𝐛𝐨𝐛@example.com"), ("bob at mail dot example dot tv", "bob at mail dot example dot tv"), ("ip ১.২.৩.৪ here", "১.২.৩.৪"), ("mail ᴀnnᴀ@example.com", "ᴀnnᴀ@example.com"),
     ],
 )
@@ -85,7 +86,20 @@ def test_disguises_are_covered_whole(text, whole):
     assert (at, at + len(whole)) in [(s, e) for _, s, e in pii.all_spans(text)[1]]
 
 
-@pytest.mark.parametrize("text", ["We arrived at some point after ten", "Write to a@b.com. In the end it. Is", "look at example.com", "he stared at the dot"])
+def test_texts_of_blanks_and_separators_take_linear_time():
+    import time
+
+    spelled = "mail john (at) example (dot) com "
+    for filler in (" ", "\n", "( ", "1 ", "one ", "a dot ", "a_", "a-a ", ". ", "@ ", "at ", "+1 ", "1.", "(\t", "x@", "@x."):
+        took = []
+        for n in (20_000, 200_000):
+            at = time.process_time()
+            pii.all_spans(spelled + filler * n + spelled)
+            took.append(time.process_time() - at)
+        assert took[1] < 40 * took[0] + 0.5, filler
+
+
+@pytest.mark.parametrize("text", ["look @ home. de la", "We arrived at some point after ten", "Write to a@b.com. In the end it. Is", "look at example.com", "he stared at the dot"])
 def test_prose_is_no_disguise(text):
     base, more = pii.all_spans(text)
     assert base == more

@@ -122,16 +122,19 @@ def _folds() -> dict[str, str]:
 _FOLDS = _folds()
 #: Beyond the first plane whole ranges, as the engine tries these one by one; not all in them have a fold.
 _SOFT = re.compile("[" + "".join(re.escape(c) for c in _FOLDS if c < "\U00010000") + "\U00010000-\U0001f2ff\U0001fbf0-\U0001fbf9]")
-_BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*[\])}}>]\s*", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*[\])}}>]\s*", re.I)
 #: Bare words count only in the whole form name at host dot end.
 _SEPARATOR = rf"(?:\s+(?:{_DOT})\s+|\s*\.\s*)"
 _BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]+)(?P<at>\s+(?:{_AT})\s+|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:{_SEPARATOR}[A-Za-z0-9-]+)+)", re.I)
 _BARE_DOT = re.compile(_SEPARATOR, re.I)
+#: name_at_host_dot_end, with one joining character throughout.
+_JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+]+(?:[_-][A-Za-z0-9.%+]+)*?(?P<at>(?P<join>[_-])at(?P=join))(?P<host>[A-Za-z0-9]+(?:(?P=join)dot(?P=join)[A-Za-z0-9]+)+)", re.I)
+_JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _TOKEN = rf"(?:(?:{_NUMBER_WORD})(?![^\W_])|[0-9]+)"
 _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS})\s+)?{_TOKEN}(?:(?:\s*[-.,()]\s*|\s+(?:(?:{_DOT})\s+)?){_TOKEN}){{3,}}", re.I)
 _SPELLED_PART = re.compile(rf"(?P<plus>(?:{_PLUS})\s+)|(?P<dot>\s+(?:{_DOT})\s+)|(?P<digits>[0-9]+)|(?P<word>{_NUMBER_WORD})|(?P<gap>\s*[-.,()]\s*|\s+)", re.I)
-_TRIGGER_ASCII = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]|\s(?:{_DOT}|@)\s", re.I)
+_TRIGGER_ASCII = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]|\s(?:{_DOT}|@)\s|[_-]dot[_-]", re.I)
 
 
 class Tape:
@@ -159,7 +162,24 @@ def lookalikes(tape: Tape) -> None:
 
 
 def brackets(tape: Tape) -> None:
-    tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)])
+    edits, end = [], 0
+    for m in _BRACKETED.finditer(tape.text):
+        start = m.start()  # white space before is taken in by hand: a pattern that begins with it takes quadratic time on blanks
+        while start > end and tape.text[start - 1].isspace():
+            start -= 1
+        end = m.end()
+        edits.append((start, end, "@" if m["at"] else "."))
+    tape.rewrite(edits)
+
+
+def joined_words(tape: Tape) -> None:
+    """name_at_host_dot_end, if the end is a top-level domain."""
+    edits = []
+    for m in _JOINED.finditer(tape.text):
+        if re.split(_JOINED_DOT, m["host"])[-1].lower() in _MORE_ENDINGS:
+            edits.append((*m.span("at"), "@"))
+            edits += [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _JOINED_DOT.finditer(m["host"])]
+    tape.rewrite(edits)
 
 
 def _host_dots(at: str, host: str) -> list[tuple[int, int, str]]:
@@ -170,7 +190,7 @@ def _host_dots(at: str, host: str) -> list[tuple[int, int, str]]:
     word = at.strip().lower()
     spelled, good = set(), 0
     for n, (_, end, dot) in enumerate(dots):
-        if at == "@" and dot[0] == "." and dot != ".":  # a sentence ends here
+        if dot[0] == "." and dot != ".":  # a sentence ends here
             break
         label = host[end : dots[n + 1][0] if n + 1 < len(dots) else len(host)]
         if dot.strip() != ".":
@@ -183,14 +203,35 @@ def _host_dots(at: str, host: str) -> list[tuple[int, int, str]]:
     return dots[:good]
 
 
+def _local_dots(text: str, start: int, floor: int) -> list[tuple[int, int, str]]:
+    """Spelled dots before the name that begins at start: john dot doe."""
+    edits = []
+
+    def back(at, inside):
+        while at > floor and inside(text[at - 1]):
+            at -= 1
+        return at
+
+    while True:
+        word_end = back(start, str.isspace)
+        word = back(word_end, str.isalpha)
+        name_end = back(word, str.isspace)
+        name = back(name_end, _LOCAL_CHARS.__contains__)
+        if word_end == start or text[word:word_end].lower() not in _DOT.split("|") or name_end == word or name == name_end:
+            return edits[::-1]
+        edits.append((name_end, start, "."))
+        start = name
+
+
 def bare_words(tape: Tape) -> None:
-    edits, at = [], 0
+    edits, at, floor = [], 0, 0
     while m := _BARE.search(tape.text, at):
         start, dots = m.start("host"), _host_dots(m["at"], m["host"])
         if dots:
+            edits += _local_dots(tape.text, m.start(), floor)
             edits.append((*m.span("at"), "@"))
             edits += [(start + a, start + b, ".") for a, b, dot in dots if dot != "."]
-            at = start + dots[-1][1]
+            at = floor = start + dots[-1][1]
         else:
             at = m.end("at")  # the host may be a name
     tape.rewrite([e for e in edits if tape.text[e[0] : e[1]] != e[2]])
@@ -217,7 +258,7 @@ def spelled_digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
-TRANSDUCERS = (lookalikes, brackets, bare_words, spelled_digits)
+TRANSDUCERS = (lookalikes, brackets, joined_words, bare_words, spelled_digits)
 
 
 def _disguised_parts(text: str) -> list[tuple[int, int]]:
