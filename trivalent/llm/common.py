@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of about 16 bytes that are sent to all tasks at most; beyond that a join is shuffled.
-SMALL_ROWS = 500_000
+#: Bytes that are sent to all tasks at most; a join with more is shuffled.
+SMALL_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -41,9 +41,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hinted(small: DataFrame) -> DataFrame:
-    """small (already computed) with a broadcast hint if its counted rows, of about 16 bytes, allow it."""
-    return F.broadcast(small) if small.count() <= SMALL_ROWS else small
+def hinted(small: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """small (already computed) with a broadcast hint if its counted rows, of about row_bytes each, allow it."""
+    return F.broadcast(small) if small.count() * row_bytes <= SMALL_BYTES else small
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

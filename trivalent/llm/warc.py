@@ -8,10 +8,13 @@ timestamp, a type and digests; of equal payloads one is a response and the other
 Files are written with Spark's text sink: a row is a record and the line separator is the
 line end that closes it, so that lost tasks, commits and remote folders are Spark's matter.
 A task starts a new file after a fixed number of records, each with its own first record.
+Pages are written by classes of size, so that this number bounds a file's bytes too; equal
+payloads are of one class.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
@@ -23,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, new_folder, schema_of, table
+from .common import checkpointed, hinted, new_folder, schema_of, table
 
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Records a file, its first record included.
-FILE_RECORDS = 1000
+#: Records a file, its first record included, for pages of up to so many bytes: a file has 64 MB of payloads at most, or one page.
+FILE_RECORDS = {64 << 10: 1000, 1 << 20: 65, 1 << 62: 2}
 #: Payloads below this many bytes are never revisited.
 LEAST_REVISITED = 100
 #: Bytes of records handed to Spark at once.
@@ -140,19 +143,19 @@ def _in_batches(values: Iterator[tuple], arrow: pa.Schema, size) -> Iterator[pa.
 _VALUE = pa.schema([("value", pa.binary())])
 
 
-def _with_first(records: Iterator[bytes], first) -> Iterator[tuple[bytes]]:
+def _with_first(records: Iterator[bytes], first, file_records: int) -> Iterator[tuple[bytes]]:
     for n, r in enumerate(records):
-        if n % (FILE_RECORDS - 1) == 0:
+        if n % (file_records - 1) == 0:
             yield (first(n),)
         yield (r,)
 
 
-def _write(records: DataFrame, folder: str, separator: str) -> None:
+def _write(records: DataFrame, folder: str, separator: str, file_records: int) -> None:
     """Binary values as text: they are UTF-8 wherever the payloads are, and Spark writes their bytes as they are."""
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(folder)
 
 
-def write_arc(pages: DataFrame, folder: str, version: int = 2, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write_arc(pages: DataFrame, folder: str, version: int = 2, page_id: str = "page_id", url: str = "url", html: str = "html", file_records: int = 1000) -> None:
     """pages as ARC files of the given version; null html is an empty payload, a null url a placeholder."""
 
     def run(batches):
@@ -161,10 +164,10 @@ def write_arc(pages: DataFrame, folder: str, version: int = 2, page_id: str = "p
                 for i, u, h in zip(*(c.to_pylist() for c in b.columns)):
                     yield arc_record(version, _safe_uri(u), http_response(i, h), "pages")
 
-        yield from _in_batches(_with_first(records(), lambda n: arc_version_block(version, f"pages-{n}")), _VALUE, lambda v: len(v[0]))
+        yield from _in_batches(_with_first(records(), lambda n: arc_version_block(version, f"pages-{n}"), file_records), _VALUE, lambda v: len(v[0]))
 
     rows = pages.select(F.col(page_id).cast("long"), url, F.coalesce(F.col(html).cast("binary"), F.lit(b"")))
-    _write(rows.mapInArrow(run, "value binary"), folder, "\n")
+    _write(rows.mapInArrow(run, "value binary"), folder, "\n", file_records)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,12 +203,13 @@ def revisits(index: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "n", "record_id", "uri", "date")
     large = index.where(F.col("bytes") >= least)
     first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    first = hinted(checkpointed(first), 400)  # where these are many, the engine splits the rows of a very common payload
     others = large.join(first, "digest").where((F.col("path") != F.col("first.path")) | (F.col("n") != F.col("first.n")))
     mark = F.struct("n", F.col("first.record_id").alias("record_id"), F.col("first.uri").alias("uri"), F.col("first.date").alias("date"))
     return others.groupBy("path").agg(F.collect_list(mark).alias("marks"))  # a file has few records
 
 
-def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least: int = LEAST_REVISITED) -> None:
+def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least: int = LEAST_REVISITED, file_records: int = 1000) -> None:
     """ARC files of either version as WARC files. A damaged header line or length fails the job."""
     files = _files(spark, arc_folder)
     marks = checkpointed(revisits(checkpointed(arc_index(files)), least))
@@ -227,10 +231,10 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least: int =
             own = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<{_record_id('info', warc_folder, n)}>", "WARC-Date": _warc_date(CAPTURED), "Content-Type": "application/warc-fields"}
             return warc_record(own, b"software: trivalent\r\nformat: WARC File Format 1.1\r\n")
 
-        yield from _in_batches(_with_first(records(), info), _VALUE, lambda v: len(v[0]))
+        yield from _in_batches(_with_first(records(), info, file_records), _VALUE, lambda v: len(v[0]))
 
     joined = files.join(marks, "path", "left").select("path", "content", "marks")
-    _write(joined.mapInArrow(run, "value binary"), warc_folder, "\r\n")
+    _write(joined.mapInArrow(run, "value binary"), warc_folder, "\r\n", file_records)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -282,13 +286,24 @@ def round_trip(pages: DataFrame, version: int = 2) -> DataFrame:
 
     Null and empty html is an empty payload; each repeated row is a record; an empty table gives no record."""
     spark = pages.sparkSession
-    arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
-    write_arc(pages, arc, version)
-    convert(spark, arc, warc)
-    records = checkpointed(read_warc(spark, warc))
-    wanted = records.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")).distinct()
+    size, last = F.octet_length(F.coalesce("html", F.lit(""))), F.lit(len(FILE_RECORDS) - 1)
+    for n, bound in reversed([*enumerate(FILE_RECORDS)]):
+        last = F.when(size <= bound, n).otherwise(last)
+    found = []
+    for n in sorted(r.n for r in pages.select(last.alias("n")).distinct().collect()):  # at most as many as classes
+        arc, warc, records = new_folder(spark, "arc"), new_folder(spark, "warc"), [*FILE_RECORDS.values()][n]
+        write_arc(pages.where(last == n), arc, version, file_records=records)
+        convert(spark, arc, warc, file_records=records)
+        found.append(checkpointed(read_warc(spark, warc)))
+    if not found:
+        return spark.createDataFrame([], schema_of("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
+    records = functools.reduce(DataFrame.union, found)
+    again = records.where("record_type = 'revisit'")
+    wanted = again.select(F.col("refers_to_id").alias("record_id")).distinct()
     named = records.where("record_type <> 'revisit'").join(wanted, "record_id", "left_semi").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return records.join(named, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    again = again.join(hinted(checkpointed(named), 80), "refers_to_id", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    return records.where("record_type <> 'revisit'").select(*columns, F.lit(None).cast("long").alias("refers_to")).union(again.select(*columns, "refers_to"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
