@@ -25,6 +25,8 @@ DISTINCT, RATIO = 20, 0.5
 #: Deviations at which siblings differ.
 DIFFERENT = 1.96
 STRENGTH, THRESHOLD = 4.0, 0.5
+#: Keys, of about 200 bytes, that are sent to all tasks at most.
+FREQUENT = 20_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,7 +91,7 @@ def template_tree(paths: DataFrame) -> DataFrame:
 
 
 def judged_templates(paths: DataFrame, strength: float = STRENGTH) -> DataFrame:
-    """host, shape, template, purity."""
+    """host, shape, n, template, purity."""
     placed = template_tree(checkpointed(paths))
     total = placed.agg(F.sum("good"), F.sum("bad")).first()
     prior = ((total[0] or 0) + 1) / ((total[0] or 0) + (total[1] or 0) + 1)
@@ -97,7 +99,16 @@ def judged_templates(paths: DataFrame, strength: float = STRENGTH) -> DataFrame:
     hosts = placed.groupBy("host").agg(smooth(F.sum("good"), F.sum("bad"), F.lit(prior)).alias("host_purity"))
     templates = placed.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).join(hosts, "host")
     templates = templates.select("host", "template", smooth(F.col("good"), F.col("bad"), F.col("host_purity")).alias("purity"))
-    return placed.select("host", "shape", "template").join(templates, ["host", "template"])
+    return placed.select("host", "shape", "template", "n").join(templates, ["host", "template"])
+
+
+def _with_frequent(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with keyed (one row a key, with n, how many of rows have it). The FREQUENT keys of most rows are sent to all tasks, so
+    that of those that are shuffled none has more than a FREQUENT-th of all rows."""
+    if keyed.count() <= FREQUENT:
+        return rows.join(F.broadcast(keyed), on)
+    most = checkpointed(keyed.orderBy(F.desc("n"), *on).limit(FREQUENT))
+    return rows.join(F.broadcast(most), on).unionByName(rows.join(F.broadcast(most.select(*on)), on, "left_anti").join(keyed.join(F.broadcast(most.select(*on)), on, "left_anti"), on))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,17 +116,21 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = T
 
     labels has label_id and good (boolean). A page's label is that with the last number in its path; pages without
     are unlabelled, and repeated labels count as good if all are. A null url, or one without ://, has empty host and path
-    and is judged like any other host. With no labels at all every template is allowed."""
+    and is judged like any other host. Repeated pages count as often and are each reported; an empty table gives an empty result;
+    columns of pages but page_id and url are ignored. With no labels at all every template is allowed. A purity of just the
+    threshold is allowed."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     number = F.regexp_extract("path", r"([0-9]{1,18})[^0-9/]*/*$", 1).try_cast("long")
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": name, "own": verdict, "shape": F.array_join(shapes(F.col("path")), "/"), "label_id": number})
     known = labels.where("label_id is not null").groupBy("label_id").agg(F.min(F.col("good").cast("int")).alias("good"))
-    labelled = rows.join(known, "label_id", "left")
-    paths = labelled.groupBy("host", "shape").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum(1 - F.col("good")), F.lit(0)).alias("bad"))
+    # pages are counted before the join, and only those with a number take part in it
+    numbered = rows.where("label_id is not null").groupBy("host", "shape", "label_id").agg(F.count("*").alias("n")).join(known, "label_id")
+    labelled = numbered.groupBy("host", "shape").agg(F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * (1 - F.col("good"))).alias("bad"))
+    paths = rows.groupBy("host", "shape").agg(F.count("*").alias("n")).join(labelled, ["host", "shape"], "left").fillna(0, ["good", "bad"])
     templates = checkpointed(judged_templates(paths.withColumn("shape", F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/")))))
-    templates = templates.withColumn("shape", F.array_join("shape", "/"))
-    out = rows.join(templates, ["host", "shape"])
+    templates = checkpointed(templates.withColumn("shape", F.array_join("shape", "/")))
+    out = _with_frequent(rows, templates, ["host", "shape"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("purity") < threshold, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
