@@ -13,6 +13,7 @@ by tasks; queries are compared with their leaves' blocks by one matrix product a
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -31,12 +32,10 @@ CALIBRATION, RECALL = 200, 0.97
 
 
 def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, x of the rows that take part: not null or zero, all components finite, and of the commonest length among those."""
+    """vec_id, x of the rows that take part: not null or zero, all components finite."""
     x = F.col(vector).cast("array<double>")
     fine = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
-    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & fine & F.exists("x", lambda c: c != 0))
-    top = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("x") == (top.d if top else 0))
+    return vectors.select(F.col(id).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & fine & F.exists("x", lambda c: c != 0))
 
 
 class Tree:
@@ -193,25 +192,51 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(rows: DataFrame, by: list[str], size: int, names: tuple[str, str]) -> DataFrame:
-    """Rows (vec_id, x) gathered to lists of about `size`, dealt by hash within their leaf."""
-    count = checkpointed(rows.groupBy(*by).count())
-    dealt = rows.join(count, by).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("count") / size)))
-    lists = dealt.groupBy(*by, "block").agg(F.collect_list(F.struct("vec_id", "x")).alias("m"))
-    return lists.select(*by, F.col("m.vec_id").alias(names[0]), F.col("m.x").alias(names[1]))
+def _lists(rows: DataFrame, by: list[str], names: tuple[str, str]) -> DataFrame:
+    lists = rows.groupBy(*by).agg(F.collect_list(F.struct("vec_id", "x")).alias("list"))
+    return lists.select(*by, F.col("list.vec_id").alias(names[0]), F.col("list.x").alias(names[1]))
+
+
+def _paired(visits: DataFrame, members: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Lists (q_ids, q) of queries and (ids, m) of members that share a leaf, each of about `size`.
+
+    Members of a leaf are dealt to blocks by hash, and so are the queries that visit it; the key of the join is a leaf's block, so that a leaf
+    with very many members is shared by tasks. Counts are a row a leaf, of which there are LEAVES at most."""
+
+    def deal(rows, name):
+        return rows.groupBy("leaf").agg(F.ceil(F.count("*") / size).alias(name))
+
+    def place(n, salt):
+        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n))
+
+    counts = F.broadcast(checkpointed(deal(members, "blocks").join(deal(visits, "parts"), "leaf")))
+    held = members.join(counts, "leaf").withColumn("block", place("blocks", 0))
+    asked = visits.join(counts, "leaf").withColumn("part", place("parts", 1)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return _lists(asked, ["leaf", "block", "part"], ("q_ids", "q")).join(_lists(held, ["leaf", "block"], ("ids", "m")), ["leaf", "block"])
 
 
 def nearest(vectors: DataFrame, queries, k: int = 20, sample: int = SAMPLE, leaves: int | None = None, recall: float = RECALL, id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict]:
     """query_id, rank, vec_id, score of the k nearest found for the rows for which the condition `queries` holds, and what was calibrated.
 
-    Vectors that are null, zero, of another length than most, or not finite, and rows without an id, take no part. Repeated ids are
-    candidates each, but never of their own id. An empty table gives no rows; with k or fewer candidates all are given."""
-    spark = vectors.sparkSession
+    Vectors that are null, zero, or not finite, and rows without an id, take no part. A query's candidates are the vectors of its own length;
+    each length has a tree of its own. Repeated ids are candidates each, but never of their own id; ties go to the smaller id.
+    An empty table gives no rows; with k or fewer candidates all are given. Other columns are ignored."""
     rows = checkpointed(usable(vectors, id, vector))
+    lengths = sorted(r.d for r in rows.select(F.size("x").alias("d")).distinct().collect())  # mostly one
+    found, info = [], {}
+    for d in lengths:
+        one, info = _nearest(rows.where(F.size("x") == d), queries, k, sample, leaves, recall)
+        found.append(one)
+    if not found:
+        return vectors.sparkSession.createDataFrame([], schema_of("query_id long, rank int, vec_id long, score double")), info
+    return functools.reduce(DataFrame.union, found), info
+
+
+def _nearest(rows: DataFrame, queries, k: int, sample: int, leaves: int | None, recall: float) -> tuple[DataFrame, dict]:
+    """nearest() over usable rows of one length."""
+    spark = rows.sparkSession
     squares = F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)
     n, largest = rows.agg(F.count("*"), F.max(squares)).first()
-    if not n:
-        return spark.createDataFrame([], schema_of("query_id long, rank int, vec_id long, score double")), {}
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "x").toArrow()
     points = _augmented(_matrix(chosen["x"].combine_chunks()), largest)
     leaf_size = len(points) / min(LEAVES, leaves or max(1, n**0.5 / 2), max(1, len(points) / BRANCHES))
@@ -246,8 +271,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, sample: int = SAMPLE, leav
             if len(each):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), b.column(1).take(pa.array(each)), pa.array(np.concatenate(leaves), pa.int64())], names=["vec_id", "x", "leaf"])
 
-    visits = asked.select("vec_id", "x").mapInArrow(walk, schema_of("vec_id long, x array<double>, leaf long"))
-    pairs = _blocks(visits, ["leaf"], BLOCK, ("q_ids", "q")).join(_blocks(placed, ["leaf"], BLOCK, ("ids", "m")), "leaf")
+    visits = checkpointed(asked.select("vec_id", "x").mapInArrow(walk, schema_of("vec_id long, x array<double>, leaf long")))
+    pairs = _paired(visits, placed)
     found = pairs.select("q_ids", "q", "ids", "m").mapInArrow(_compare(k), schema_of(_FOUND))
     return _ranked(found, k), {"leaves": tree.leaves, "visited": most, "recall": float((depths <= most).mean()) if len(depths) else 1.0}
 
