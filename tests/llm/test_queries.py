@@ -125,6 +125,30 @@ def test_nearest_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0)[0].count() == 0
 
 
+def test_neighbours_of_a_hot_leaf_and_of_each_length(spark, monkeypatch):
+    """Equal vectors fill one leaf, which is cut into blocks; vectors of another length are compared among themselves."""
+    monkeypatch.setattr(ann._paired, "__defaults__", (16,))
+    rows = [(i, [1.0, 2.0]) for i in range(200)] + [(i, [0.0, float(i)]) for i in range(200, 220)] + [(300 + 20 * i, [1.0, 2.0, float(i)]) for i in range(3)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=5, leaves=8, recall=1.0)[0].orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = dict(rows)
+    assert set(got) == {i for i in x if i % 20 == 0}
+    for q, found in got.items():
+        own = sorted((-sum(a * b for a, b in zip(x[q], x[i])), i) for i in x if i != q and len(x[i]) == len(x[q]))[:5]
+        assert found == [(i, -s) for s, i in own]
+
+
+def test_pages_of_every_size_in_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", {200: 5, 2000: 3, 1 << 62: 2})
+    rows = [(i, f"http://x/{i}", "ab" * (i % 7) * 40 + "z" * (5000 if i % 11 == 0 else 0)) for i in range(60)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got} == {(i, len(h), *(("revisit", first[h]) if first[h] != i and len(h) >= 100 else ("response", None))) for i, _, h in rows}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_archives_round_trip(spark, version):
     rows = [(1, None, None, 9), (2, "http://x y/", "", 9), (3, "u", "short é", 9), (4, "u", "short é", 9), (6, "u", "é" * 60, 9), (5, "v", "é" * 60, 9), (5, "v", "é" * 60, 9), (None, "w", "é" * 60, 9), (9, "z", "WARC/1.1\r\n\r\n" * 20, 9)]
@@ -188,6 +212,20 @@ def test_repeated_substrings(spark, sf, odd):
     assert substring_dedup.repeated_spans(odd.limit(0)).count() == 0
 
 
+def test_frequent_words_are_dealt_by_their_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = "a boilerplate line of text that is in every document, always "
+    docs = [(i, "".join(chr(int(c)) for c in rng.integers(97, 123, 150)) + word + "".join(chr(int(c)) for c in rng.integers(97, 123, 150))) for i in range(60)]
+    docs += [(100 + i, docs[i][1][40:]) for i in range(0, 60, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {r.doc_id: (r.spans, r.kept_sha256) for r in substring_dedup.repeated_spans(df).collect()}
+    at = substring_dedup.anchors
+    words = np.unique(np.concatenate([at(t.encode())[3] for _, t in docs]))
+    monkeypatch.setattr(substring_dedup, "frequent_words", lambda *_: words)
+    assert {r.doc_id: (r.spans, r.kept_sha256) for r in substring_dedup.repeated_spans(df).collect()} == plain
+    assert sorted((i, sum(b - a for a, b in s), len(s), k) for i, (s, k) in plain.items()) == brute_repeats([(i, t.encode()) for i, t in docs])
+
+
 def test_url_rules_and_odd_rows(spark):
     urls = ["http://www.Example.com/en/1?x", "https://b.example.com/en/2", "x", None, "http://a.net/es/3#f", "http://a.net", "http://notcom/", "http://n.org/a/b/c/d/e/f", "ftp://é.com/x"]
     pages = spark.createDataFrame([(i, u, 1, 1, 1) for i, u in enumerate(urls)] + [(None, "http://a.net/fr/", 1, 1, 1)], "page_id long, url string, host int, path int, rule int")
@@ -327,6 +365,87 @@ def test_repeated_passages_neither_join_nor_part_documents(spark):
     assert sorted(r.doc_id for r in corpus.one_of_each_group(docs).collect()) == [0, 1, 2, 3, 5]
 
 
+def plain_judgements(pages, labels):
+    """The tree and its purities by dictionaries: host, shape, template and verdict without rules."""
+    import re
+
+    def shape(path):
+        kind = lambda s: "<n>" if re.fullmatch("[0-9]+", s) else "<date>" if re.fullmatch("[0-9]{4}-[0-9]{2}(-[0-9]{2})?", s) else "<hex>" if re.fullmatch("[0-9a-fA-F]{16,}", s) else re.sub("[0-9]+", "<n>", s)
+        return tuple(kind(s) for s in path.split("/") if s)
+
+    rows = []
+    for i, url in pages:
+        m = re.match("(?s)^.*?://([^/?#]*)([^?#]*)", url)
+        number = re.search(r"([0-9]{1,18})[^0-9/]*/*$", m[2])
+        rows.append((i, m[1], shape(m[2]), labels.get(int(number[1])) if number else None))
+    paths = defaultdict(lambda: [0, 0, 0])
+    for _, h, s, good in rows:
+        paths[h, s][0] += 1
+        if good is not None:
+            paths[h, s][1 if good else 2] += 1
+    template = {}
+
+    def grow(host, at, members, level):
+        children = defaultdict(list)
+        for s in members:
+            if len(s) > level:
+                children[s[level]].append(s)
+            else:
+                template[host, s] = at
+        total = [sum(paths[host, s][k] for c in children.values() for s in c) for k in range(3)]
+        below = defaultdict(list)
+        for name, own in children.items():
+            n, good, bad = (sum(paths[host, s][k] for s in own) for k in range(3))
+            rest_good, rest = total[1] - good, total[1] + total[2] - good - bad
+            differs = False
+            if good + bad and rest:
+                pooled = total[1] / (total[1] + total[2])
+                if 0 < pooled < 1:
+                    differs = abs(good / (good + bad) - rest_good / rest) / (pooled * (1 - pooled) * (1 / (good + bad) + 1 / rest)) ** 0.5 > 1.96
+            label = "*" if len(children) >= 20 and len(children) >= 0.5 * total[0] else name if differs or len(children) == 1 else "~"
+            below[f"{at}/{label}"] += own
+        alone = sum(map(len, children.values())) == 1
+        for name, own in below.items():
+            if alone:
+                template[host, own[0]] = f"{at}/{'/'.join(own[0][level:])}"
+            else:
+                grow(host, name, own, level + 1)
+
+    for host in {h for h, _ in paths}:
+        grow(host, "", [s for h, s in paths if h == host], 0)
+    good, bad = (sum(p[k] for p in paths.values()) for k in (1, 2))
+    prior = (good + 1) / (good + bad + 1)
+    smooth = lambda g, b, p: (g + 4 * p) / (g + b + 4)
+    by_host, by_template = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (h, s), p in paths.items():
+        for by in (by_host[h], by_template[h, template[h, s]]):
+            by[0] += p[1]
+            by[1] += p[2]
+    out = {}
+    for i, h, s, _ in rows:
+        t = template[h, s]
+        out[i] = (t, round(smooth(*by_template[h, t], smooth(*by_host[h], prior)), 9))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [20_000, 3])
+def test_url_templates_are_the_plain_trees(spark, monkeypatch, frequent):
+    monkeypatch.setattr(url_filter, "FREQUENT", frequent)
+    import random
+
+    rng = random.Random(6)
+    pages = []
+    for i in range(1500):
+        host = rng.choice(["a.org", "a.org", "b.org", "c.org"])
+        parts = [rng.choice(["news", "spam", "x", "tag", f"u{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.choice('abcdefghijklmnop')}z"]) for _ in range(rng.randrange(4))]
+        pages.append((i, f"http://{host}/" + "/".join([*parts, str(i)] if rng.random() < 0.9 else parts)))
+    labels = {i: ("spam" not in u) ^ (rng.random() < 0.1) for i, u in pages if rng.random() < 0.6}
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "label_id long, good boolean"), rules=[]).collect()
+    want = plain_judgements(pages, labels)
+    assert {r.page_id: (r.template, round(r.purity, 9)) for r in got} == want
+    assert all((r.verdict == "block") == (r.purity < 0.5) for r in got) and len({r.verdict for r in got}) == 2
+
+
 def test_url_templates_reach_any_depth(spark):
     rows = [(i, f"http://h.org/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)] + [(200, "http://deep.org/" + "y/" * 300 + "200")]
     labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(0, 100)], "label_id long, good boolean")

@@ -39,6 +39,8 @@ LENGTH, WORD = 100, 32
 #: Windows whose anchor lies at one of so many neighbouring distances are a part.
 PART = 16
 _LOW = (1 << 20) - 1
+#: The bit that marks a frequent word, and how many there are at most.
+FREQUENT, FREQUENT_WORDS = 1 << 62, 2000
 
 
 def _word_hashes(x: np.ndarray) -> np.ndarray:
@@ -92,8 +94,14 @@ def _unplaced(place):
 _ANCHORS = "word long, block long, ord long, place long"
 
 
-def _spread(word, block, ord, place):
-    """The words, but negative and dealt evenly for rows that repeat a block of an earlier one among these."""
+def _spread(word, block, ord, place, frequent=None):
+    """The words, but negative and dealt evenly for rows that repeat a block of an earlier one among these.
+
+    A frequent word is dealt by its blocks: it certainly has more than one, so these needn't meet."""
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
+        mixed = (word.astype(np.uint64) ^ block.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        word = np.where(frequent[at] == word, FREQUENT | (mixed >> np.uint64(20)).astype(np.int64), word)
     order = np.lexsort((place, ord, block, word))
     w, b = word[order], block[order]
     again = order[1:][(w[1:] == w[:-1]) & (b[1:] == b[:-1])]
@@ -103,7 +111,19 @@ def _spread(word, block, ord, place):
     return word
 
 
-def _anchor_rows(length: int):
+def frequent_words(docs: DataFrame, length: int) -> np.ndarray:
+    """The words of most anchors in a sample of a hundredth of docs, at most FREQUENT_WORDS of those that are over a thousandth of it.
+
+    They only say what is dealt how; any list gives the same result."""
+    sample = docs.where(F.pmod(F.xxhash64("ord", F.lit(5)), F.lit(100)) == 0)
+    counts = map_columns(sample.select("ord", "text"), _anchor_rows(length), _ANCHORS, rows=500).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("block").alias("blocks"))
+    counts = checkpointed(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where((F.col("word") >= 0) & (F.col("blocks") > max(10, total / 1000))).orderBy(F.desc("blocks"), "word").limit(FREQUENT_WORDS)
+    return np.array(sorted(r.word for r in top.collect()), np.int64)
+
+
+def _anchor_rows(length: int, frequent: np.ndarray | None = None):
     def make():
         import xxhash
 
@@ -115,7 +135,7 @@ def _anchor_rows(length: int):
                 block = [xxhash.xxh3_64_intdigest(t[max(a - left, 0) : a + length], min(a, left)) for a in at.tolist()]
                 out.append((word, np.array(block, np.uint64).view(np.int64), np.full(len(at), o, np.int64), _place(first, count, at - first)))
             word, block, ord, place = (np.concatenate(c) for c in zip(*out))
-            return [pa.array(c) for c in (_spread(word, block, ord, place), block, ord, place)]
+            return [pa.array(c) for c in (_spread(word, block, ord, place, frequent), block, ord, place)]
 
         return each
 
@@ -169,13 +189,13 @@ def _repeats(batches):
         new_block = new_word | np.r_[last is None or block[0] != last[1], block[1:] != block[:-1]]
         group = np.cumsum(new_word)
         blocks = np.bincount(group, new_block)
-        look = new_block & (~new_word | (blocks[group] > 1))
+        look = new_block & (~new_word | (blocks[group] > 1) | (word >= FREQUENT))
         if held is not None and blocks[0]:  # the word that was open goes on with another block
             yield out(held, [False])
             held = None
         if new_word.any():
             held = None
-            if blocks[-1] == 1 and word[-1] >= 0:
+            if blocks[-1] == 1 and 0 <= word[-1] < FREQUENT:
                 held = b.slice(int(np.flatnonzero(new_word)[-1]), 1)
         last = word[-1], block[-1]
         settled = ~new_block | (word < 0)
@@ -265,7 +285,7 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if all(plain):
         return docs.withColumn("ord", F.col("doc_id")), facts.withColumn("ord", F.col("doc_id"))
     facts = checkpointed(facts.orderBy(F.asc_nulls_last("doc_id"), "digest").withColumn("ord", F.monotonically_increasing_id()))
-    names = hinted(facts.select(F.col("doc_id").alias("key_id"), F.col("digest").alias("key_digest"), "ord"))
+    names = hinted(facts.select(F.col("doc_id").alias("key_id"), F.col("digest").alias("key_digest"), "ord"), 100)
     named = docs.join(names, docs.doc_id.eqNullSafe(F.col("key_id")) & (F.sha2("text", 256) == F.col("key_digest")))
     return named.select("doc_id", "text", "ord").dropDuplicates(["ord"]), facts
 
@@ -279,11 +299,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     if not WORD < length <= 255:
         raise ValueError(f"length must be above {WORD} and below 256")
     docs, facts = _ordered(docs.select("doc_id", text_bytes(text).alias("text")))
-    first = facts.groupBy("digest").agg(F.min("ord").alias("first"))
-    facts = checkpointed(facts.join(first, "digest").withColumn("copy", F.col("ord") != F.col("first")).drop("first"))
+    first = facts.groupBy("digest").agg(F.min("ord").alias("ord")).select("ord", F.lit(False).alias("copy"))
+    facts = checkpointed(facts.join(first, "ord", "left").withColumn("copy", F.coalesce("copy", F.lit(True))))  # by ord, which no two rows share
     copies = hinted(checkpointed(facts.where("copy").select(F.col("ord").alias("copy_ord"))))
     own = docs.join(copies, docs.ord == F.col("copy_ord"), "left_anti")
-    rows = map_columns(own.where(F.length("text") >= length).select("ord", "text"), _anchor_rows(length), _ANCHORS, rows=500)
+    long = own.where(F.length("text") >= length)
+    rows = map_columns(long.select("ord", "text"), _anchor_rows(length, frequent_words(long, length)), _ANCHORS, rows=500)
     found = checkpointed(_in_order(rows).mapInArrow(_repeats, schema_of("ord long, place long, settled boolean")))
     packed = _packed(own)
     look = found.where("not settled").groupBy("ord").agg(F.collect_list("place").alias("places"))  # a document's own anchors
