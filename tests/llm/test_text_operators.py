@@ -195,12 +195,74 @@ def test_arc_records(version):
 def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([(1, "en", "abracadabra abba"), (2, "en", "cad bar abra")], "doc_id long, lang string, text string")
     model = quality.kneser_ney(quality.ngram_counts(quality._packed(docs, "text", "lang").select("lang", "packed")))
-    (_, _, tables), = quality.shards(model)
+    ((_, _, packed),) = quality.shards(model)
+    tables = quality._unpack(packed)
     for context in (b"\0\0\0\0", b"abra", b"zzzz", b"bra "):
         code = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)])
         assert np.exp(quality._log_probabilities(code, tables, "en")).sum() == pytest.approx(1, abs=1e-4)
 
 
+def plain_kneser_ney(texts):
+    """Log probability of a text's bytes by dictionaries, as the recursive definition says."""
+    from collections import defaultdict
+
+    n = quality.ORDER
+    counts = [defaultdict(int) for _ in range(n + 1)]
+    for t in texts:
+        t = bytes(n - 1) + t
+        for i in range(n - 1, len(t)):
+            counts[n][t[i - n + 1 : i + 1]] += 1
+    for k in range(n - 1, 0, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] += 1
+    discounts, contexts = {}, {}
+    for k in range(1, n + 1):
+        of = [sum(c == i for c in counts[k].values()) for i in range(5)]
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else 0
+        raw = [i - (i + 1) * y * of[i + 1] / of[i] if of[i] and of[i + 1] and of[1] else i / 2 for i in (1, 2, 3)]
+        discounts[k] = [max(0.0, min(i + 1.0, d)) for i, d in enumerate(raw)]
+        took = {g: min(discounts[k][min(c, 3) - 1], c) for g, c in counts[k].items()}
+        totals = defaultdict(lambda: [0, 0.0])
+        for g, c in counts[k].items():
+            totals[g[:-1]][0] += c
+            totals[g[:-1]][1] += took[g]
+        contexts[k] = (totals, took)
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        totals, took = contexts[len(gram)]
+        lower = p(gram[1:])
+        if gram[:-1] not in totals:
+            return lower
+        total, mass = totals[gram[:-1]]
+        return (counts[len(gram)].get(gram, 0) - took.get(gram, 0)) / total + mass / total * lower
+
+    def log_probability(t):
+        t = bytes(n - 1) + t
+        return sum(np.log(p(t[i - n + 1 : i + 1])) for i in range(n - 1, len(t)))
+
+    return log_probability
+
+
+@pytest.mark.parametrize("shard_rows", [8_000_000, 4000])
+def test_perplexities_are_the_plain_models(spark, shard_rows):
+    rng = random.Random(9)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    trusted = [("en", text("abcde  .", rng.randrange(1, 200))) for _ in range(25)] + [("fr", text("abéè  ,", rng.randrange(1, 150))) for _ in range(15)]
+    asked = [(i, g, t) for i, (g, t) in enumerate([("en", "abc de."), ("en", "zzz"), ("fr", "é a b"), ("de", "abc"), ("en", ""), ("fr", None), ("en", text("abcdefgh .", 900)), ("en", "abc de.")])]
+    train = spark.createDataFrame([(i, g, t) for i, (g, t) in enumerate(trusted)], "doc_id long, lang string, text string")
+    model = quality.kneser_ney(quality.ngram_counts(quality._packed(train, "text", "lang").select("lang", "packed")))
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(spark.createDataFrame(asked, "doc_id long, lang string, text string"), model, shard_rows=shard_rows).collect()}
+    plain = {g: plain_kneser_ney([t.encode() for x, t in trusted if x == g]) for g in ("en", "fr")}
+    assert len(got) == len(asked)
+    for i, g, t in asked:
+        if not t or g not in plain:
+            assert got[i] is None
+        else:
+            assert got[i] == pytest.approx(np.exp(-plain[g](t.encode()) / len(t.encode())), rel=1e-4)
+
+
 def test_limits_of_sparse_lengths_are_no_maximum():
     plain = [("en", 5, 1400 + i, 1) for i in range(200)] + [("fr", 5, 1300 + i, 1) for i in range(20)] + [("en", 7, 1450, 1)]
     odd = [("en", 2, 3000, 1), ("fr", 2, 2900, 1)]

@@ -6,8 +6,9 @@ weights are made by joins between the count tables of neighbouring orders.
 
 Scoring: the model's rows are cut into shards by the two bytes before the predicted one, which
 all its longer n-grams share, so that a document's log probability is the sum of its shards'.
-Shards are as many as keep each within a stated number of rows; each is sent to all tasks
-and the documents are read once a shard: no n-gram of a document is ever shuffled.
+Shards are as many as keep each within a stated number of rows. Tasks sort and pack them, each is
+sent to all tasks as compressed bytes, and the documents are read once a shard: no n-gram of a
+document is ever shuffled, as these would be ten times the text.
 
 Thresholds: a tenth of the trusted documents is left out of the counts. Their perplexities'
 quantile, by language and length, decides: a document above it is rejected.
@@ -15,6 +16,8 @@ quantile, by language and length, decides: a document above it is rejected.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, map_columns, schema_of, table, text_bytes
 
 ORDER = 5
-#: Model rows in a shard: 12 bytes each once loaded.
-SHARD_ROWS = 2_000_000
+#: Model rows in a shard: 12 bytes each once loaded, fewer as they are sent.
+SHARD_ROWS = 8_000_000
 HELD_OUT = 10
 QUANTILE, MARGIN = 0.99, 0.15
 #: Ids of trusted documents that are sent to all tasks at most; beyond that the join with the texts is shuffled.
@@ -145,33 +148,71 @@ def _pair(row_code, back_off):
     return F.when(back_off, row_code).otherwise(F.shiftright(row_code, 8)).bitwiseAND(F.lit(0xFFFF))
 
 
-def shards(model: DataFrame, rows: int = SHARD_ROWS):
-    """The model in parts: (number, of how many, {(k, back_off, lang): (codes, values)}); one is held at a time.
+def _pack(groups: dict) -> bytes:
+    """Tables of a shard, {(k, back_off, lang): (sorted codes, values)}, as compressed bytes: neighbouring codes differ little."""
+    import zstandard
+
+    parts = [(key, np.diff(code, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), value.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes()) for key, (code, value) in groups.items()]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts))
+
+
+def _unpack(packed: bytes) -> dict:
+    import zstandard
+
+    def plain(data, dtype, width):
+        return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+    return {key: (np.cumsum(plain(code, "<i8", 8)), plain(value, "<f4", 4)) for key, code, value in pickle.loads(zstandard.ZstdDecompressor().decompress(packed))}
+
+
+def _shard_rows(batches):
+    """Rows (part, k, back_off, lang, code, value) in order: part and its packed tables, a row a part."""
+    part, pieces = None, {}
+
+    def made():
+        groups = {key: tuple(np.concatenate(x) for x in zip(*found)) for key, found in pieces.items()}
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([_pack(groups)], pa.binary())], names=["part", "packed"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        number, k, back_off, lang = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).dictionary_encode()
+        code, value, names, which = b.column(4).to_numpy(), b.column(5).to_numpy(), lang.dictionary.to_pylist(), lang.indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (k[1:] != k[:-1]) | (back_off[1:] != back_off[:-1]) | (which[1:] != which[:-1])])
+        for s, e in zip(starts, [*starts[1:], len(number)]):
+            if part is not None and number[s] != part:
+                yield made()
+                pieces = {}
+            part = int(number[s])
+            pieces.setdefault((int(k[s]), bool(back_off[s]), names[which[s]]), []).append((code[s:e].copy(), value[s:e].copy()))
+    if part is not None:
+        yield made()
+
+
+def packed_shards(model: DataFrame, rows: int = SHARD_ROWS) -> tuple[int, DataFrame]:
+    """How many parts the model has, and a row (part, packed) for each.
 
     Rows of the orders 1 and 2 are in every part: there are at most 2^16 + 2^9 a language. The number of parts
-    doubles until every part has at most `rows` rows besides those, or each has one pair of bytes."""
+    doubles until every part has at most `rows` rows besides those, or each has one pair of bytes. Tasks sort and pack
+    the parts: no row of the model passes the driver."""
     long = (F.col("k") > 2) & ~(F.col("back_off") & (F.col("k") == 2))
     keyed = model.withColumn("pair", F.when(long, _pair(F.col("code"), F.col("back_off"))))
+    pairs = np.array([(r.pair, r.n) for r in keyed.where("pair is not null").groupBy("pair").agg(F.count("*").alias("n")).collect()] or [(0, 0)], np.int64)  # at most 65536
     n = 1
-    while n < 65536 and (keyed.where("pair is not null").groupBy(F.col("pair") % n).count().agg(F.max("count")).first()[0] or 0) > rows:
+    while n < 65536 and np.bincount(pairs[:, 0] % n, pairs[:, 1]).max() > max(rows, pairs[:, 1].max()):
         n *= 2
+    parts = F.when(F.col("pair").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.array((F.col("pair") % n).cast("long")))
+    dealt = keyed.select(F.explode(parts).alias("part"), "k", "back_off", "lang", "code", "value")
+    order = dealt.repartition(n, "part").sortWithinPartitions("part", "k", "back_off", "lang", "code")
+    return n, checkpointed(order.mapInArrow(_shard_rows, schema_of("part long, packed binary")))
+
+
+def shards(model: DataFrame, rows: int = SHARD_ROWS):
+    """The model in parts: (number, of how many, packed tables), of which the driver takes one at a time to send it to all tasks."""
+    n, packed = packed_shards(model, rows)
     for i in range(n):
-        part = keyed.where(F.col("pair").isNull() | (F.col("pair") % n == i)).select("k", "back_off", "lang", "code", "value").toArrow()
-        lang = part["lang"].combine_chunks().dictionary_encode()
-        which = lang.indices.to_numpy().astype(np.int64) * 32 + part["k"].to_numpy() * 2 + part["back_off"].to_numpy().astype(np.int64)
-        code, value = part["code"].to_numpy(), part["value"].to_numpy()
-        del part
-        order = np.lexsort((code, which))
-        which, code, value = which[order], code[order], value[order]
-        del order
-        starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else []
-        names = lang.dictionary.to_pylist()
-        groups = {}
-        for a, b in zip(starts, [*starts[1:], len(which)]):
-            x = int(which[a])
-            groups[x % 32 // 2, bool(x % 2), names[x // 32]] = code[a:b].copy(), value[a:b].copy()
-        del which, code, value
-        yield i, n, groups
+        row = packed.where(F.col("part") == i).first()
+        yield i, n, bytes(row.packed) if row else _pack({})
 
 
 def _log_probabilities(code: np.ndarray, tables: dict, lang: str) -> np.ndarray:
@@ -205,11 +246,11 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", lang: st
     Null languages count as '' and null texts as empty. Empty texts, and languages without trusted text, have no perplexity."""
     docs = docs.select("doc_id", F.coalesce(lang, F.lit("")).alias("lang"), text_bytes(text).alias("text"))
     parts = []
-    for number, of, tables in shards(model, shard_rows):
-        shared = docs.sparkSession.sparkContext.broadcast(tables)
+    for number, of, packed in shards(model, shard_rows):
+        shared = docs.sparkSession.sparkContext.broadcast(packed)
 
         def make(shared=shared, number=number, of=of):
-            tables = shared.value
+            tables = _unpack(shared.value)
             known = {x[2] for x in tables}
 
             def each(row, doc_id, lang, text):
@@ -218,13 +259,13 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", lang: st
                     at = [i for i, g in enumerate(lang) if g == name]
                     for a, b in _slices([text[i] for i in at]):
                         code, lengths = _codes([text[i] for i in at[a:b]])
+                        document = np.repeat(np.arange(b - a), lengths)
+                        if of > 1:  # what another part holds isn't looked up
+                            own = (code >> 8 & 0xFFFF) % of == number
+                            code, document = code[own], document[own]
                         unique, inverse = np.unique(code, return_inverse=True)
                         value = _log_probabilities(unique, tables, name)
-                        if of > 1:
-                            value[(unique >> 8 & 0xFFFF) % of != number] = 0
-                        sums = np.r_[0, np.cumsum(value[inverse])]
-                        ends = np.cumsum(lengths)
-                        total[np.array(at[a:b])] = sums[ends] - sums[ends - lengths]
+                        total[np.array(at[a:b])] = np.bincount(document, value[inverse], minlength=b - a)
                 return row, doc_id, lang, [len(t) for t in text], pa.array(total, from_pandas=True)
 
             return each
@@ -285,7 +326,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
 
     Rejected is what lies above the threshold of its language and length: the held-out trusted documents' quantile of the
     logarithm, plus margin; where these are few, other lengths and languages lend some (see limits). What has no perplexity or no
-    threshold can't be judged and is kept. Null ids are scored like any other."""
+    threshold can't be judged and is kept: empty and null texts, and languages without trusted text. A perplexity of just the threshold
+    stays. Null ids are scored like any other and repeated rows each; an empty table gives an empty result; other columns are ignored."""
     trusted = _trusted(labels)
     train = checkpointed(trusted.where("not held").select("trusted_id"))
     if train.count() <= SMALL_ROWS:  # 8 bytes each: sent to all tasks, so that no text is shuffled
