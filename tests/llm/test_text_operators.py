@@ -114,6 +114,20 @@ def test_covering_masks_leave_no_pair_out():
         assert any(m & flips == 0 for m in masks)
 
 
+def test_least_of_components():
+    rng = np.random.default_rng(3)
+    for n in (1, 10, 60):
+        a, b = rng.integers(-40, 40, (2, n))
+        nodes, least = simhash.least_of_components(a, b)
+        group = {x: {x} for x in {*a.tolist(), *b.tolist()}}
+        for x, y in zip(a.tolist(), b.tolist()):
+            both = group[x] | group[y]
+            for z in both:
+                group[z] = both
+        assert dict(zip(nodes.tolist(), least.tolist())) == {x: min(g) for x, g in group.items()}
+    assert len(simhash.least_of_components(a[:0], b[:0])[0]) == 0
+
+
 def test_fingerprint_edges():
     import xxhash
 

@@ -213,6 +213,22 @@ def near_links(nodes: DataFrame, radius: int, seed: int = 1, bucket: int = BUCKE
     return links.union(found(split_buckets(again, "fp", bucket)))
 
 
+def least_of_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (a, b), and the smallest node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, least = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        np.minimum.at(new, least[a], low)  # roots move too, so that whole trees are joined at once
+        np.minimum.at(new, least[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == least).all():
+            return nodes, nodes[least]
+        least = new
+
+
 def _distance(x, y):
     """Differing bits of fingerprints (rows of numbers), broadcast against each other."""
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
@@ -236,7 +252,8 @@ def _forest(prints: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(wide: int):
     """A function over partitions sorted by bucket (bucket, node, fingerprint's numbers): a, b, links whose components are those of
-    all pairs of a bucket within `wide` bits. A bucket with more than DENSE such pairs a member gives a forest of them."""
+    all pairs of the partition's buckets within `wide` bits. They lead from each node to the smallest of its component, so that
+    partitions that see parts of one large group give the same ones."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs_of(prints):
@@ -267,12 +284,13 @@ def _candidates(wide: int):
             yield node[near], node[near + o]
 
     def run(batches):
-        def made(found):
-            for a, b in found:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
+        held, left, right = None, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def take(rows):
+            for a, b in buckets(*rows):
+                left.append(a)
+                right.append(b)
 
-        held = None
         for batch in batches:
             key, node, *prints = (c.to_numpy() for c in batch.columns)
             new = key, node, np.stack(prints, 1).view(np.uint64)
@@ -280,10 +298,13 @@ def _candidates(wide: int):
             if len(held[0]):
                 whole = int(np.searchsorted(held[0] == held[0][-1], True))  # the last bucket may go on
                 if whole:
-                    yield from made(buckets(*(c[:whole] for c in held)))
+                    take(c[:whole] for c in held)
                     held = tuple(c[whole:] for c in held)
         if held and len(held[0]):
-            yield from made(buckets(*held))
+            take(held)
+        nodes, smallest = least_of_components(np.concatenate(left), np.concatenate(right))
+        own = nodes != smallest
+        yield pa.RecordBatch.from_arrays([pa.array(smallest[own]), pa.array(nodes[own])], schema=arrow)
 
     return run
 
