@@ -5,8 +5,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from trivalent.functions import text, truth
-from trivalent.operators import changes, dedup, metrics, rules, validation
+from trivalent.functions import documents, text, truth
+from trivalent.operators import changes, conditions, dedup, discovery, evaluation, metrics, profiles, rules, validation
 from trivalent.sources import files
 from trivalent.streaming import events
 
@@ -123,3 +123,120 @@ def test_streams(spark, sf, tmp_path):
     assert run(events.session_counts(source), "complete", "stream_sessions").agg(F.sum("n")).first()[0] == 220
     told = run(events.change_states(source), "append", "told")
     assert told.where("state = 'BASELINE'").count() == told.select("user_id").distinct().count()
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "target", "want"),
+    [
+        ("string", "maybe", True, False), ("string", "Yes", True, True), ("string", "हाँ", True, True), ("string", "no", False, True), ("boolean", True, "yes", True), ("boolean", True, "no", False), ("int", 2, True, True),
+        ("boolean", False, 0, True), ("boolean", None, True, None), ("string", "x", None, None),
+    ],
+)
+def test_booleans_meet_text_and_numbers(spark, kind, value, target, want):
+    df = spark.createDataFrame([(value,)], f"v {kind}")
+    assert df.select(truth.equals(F.col("v"), target).alias("r")).first().r is want
+
+
+def test_rules_as_rows_know_what_is_missing(spark):
+    leaf = lambda f, op, v=None: {"field": f, "operator": op, "value": v}
+    trees = {
+        "and": {"type": "AND", "children": [leaf("age", "GTE", 5), leaf("income", "LTE", 9)]}, "or": {"type": "OR", "children": [leaf("age", "LT", 5), leaf("income", "LTE", 9)]}, "not": {"type": "NOT", "children": [leaf("income", "GT", 1)]},
+        "between": leaf("age", "BETWEEN", {"min": 0, "max": 10}), "exists": leaf("age", "EXISTS"), "gone": leaf("income", "NOT_EXISTS"), "none": {"type": "AND", "children": []}, "or_none": {"type": "OR", "children": []}, "not_none": {"type": "NOT", "children": []},
+        "fixed": {"type": "AND", "children": [leaf("age", "GTE", 5), {"type": "OR", "children": []}]}, "open": {"type": "AND", "children": [leaf("x", "EQ", "y"), {"type": "AND", "children": []}]}, "word": leaf("flag", "EQ", True),
+        "decided": {"type": "AND", "children": [leaf("age", "LT", 5), leaf("x", "EQ", 1)]},
+    }
+    rows = rules.nodes_of([{"id": k, "rule": t} for k, t in trees.items()])
+    facts = spark.createDataFrame([(1, "age", 7.0, None, None), (1, "flag", None, "yes", None), (2, "income", 5.0, None, None)], "profile_id int, field string, num double, str string, flag_value boolean")
+    got = {(r.profile_id, r.scheme_id): r.state for r in rules.evaluate_nodes(facts, spark.createDataFrame(rows, rules.NODES), max(r[3] for r in rows)).collect()}
+    first = {"and": 1, "or": 1, "not": 1, "between": 2, "exists": 2, "gone": 1, "none": 2, "or_none": 0, "not_none": 1, "fixed": 0, "open": 1, "word": 2, "decided": 0}
+    assert {k: got[1, k] for k in trees} == first and len(got) == 2 * len(trees)
+    assert (got[2, "and"], got[2, "or"], got[2, "not"], got[2, "gone"], got[2, "fixed"]) == (1, 2, 0, 0, 0)
+
+
+def test_preferences_and_exclusions_may_be_groups(spark):
+    leaf = lambda f: {"field": f, "operator": "EQ", "value": 1}
+    group = {"type": "AND", "children": [leaf("a"), leaf("b")]}
+    scheme = {"id": "S", "rule": leaf("a"), "preferences": [group, leaf("b")], "exclusions": [{"id": "X", "mandatory_check": True, "rule": {"type": "OR", "children": [leaf("b"), leaf("c")]}}]}
+    df = spark.createDataFrame([(1, 1, 1, 1), (2, 1, None, None)], "id int, a int, b int, c int")
+    got = {r.id: (r.status, r.missing, r.preferences) for r in rules.evaluate(df, [scheme], date(2024, 1, 1)).collect()}
+    assert got == {1: ("NOT_ELIGIBLE", [], ["a+b", "b"]), 2: ("MORE_INFORMATION_REQUIRED", ["b", "c"], [])}
+
+
+def test_canonical_roots_of_cycles(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (6, 7), (7, 6), (8, None), (9, 8)], "id long, parent long")
+    assert {r.id: r.root for r in dedup.canonical_roots(links, "id", "parent").collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8, 9: 8}
+
+
+def test_versions_hold_on_their_last_day(spark):
+    d = date
+    versions = spark.createDataFrame([("a", 1, None, d(2024, 1, 31), True), ("a", 2, d(2024, 1, 1), d(2024, 2, 29), False), ("a", 3, d(2024, 3, 1), None, False)], "k string, n int, s date, e date, active boolean")
+    events = spark.createDataFrame([(1, "a", d(2024, 1, 31)), (2, "a", d(2024, 2, 29)), (3, "a", d(2030, 1, 1)), (4, "a", d(1990, 1, 1)), (5, "b", d(2024, 1, 1))], "id int, k string, day date")
+    assert {r.id: r.n for r in changes.as_of(events, versions, "k", "day", "s", "e", "n", "id", F.col("active")).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: None}
+
+
+@pytest.mark.parametrize(
+    ("row", "seconds"),
+    [
+        (("tier_1", "CHANGED", 0, 0, None), 3600), (("TIER_9", "CHANGED", 0, 0, None), 86400), (("TIER_1", "CHECK_FAILED", 1, 0, None), 900), (("TIER_1", "TIMEOUT", 3, 0, None), 3600), (("TIER_1", "TIMEOUT", 9, 0, None), 14400),
+        (("TIER_1", "CHANGED", 0, 0, 30), 900), (("TIER_1", "CHANGED", 0, 0, 5000), 5000), (("TIER_1", "AUTH_REQUIRED", 5, 0, None), 86400), (("TIER_2", "UNCHANGED", 0, 5, None), 32400), (("TIER_2", "UNCHANGED", 0, 10, None), 48600),
+        (("TIER_4", "UNCHANGED", 0, 12, None), 604800),
+    ],
+)
+def test_intervals(spark, row, seconds):
+    df = spark.createDataFrame([row], "p string, o string, f int, u int, r int")
+    assert df.select(changes.next_interval(F.col("p"), F.col("o"), F.col("f"), F.col("u"), F.col("r")).alias("s")).first().s == seconds
+
+
+def test_bounds_of_alternatives_do_not_contradict(spark):
+    rows = [(1, "age", "a", "GTE", 60), (1, "age", "b", "LTE", 18), (2, "age", None, "GTE", 60), (2, "age", "b", "LTE", 18), (3, "age", None, "GT", 5), (3, "age", None, "LTE", 5)]
+    df = spark.createDataFrame(rows, "id int, field string, branch string, op string, value int")
+    assert sorted((r.id, r.low, r.high) for r in validation.contradictions(df, "id", "field", "branch").collect()) == [(2, 60, 18), (3, 5, 5)]
+
+
+@pytest.mark.parametrize(
+    ("phrase", "op"),
+    [
+        ("income exceeding 5 lakh", "GT"), ("60 वर्ष या अधिक", "GTE"), ("आयु 18 से ज्यादा", "GT"), ("18 से 40 वर्ष", "BETWEEN"), ("not exceeding 5", "LTE"), ("२ लाख से ज्यादा नहीं", "LTE"), ("21 वर्ष पूर्ण कर चुके", "GTE"), ("18-40 years", "BETWEEN"),
+        ("18 से कम", "LT"), ("2.5 लाख तक", "LTE"), ("5", "EQ"), ("none", None),
+    ],
+)
+def test_bound_operators(spark, phrase, op):
+    assert spark.createDataFrame([(phrase,)], "s string").select(text.bound_operator(F.col("s")).alias("o")).first().o == op
+
+
+def test_profiles_and_candidates(spark):
+    rows = [(1, "राजस्थान ", "MONTHLY", 10.0, None, 5), (2, None, None, None, " yes", None)]
+    df = profiles.normalized(spark.createDataFrame(rows, "profile_id int, state string, family_income_frequency string, family_income double, domicile_status string, land_area_bigha int"))
+    got = {r.profile_id: (r.state, r.family_income, r.domicile, r.land_holding) for r in df.collect()}
+    assert got == {1: ("Rajasthan", 120.0, None, 5), 2: (None, None, "Rajasthan", None)}
+    schemes = [(1, None, None, "Rajasthan", [], "BOTH", "UNKNOWN"), (2, None, date(2024, 6, 1), "Gujarat", None, "ALL", "UNKNOWN"), (3, date(2024, 6, 2), None, None, None, "BOTH", "UNKNOWN"), (4, None, None, None, ["Kota"], "RURAL", "UNKNOWN"), (5, None, None, None, None, "BOTH", "CENTRAL")]
+    s = spark.createDataFrame([(i, True, True, *r, None) for i, *r in schemes], "scheme_id int, verified boolean, active boolean, valid_from date, valid_until date, state string, districts array<string>, rural_urban string, origin string, category string")
+    p = spark.createDataFrame([(1, None, None, None), (2, "Rajasthan", "Jaipur", "URBAN"), (3, "gujarat", None, "rural")], "profile_id int, p_state string, p_district string, p_rural_urban string")
+    found = discovery.candidates(p, s, F.lit("2024-06-01").cast("date")).collect()
+    assert sorted((r.profile_id, r.scheme_id) for r in found) == [(1, 1), (1, 2), (1, 4), (2, 1), (3, 2)]
+
+
+def test_evaluation_edges(spark):
+    df = spark.createDataFrame([([], []), (["a"], []), ([], ["a"]), (["a", "b"], ["b", "c"])], "e array<string>, f array<string>")
+    p, r, f1 = evaluation.set_scores(F.col("e"), F.col("f"))
+    assert [tuple(x) for x in df.select(p, r, f1).collect()] == [(1, 1, 1), (0, 0, 0), (0, 0, 0), (0.5, 0.5, 0.5)]
+    none = evaluation.confusion(spark.createDataFrame([], "e string, p string"), "e", "p", ["A", "B"]).collect()
+    assert [(x["class"], x.a, x.precision, x.f1) for x in none] == [("A", 0, 0, 0), ("B", 0, 0, 0)]
+    judged = spark.createDataFrame([(1, 0)], "q int, g int")
+    assert evaluation.ranking_at(judged.withColumn("i", F.lit(1)), "q", "i", "g", evaluation.largest_gains(judged, "q", "g"), (1,)).first()[1:] == (0.0, 1.0, 0.0, 0.0)
+
+
+def test_condition_conflicts_keep_contexts_apart(spark):
+    rows = [(1, 0, "age", "GTE", "18", None, ["a"]), (1, 1, "age", "GTE", "21", "SC", ["b"]), (1, 2, "age", "GTE", "18", None, ["c", "a"]), (2, 0, "age", "GTE", "18", None, ["a"]), (2, 1, "age", "LTE", "60", None, ["b"]), (2, 2, "marks", "GTE", "1", None, []), (2, 3, "marks", "GTE", "2", None, [])]
+    df = spark.createDataFrame([(d, i, f, o, v, None, None, c, r) for d, i, f, o, v, c, r in rows], "d int, i int, field string, operator string, value string, unit string, periodicity string, context string, refs array<string>")
+    assert sorted((r.d, r.field, r.value, r.refs) for r in conditions.merged(df, ["d"], "i").where("d = 1").collect()) == [(1, "age", "18", ["a", "c"]), (1, "age", "21", ["b"])]
+    assert [(r.d, r.conflict_id, r["values"]) for r in conditions.conflicts(df, ["d"], "i").collect()] == [(2, "CONF-001", ["18", "60"])]
+
+
+def test_document_functions(spark):
+    df = spark.createDataFrame([("a\nb ", "b\nc 2025\n")], "o string, n string")
+    added, removed = documents.line_changes(F.col("o"), F.col("n"))
+    assert df.select(added, removed, documents.year_shift(F.col("n"), F.col("o"))).first() == (["c 2025"], ["a"], False)
+    urls = {"http://127.0.0.1/": (False, True), "https://x.example.com:8/": (True, False), "ftp://example.com/": (False, False), "http://badexample.com": (False, False), None: (False, None)}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", documents.allowed(F.col("u"), ["example.com"]).alias("a"), documents.private_host(F.col("u")).alias("p")).collect()
+    assert {r.u: (r.a, r.p) for r in got} == urls

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DEVANAGARI = "०१२३४५६७८९"
+_DEVANAGARI_BLOCK = "".join(map(chr, range(0x0900, 0x0980)))
 # Scale words of Indian numbers.
 SCALES = {"thousand": 1_000, "hazar": 1_000, "हजार": 1_000, "lakh": 100_000, "lac": 100_000, "लाख": 100_000, "crore": 10_000_000, "करोड़": 10_000_000, "arab": 1_000_000_000, "अरब": 1_000_000_000}
 
@@ -35,17 +36,26 @@ def bound_operator(c: Column) -> Column:
     """The comparison that a phrase names: range, negated bound, then the plain bounds; a bare number is EQ."""
     t = F.lower(ascii_digits(c))
     return (
-        F.when(t.rlike(r"between\s+[0-9].*and\s+[0-9]|(?<![0-9-])[0-9]+\s*(?:-|to|से)\s*[0-9]+(?![0-9-])"), "BETWEEN")
-        .when(t.rlike(r"not\s+(?:more|exceed|above)|not exceeding|से अधिक नहीं"), "LTE")
-        .when(t.rlike(r"not\s+(?:less|below)|से कम नहीं"), "GTE")
-        .when(t.rlike(r"at least|minimum|or more|and above|न्यूनतम|कम से कम"), "GTE")
-        .when(t.rlike(r"more than|above|over|greater than|से अधिक"), "GT")
-        .when(t.rlike(r"at most|maximum|up to|upto|or less|अधिकतम|तक"), "LTE")
-        .when(t.rlike(r"less than|below|under|से कम"), "LT")
+        F.when(~t.rlike(r"से\s*(?:अधिक|ज्यादा|कम)") & t.rlike(r"between\s+[0-9].*and\s+[0-9]|(?<![0-9-])[0-9]+\s*(?:-|to|से)\s*[0-9]+(?![0-9-])"), "BETWEEN")
+        .when(t.rlike(r"not\s+(?:more|exceed|above|greater)|से\s*(?:अधिक|ज्यादा)\s*नहीं"), "LTE")
+        .when(t.rlike(r"not\s+(?:less|below)|से\s*कम\s*नहीं"), "GTE")
+        .when(t.rlike(r"at\s*least|minimum|or\s*more|and\s*above|न्यूनतम|कम\s*से\s*कम|या\s*(?:उससे\s*)?अधिक|या\s*ज्यादा|पूर्ण\s*कर\s*चुके"), "GTE")
+        .when(t.rlike(r"more\s*than|above|over|greater\s*than|exceeding|से\s*(?:अधिक|ज्यादा)"), "GT")
+        .when(t.rlike(r"at most|maximum|up\s*to|or less|अधिकतम|तक"), "LTE")
+        .when(t.rlike(r"less\s*than|below|under|से\s*कम"), "LT")
         .when(t.rlike(r"[0-9]"), "EQ")
     )
 
 
+def unit(c: Column) -> Column:
+    """The unit of a number: years, months, days, per cent or rupees, in this order."""
+    t = F.lower(ascii_digits(c))
+    return (
+        F.when(t.rlike("वर्ष|साल|year|yr"), "years").when(t.rlike("माह|महीने|month"), "months").when(t.rlike("दिन|day"), "days")
+        .when(t.rlike("%|प्रतिशत|percent"), "PERCENT").when(t.rlike("₹|rs|rupee|रुपये|रुपए"), "INR")
+    )
+
+
 def periodicity(c: Column) -> Column:
     t = F.lower(c)
     return F.when(t.rlike(r"month|प्रति माह|मासिक"), "MONTHLY").when(t.rlike(r"quarter|त्रैमासिक"), "QUARTERLY").when(t.rlike(r"annual|year|per annum|वार्षिक|प्रति वर्ष"), "ANNUAL").when(t.rlike(r"one.?time|lump ?sum|एकमुश्त"), "ONE_TIME")
@@ -97,11 +107,16 @@ def estimated_tokens(c: Column) -> Column:
     """A word is 0.45 tokens a Devanagari character and 0.28 any other, each part rounded half to even, one at least."""
     words = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
 
-    def cost(w):
-        hindi = F.length(F.regexp_replace(w, r"[^\x{0900}-\x{097F}]", ""))
-        return F.greatest(F.lit(1), (F.bround(hindi * 0.45) + F.bround((F.length(w) - hindi) * 0.28)).cast("int"))
+    def cost(hindi, other):
+        return F.greatest(F.lit(1), (F.bround(hindi * 0.45) + F.bround(other * 0.28)).cast("int"))
+
+    def mixed(w):
+        other = F.length(F.translate(w, _DEVANAGARI_BLOCK, ""))
+        return cost(F.length(w) - other, other)
 
-    return F.aggregate(F.transform(words, cost), F.lit(0).cast("long"), lambda a, b: a + b)
+    # most texts have no such character: their words needn't be looked at one character after the other
+    costs = F.when(c.rlike(r"[\x{0900}-\x{097F}]"), F.transform(words, mixed)).otherwise(F.transform(words, lambda w: cost(F.lit(0), F.length(w))))
+    return F.aggregate(costs, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def collapsed(c: Column) -> Column:

@@ -37,14 +37,28 @@ def text(value: Column) -> Column:
     return F.lower(F.trim(value.cast("string")))
 
 
+#: What text counts as true against a boolean; all other text is false.
+YES = ("true", "1", "yes", "हाँ", "ha")
+
+
+def flag(value: Column) -> Column:
+    """As a boolean: text and booleans by YES, numbers by being other than 0."""
+    as_text = F.lower(value.cast("string"))
+    return F.when(F.typeof(value).isin("boolean", "string"), as_text.isin(*YES)).otherwise(as_text.try_cast("double") != 0)
+
+
 def equals(value: Column, target) -> Column:
-    """Booleans as such, then numbers, then trimmed text without regard to case."""
+    """Booleans on either side as such, then numbers, then trimmed text without regard to case."""
+    if target is None:
+        return unknown()
     if isinstance(target, bool):
-        return value.cast("boolean") == F.lit(target)
+        return flag(value) == F.lit(target)
+    wanted = target.lower() in YES if isinstance(target, str) else bool(target)
     goal = number(F.lit(str(target)))
     as_number = number(value)
     same_text = text(value) == text(F.lit(str(target)))
-    return F.when(as_number.isNotNull() & goal.isNotNull(), as_number == goal).otherwise(same_text)
+    plain = F.when(as_number.isNotNull() & goal.isNotNull(), as_number == goal).otherwise(same_text)
+    return F.when(F.typeof(value) == "boolean", flag(value) == F.lit(wanted)).otherwise(plain)
 
 
 def one_of(value: Column, targets: list) -> Column:

@@ -17,10 +17,27 @@ def change_states(history: DataFrame, key: str, order: list[str], body: str, lin
     return history.withColumn("state", state).withColumn("kind", kind)
 
 
-def next_interval(base: Column, failures: Column, unchanged: Column, limited: Column) -> Column:
-    """Minutes to the next look: rate limits quadruple, failures double each, long quiet stretches the base."""
-    quiet = F.when(unchanged >= 10, 2.25).when(unchanged >= 5, 1.5).otherwise(1.0)
-    return F.when(limited, base * 4).when(failures > 0, base * F.pow(F.lit(2.0), F.least(failures, F.lit(6)))).otherwise(base * quiet)
+# Minutes between looks by priority, and outcomes by what follows from them.
+TIERS = {"TIER_1": 60, "TIER_2": 360, "TIER_3": 1440, "TIER_4": 10080}
+FAILED = ("CHECK_FAILED", "TEMPORARILY_UNAVAILABLE", "TIMEOUT")
+REFUSED = ("BLOCKED_BY_POLICY", "ACCESS_FORBIDDEN", "AUTH_REQUIRED")
+QUIET = ("UNCHANGED", "BASELINE_CREATED")
+
+
+def next_interval(priority: Column, outcome: Column, failures: Column, unchanged: Column, retry_after: Column, custom: Column | None = None, least: int = 15, most: int = 10080, slower: float = 1.5, backoff: float = 2.0) -> Column:
+    """Seconds to the next look, without jitter.
+
+    A stated wait comes first, of `least` minutes at least. Failures wait 15 minutes times backoff to the power of one less than their number,
+    refusals a day, long quiet sources up to slower squared of their own interval; all else the interval of the priority, or its
+    own. Intervals lie between least and most."""
+    clamp = lambda c: F.greatest(F.lit(float(least)), F.least(c, F.lit(float(most))))
+    tier = F.coalesce(F.create_map(*(F.lit(x) for pair in TIERS.items() for x in pair))[F.upper(priority)], F.lit(1440))
+    own = F.when(custom > 0, custom).otherwise(tier) if custom is not None else tier
+    base = clamp(own.cast("double"))
+    failed = clamp(max(15, least) * F.pow(F.lit(backoff), F.greatest(F.least(failures, F.lit(5)) - 1, F.lit(0))))
+    quiet = clamp(base * F.when(unchanged >= 10, slower**2).when(unchanged >= 5, slower).otherwise(1.0))
+    minutes = F.when(outcome.isin(*FAILED), failed).when(outcome.isin(*REFUSED), float(min(1440, most))).when(outcome.isin(*QUIET), quiet).otherwise(base)
+    return F.when(retry_after > 0, F.greatest(retry_after.cast("double"), F.lit(least * 60.0))).otherwise(minutes * 60)
 
 
 def full_diff(base: DataFrame, new: DataFrame, key: str, values: list[str], partial: bool = False) -> DataFrame:
@@ -39,12 +56,13 @@ def version_issues(versions: DataFrame, key: str, number: str, start: str, end:
     return rows.withColumn("issue", issue).where("issue is not null").select(key, number, "issue")
 
 
-def as_of(events: DataFrame, versions: DataFrame, key: str, at: str, start: str, end: str, number: str, event: str) -> DataFrame:
-    """The highest version of the event's key that holds at its time; null if none does. An open end holds on."""
-    v = versions.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), number)
-    holds = (events[key] == v[key]) & (events[at] >= F.col("_s")) & (F.col("_e").isNull() | (events[at] < F.col("_e")))
-    found = events.join(v, holds, "left").groupBy(events[event]).agg(F.max(number).alias(number))
-    return found
+def as_of(events: DataFrame, versions: DataFrame, key: str, at: str, start: str, end: str, number: str, event: str, active: Column | None = None) -> DataFrame:
+    """event, number: the version of the event's key that holds at its time, null if none does.
+
+    Both days of an interval belong to it and a missing end is open. An active version comes before others, then the highest number."""
+    v = versions.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct((active if active is not None else F.lit(True)).alias("active"), F.col(number).alias("n")).alias("_v"))
+    holds = (events[key] == v[key]) & (F.col("_s").isNull() | (F.col("_s") <= events[at])) & (F.col("_e").isNull() | (events[at] <= F.col("_e")))
+    return events.join(v, holds, "left").groupBy(events[event]).agg(F.max("_v").alias("_v")).select(event, F.col("_v.n").alias(number))
 
 
 def sessions(events: DataFrame, key: str, at: str, minutes: int) -> DataFrame:

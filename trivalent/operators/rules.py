@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import truth
+from .sizes import hinted
 
 DEEPEST = 10
 _NAMES = {"AND": "AND", "ALL": "AND", "OR": "OR", "ANY": "OR", "NOT": "NOT"}
+
+
 def _no_fields() -> Column:
     return F.array().cast("array<string>")
 
@@ -24,6 +27,13 @@ def _group(node: dict) -> str | None:
     return _NAMES.get(name.upper()) if name else None
 
 
+def fields_of(node: dict) -> list[str]:
+    """The fields of a tree, in order, each once."""
+    if _group(node) is None:
+        return [node["field"]]
+    return list(dict.fromkeys(f for c in node.get("children", []) for f in fields_of(c)))
+
+
 def compiled(node: dict | None, depth: int = 0) -> tuple[Column, Column]:
     """A rule tree's state, and the fields that are missing for a decision, in the order of evaluation.
 
@@ -59,11 +69,11 @@ def exclusion_state(exclusions: list[dict], positive: Column) -> tuple[Column, C
     an unknown exclusion counts only if its check is mandatory."""
     hit, unknown, needed = F.lit(None).cast("string"), F.lit(False), _no_fields()
     for e in reversed(exclusions):
-        state, _ = compiled(e["rule"])
+        state, missing = compiled(e["rule"])
         hit = F.when(state, F.lit(e["id"])).otherwise(hit)
         if e.get("mandatory_check"):
             unknown = unknown | state.isNull()
-            needed = F.concat(F.when(state.isNull(), F.array(F.lit(e["rule"].get("field", "exclusion")))).otherwise(_no_fields()), needed)
+            needed = F.concat(F.when(state.isNull(), missing).otherwise(_no_fields()), needed)
     off = positive.eqNullSafe(F.lit(False))
     state = F.when(off, False).when(hit.isNotNull(), True).when(unknown, None).otherwise(False)
     return state, F.when(~off, hit), F.when(off | hit.isNotNull(), _no_fields()).otherwise(needed)
@@ -84,7 +94,7 @@ def evaluate(profiles: DataFrame, schemes: list[dict], on: date) -> DataFrame:
             .when(positive.isNull() | excluded.isNull(), "MORE_INFORMATION_REQUIRED")
             .otherwise("ELIGIBLE")
         )
-        met = F.array_compact(F.array(*(F.when(compiled(p)[0], F.lit(p["field"])) for p in s.get("preferences", [])))) if s.get("preferences") else _no_fields()
+        met = F.array_compact(F.array(*(F.when(compiled(p)[0], F.lit("+".join(fields_of(p)))) for p in s.get("preferences", [])))) if s.get("preferences") else _no_fields()
         results.append(
             F.struct(
                 F.lit(s["id"]).alias("scheme_id"), F.lit(availability(s.get("valid_from"), s.get("valid_until"), on)).alias("availability"), status.alias("status"),
@@ -94,47 +104,85 @@ def evaluate(profiles: DataFrame, schemes: list[dict], on: date) -> DataFrame:
     return profiles.select("*", F.explode(F.array(*results)).alias("r")).select(*profiles.columns, "r.*")
 
 
+def _constant(node: dict) -> int | None:
+    """The state of a group that no fact can change: 2 is true, 1 unknown, 0 false."""
+    kind, children = _group(node), node.get("children", [])
+    if kind is None:
+        return None
+    if not children:
+        return {"AND": 2, "OR": 0, "NOT": 1}[kind]
+    states = [_constant(c) for c in (children[:1] if kind == "NOT" else children)]
+    if None in states:
+        return None
+    return min(states) if kind == "AND" else max(states) if kind == "OR" else 2 - states[0]
+
+
 def nodes_of(schemes: list[dict]) -> list[tuple]:
-    """scheme_id, path, parent, depth, kind, field, op, low, high, choices, flag of every node: the table form of trees."""
+    """A row (see NODES) for each node of all trees. Groups know how many of their children depend on facts, and the least
+    and greatest state of those that don't, which have no rows."""
     out = []
 
     def walk(scheme, node, path, parent, depth):
-        kind = _group(node)
-        value = node.get("value")
-        low, high = (value if node.get("operator") == "BETWEEN" else (value, value)) if not isinstance(value, (list, bool, str, type(None))) or node.get("operator") == "BETWEEN" else (None, None)
-        choices = [str(v).strip().lower() for v in (value if isinstance(value, list) else [value])] if isinstance(value, str) or isinstance(value, list) and node.get("operator") != "BETWEEN" else None
-        out.append((scheme, path, parent, depth, kind or "COND", node.get("field"), node.get("operator"), float(low) if low is not None else None, float(high) if high is not None else None, choices, value if isinstance(value, bool) else None))
-        for i, c in enumerate(node.get("children", [])):
-            walk(scheme, c, f"{path}.{i}", path, depth + 1)
+        if depth > DEEPEST:
+            raise RuleError(f"deeper than {DEEPEST}")
+        kind, value, op = _group(node), node.get("value", True), node.get("operator")
+        low = high = choices = flag = None
+        if kind is None:
+            if op == "BETWEEN":
+                low, high = (value.get("min"), value.get("max")) if isinstance(value, dict) else value
+            elif isinstance(value, bool):
+                flag = value
+            elif isinstance(value, (int, float)):
+                low = high = value
+            elif value is not None:
+                choices = [str(v).strip().lower() for v in (value if isinstance(value, list) else [value])]
+        children = node.get("children", [])[: 1 if kind == "NOT" else None]
+        fixed = [_constant(c) for c in children]
+        known = [x for x in fixed if x is not None] + ([_constant(node)] if kind and not children else [])
+        number = lambda x: float(x) if x is not None else None
+        out.append((scheme, path, parent, depth, kind or "COND", node.get("field"), op, number(low), number(high), choices, flag, fixed.count(None), min(known, default=2), max(known, default=0)))
+        for i, c in enumerate(children):
+            if fixed[i] is None:
+                walk(scheme, c, f"{path}.{i}", path, depth + 1)
 
     for s in schemes:
         walk(s["id"], s["rule"], "0", None, 0)
     return out
 
 
-NODES = "scheme_id string, path string, parent string, depth int, kind string, field string, op string, low double, high double, choices array<string>, flag boolean"
+NODES = "scheme_id string, path string, parent string, depth int, kind string, field string, op string, low double, high double, choices array<string>, flag boolean, open int, least int, most int"
 
 
 def evaluate_nodes(facts: DataFrame, nodes: DataFrame, deepest: int) -> DataFrame:
     """profile_id, scheme_id, state for facts (profile_id, field, num, str, flag_value) under rules kept as rows.
 
     Conditions meet facts in an equi-join on the field; groups are rolled up from the deepest level: false is 0,
-    unknown 1 and true 2, so AND is the minimum, OR the maximum and NOT two less the state."""
+    unknown 1 and true 2, so AND is the minimum, OR the maximum and NOT two less the state. A condition without a fact is
+    unknown, whether the fact's row is null or there is none: a group counts the children that it should have.
+    Every profile with any fact has a state under every scheme. Rules are sent to all tasks while they are small."""
     num, low, high = (F.col(c).cast(truth.DECIMAL) for c in ("num", "low", "high"))
     named = F.lower(F.trim("str"))
     op = F.col("op")
+    given = F.coalesce(F.col("num").cast("string"), F.col("str"), F.col("flag_value").cast("string")).isNotNull()
+    said = F.coalesce(F.col("flag_value"), named.isin(*truth.YES), F.col("num") != 0)
     holds = (
         F.when(op == "GTE", num >= low).when(op == "GT", num > low).when(op == "LTE", num <= low).when(op == "LT", num < low).when(op == "BETWEEN", (num >= low) & (num <= high))
         .when(op == "IN", F.array_contains("choices", named)).when(op == "NOT_IN", ~F.array_contains("choices", named))
-        .when(op.isin("EQ", "NE"), (op == "EQ") == F.coalesce(F.col("flag_value") == F.col("flag"), num == low, F.array_contains("choices", named)))
+        .when(op == "EXISTS", F.when(given, F.lit(True))).when(op == "NOT_EXISTS", F.when(given, F.lit(False)))
+        .when(op.isin("EQ", "NE"), (op == "EQ") == F.when(F.col("flag").isNotNull(), said == F.col("flag")).otherwise(F.coalesce(num == low, F.array_contains("choices", named))))
     )
-    leaves = nodes.where("kind = 'COND'")
-    level = facts.join(F.broadcast(leaves), "field")  # rules are a dimension that the caller holds in memory
+    leaves, groups = hinted(nodes.where("kind = 'COND'"), 200), nodes.where("kind <> 'COND'").select("scheme_id", "path", "parent", "depth", "kind", "open", F.col("least").alias("fixed_least"), F.col("most").alias("fixed_most"))
+    level = facts.join(leaves, "field")
     level = level.select("profile_id", "scheme_id", "path", "parent", "depth", F.when(holds, 2).when(~holds, 0).otherwise(1).alias("state"))
-    groups = nodes.where("kind <> 'COND'").select("scheme_id", "path", "parent", "depth", "kind")
     for depth in range(deepest, 0, -1):
-        here = level.where(F.col("depth") == depth).groupBy("profile_id", "scheme_id", "parent").agg(F.min("state").alias("least"), F.max("state").alias("most"))
-        here = here.withColumnRenamed("parent", "path").join(F.broadcast(groups.where(F.col("depth") == depth - 1)), ["scheme_id", "path"])
-        state = F.when(F.col("kind") == "AND", F.col("least")).when(F.col("kind") == "OR", F.col("most")).otherwise(2 - F.col("least"))
+        here = level.where(F.col("depth") == depth).groupBy("profile_id", "scheme_id", "parent").agg(F.min("state").alias("least"), F.max("state").alias("most"), F.count("*").alias("seen"))
+        here = here.withColumnRenamed("parent", "path").join(hinted(groups.where(F.col("depth") == depth - 1), 200), ["scheme_id", "path"])
+        short = F.when(F.col("seen") < F.col("open"), 1)  # some child is unknown
+        least, most = F.least("least", "fixed_least", short), F.greatest("most", "fixed_most", short)
+        state = F.when(F.col("kind") == "AND", least).when(F.col("kind") == "OR", most).otherwise(2 - least)
         level = level.where(F.col("depth") < depth).unionByName(here.select("profile_id", "scheme_id", "path", "parent", "depth", state.alias("state")))
-    return level.select("profile_id", "scheme_id", "state")
+    # a tree none of whose conditions has a fact: unknown, or what its fixed parts decide
+    alone = F.when(F.col("kind") == "COND", 1).when(F.col("kind") == "AND", F.least("least", F.when(F.col("open") > 0, 1))).when(F.col("kind") == "OR", F.greatest("most", F.when(F.col("open") > 0, 1))).otherwise(1)
+    roots = hinted(nodes.where("depth = 0").select("scheme_id", alone.alias("alone")), 50)
+    grid = facts.select("profile_id").distinct().join(roots)  # the result's own rows
+    return grid.join(level.select("profile_id", "scheme_id", "state"), ["profile_id", "scheme_id"], "left").select("profile_id", "scheme_id", F.coalesce("state", "alone").alias("state"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import changes, metrics, retrieval, validation
+from ..operators.sizes import hinted
 
 
 def _read(spark, sf_dir, name):
@@ -13,10 +14,10 @@ def _read(spark, sf_dir, name):
 
 
 def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten query vectors: what has the query's label is relevant (gain 2 below id 100, else 1); metrics at 10 of the cosine ranking."""
+    """Every vector whose id is divisible by 50 as a query: what has the query's label is relevant (gain 2 below id 100, else 1); metrics at 10 of the cosine ranking."""
     v = _read(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
-    rows = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # a stated query set of ten
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
+    rows = v.join(hinted(q, 600), F.col("vec_id") != F.col("query_id"))  # a stated query set against all
     gain = F.when(F.col("label") != F.col("wanted"), 0).when(F.col("vec_id") < 100, 2).otherwise(1)
     rows = rows.select("query_id", "vec_id", gain.alias("gain"), F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 6).alias("s"))
     ranked = retrieval.top_k(rows, ["query_id"], [F.desc("s"), F.col("vec_id")], 10)
@@ -104,8 +105,9 @@ def interval_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers as bounds: odd ones lower, even ones upper; orders whose bounds exclude each other."""
     n = F.col("l_linenumber")
     op = F.when(n % 4 == 1, "GTE").when(n % 4 == 3, "GT").when(n % 4 == 2, "LTE").otherwise("LT")
-    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("quantity").alias("field"), op.alias("op"), F.col("l_quantity").alias("value"))
-    return validation.contradictions(rows, "l_orderkey", "field")
+    branch = F.when(n > 2, (n % 2 + F.col("l_orderkey") % 2).cast("string"))  # the first two hold in all alternatives
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("quantity").alias("field"), branch.alias("alternative"), op.alias("op"), F.col("l_quantity").alias("value"))
+    return validation.contradictions(rows, "l_orderkey", "field", "alternative")
 
 
 def fingerprint_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +119,11 @@ def fingerprint_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adaptive_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next look at each user, from failures and quiet events."""
     g = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"), F.count_if(F.col("event_type") == "view").alias("quiet"), F.count("*").alias("n"))
-    minutes = changes.next_interval(F.lit(60.0), F.col("failures") % 3, F.col("quiet"), F.col("n") > 130)
-    return g.select("user_id", F.round(minutes, 2).alias("minutes"))
+    k = F.col("user_id")
+    priority = F.concat(F.lit("TIER_"), (k % 5 + 1).cast("string"))  # there is no fifth
+    outcome = F.element_at(F.array(*map(F.lit, ("CHECK_FAILED", "UNCHANGED", "CHANGED", "ACCESS_FORBIDDEN", "BASELINE_CREATED", "TIMEOUT"))), (F.col("n") % 6 + 1).cast("int"))
+    retry = F.when(k % 9 == 0, (k * 31) % 3000)
+    return g.select("user_id", changes.next_interval(priority, outcome, F.col("failures") % 8, F.col("quiet"), retry, F.when(k % 7 == 0, k % 200)).alias("seconds"))
 
 
 def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +155,8 @@ def asof_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version of each customer that holds on a day of its own."""
     v = _versions(spark, sf_dir)
     days = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")).alias("day"))
-    return changes.as_of(days, v, "o_custkey", "day", "start", "end", "version", "o_custkey")
+    v = v.withColumn("start", F.when(F.col("o_orderkey") % 11 != 0, F.col("start"))).withColumn("end", F.when(F.col("o_orderkey") % 13 != 0, F.col("end")))
+    return changes.as_of(days, v, "o_custkey", "day", "start", "end", "version", "o_custkey", F.col("o_orderkey") % 5 != 0)
 
 
 def catalogue_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +187,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "ranking_quality": f"""WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, CASE WHEN q.label <> v.label THEN 0 WHEN v.vec_id < 100 THEN 2 ELSE 1 END AS gain, round(greatest(0, least(1, {_COS})), 6) AS s
-      FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND q.vec_id <> v.vec_id),
+      FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
       k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS i, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS j FROM r),
       m AS (SELECT query_id, sum((gain > 0)::INT) AS relevant, sum((gain > 0 AND i <= 10)::INT) AS hits, min(CASE WHEN gain > 0 AND i <= 10 THEN i END) AS first,
         sum(CASE WHEN i <= 10 THEN gain / log2(i + 1) ELSE 0 END) AS dcg, sum(CASE WHEN j <= 10 THEN gain / log2(j + 1) ELSE 0 END) AS best FROM k GROUP BY query_id)
@@ -191,7 +197,11 @@ ORACLE_SQL = {
       SELECT lang, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM s""",
     "confusion_matrix": f"SELECT quality, count(*) FILTER (n_chars < 500) AS short, count(*) FILTER (n_chars >= 500 AND n_chars < 3000) AS middle, count(*) FILTER (n_chars >= 3000) AS long FROM {_LABELLED} GROUP BY quality",
     "slice_metrics": f"SELECT lang, source, count(*) AS n, round(avg(quality), 4) AS quality FROM {_LABELLED} GROUP BY GROUPING SETS ((lang), (source), ())",
-    "transcription_errors": "SELECT * FROM (VALUES (1::BIGINT, round(3 / 12, 4), round(1 / 4, 4)), (2, 0, 0), (3, 1, 1), (4, 0, 0), (5, round(6 / 16, 4), round(3 / 4, 4)), (6, 1, 1)) AS t(id, cer, wer)",
+    "transcription_errors": r"""WITH t(id, r, h) AS (VALUES """ + ", ".join(f"({i}::BIGINT, '{r}', '{h}')" for i, r, h in TRANSCRIPTS) + r"""),
+      w AS (SELECT id, regexp_replace(r, '\s+', '', 'g') AS r, regexp_replace(h, '\s+', '', 'g') AS h, list_filter(regexp_split_to_array(lower(r), '\s+'), lambda x: x <> '') AS rw, list_filter(regexp_split_to_array(lower(h), '\s+'), lambda x: x <> '') AS hw FROM t),
+      c AS (SELECT *, list_distinct(list_concat(rw, hw)) AS k FROM w),
+      d AS (SELECT *, array_to_string(list_transform(rw, lambda x: chr((47 + list_position(k, x))::INT)), '') AS rc, array_to_string(list_transform(hw, lambda x: chr((47 + list_position(k, x))::INT)), '') AS hc FROM c)
+      SELECT id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) > 0 THEN 1 ELSE 0 END, 4) AS cer, round(CASE WHEN len(rw) > 0 THEN levenshtein(rc, hc) / len(rw) WHEN len(hw) > 0 THEN 1 ELSE 0 END, 4) AS wer FROM d""",
     "latency_percentiles": "SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE i = least(floor(n * 0.95::DOUBLE), n - 1)",
     "status_rollup": """SELECT CASE o_orderstatus WHEN 'O' THEN 'waiting' WHEN 'P' THEN 'processing' ELSE 'done' END AS stage, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS oldest,
       count(*) FILTER (o_orderstatus <> 'F' AND o_orderdate <= TIMESTAMP '1996-01-01') AS stuck FROM orders GROUP BY 1""",
@@ -202,20 +212,25 @@ ORACLE_SQL = {
       (SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE s_name ILIKE '%1%' ORDER BY 2 LIMIT 10) UNION ALL (SELECT 'part', p_partkey, p_name FROM part WHERE p_name ILIKE '%1%' ORDER BY 2 LIMIT 10)""",
     "validate_rules_severity": """WITH c AS (SELECT l_orderkey, count(*) FILTER (l_discount > 0.09::DOUBLE AND l_quantity > 45) AS b, count(*) FILTER (l_extendedprice / l_quantity > 1900) AS e, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS w FROM lineitem GROUP BY 1)
       SELECT CASE WHEN b > 0 THEN 'FAILED' WHEN e > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASSED' END AS status, count(*) AS orders, sum(b)::BIGINT AS blockers, sum(e)::BIGINT AS errors, sum(w)::BIGINT AS warnings FROM c WHERE b + e + w > 0 GROUP BY 1""",
-    "interval_contradiction": """WITH b AS (SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber % 2 = 1) AS low, min(l_quantity) FILTER (l_linenumber % 2 = 0) AS high FROM lineitem GROUP BY 1)
-      SELECT b.l_orderkey, 'quantity' AS field, low, high FROM b WHERE low > high OR (low = high AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = b.l_orderkey AND l.l_quantity = low AND l_linenumber % 4 IN (0, 3)))""",
+    "interval_contradiction": """WITH l AS (SELECT l_orderkey, l_linenumber % 2 = 1 AS lower, l_quantity AS v, l_linenumber % 4 IN (0, 3) AS strict, CASE WHEN l_linenumber > 2 THEN (l_linenumber % 2 + l_orderkey % 2)::VARCHAR END AS branch FROM lineitem),
+      k AS (SELECT DISTINCT l_orderkey, branch FROM l),
+      m AS (SELECT k.l_orderkey, k.branch, max(v) FILTER (lower) AS low, min(v) FILTER (NOT lower) AS high FROM k JOIN l ON l.l_orderkey = k.l_orderkey AND (l.branch IS NULL OR l.branch = k.branch) GROUP BY ALL)
+      SELECT l_orderkey, 'quantity' AS field, branch, low, high FROM m WHERE low > high OR (low = high AND EXISTS (SELECT 1 FROM l WHERE l.l_orderkey = m.l_orderkey AND (l.branch IS NULL OR l.branch = m.branch) AND v = low AND strict))""",
     "fingerprint_change": """WITH e AS (SELECT *, row_number() OVER w AS i, lag(event_type) OVER w AS pe, lag(props) OVER w AS pp FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
       SELECT CASE WHEN i = 1 THEN 'BASELINE' WHEN event_type IS DISTINCT FROM pe OR props IS DISTINCT FROM pp THEN 'CHANGED' ELSE 'UNCHANGED' END AS state,
         CASE WHEN i = 1 THEN NULL WHEN event_type IS DISTINCT FROM pe AND props IS DISTINCT FROM pp THEN 'BOTH' WHEN event_type IS DISTINCT FROM pe THEN 'BODY' WHEN props IS DISTINCT FROM pp THEN 'LINKS' END AS kind, count(*) AS n FROM e GROUP BY ALL""",
-    "adaptive_schedule": """WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error') % 3 AS f, count(*) FILTER (event_type = 'view') AS q, count(*) AS n FROM events GROUP BY 1)
-      SELECT user_id, round(CASE WHEN n > 130 THEN 240 WHEN f > 0 THEN 60 * power(2, f) ELSE 60 * CASE WHEN q >= 10 THEN 2.25 WHEN q >= 5 THEN 1.5 ELSE 1 END END, 2)::DOUBLE AS minutes FROM g""",
+    "adaptive_schedule": """WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error') % 8 AS f, count(*) FILTER (event_type = 'view') AS q, count(*) % 6 AS o, CASE WHEN user_id % 9 = 0 THEN user_id * 31 % 3000 END AS retry,
+        CASE WHEN user_id % 7 = 0 AND user_id % 200 > 0 THEN user_id % 200 ELSE CASE user_id % 5 WHEN 0 THEN 60 WHEN 1 THEN 360 WHEN 2 THEN 1440 WHEN 3 THEN 10080 ELSE 1440 END END AS own FROM events GROUP BY 1),
+      b AS (SELECT *, greatest(15, least(own, 10080))::DOUBLE AS base FROM g)
+      SELECT user_id, CASE WHEN retry > 0 THEN greatest(retry, 900)::DOUBLE WHEN o IN (0, 5) THEN greatest(15, least(15 * power(2, greatest(least(f, 5) - 1, 0)), 10080)) * 60
+        WHEN o = 3 THEN 1440 * 60 WHEN o IN (1, 4) THEN greatest(15, least(base * CASE WHEN q >= 10 THEN 2.25 WHEN q >= 5 THEN 1.5 ELSE 1 END, 10080)) * 60 ELSE base * 60 END::DOUBLE AS seconds FROM b""",
     "session_ttl": """WITH e AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 45 MINUTE)::INT, 1) AS new FROM events),
       s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1""",
     "fsm_fold": f"""WITH RECURSIVE m(s, e, t) AS (VALUES {", ".join(f"('{s}', '{e}', '{t}')" for (s, e), t in MOVES.items())}), o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
       f AS (SELECT user_id, 0::BIGINT AS i, 'idle' AS state FROM events GROUP BY user_id UNION ALL SELECT f.user_id, o.i, coalesce(m.t, f.state) FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1 LEFT JOIN m ON m.s = f.state AND m.e = o.event_type),
       l AS (SELECT user_id, arg_max(state, i) AS state FROM f GROUP BY 1) SELECT state, count(*) AS users FROM l GROUP BY 1""",
     "version_gap_overlap": f"WITH {_VERSIONS}, n AS (SELECT *, lead(s) OVER (PARTITION BY o_custkey ORDER BY version) AS nx FROM v) SELECT CASE WHEN e > nx THEN 'OVERLAP' ELSE 'GAP' END AS issue, count(*) AS n FROM n WHERE e > nx OR nx - e > 1 GROUP BY 1",
-    "asof_version": f"WITH {_VERSIONS} SELECT c_custkey AS o_custkey, max(version) AS version FROM customer LEFT JOIN v ON o_custkey = c_custkey AND DATE '1995-01-01' + (c_custkey % 900)::INT >= s AND DATE '1995-01-01' + (c_custkey % 900)::INT < e GROUP BY 1",
+    "asof_version": f"WITH {_VERSIONS} SELECT c_custkey AS o_custkey, coalesce(max(version) FILTER (o_orderkey % 5 <> 0), max(version)) AS version FROM customer LEFT JOIN v ON o_custkey = c_custkey AND (o_orderkey % 11 = 0 OR s <= DATE '1995-01-01' + (c_custkey % 900)::INT) AND (o_orderkey % 13 = 0 OR DATE '1995-01-01' + (c_custkey % 900)::INT <= e) GROUP BY 1",
     "catalogue_diff": f"""WITH a AS (SELECT {_PARTS} FROM part WHERE p_partkey % 19 <> 0), b AS (SELECT p_partkey, p_retailprice + CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 0 END AS p_retailprice, p_size FROM part WHERE p_partkey % 17 <> 0)
       SELECT CASE WHEN a.p_partkey IS NULL THEN 'ADDED' WHEN b.p_partkey IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change, count(*) AS n FROM a FULL JOIN b ON a.p_partkey = b.p_partkey
       WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_retailprice <> b.p_retailprice GROUP BY 1""",

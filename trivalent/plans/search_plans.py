@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import dedup, retrieval
+from ..operators.sizes import hinted
 
 BM25_QUERIES = [(1, "the of and"), (2, "de la que"), (3, "der die und der")]
 
@@ -26,10 +27,10 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of ten query vectors, exact."""
+    """The five nearest of every vector whose id is divisible by 50, exact."""
     v = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # a stated query set of ten
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 4).alias("similarity"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # a stated query set against all
+    scored = v.join(hinted(q, 600), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 4).alias("similarity"))
     return retrieval.top_k(scored, ["query_id"], [F.desc("similarity"), F.col("vec_id")], 5)
 
 
@@ -111,7 +112,7 @@ ORACLE_SQL = {
       s AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS low, CASE WHEN p_partkey % 6 <> 0 THEN p_size + 15 END AS high FROM part)
       SELECT wish, count(*) AS n, min(p_partkey) AS first_key FROM s, w WHERE (low IS NULL OR low <= size) AND (high IS NULL OR size <= high) AND (brand IS NULL OR p_brand = brand) GROUP BY wish""",
     "vector_cosine_topk": f"""SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0, least(1, {_COS})), 4) AS similarity,
-      row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, least(1, {_COS})), 4) DESC, v.vec_id)::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND v.vec_id <> q.vec_id) WHERE rank <= 5""",
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, least(1, {_COS})), 4) DESC, v.vec_id)::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 5""",
     "bm25_tf_topk": f"WITH {_BM} SELECT query_id, doc_id, round(lexical, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, doc_id)::INT AS rank FROM b QUALIFY rank <= 10",
     "hybrid_rank": f"""WITH {_BM}, d AS (SELECT b.*, greatest(0, least(1, {_COS})) AS dense FROM b JOIN embeddings v ON v.vec_id = doc_id JOIN embeddings q ON q.vec_id = query_id),
       h AS (SELECT query_id, doc_id, round(0.65::DOUBLE * dense + (1 - 0.65::DOUBLE) * lexical / greatest(max(lexical) OVER (PARTITION BY query_id), 1), 6) AS score FROM d)
