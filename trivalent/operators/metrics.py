@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import largest_gains
+
 
 def ranking_metrics(ranked: DataFrame, query: str, rank: str, gain: str, ideal: DataFrame, k: int) -> DataFrame:
     """query, recall, precision, reciprocal rank and nDCG at k.
@@ -28,10 +30,11 @@ def ranking_metrics(ranked: DataFrame, query: str, rank: str, gain: str, ideal:
 
 
 def ideal_gains(judged: DataFrame, query: str, gain: str, k: int) -> DataFrame:
-    """query, relevant, best from all judgments."""
-    w = Window.partitionBy(query).orderBy(F.desc(gain))
-    rows = judged.withColumn("i", F.row_number().over(w))
-    return rows.groupBy(query).agg(F.sum((F.col(gain) > 0).cast("long")).alias("relevant"), F.sum(F.when(F.col("i") <= k, F.col(gain) / F.log2(F.col("i") + 1)).otherwise(0.0)).alias("best"))
+    """query, relevant, best (the DCG of the k largest gains) from all judgments. Gains are few different numbers, which are counted: no
+    query's judgments are sorted."""
+    ideal = largest_gains(judged, query, gain, k)
+    best = F.aggregate(F.transform("gains", lambda g, i: g / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
+    return ideal.select(query, "relevant", best.alias("best"))
 
 
 def precision_recall(df: DataFrame, by: list[str], predicted: Column, actual: Column) -> DataFrame:

@@ -43,16 +43,19 @@ def _is(token: str):
 def bm25_tf(docs: DataFrame, id: str, text: str, queries: list[tuple[int, str]]) -> DataFrame:
     """query_id, id, score: term frequencies saturated and normalised by length, without document frequencies.
 
-    A token that a query repeats counts as often. Queries are few and become literals; tokens are counted where they are read."""
-    tokens = docs.select(id, words(F.col(text)).alias("w"))
-    mean = tokens.agg(F.avg(F.size("w")).alias("mean"))
-    scored = tokens.crossJoin(F.broadcast(mean))  # one row
+    A token that a query repeats counts as often. Queries are few and become literals; tokens are counted where they are read, once
+    for all queries, and the counts are kept for the mean length and the scores."""
+    asked = list(dict.fromkeys(token for _, s in queries for token in s.lower().split()))
+    tokens = docs.select(id, F.explode(F.array(words(F.col(text)))).alias("w"))  # the generator keeps the words from being split again
+    counts = tokens.select(id, F.size("w").alias("n"), *(F.size(F.filter("w", _is(token))).cast("double").alias(f"tf{i}") for i, token in enumerate(asked))).checkpoint()
+    mean = counts.agg(F.avg("n").alias("mean"))
+    scored = counts.crossJoin(F.broadcast(mean))  # one row
     out = []
     for q, s in queries:
         parts = F.lit(0.0)
         for token in s.lower().split():
-            tf = F.size(F.filter("w", _is(token))).cast("double")
-            parts = parts + tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("w") / F.col("mean")))
+            tf = F.col(f"tf{asked.index(token)}")
+            parts = parts + tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("mean")))
         out.append(F.struct(F.lit(q).cast("long").alias("query_id"), parts.alias("score")))
     return scored.select(id, F.explode(F.array(*out)).alias("r")).select("r.query_id", id, "r.score").where("score > 0")
 
