@@ -34,6 +34,34 @@ def test_sentencepiece_is_the_librarys():
         assert ours.digest(t) == (len(ids), ",".join(map(str, ids)), theirs.decode(ids))
 
 
+def test_other_models_are_refused():
+    from pathlib import Path
+
+    import public_tokenizers
+
+    others = [f for f in Path(public_tokenizers.__file__).parent.glob("*.model") if f.name != "piece_bpe_32k.model"]
+    for f in others:
+        with pytest.raises(Exception):  # noqa: B017  a file of another library, or a ValueError
+            PrefixTableEncoder(f.read_bytes())
+
+
+def test_disguises_of_any_identifier_are_found():
+    """Random identifiers, each character or separator disguised at random: the whole source stretch is found."""
+    rng = random.Random(12)
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isalnum() and rng.random() < 0.4 else c for c in s)
+    cyrillic = lambda s: "".join({"a": "а", "e": "е", "o": "о", "c": "с"}.get(c, c) if rng.random() < 0.6 else c for c in s)
+    hidden = lambda s: s[:1] + "".join((chr(0x200B) if rng.random() < 0.2 else "") + c for c in s[1:])
+    brackets = lambda s: s.replace("@", rng.choice([" [at] ", "(at)", " { AT } "])).replace(".", rng.choice([" [dot] ", "(dot)"]))
+    words = lambda s: s.replace("@", " at ").replace(".", " dot ")
+    for _ in range(400):
+        name = "".join(rng.choice("abcdeghok") for _ in range(rng.randrange(2, 9)))
+        kind, plain = rng.choice([(0, f"{name}@{name[::-1]}.com"), (0, f"{name}.x@mail.{name}.org"), (1, ".".join(str(rng.randrange(256)) for _ in range(4))), (3, "+" + "".join(rng.choice("123456789") for _ in range(11)))])
+        shown = rng.choice([wide, cyrillic, hidden, brackets, words] if kind == 0 else [wide, hidden])(plain)
+        text = f"Write: {shown} , please"
+        found = [(k, text[s:e]) for k, s, e in pii.all_spans(text)[1]]
+        assert (kind, shown) in found, (shown, found)
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

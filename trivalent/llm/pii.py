@@ -283,7 +283,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     more = list(base)
     for kind, start, end in base_spans(tape.text):
         own = tape.spans[start:end]
-        if any(x[2] for x in own):
+        if any(x[2] for x in own) or any(x[1] < y[0] for x, y in zip(own, own[1:])):  # rewritten, or with characters taken out
             s, e = min(x[0] for x in own), max(x[1] for x in own)
             if not any(k == kind and a <= s and e <= b for k, a, b in base):
                 more.append((kind, s, e))

@@ -27,8 +27,12 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 REMEMBERED, LONGEST = 600_000, 48
 
 
+#: Texts on which models of another kind (unigram, normalising, without a dummy prefix or byte fallback) differ from what is built here.
+PROBES = ("", " ", "  two  spaces ", "Ｆｕｌｌ ﬁ ① ½", "e\u0301 é Å", "tab\tand\nline\r", "internationalization of misunderstandings", "Donaudampfschifffahrtsgesellschaft", "aaaaaaaaaaaaa", "語ア😀\u200b", "3.14159, 2026-01-01")
+
+
 class PrefixTableEncoder:
-    """Encoder and decoder for a BPE model with byte fallback, identity normalisation and a dummy prefix."""
+    """Encoder and decoder for a BPE model with byte fallback, identity normalisation and a dummy prefix; another model is refused."""
 
     def __init__(self, model: bytes):
         import ahocorasick
@@ -56,6 +60,8 @@ class PrefixTableEncoder:
         self.words: dict[str, tuple[int, str, str]] = {}
         self.id_lists: dict[str, list[int]] = {}
         self.unit = self._units()
+        if any(self.encode(t) != sp.encode(t) or self.decode(sp.encode(t)) != sp.decode(sp.encode(t)) for t in PROBES):
+            raise ValueError("the model is not BPE with byte fallback, identity normalisation and a dummy prefix")
 
     def _units(self) -> re.Pattern:
         inside = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
