@@ -207,7 +207,7 @@ ORACLE_SQL = {
       SELECT id, coalesce(CASE WHEN regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime(s, '%Y-%m-%d') END, CASE WHEN regexp_full_match(s, '[0-9]{{2}}([-/.])[0-9]{{2}}[-/.][0-9]{{4}}') THEN try_strptime(replace(replace(s, '/', '-'), '.', '-'), '%d-%m-%Y') END,
         try_strptime(s, '%d %B %Y'), try_strptime(s, '%d %b %Y'), try_strptime(s, '%B %d, %Y'))::DATE::VARCHAR AS day FROM u""",
     "numeric_changes": rf"""WITH p(id, s) AS (VALUES {_VALUES}), q AS (SELECT id, lower(translate(s, '०१२३४५६७८९', '0123456789')) AS t FROM p)
-      SELECT id, regexp_matches(t, 'rs\.? ?[0-9]') OR regexp_matches(t, '[0-9.]+ ?(lakh|crore|लाख)') OR regexp_matches(t, '[0-9]+ ?(%|percent)') OR regexp_matches(t, '[0-9] ?(year|वर्ष)') OR regexp_matches(t, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') OR regexp_matches(t, '[0-9] ?day') AS numeric FROM q""",
+      SELECT id, regexp_matches(t, 'rs\.? ?[0-9]') OR regexp_matches(t, '[0-9.]+ ?(lakh|crore|लाख)') OR regexp_matches(t, '[0-9]+ ?(%|percent)') OR regexp_matches(t, '[0-9] ?(year|वर्ष)') OR regexp_matches(t, '[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{4}}') OR regexp_matches(t, '[0-9] ?day') AS numeric FROM q""",
     "shingle_classes": f"""WITH w AS (SELECT doc_id, {_W.format("text")} AS w FROM documents),
       g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w)
       SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, len(s) AS shingles FROM g""",

@@ -9,7 +9,8 @@ from ..functions import text as t
 
 PHRASES = [
     (1, "income not exceeding 2.5 lakh per annum"), (2, "आयु ६० वर्ष से अधिक"), (3, "between 18 and 40 years"), (4, "at least 40% marks"), (5, "pension of Rs 1,150 per month"),
-    (6, "on or before 31/03/2026"), (7, "effective 2024-04-01"), (8, "less than 5 crore"), (9, "up to 75 percent subsidy"), (10, "one time grant"), (11, "no limit"), (12, "कम से कम १.५ लाख"), (13, "")
+    (6, "on or before 31/03/2026"), (7, "effective 2024-04-01"), (8, "less than 5 crore"), (9, "up to 75 percent subsidy"), (10, "one time grant"), (11, "no limit"), (12, "कम से कम १.५ लाख"), (13, ""),
+    (14, "income exceeding 5 lakh"), (15, "60 वर्ष या अधिक"), (16, "आयु 18 से ज्यादा"), (17, "18 से 40 वर्ष"), (18, "२ लाख से ज्यादा नहीं"), (19, "5/6/2027 for 3 months"), (20, "31-13-2026"), (21, "not less than 3 days, quarterly")
 ]
 _VALUES = "p(id, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in PHRASES) + "), q AS (SELECT id::BIGINT AS id, s, lower(translate(s, '०१२३४५६७८९', '0123456789')) AS t FROM p)"
 
@@ -23,7 +24,7 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases(spark).select("id", t.bound_operator(F.col("s")).alias("operator"), t.periodicity(F.col("s")).alias("period"))
+    return phrases(spark).select("id", t.bound_operator(F.col("s")).alias("operator"), t.periodicity(F.col("s")).alias("period"), t.unit(F.col("s")).alias("unit"))
 
 
 def date_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,16 +71,27 @@ QUERIES = {f.__name__: f for f in (number_parse, bound_operator, date_expression
 ORACLE_SQL = {
     "number_parse": rf"""WITH {_VALUES} SELECT id, coalesce(try_cast(replace(regexp_extract(t, '([0-9][0-9,]*[.]?[0-9]*)\s*(thousand|lakh|crore|लाख)', 1), ',', '') AS DOUBLE) * {_SCALE},
       try_cast(replace(regexp_extract(t, '([0-9][0-9,]*(?:[.][0-9]+)?)', 1), ',', '') AS DOUBLE)) AS value, try_cast(regexp_extract(t, '([0-9]+(?:[.][0-9]+)?)\s*(%|percent)', 1) AS DOUBLE) AS percent FROM q""",
-    "bound_operator": f"""WITH {_VALUES} SELECT id, CASE WHEN t LIKE '%between%' THEN 'BETWEEN' WHEN t LIKE '%not exceeding%' THEN 'LTE' WHEN t LIKE '%at least%' OR t LIKE '%कम से कम%' THEN 'GTE'
-      WHEN t LIKE '%से अधिक%' THEN 'GT' WHEN t LIKE '%up to%' THEN 'LTE' WHEN t LIKE '%less than%' THEN 'LT' WHEN regexp_matches(t, '[0-9]') THEN 'EQ' END AS operator,
-      CASE WHEN t LIKE '%month%' THEN 'MONTHLY' WHEN t LIKE '%annum%' OR t LIKE '%year%' THEN 'ANNUAL' WHEN t LIKE '%one time%' THEN 'ONE_TIME' END AS period FROM q""",
-    "date_expression": rf"""WITH {_VALUES} SELECT id, CASE id WHEN 6 THEN '2026-03-31' WHEN 7 THEN '2024-04-01' END AS day, try_cast(regexp_extract(t, '([0-9]+)\s*(year|वर्ष)', 1) AS BIGINT) AS n,
-      CASE WHEN regexp_matches(t, '[0-9]+\s*(year|वर्ष)') THEN 'YEAR' END AS unit FROM q""",
-    "token_estimate": r"SELECT doc_id, sum(greatest(1, round_even(length(w) * 0.28::DOUBLE, 0)))::BIGINT AS tokens FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents) GROUP BY doc_id",
+    "bound_operator": rf"""WITH {_VALUES} SELECT id, CASE
+      WHEN NOT regexp_matches(t, 'से\s*(अधिक|ज्यादा|कम)') AND regexp_matches(t, 'between\s+[0-9].*and\s+[0-9]|(^|[^0-9-])[0-9]+\s*(-|to|से)\s*[0-9]+($|[^0-9-])') THEN 'BETWEEN'
+      WHEN regexp_matches(t, 'not\s+(more|exceed|above|greater)|से\s*(अधिक|ज्यादा)\s*नहीं') THEN 'LTE' WHEN regexp_matches(t, 'not\s+(less|below)|से\s*कम\s*नहीं') THEN 'GTE'
+      WHEN regexp_matches(t, 'at\s*least|minimum|or\s*more|and\s*above|न्यूनतम|कम\s*से\s*कम|या\s*(उससे\s*)?अधिक|या\s*ज्यादा|पूर्ण\s*कर\s*चुके') THEN 'GTE'
+      WHEN regexp_matches(t, 'more\s*than|above|over|greater\s*than|exceeding|से\s*(अधिक|ज्यादा)') THEN 'GT' WHEN regexp_matches(t, 'at most|maximum|up\s*to|or less|अधिकतम|तक') THEN 'LTE'
+      WHEN regexp_matches(t, 'less\s*than|below|under|से\s*कम') THEN 'LT' WHEN regexp_matches(t, '[0-9]') THEN 'EQ' END AS operator,
+      CASE WHEN regexp_matches(t, 'month|प्रति माह|मासिक') THEN 'MONTHLY' WHEN regexp_matches(t, 'quarter|त्रैमासिक') THEN 'QUARTERLY' WHEN regexp_matches(t, 'annual|year|per annum|वार्षिक|प्रति वर्ष') THEN 'ANNUAL'
+      WHEN regexp_matches(t, 'one.?time|lump ?sum|एकमुश्त') THEN 'ONE_TIME' END AS period,
+      CASE WHEN regexp_matches(t, 'वर्ष|साल|year|yr') THEN 'years' WHEN regexp_matches(t, 'माह|महीने|month') THEN 'months' WHEN regexp_matches(t, 'दिन|day') THEN 'days' WHEN regexp_matches(t, '%|प्रतिशत|percent') THEN 'PERCENT'
+      WHEN regexp_matches(t, '₹|rs|rupee|रुपये|रुपए') THEN 'INR' END AS unit FROM q""",
+    "date_expression": rf"""WITH {_VALUES}, e AS (SELECT id, regexp_extract(t, '((19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS iso, regexp_extract(t, '\b([0-9]{{1,2}})[/.-]([0-9]{{1,2}})[/.-](20[23][0-9])\b', ['d', 'm', 'y']) AS p,
+        regexp_extract(t, '([0-9]+)\s*(year|month|week|day|वर्ष|माह|दिन)', ['n', 'u']) AS r FROM q)
+      SELECT id, coalesce(try_cast(nullif(iso, '') AS DATE), try_cast(p.y || '-' || lpad(p.m, 2, '0') || '-' || lpad(p.d, 2, '0') AS DATE))::VARCHAR AS day, try_cast(r.n AS BIGINT) AS n,
+        CASE WHEN r.u IN ('year', 'वर्ष') THEN 'YEAR' WHEN r.u IN ('month', 'माह') THEN 'MONTH' WHEN r.u = 'week' THEN 'WEEK' WHEN r.u IN ('day', 'दिन') THEN 'DAY' END AS unit FROM e""",
+    "token_estimate": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents), h AS (SELECT doc_id, length(w) AS n, length(regexp_replace(w, '[\x{0900}-\x{097F}]', '', 'g')) AS o FROM w)
+      SELECT doc_id, sum(greatest(1, round_even((n - o) * 0.45::DOUBLE, 0) + round_even(o * 0.28::DOUBLE, 0)))::BIGINT AS tokens FROM h GROUP BY doc_id""",
     "turn_intents": r"""SELECT role, CASE WHEN regexp_matches(t, '[?]|^(what|which|how|when|where|why|who)\b') THEN 'QUERY' WHEN regexp_matches(t, '\b(actually|correction|i meant|change)\b') THEN 'CORRECTION'
       WHEN regexp_matches(t, '\b(skip|prefer not|decline)\b|won.t say') THEN 'DECLINE' WHEN regexp_matches(t, 'don.t know|do not know|not sure|no idea') THEN 'UNKNOWN' ELSE 'INFORMATION' END AS intent,
       regexp_matches(t, '(^|[^\p{L}])(not|no|never|none|without|nicht|kein|keine|pas|sans|sin|nunca)($|[^\p{L}])') AS negated, count(*) AS n FROM (SELECT role, lower(trim(text)) AS t FROM conversations) GROUP BY ALL""",
-    "garbled_text": "SELECT CASE WHEN length(trim(text)) < 50 THEN 'LITTLE_TEXT' ELSE 'NOT_NEEDED' END AS decision, count(*) AS n FROM documents GROUP BY ALL",
+    "garbled_text": r"""WITH g AS (SELECT text, length(text) - length(regexp_replace(text, '[\x{E000}-\x{F8FF}\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g')) AS bad, length(regexp_replace(text, '[^\x{FFFD}]', '', 'g')) AS lost FROM documents)
+      SELECT CASE WHEN length(text) > 0 AND bad / length(text) > 0.15 THEN 'GARBLED' WHEN lost >= 3 THEN 'REPLACEMENTS' WHEN length(trim(text)) < 50 THEN 'LITTLE_TEXT' ELSE 'NOT_NEEDED' END AS decision, count(*) AS n FROM g GROUP BY ALL""",
     "url_normalize": r"""SELECT page_id, lower(regexp_extract(url, '^([^:]*)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') || regexp_extract(url, '([?][^#]*)', 1) AS url,
       CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '[.]html?$|/$|/[^./]*$') THEN 'HTML' ELSE 'OTHER' END AS kind FROM pages""",
     "page_links": """SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"#]*)', 1))), ' ') AS links FROM pages""",
