@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import dedup, retrieval
+from ..operators import chunking, dedup, relations, retrieval
 from ..operators.sizes import hinted
 
 BM25_QUERIES = [(1, "the of and"), (2, "de la que"), (3, "der die und der")]
@@ -100,13 +100,43 @@ def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.aggregate(lines, start, step).alias("r")).select("doc_id", "r.chunks", "r.largest")
 
 
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed with overlap, not cut before a line with "the" at its start (as provisos), and tiny chunks merged."""
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    tokens = F.transform("l", lambda s: F.greatest(F.ceil(F.length(s) / 4), F.lit(1)).cast("long"))
+    bound = F.transform("l", lambda s: F.lower(s).startswith("the"))
+    rows = lines.select("doc_id", bound.alias("b"), F.explode(F.array(chunking.sums(tokens))).alias("r"))  # the generator keeps the sums a column
+    rows = rows.select("doc_id", "r", F.explode(F.array(chunking.packed(F.col("r"), F.col("b")))).alias("c"))
+    rows = rows.select("doc_id", F.explode(F.array(F.transform("c", lambda x: F.element_at("r", (x.last + 2).cast("int")) - F.element_at("r", (x.first + 1).cast("int"))))).alias("t"))
+    rows = rows.select("doc_id", "t", F.explode(F.array(chunking.merged(F.col("t")))).alias("m"))
+    return rows.select("doc_id", F.array_join("t", ",").alias("tokens"), F.array_join("m", ",").alias("merged"))
+
+
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks, of which every fifth was forgotten."""
+    blocks = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    chunks = blocks.where("i % 5 <> 3")
+    out = chunking.coverage(blocks, chunks.unionByName(chunks.where("i = 0")), "doc_id", "i", chunking.is_boilerplate(F.when(F.col("i") == 7, "HEADER"), F.col("line")))
+    return out
+
+
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' types as texts in which some words stand for the signals."""
+    k = F.col("p_partkey")
+    said = F.element_at(F.array(*map(F.lit, ("in supersession of", "Corrigendum to", "as amended by", "Addendum", "clarification", "extension of date", "see", ""))), (k % 8 + 1).cast("int"))
+    name = F.when(k % 16 == 7, "amendment.pdf").otherwise("order.pdf")
+    text = F.concat(said, F.lit(" "), F.when(k % 3 == 0, "order 12/2024").otherwise("a rule"))
+    relation, strength = relations.relationship(text, name, F.lit("Order 12/2024"))
+    return _read(spark, sf_dir, "part").groupBy(relation.alias("relation"), strength.alias("strength")).agg(F.count("*").alias("n"))
+
+
 _W = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: length(x) > 1)"
 _COS = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))"
 _BM = f"""w AS (SELECT doc_id, {_W} AS w FROM documents), m AS (SELECT avg(len(w)) AS mean FROM w),
   q AS (SELECT * FROM (VALUES (1, 'the'), (1, 'of'), (1, 'and'), (2, 'de'), (2, 'la'), (2, 'que'), (3, 'der'), (3, 'die'), (3, 'und'), (3, 'der')) AS q(query_id, token)),
   f AS (SELECT query_id::BIGINT AS query_id, doc_id, len(list_filter(w, lambda x: x = token))::DOUBLE AS tf, len(w) AS n, mean FROM w, m, q),
   b AS (SELECT query_id, doc_id, sum(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))) AS lexical FROM f GROUP BY ALL HAVING lexical > 0)"""
-QUERIES = {f.__name__: f for f in (candidate_filter, vector_cosine_topk, bm25_tf_topk, hybrid_rank, stale_embeddings, dedup_exact_hash, dedup_normalized_hash, jaccard_pairs, canonical_root, section_carry_forward, chunk_packing)}
+QUERIES = {f.__name__: f for f in (candidate_filter, vector_cosine_topk, bm25_tf_topk, hybrid_rank, stale_embeddings, dedup_exact_hash, dedup_normalized_hash, jaccard_pairs, canonical_root, section_carry_forward, chunk_packing, chunk_overlap, chunk_coverage, relationships)}
 ORACLE_SQL = {
     "candidate_filter": """WITH w(wish, brand, size) AS (VALUES (1, 'Brand#11', 20), (2, NULL, 30), (3, 'Brand#23', 10)),
       s AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS low, CASE WHEN p_partkey % 6 <> 0 THEN p_size + 15 END AS high FROM part)
@@ -136,4 +166,22 @@ ORACLE_SQL = {
         UNION ALL SELECT doc_id, n, i + 1, CASE WHEN open + n[i + 1] <= 400 THEN open + n[i + 1] ELSE n[i + 1] END, chunks + CASE WHEN open + n[i + 1] <= 400 THEN 0 ELSE 1 END,
           greatest(largest, CASE WHEN open + n[i + 1] <= 400 THEN open + n[i + 1] ELSE n[i + 1] END) FROM f WHERE i < len(n))
       SELECT doc_id, chunks, largest FROM f WHERE i = len(n)""",
+    "chunk_overlap": r"""WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: greatest(ceil(length(s) / 4), 1)::BIGINT) AS n, list_transform(string_split(text, chr(10)), lambda s: lower(s) LIKE 'the%') AS b FROM documents),
+      f AS (SELECT doc_id, n, b, 1 AS i, [n[1]] AS cur, []::BIGINT[] AS done FROM l
+        UNION ALL SELECT doc_id, n, b, i + 1, CASE WHEN list_sum(cur) + n[i + 1] > 400 AND NOT b[i + 1]
+            THEN list_append(list_slice(cur, len(cur) + 1 - list_max(list_filter(range(0, len(cur) + 1), lambda k: coalesce(list_sum(list_slice(cur, len(cur) + 1 - k, len(cur))), 0) <= 200)), len(cur)), n[i + 1]) ELSE list_append(cur, n[i + 1]) END,
+          CASE WHEN list_sum(cur) + n[i + 1] > 400 AND NOT b[i + 1] THEN list_append(done, list_sum(cur)::BIGINT) ELSE done END FROM f WHERE i < len(n)),
+      c AS (SELECT doc_id, list_append(done, list_sum(cur)::BIGINT) AS t FROM f WHERE i = len(n)),
+      m AS (SELECT doc_id, t, 0 AS i, []::BIGINT[] AS o, false AS skip FROM c
+        UNION ALL SELECT doc_id, t, i + 1, CASE WHEN skip THEN o WHEN t[i + 1] < 100 AND i + 1 < len(t) AND t[i + 1] + t[i + 2] <= 800 THEN list_append(o, t[i + 1] + t[i + 2])
+          WHEN t[i + 1] < 100 AND len(o) > 0 AND t[i + 1] + o[len(o)] <= 800 THEN list_append(list_slice(o, 1, len(o) - 1), o[len(o)] + t[i + 1]) ELSE list_append(o, t[i + 1]) END,
+          NOT skip AND t[i + 1] < 100 AND i + 1 < len(t) AND t[i + 1] + t[i + 2] <= 800 FROM m WHERE i < len(t))
+      SELECT doc_id, array_to_string(t, ',') AS tokens, array_to_string(o, ',') AS merged FROM m WHERE i = len(t)""",
+    "chunk_coverage": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+      b AS (SELECT doc_id, i, i = 7 OR trim(line) = '' OR (length(trim(line)) < 40 AND regexp_matches(trim(line), '(?i)https?://|www[.]|page\s*[0-9]+|^[0-9]+$')) AS bp FROM l),
+      g AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (bp) AS boilerplate, count(*) FILTER (NOT bp AND i % 5 <> 3) AS covered, count(*) FILTER (NOT bp AND i % 5 = 3) AS missing FROM b GROUP BY 1)
+      SELECT *, CASE WHEN covered + missing > 0 THEN round(covered / (covered + missing), 4) ELSE 1 END AS coverage FROM g""",
+    "relationships": """WITH p AS (SELECT p_partkey % 8 AS k, p_partkey % 16 = 7 AS weak, p_partkey % 3 = 0 AS cited FROM part),
+      r AS (SELECT CASE k WHEN 0 THEN 'SUPERSEDES' WHEN 1 THEN 'CORRIGENDUM_TO' WHEN 2 THEN 'AMENDS' WHEN 3 THEN 'ADDENDUM_TO' WHEN 4 THEN 'CLARIFIES' WHEN 5 THEN 'EXTENDS' END AS said, weak, cited FROM p)
+      SELECT coalesce(said, CASE WHEN weak THEN 'AMENDS' WHEN cited THEN 'REFERENCES' END) AS relation, CASE WHEN said IS NOT NULL THEN CASE WHEN cited THEN 'EXPLICIT' ELSE 'STRONG' END WHEN weak THEN 'WEAK' WHEN cited THEN 'EXPLICIT' END AS strength, count(*) AS n FROM r GROUP BY ALL""",
 }
