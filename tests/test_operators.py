@@ -240,3 +240,14 @@ def test_document_functions(spark):
     urls = {"http://127.0.0.1/": (False, True), "https://x.example.com:8/": (True, False), "ftp://example.com/": (False, False), "http://badexample.com": (False, False), None: (False, None)}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", documents.allowed(F.col("u"), ["example.com"]).alias("a"), documents.private_host(F.col("u")).alias("p")).collect()
     assert {r.u: (r.a, r.p) for r in got} == urls
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_index_percentiles_are_exact(spark, q):
+    import random
+
+    rng = random.Random(2)
+    rows = [(g, v) for g, n in (("a", 1), ("b", 7), ("c", 3000), ("d", 500)) for v in ([rng.random() for _ in range(n)] if g != "d" else [rng.choice([1.0, 2.0, 2.0, 9.0]) for _ in range(n)])]
+    got = {r.g: r.value for r in metrics.index_percentile(spark.createDataFrame(rows, "g string, v double"), "g", "v", q).collect()}
+    by = {g: sorted(v for h, v in rows if h == g) for g in "abcd"}
+    assert got == {g: v[min(int(len(v) * q), len(v) - 1)] for g, v in by.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import largest_gains
+from .sizes import hinted
 
 
 def ranking_metrics(ranked: DataFrame, query: str, rank: str, gain: str, ideal: DataFrame, k: int) -> DataFrame:
@@ -60,8 +61,19 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.size(r) > 0, F.levenshtein(coded(r), coded(h)) / F.size(r)).otherwise(F.when(F.size(h) > 0, 1.0).otherwise(0.0))
 
 
+#: How far from a quantile its approximation's bounds are asked for, and the accuracy, whose error is far below that.
+AROUND, ACCURACY = 0.001, 10_000
+
+
 def index_percentile(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
-    """The value at place int(n * q) of each group's sorted values, counted from 0."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, value, F.row_number().over(w.orderBy(value)).alias("i"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("i") - 1 == F.least(F.floor(F.col("n") * q), F.col("n") - 1)).select(by, F.col(value).alias("value"))
+    """The value at place int(n * q) of each group's sorted values, counted from 0; exact. Null values must be left out before.
+
+    A group's approximate quantiles just below and above q bound the place; only the different values between these are put in order, and
+    what is smaller is a count: no group is sorted whole."""
+    bounds = F.percentile_approx(value, F.array(F.lit(max(0.0, q - AROUND)), F.lit(min(1.0, q + AROUND))), F.lit(ACCURACY))
+    groups = df.groupBy(by).agg(F.count("*").alias("n"), bounds.alias("bounds"))
+    rows = df.select(by, value).join(hinted(groups), by).where(F.col(value) <= F.col("bounds")[1])
+    counts = rows.groupBy(by, F.when(F.col(value) >= F.col("bounds")[0], F.col(value)).alias("value")).agg(F.count("*").alias("own"), F.first("n").alias("n"))
+    upto = F.sum("own").over(Window.partitionBy(by).orderBy(F.asc_nulls_first("value")))
+    place = F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+    return counts.withColumn("upto", upto).where(F.col("upto") > place).groupBy(by).agg(F.min("value").alias("value"))
