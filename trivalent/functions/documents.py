@@ -90,3 +90,47 @@ def canonical_json(fields: Column) -> Column:
 def numeric_change(c: Column) -> Column:
     """Whether a text speaks of amounts, percentages, ages or days."""
     return F.lower(ascii_digits(c)).rlike(r"(?:₹|rs\.?|inr)\s*[0-9]|[0-9][0-9,]*\s*(?:lakh|crore|लाख|करोड़)|[0-9]+(?:\.[0-9]+)?\s*(?:%|percent|प्रतिशत)|[0-9]+\s*(?:years?|वर्ष)|[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}|[0-9]+\s*(?:days?|दिन)")
+
+
+# Words of benefits by type, in order of precedence; amounts that are years; signs of rupees; punctuation of transcripts.
+BENEFITS = {
+    "PENSION": "पेंशन|pension", "SCHOLARSHIP": "छात्रवृत्ति|scholarship|stipend", "SUBSIDY": "अनुदान|सब्सिडी|subsidy", "INSURANCE": "बीमा|insurance|coverage", "LOAN": "ऋण|loan", "REIMBURSEMENT": "पुनर्भरण|reimbursement",
+    "CASH": r"वित्तीय\s*सहायता|नकद|cash|financial\s*assistance|grant", "IN_KIND": "राशन|किट|उपकरण|in-kind|material", "CONCESSION": "छूट|concession",
+}
+YEARS = (2024.0, 2025.0, 2026.0, 2027.0)
+RUPEES = r"₹|\brs\b|rs\.|inr|rupee|रुपये|रुपए|रु\."
+SECTIONS = {
+    "EXCLUSIONS": r"\b(?:exclusions?|ineligible|disqualification)\b|अपात्र|बहिष्करण|अयोग्यता", "ELIGIBILITY": r"\b(?:eligibility|eligible|criteria)\b|पात्रता|योग्यता", "BENEFITS": r"\b(?:benefits?|assistance|grant|incentive|scholarship)\b|लाभ|अनुदान",
+    "DOCUMENTS_REQUIRED": r"\b(?:documents?|checklist|attachments?)\b|दस्तावेज|संलग्नक", "APPLICATION_PROCESS": r"\b(?:application|how to apply|procedure|registration)\b|आवेदन|पंजीकरण", "DEFINITIONS": r"\b(?:definitions?|interpretation)\b|परिभाषा",
+    "DATES": r"\b(?:timeline|schedule|dates?|deadline|validity)\b|समय सीमा|तिथि", "FINANCIAL_RULES": r"\b(?:funding|budget|ceiling|income limit)\b|आय सीमा|बजट", "CONTACTS": r"\b(?:contacts?|helpline|helpdesk)\b|संपर्क|हेल्पलाइन",
+}
+
+
+def benefit_type(c: Column) -> Column:
+    out = F.lit("OTHER")
+    for kind, pattern in reversed(BENEFITS.items()):
+        out = F.when(F.lower(c).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def benefit_amount(number: Column) -> Column:
+    """A parsed number, unless it is a year of the present."""
+    return F.when(~number.isin(*YEARS), number)
+
+
+def currency(c: Column) -> Column:
+    return F.when(F.lower(c).rlike(RUPEES), "INR")
+
+
+def section_heading(c: Column) -> Column:
+    """The section that a heading opens, null if it is none: a short line, or a lead-in of at most 40 characters before a colon."""
+    head = F.when(F.length(c) <= 80, c).otherwise(F.regexp_extract(c, "^([^:]{1,40}):", 1))
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(SECTIONS.items()):
+        out = F.when(F.lower(head).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def transcript(c: Column) -> Column:
+    """For comparison: ASCII digits, lower case, no punctuation (full stops of either script included), white space made one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(ascii_digits(c)), r"""[।॥.,!?;:"'()\[\]{}\-–—_/\\]""", " "), r"\s+", " "))
