@@ -251,3 +251,34 @@ def test_index_percentiles_are_exact(spark, q):
     got = {r.g: r.value for r in metrics.index_percentile(spark.createDataFrame(rows, "g string, v double"), "g", "v", q).collect()}
     by = {g: sorted(v for h, v in rows if h == g) for g in "abcd"}
     assert got == {g: v[min(int(len(v) * q), len(v) - 1)] for g, v in by.items()}
+
+
+def test_spoken_numbers_and_places(spark):
+    from trivalent.plans import page_plans
+
+    want = {i: None if v is None else float(v) for i, (_, v) in enumerate(page_plans._SPOKEN)}
+    assert {r.id: r.value for r in page_plans.spoken_numbers(spark, "").collect()} == want
+    assert [r.place for r in page_plans.places(spark, "").orderBy("id").collect()] == ["Jaipur", "Jaipur", "Kota", "Ganganagar", "Ganganagar", "Jaipur", "Banswara", None, None, None]
+
+
+def test_links_are_resolved(spark):
+    from trivalent.operators import pages
+
+    cases = {"/a": "http://h.org/a", "b?x=1#f": "http://h.org/d/b?x=1", "//o.org/c": "http://o.org/c", "https://z.org/": "https://z.org/", "#top": None, "mailto:a@b.c": None, "JavaScript:x()": None}
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert {r.u: r.r for r in df.select("u", pages.resolved(F.col("u"), F.lit("http://h.org/d/page.html?q")).alias("r")).collect()} == cases
+    assert spark.range(1).select(pages.resolved(F.lit("x"), F.lit("http://h.org")).alias("r")).first().r == "http://h.org/x"
+    html = "<a class=x href='/n1'> One <b>two</b></a><A HREF=\"/n1\">again</A><a href='#x'>no</a>"
+    got = pages.links(spark.createDataFrame([(1, "http://h.org/", html), (2, None, None)], "id int, url string, html string"), "id", "url", "html").collect()
+    assert [(r.id, r.link, r.anchor) for r in got] == [(1, "http://h.org/n1", "One two")]
+
+
+def test_chunks_keep_provisos_and_share_blocks(spark):
+    from trivalent.operators import chunking
+
+    rows = [([10, 10, 10, 10], [False] * 4), ([10, 10, 10, 10], [False, False, True, False]), ([50], [False]), ([], []), ([5, 50, 5], [False] * 3)]
+    df = spark.createDataFrame(rows, "t array<bigint>, b array<boolean>").select("b", F.explode(F.array(chunking.sums(F.col("t")))).alias("r"))
+    got = [[(c.first, c.last) for c in r.c] for r in df.select(chunking.packed(F.col("r"), F.col("b"), 25, 10).alias("c")).collect()]
+    assert got == [[(0, 1), (1, 2), (2, 3)], [(0, 2), (2, 3)], [(0, 0)], [], [(0, 0), (0, 1), (2, 2)]]
+    merged = spark.createDataFrame([([3, 9, 2],), ([1],), ([],), ([9, 2],)], "t array<bigint>").select(chunking.merged(F.col("t"), 5, 12).alias("m")).collect()
+    assert [list(r.m) for r in merged] == [[12, 2], [1], [], [11]]

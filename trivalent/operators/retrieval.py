@@ -21,6 +21,15 @@ def matches_or_unknown(scheme: Column, wanted: Column) -> Column:
     return wanted.isNull() | scheme.isNull() | (scheme == wanted)
 
 
+def listed(df: DataFrame, equal: dict, containing: dict, order: list[Column], offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of df: rows whose columns equal the given values and contain the given texts (in any case); what is None filters nothing."""
+    for name, value in equal.items():
+        df = df if value is None else df.where(F.col(name) == F.lit(value))
+    for name, part in containing.items():
+        df = df if part is None else df.where(F.contains(F.lower(name), F.lit(part.lower())))
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents as d
+from ..functions import speech
 from ..functions.text import indian_number
-from ..operators import evaluation, pages
+from ..operators import dedup, evaluation, pages, retrieval
 from .read_plans import _read
+from .search_plans import ORACLE_SQL as _SEARCH
 from .text_plans import PHRASES, phrases
 
 _LINES = [
@@ -68,7 +70,38 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.unionByName(phrases(spark).select("id", F.lit(-1).cast("long").alias("turn"), d.transcript(F.col("s")).alias("s")))
 
 
-QUERIES = {f.__name__: f for f in (page_link_list, page_link_changes, links_to_fetch, candidate_quality, benefit_phrases, section_headings, transcripts)}
+_SPOKEN = [
+    ("डेढ़ लाख", 150000), ("ढाई हजार रुपये", 2500), ("सवा दो लाख", 225000), ("साढ़े तीन हजार", 3500), ("पौने दो लाख", 175000), ("मेरी उम्र साठ वर्ष", 60), ("पांच लाख", 500000), ("२.५ लाख", 250000), ("Rs 1,150 a month", 1150), ("sadhe 4 lakh", 450000),
+    ("sawa lakh", 125000), ("दो सौ", 200), ("nothing said", None), ("", None), ("पचास हजार।", 50000), ("dhai crore", 25000000),
+]
+_PLACES = {"jaipur": "Jaipur", "pink city": "Jaipur", "kota": "Kota", "sri ganganagar": "Ganganagar", "जयपुर": "Jaipur", "ba": "Banswara"}
+_SAID = ["Jaipur", "I live in the Pink City, sir", "from Kota.", "Sri Ganganagar", "near sri  ganganagar", "मैं जयपुर से", "ba", "in ba now", "nowhere", ""]
+
+
+def spoken_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_SPOKEN)], "id long, s string")
+    return rows.select("id", speech.spoken_number(F.col("s")).alias("value"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([*enumerate(_SAID)], "id long, s string").select("id", speech.place(F.col("s"), _PLACES).alias("place"))
+
+
+def filtered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by status and the start of their priority; the filters that are not given (customer, least price) filter nothing."""
+    o = _read(spark, sf_dir, "orders")
+    wanted = {"o_orderstatus": "O", "o_custkey": None, "o_totalprice": None}
+    return retrieval.listed(o, wanted, {"o_orderpriority": "urg"}, [F.desc("o_totalprice"), F.col("o_orderkey")], 5, 15).select("o_orderkey", "o_totalprice")
+
+
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's most similar earlier one, versions (here: of even ids) first."""
+    pairs = dedup.classify(dedup.jaccard_pairs(_read(spark, sf_dir, "documents"), "doc_id", "text", dedup.VERSION), F.col("a") % 2 == 0)
+    best = F.max_by(F.struct("a", "similarity", "kind"), F.struct((F.col("kind") == "POSSIBLE_VERSION").alias("v"), "similarity", (-F.col("a")).alias("a")))
+    return pairs.groupBy("b").agg(best.alias("r")).select("b", "r.*")
+
+
+QUERIES = {f.__name__: f for f in (spoken_numbers, places, filtered_listing, best_candidates, page_link_list, page_link_changes, links_to_fetch, candidate_quality, benefit_phrases, section_headings, transcripts)}
 _L = r"""a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS t,
     generate_subscripts(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS i FROM pages),
   l AS (SELECT page_id, origin || h AS link, coalesce(arg_min(trim(regexp_replace(t, '\s+', ' ', 'g')), i) FILTER (trim(t) <> ''), '') AS anchor FROM a WHERE h LIKE '/%' GROUP BY 1, 2),
@@ -76,7 +109,23 @@ _L = r"""a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS
   c AS (SELECT page_id, link, coalesce(l.anchor, b.anchor) AS anchor, CASE WHEN b.anchor IS NULL THEN 'LINK_ADDED' WHEN l.anchor IS NULL THEN 'LINK_REMOVED' WHEN l.anchor <> b.anchor THEN 'LINK_CHANGED' END AS change FROM b FULL JOIN l USING (page_id, link))"""
 _ROWS = ", ".join(f"({i}::BIGINT, '{s}')" for i, s in enumerate(_LINES))
 _T = "trim(regexp_replace(regexp_replace(lower(translate({}, '०१२३४५६७८९', '0123456789')), '[।॥.,!?;:\"''()\\[\\]{{}}\\-–—_/\\\\]', ' ', 'g'), '\\s+', ' ', 'g'))"
+# A number's parts are looked up word by word: the first word that is a number, the fraction before it and the scale after it.
+_NUMBERS = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in (speech.CARDINALS | speech.ALONE).items())
+_FRACTIONS = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in speech.FRACTIONS.items())
+_SCALES = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in speech._HUNDRED.items())
 ORACLE_SQL = {
+    "spoken_numbers": f"""WITH p(id, s) AS (VALUES {", ".join(f"({i}::BIGINT, '{t}')" for i, (t, _) in enumerate(_SPOKEN))}), n(w, v) AS (VALUES {_NUMBERS}), f(w, v) AS (VALUES {_FRACTIONS}), k(w, v) AS (VALUES {_SCALES}),
+      l AS (SELECT id, string_split(lower(translate(replace(s, '।', ''), '०१२३४५६७८९', '0123456789')), ' ') AS w FROM p), ws AS (SELECT id, w AS ws, unnest(range(1, len(w) + 1)) AS i FROM l),
+      v AS (SELECT id, i, ws, coalesce(n.v, try_cast(replace(ws[i], ',', '') AS DOUBLE)) AS v, f.v AS f FROM ws LEFT JOIN n ON n.w = ws[i] LEFT JOIN f ON f.w = ws[i]),
+      b AS (SELECT * FROM v WHERE v IS NOT NULL OR f IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1),
+      x AS (SELECT b.id, coalesce(b.v, n.v, try_cast(replace(b.ws[b.i + 1], ',', '') AS DOUBLE), 1) + coalesce(b.f, 0) AS v, b.ws[b.i + CASE WHEN b.v IS NULL AND (n.v IS NOT NULL OR try_cast(b.ws[b.i + 1] AS DOUBLE) IS NOT NULL) THEN 2 ELSE 1 END] AS scale FROM b LEFT JOIN n ON n.w = b.ws[b.i + 1])
+      SELECT p.id, x.v * coalesce(k.v, 1) AS value FROM p LEFT JOIN x ON x.id = p.id LEFT JOIN k ON k.w = x.scale""",
+    "places": f"""WITH p(id, s) AS (VALUES {", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(_SAID))}), n(k, v) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _PLACES.items())}),
+      t AS (SELECT id, trim(regexp_replace(lower(s), '[,.!?।\\s]+', ' ', 'g')) AS t FROM p), w AS (SELECT id, string_split(t, ' ') AS w, unnest(range(1, len(string_split(t, ' ')) + 1)) AS i FROM t),
+      c AS (SELECT id, 0 AS o, 0 AS i, t AS k FROM t UNION ALL SELECT id, 1, i, w[i] || ' ' || w[i + 1] FROM w WHERE i < len(w) UNION ALL SELECT id, 2, i, w[i] FROM w WHERE length(w[i]) > 2)
+      SELECT id, (SELECT v FROM c JOIN n USING (k) WHERE c.id = p.id ORDER BY o, i LIMIT 1) AS place FROM p""",
+    "filtered_listing": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority ILIKE '%urg%' ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 5",
+    "best_candidates": f"SELECT b, a, similarity, kind FROM ({_SEARCH['jaccard_pairs']}) QUALIFY row_number() OVER (PARTITION BY b ORDER BY kind = 'POSSIBLE_VERSION' DESC, similarity DESC, a) = 1",
     "page_link_list": f"WITH {_L} SELECT page_id, count(*) AS n, min(link) AS first, max(link) AS last, min(anchor) AS anchor FROM l GROUP BY 1",
     "page_link_changes": f"WITH {_L} SELECT page_id, change, count(*) AS n, min(link) AS first FROM c WHERE change IS NOT NULL GROUP BY 1, 2",
     "links_to_fetch": f"""WITH {_L}, r AS (SELECT page_id, link, CASE WHEN change = 'LINK_CHANGED' THEN 'CHANGED_LINK' ELSE 'NEW_LINK' END AS reason FROM c WHERE change IN ('LINK_ADDED', 'LINK_CHANGED'))
