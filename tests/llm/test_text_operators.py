@@ -305,6 +305,13 @@ def test_perplexities_are_the_plain_models(spark, shard_rows):
             assert got[i] == pytest.approx(np.exp(-plain[g](t.encode()) / len(t.encode())), rel=1e-4)
 
 
+def test_windows_of_items_without_an_id():
+    from trivalent.llm.decontamination import PrefixIndex, Windows
+
+    w = Windows([(None, b"a b c"), (1, b"A, b c"), (1, b"a b c")], 10)
+    assert [set(i) for i in w.items] == [{None, 1}] and PrefixIndex(w, {}).hits(b"x a b c a b c")[2] == [0]
+
+
 def test_limits_of_sparse_lengths_are_no_maximum():
     plain = [("en", 5, 1400 + i, 1) for i in range(200)] + [("fr", 5, 1300 + i, 1) for i in range(20)] + [("en", 7, 1450, 1)]
     odd = [("en", 2, 3000, 1), ("fr", 2, 2900, 1)]

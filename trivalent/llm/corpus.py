@@ -207,7 +207,7 @@ def similar_nodes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     links = candidate_links(nodes.select("node", *prints), radius, wide)
     roots = checkpointed(components(links, "a", "b"))
     need = nodes.join(roots, "node").select("node", "root", F.col("first.doc_id").alias("key_id"), F.col("first.text_hash").alias("key_hash"))
-    need = hinted(checkpointed(need))
+    need = hinted(checkpointed(need), 32)
     texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
     sets = checkpointed(shingle_sets(texts, words).dropDuplicates(["node"]))  # a row may be repeated
     labels = verified_groups(sets, similarity, block)

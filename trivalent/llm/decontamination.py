@@ -43,14 +43,16 @@ class Windows:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 found[tuple(ids[at : at + window])].add(item)
-        self.windows, self.items = list(found), [sorted(x) for x in found.values()]
+        if len(self.number) >= 1 << 21:
+            raise ValueError("an item of more than 2^21 different words can't be coded; cut it")
+        self.windows, self.items = list(found), [[*x] for x in found.values()]  # put in order where they are reported
 
     def shingles(self, window: tuple[int, ...]) -> list[tuple[int, ...]]:
         q = min(SHINGLE, len(window))
         return [window[i : i + q] for i in range(len(window) - q + 1)]
 
     def code(self, shingle) -> int:
-        """A shingle as a number; exact, as a block has far fewer than 2^20 words."""
+        """A shingle as a number; exact, as a block has fewer than 2^21 different words."""
         out = 0
         for w in shingle:
             out = out << 21 | int(w)
