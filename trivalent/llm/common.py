@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes that are sent to all tasks at most; a join with more is shuffled.
 SMALL_BYTES = 8_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -70,6 +72,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterator | list]
     column and returns the output columns, each a list or an Arrow array.
     """
     arrow = to_arrow_schema(schema_of(ddl))
+    # texts are long: batches of the default size of 10,000 rows would be held by the executor and its Python worker at once
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()

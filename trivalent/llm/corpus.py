@@ -12,7 +12,9 @@ from .components import components
 from .simhash import WORDS, candidate_links, set_fingerprint, shingle_hashes
 
 #: Sets that are compared with each other in one step, and about how many bytes of them.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Members of sets in one matrix, and rows that are unpacked at once.
+STEP, ROWS = 4096, 256
 
 
 def text_hash(text: str = "text"):
@@ -27,30 +29,36 @@ def matching(docs: DataFrame, keys: DataFrame, how: str, text: str = "text") ->
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many members each set of left shares with each of right, by products of their incidence matrices, some members at a time."""
+    """How many members each set of left shares with each of right, by products of their incidence matrices, some members at a time.
+
+    left and right may be one and the same list."""
+    sets = left if left is right else [*left, *right]
     out = np.zeros((len(left), len(right)), np.float32)  # exact below 2^24 members
-    both = np.concatenate([*left, *right])
-    side = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
-    members, number = np.unique(both, return_inverse=True)
-    in_left = np.bincount(number[side < len(left)], minlength=len(members)) > 0
-    in_right = np.bincount(number[side >= len(left)], minlength=len(members)) > 0
-    shared = in_left & in_right
-    column = np.cumsum(shared) - 1
+    side = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    members, number = np.unique(np.concatenate(sets), return_inverse=True)
+    number = number.astype(np.int32)
+    if left is right:
+        shared = np.bincount(number, minlength=len(members)) > 1
+        sizes = np.array([len(x) for x in left])
+        np.fill_diagonal(out, sizes - np.bincount(side, shared[number], minlength=len(sets)))  # what only a set itself has
+    else:
+        shared = (np.bincount(number[side < len(left)], minlength=len(members)) > 0) & (np.bincount(number[side >= len(left)], minlength=len(members)) > 0)
+    column = np.cumsum(shared, dtype=np.int32) - 1
     side, number = side[shared[number]], column[number[shared[number]]]
     order = np.argsort(number, kind="stable")
     side, number = side[order], number[order]
-    for at in range(0, int(shared.sum()), 8192):
-        s, e = np.searchsorted(number, [at, at + 8192])
-        m = np.zeros((len(left) + len(right), 8192), np.float32)
+    for at in range(0, int(shared.sum()), STEP):
+        s, e = np.searchsorted(number, [at, at + STEP])
+        m = np.zeros((len(sets), STEP), np.float32)
         m[side[s:e], number[s:e] - at] = 1
-        out += m[: len(left)] @ m[len(left) :].T
+        out += m[: len(left)] @ (m if left is right else m[len(left) :]).T
     return out
 
 
 def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
     shared = _intersections(left, right)
-    sizes = np.array([len(x) for x in left], np.float64)[:, None] + np.array([len(x) for x in right], np.float64)[None, :]
-    return (shared >= similarity * (sizes - shared)) & (sizes > 0)
+    sizes = np.array([len(x) for x in left], np.float32)[:, None] + np.array([len(x) for x in right], np.float32)[None, :]
+    return (shared.astype(np.float64) >= similarity * (sizes - shared).astype(np.float64)) & (sizes > 0)
 
 
 def _labels(near: np.ndarray) -> np.ndarray:
@@ -71,7 +79,7 @@ def _labels(near: np.ndarray) -> np.ndarray:
 def _groups(batches):
     """Rows in order of their first two columns, a group of equal ones at a time, as lists of the other columns."""
     key, rows = None, []
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         for *own, values in zip(*(c.to_pylist() for c in batch.columns[:2]), zip(*(c.to_pylist() for c in batch.columns[2:]))):
             if own != key and rows:
                 yield key, list(zip(*rows))
