@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import truth
@@ -160,6 +160,12 @@ def evaluate_nodes(facts: DataFrame, nodes: DataFrame, deepest: int) -> DataFram
     unknown 1 and true 2, so AND is the minimum, OR the maximum and NOT two less the state. A condition without a fact is
     unknown, whether the fact's row is null or there is none: a group counts the children that it should have.
     Every profile with any fact has a state under every scheme. Rules are sent to all tasks while they are small."""
+    states, _ = _rolled_up(facts, nodes, deepest)
+    return _with_all_roots(facts, nodes, states)
+
+
+def _rolled_up(facts: DataFrame, nodes: DataFrame, deepest: int) -> tuple[DataFrame, DataFrame]:
+    """profile_id, scheme_id, path, parent, depth, state: of the roots, and of all nodes with a fact below."""
     num, low, high = (F.col(c).cast(truth.DECIMAL) for c in ("num", "low", "high"))
     named = F.lower(F.trim("str"))
     op = F.col("op")
@@ -174,15 +180,105 @@ def evaluate_nodes(facts: DataFrame, nodes: DataFrame, deepest: int) -> DataFram
     leaves, groups = hinted(nodes.where("kind = 'COND'"), 200), nodes.where("kind <> 'COND'").select("scheme_id", "path", "parent", "depth", "kind", "open", F.col("least").alias("fixed_least"), F.col("most").alias("fixed_most"))
     level = facts.join(leaves, "field")
     level = level.select("profile_id", "scheme_id", "path", "parent", "depth", F.when(holds, 2).when(~holds, 0).otherwise(1).alias("state"))
+    every = level
     for depth in range(deepest, 0, -1):
         here = level.where(F.col("depth") == depth).groupBy("profile_id", "scheme_id", "parent").agg(F.min("state").alias("least"), F.max("state").alias("most"), F.count("*").alias("seen"))
         here = here.withColumnRenamed("parent", "path").join(hinted(groups.where(F.col("depth") == depth - 1), 200), ["scheme_id", "path"])
         short = F.when(F.col("seen") < F.col("open"), 1)  # some child is unknown
         least, most = F.least("least", "fixed_least", short), F.greatest("most", "fixed_most", short)
         state = F.when(F.col("kind") == "AND", least).when(F.col("kind") == "OR", most).otherwise(2 - least)
-        level = level.where(F.col("depth") < depth).unionByName(here.select("profile_id", "scheme_id", "path", "parent", "depth", state.alias("state")))
+        here = here.select("profile_id", "scheme_id", "path", "parent", "depth", state.alias("state"))
+        every, level = every.unionByName(here), level.where(F.col("depth") < depth).unionByName(here)
+    return level, every
+
+
+def _with_all_roots(facts: DataFrame, nodes: DataFrame, level: DataFrame) -> DataFrame:
     # a tree none of whose conditions has a fact: unknown, or what its fixed parts decide
     alone = F.when(F.col("kind") == "COND", 1).when(F.col("kind") == "AND", F.least("least", F.when(F.col("open") > 0, 1))).when(F.col("kind") == "OR", F.greatest("most", F.when(F.col("open") > 0, 1))).otherwise(1)
     roots = hinted(nodes.where("depth = 0").select("scheme_id", alone.alias("alone")), 50)
     grid = facts.select("profile_id").distinct().join(roots)  # the result's own rows
     return grid.join(level.select("profile_id", "scheme_id", "state"), ["profile_id", "scheme_id"], "left").select("profile_id", "scheme_id", F.coalesce("state", "alone").alias("state"))
+
+
+OUTCOMES = ("FALSE", "UNKNOWN", "TRUE")
+
+
+def _outcome(state: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(o) for o in OUTCOMES)), state + 1)
+
+
+def traced(node: dict, path: str = "0", open_: Column | None = None) -> tuple[Column, list[Column]]:
+    """A tree's state, and structs (path, kind, field, outcome) of its nodes in the order of evaluation.
+
+    A node is SKIPPED if a sibling before it has decided their group, or if it lies below such a node. Groups that no fact can change are
+    no part of the trace; what these decide skips nothing."""
+    open_ = F.lit(True) if open_ is None else open_
+    kind = _group(node)
+    state, _ = compiled(node)
+    outcome = F.when(open_, F.when(state, "TRUE").when(~state, "FALSE").otherwise("UNKNOWN")).otherwise("SKIPPED")
+    out = [F.struct(F.lit(path).alias("path"), F.lit(kind or "COND").alias("kind"), F.lit(node.get("field")).cast("string").alias("field"), outcome.alias("outcome"))]
+    stop = F.lit(kind == "OR")
+    for i, child in enumerate(node.get("children", [])[: 1 if kind == "NOT" else None]):
+        if _constant(child) is None:
+            child_state, inner = traced(child, f"{path}.{i}", open_)
+            out += inner
+            if kind != "NOT":
+                open_ = open_ & ~child_state.eqNullSafe(stop)
+    return state, out
+
+
+def trace(profiles: DataFrame, schemes: list[dict]) -> DataFrame:
+    """profile_id, scheme_id, step, path, kind, field, outcome by compiled trees: one pass over profiles."""
+    lists = F.array(*(F.struct(F.lit(s["id"]).alias("scheme_id"), F.array(*traced(s["rule"])[1]).alias("steps")) for s in schemes))
+    each = profiles.select("profile_id", F.inline(lists))
+    return each.select("profile_id", "scheme_id", F.posexplode("steps").alias("step", "s")).select("profile_id", "scheme_id", "step", "s.*")
+
+
+def trace_nodes(facts: DataFrame, nodes: DataFrame, deepest: int) -> DataFrame:
+    """The same trace for rules kept as rows: every node's state from the roll-up, skips from a window over earlier siblings.
+
+    A trace has a row for each node of each tree and profile; what is gathered at once are the skipped nodes of one tree for one profile."""
+    every = _rolled_up(facts, nodes, deepest)[1].select("profile_id", "scheme_id", "path", "state")
+    own = F.when(F.col("kind") == "COND", 1).when(F.col("kind") == "AND", F.least("least", F.when(F.col("open") > 0, 1))).when(F.col("kind") == "OR", F.greatest("most", F.when(F.col("open") > 0, 1))).otherwise(1)
+    shown = nodes.select("scheme_id", "path", "parent", "kind", "field", own.alias("alone"))
+    above = nodes.select("scheme_id", F.col("path").alias("parent"), F.col("kind").alias("of"))
+    shown = shown.join(above, ["scheme_id", "parent"], "left")
+    rows = facts.select("profile_id").distinct().join(hinted(shown, 100))  # the result's own rows
+    rows = rows.join(every, ["profile_id", "scheme_id", "path"], "left").withColumn("state", F.coalesce("state", "alone").cast("int"))
+    place = F.transform(F.split("path", "[.]"), lambda x: x.cast("int"))
+    before = Window.partitionBy("profile_id", "scheme_id", "parent").orderBy(F.element_at(place, -1)).rowsBetween(Window.unboundedPreceding, -1)
+    decides = ((F.col("of") == "AND") & (F.col("state") == 0)) | ((F.col("of") == "OR") & (F.col("state") == 2))
+    rows = rows.withColumn("place", place).withColumn("skipped", F.coalesce(F.max(decides).over(before), F.lit(False)) & F.col("parent").isNotNull())
+    tree = Window.partitionBy("profile_id", "scheme_id")
+    skipped = F.collect_list(F.when(F.col("skipped"), F.col("path"))).over(tree)
+    rows = rows.withColumn("off", skipped).withColumn("step", F.row_number().over(tree.orderBy("place")) - 1)
+    is_off = F.exists("off", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("."))))
+    return rows.select("profile_id", "scheme_id", "step", "path", "kind", "field", F.when(is_off, "SKIPPED").otherwise(_outcome(F.col("state"))).alias("outcome"))
+
+
+# Signs of operators, and of their opposites.
+SIGNS = {"GTE": ">=", "GT": ">", "LTE": "<=", "LT": "<", "EQ": "==", "NE": "!=", "IN": "IN", "NOT_IN": "NOT IN"}
+OPPOSITES = {"GTE": "<", "GT": "<=", "LTE": ">", "LT": ">=", "EQ": "!=", "NE": "=="}
+
+
+def decisive(steps: DataFrame, conditions: DataFrame) -> DataFrame:
+    """profile_id, scheme_id, outcome, told: the root's outcome and what decided it, sorted, for steps of a trace and conditions (scheme_id, path, op, required).
+
+    Of a true tree these are the conditions that hold, of a false one the opposites of those that fail, of an open one those that hold and `field is missing`.
+    Skipped conditions tell nothing."""
+    sign = lambda table, other: F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[F.col("op")], other)
+    own = steps.join(hinted(conditions, 100), ["scheme_id", "path"], "left")
+    says = F.when(F.col("outcome") == "TRUE", F.concat_ws(" ", "field", sign(SIGNS, F.col("op")), "required")).when(F.col("outcome") == "FALSE", F.concat_ws(" ", "field", sign(OPPOSITES, F.lit("!=")), "required"))
+    says = F.when(F.col("outcome") == "UNKNOWN", F.concat("field", F.lit(" is missing"))).otherwise(says)
+    own = own.select("profile_id", "scheme_id", F.when(F.col("path") == "0", F.col("outcome")).alias("root"), F.when(F.col("kind") == "COND", F.struct("outcome", says.alias("says"))).alias("c"))
+    tree = own.groupBy("profile_id", "scheme_id").agg(F.max("root").alias("outcome"), F.collect_list("c").alias("cs"))
+    wanted = F.filter("cs", lambda c: F.when(F.col("outcome") == "UNKNOWN", c["outcome"].isin("TRUE", "UNKNOWN")).otherwise(c["outcome"] == F.col("outcome")))
+    return tree.select("profile_id", "scheme_id", "outcome", F.array_sort(F.array_distinct(F.transform(wanted, lambda c: c["says"]))).alias("told"))
+
+
+def decisive_recall(told: DataFrame, gold: DataFrame) -> DataFrame:
+    """told with recall: the share of a profile's gold conditions (profile_id, scheme_id, expected) that were told; 1 where none are expected. White space and case don't count."""
+    plain = lambda c: F.array_distinct(F.transform(c, lambda x: F.regexp_replace(F.lower(F.trim(x)), r"\s+", " ")))
+    both = told.join(gold, ["profile_id", "scheme_id"], "left")
+    wanted, got = plain(F.coalesce("expected", F.array().cast("array<string>"))), plain(F.col("told"))
+    return both.select(*told.columns, F.when(F.size(wanted) == 0, 1.0).otherwise(F.round(F.size(F.array_intersect(wanted, got)) / F.size(wanted), 4)).alias("recall"))

@@ -1,7 +1,9 @@
-"""Broadcast hints only for what is small."""
+"""Broadcast hints only for what is small, and results that are computed once."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +15,14 @@ def hinted(df: DataFrame, row_bytes: int = 100) -> DataFrame:
     """df with a broadcast hint if its counted rows, of about row_bytes each, allow it; else joins with it are shuffled."""
     most = SMALL_BYTES // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df computed once and kept in spark.checkpoint.dir, which driver and executors share; in local mode, where all is one machine, a temporary folder will do."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
