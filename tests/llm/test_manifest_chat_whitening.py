@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trivalent.llm import chat, merkle, ranges, whitening
+from trivalent.llm import chat, merkle, whitening
+from trivalent.operators import ranges
 
 
 def sha(text):

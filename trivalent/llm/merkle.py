@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, new_folder, schema_of, table
-from .ranges import in_ranges, places
+from ..operators.ranges import in_ranges, places
 
 FANOUT = 16
 #: Records that a task hands over at once.
