@@ -40,7 +40,7 @@ walk AS (
     CASE WHEN event = 'START_OVER_REQUESTED' THEN false WHEN always OR answered OR target IS NULL THEN x ELSE e2 END,
     CASE WHEN event = 'START_OVER_REQUESTED' OR answered THEN NULL WHEN target IS NOT NULL AND NOT always AND event = 'CITIZEN_QUERY_RECEIVED' THEN s ELSE b END,
     n_ignored + (target IS NULL AND NOT always AND NOT answered)::INT, n_sessions + pause::INT
-  FROM (SELECT c.*, m.target, event IN ('START_OVER_REQUESTED', 'END_CONVERSATION_REQUESTED', 'MAX_TURNS_REACHED', 'PROCESSING_FAILED', 'LANGUAGE_CHANGED', 'REPEAT_REQUESTED') AS always, c.s = 'HANDLING_CITIZEN_QUERY' AND c.event = 'QUERY_ANSWERED' AS answered,
+  FROM (SELECT c.*, m.target, c.event IN ('START_OVER_REQUESTED', 'END_CONVERSATION_REQUESTED', 'MAX_TURNS_REACHED', 'PROCESSING_FAILED', 'LANGUAGE_CHANGED', 'REPEAT_REQUESTED') AS always, c.s = 'HANDLING_CITIZEN_QUERY' AND c.event = 'QUERY_ANSWERED' AS answered,
       (p OR (c.event IN ('PROFILE_VALUE_EXTRACTED_CONFIRMATION_REQUIRED', 'PROFILE_VALUE_CORRECTED') AND has)) AND c.event NOT IN ('PROFILE_VALUE_CONFIRMED', 'PROFILE_VALUE_REJECTED') AS p2,
       (x OR (c.event IN ('MORE_INFO_REQUIRED', 'CLARIFICATION_PROVIDED') AND has)) AND c.event <> 'PROFILE_VALUE_EXTRACTED' AS e2
     FROM (SELECT o.session_id, o.n, o.event, o.has, o.pause, CASE WHEN o.pause THEN 'NEW_SESSION' ELSE w.state END AS s, NOT o.pause AND w.pending AS p, NOT o.pause AND w.expected AS x, CASE WHEN NOT o.pause THEN w.back END AS b, w.n_ignored, w.n_sessions
