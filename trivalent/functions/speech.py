@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SCALES, ascii_digits
+from .numbers import number
+from .text import SCALES
 
 # Cardinals by name, and words that add to a number or stand for one alone.
 CARDINALS = {
@@ -17,19 +18,9 @@ ALONE = {"डेढ़": 1.5, "डेढ": 1.5, "dedh": 1.5, "ढाई": 2.5, "
 _HUNDRED = {"सौ": 100, "sau": 100} | SCALES
 
 
-def _valued(word: Column, values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, float(v))))[word]
-
-
 def spoken_number(c: Column) -> Column:
-    """The first number that is said: digits or a cardinal, more or less a fraction, times a scale word; a fraction without a number is of one."""
-    t = F.lower(ascii_digits(c))
-    any_of = lambda values: "|".join(sorted(values, key=len, reverse=True))
-    pattern = rf"(?:(?:({any_of(FRACTIONS)})\s+)?(?:({any_of(ALONE)})|([0-9][0-9,]*(?:\.[0-9]+)?)|({any_of(CARDINALS)}))|({any_of(FRACTIONS)}))(?:\s*({any_of(_HUNDRED)}))?(?=\s|$|[,.।])"
-    part = lambda i: F.regexp_extract(t, rf"(?:^|\s)(?:₹|rs\.?)?\s*{pattern}", i)
-    digits = F.regexp_replace(part(3), ",", "").try_cast("double")
-    number = F.coalesce(_valued(part(2), ALONE), digits, _valued(part(4), CARDINALS), F.when(part(5) != "", F.lit(1.0)))
-    return (number + F.coalesce(_valued(part(1), FRACTIONS), _valued(part(5), FRACTIONS), F.lit(0.0))) * F.coalesce(_valued(part(6), _HUNDRED), F.lit(1.0))
+    """The first number that is said, in digits or words (see numbers)."""
+    return number(c)
 
 
 def place(c: Column, names: dict[str, str]) -> Column:

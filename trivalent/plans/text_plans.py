@@ -67,16 +67,14 @@ def body_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCALE = "CASE regexp_extract(t, '[0-9][0-9,]*[.]?[0-9]*\\s*(thousand|lakh|crore|लाख)', 1) WHEN 'thousand' THEN 1000 WHEN 'lakh' THEN 100000 WHEN 'लाख' THEN 100000 WHEN 'crore' THEN 10000000 END"
+_BOUNDS = " ".join(f"WHEN regexp_matches(t, '{t.phrase_pattern(phrases)}') THEN '{operator}'" for operator, phrases in t.BOUNDS)
 QUERIES = {f.__name__: f for f in (number_parse, bound_operator, date_expression, token_estimate, turn_intents, garbled_text, url_normalize, page_links, body_fingerprint)}
 ORACLE_SQL = {
     "number_parse": rf"""WITH {_VALUES} SELECT id, coalesce(try_cast(replace(regexp_extract(t, '([0-9][0-9,]*[.]?[0-9]*)\s*(thousand|lakh|crore|लाख)', 1), ',', '') AS DOUBLE) * {_SCALE},
       try_cast(replace(regexp_extract(t, '([0-9][0-9,]*(?:[.][0-9]+)?)', 1), ',', '') AS DOUBLE)) AS value, try_cast(regexp_extract(t, '([0-9]+(?:[.][0-9]+)?)\s*(%|percent)', 1) AS DOUBLE) AS percent FROM q""",
     "bound_operator": rf"""WITH {_VALUES} SELECT id, CASE
       WHEN NOT regexp_matches(t, 'से\s*(अधिक|ज्यादा|कम)') AND regexp_matches(t, 'between\s+[0-9].*and\s+[0-9]|(^|[^0-9-])[0-9]+\s*(-|to|से)\s*[0-9]+($|[^0-9-])') THEN 'BETWEEN'
-      WHEN regexp_matches(t, 'not\s+(more|exceed|above|greater)|से\s*(अधिक|ज्यादा)\s*नहीं') THEN 'LTE' WHEN regexp_matches(t, 'not\s+(less|below)|से\s*कम\s*नहीं') THEN 'GTE'
-      WHEN regexp_matches(t, 'at\s*least|minimum|or\s*more|and\s*above|न्यूनतम|कम\s*से\s*कम|या\s*(उससे\s*)?अधिक|या\s*ज्यादा|पूर्ण\s*कर\s*चुके') THEN 'GTE'
-      WHEN regexp_matches(t, 'more\s*than|above|over|greater\s*than|exceeding|से\s*(अधिक|ज्यादा)') THEN 'GT' WHEN regexp_matches(t, 'at most|maximum|up\s*to|or less|अधिकतम|तक') THEN 'LTE'
-      WHEN regexp_matches(t, 'less\s*than|below|under|से\s*कम') THEN 'LT' WHEN regexp_matches(t, '[0-9]') THEN 'EQ' END AS operator,
+      {_BOUNDS} WHEN regexp_matches(t, '[0-9]') THEN 'EQ' END AS operator,
       CASE WHEN regexp_matches(t, 'month|प्रति माह|मासिक') THEN 'MONTHLY' WHEN regexp_matches(t, 'quarter|त्रैमासिक') THEN 'QUARTERLY' WHEN regexp_matches(t, 'annual|year|per annum|वार्षिक|प्रति वर्ष') THEN 'ANNUAL'
       WHEN regexp_matches(t, 'one.?time|lump ?sum|एकमुश्त') THEN 'ONE_TIME' END AS period,
       CASE WHEN regexp_matches(t, 'वर्ष|साल|year|yr') THEN 'years' WHEN regexp_matches(t, 'माह|महीने|month') THEN 'months' WHEN regexp_matches(t, 'दिन|day') THEN 'days' WHEN regexp_matches(t, '%|प्रतिशत|percent') THEN 'PERCENT'
