@@ -144,6 +144,8 @@ def test_text_form_is_read_back():
         ids = [codec.marks[0], *codec.encode(chat.escape(role)), codec.marks[1], *codec.encode(chat.escape(text)), codec.marks[2]]
         assert codec.turns(ids) == [(role, text)] and max(codec.encode(text), default=0) < codec.marks[0]
         assert codec.text(ids) == f"### {chat.escape(role)}: {chat.escape(text)}</turn>\n"
+    mask = chat.loss_mask([2 + len(codec.encode(chat.escape(role))), len(ids) - 3 - len(codec.encode(chat.escape(role))), 1], [False, True, False])
+    assert codec.read(ids, mask) == ([(role, text)], text, len(codec.text(ids))) and codec.read(ids, [False] * len(ids))[1] == ""
     two = [*ids, *ids]
     said = codec.text(two)
     assert len(re.findall(r"(?s)### ((?:[^\\]|\\.)*?)</turn>\n", said)) == 2
@@ -164,11 +166,11 @@ def test_mask_is_the_running_sum():
 def test_conversations_of_any_kind(spark, turns, chars, parts):
     texts = odd_texts(5, 400)
     rng = random.Random(6)
-    rows = [(rng.choice([1, 1, 2, 3, None]), rng.randrange(50), rng.choice(["user", "assistant", "system", "Odd: role</turn>", ""]), t) for t in texts]
+    rows = [(rng.choice([1, 1, 2, 3, None, *range(20, 50)]), rng.randrange(50), rng.choice(["user", "assistant", "system", "Odd: role</turn>", ""]), t) for t in texts]
     rows += [(9, 0, None, None), (9, None, "assistant", None), (8, 1, "assistant", "word " * 20000 + "x" * 50000), *[(7, 1, "assistant", "same")] * 9]
     df = spark.createDataFrame([(*r, 1, "y") for r in rows], "conv_id long, turn long, role string, text string, part int, piece string")
     pieces = chat.format_conversations(df, chat.public_codec, turns=turns, chars=chars, parts=parts)
-    got = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.read_back(pieces, chat.public_codec)).collect()}
+    got = {r.conv_id: tuple(r)[1:] for r in chat.digests(pieces, chat.public_codec).collect()}
     by = defaultdict(list)
     for conv_id, turn, role, text in rows:
         by[conv_id].append((turn is not None, turn or 0, (role or "").encode(), (text or "").encode()))
@@ -179,6 +181,12 @@ def test_conversations_of_any_kind(spark, turns, chars, parts):
         size = sum(len(f"### {chat.escape(r)}: {chat.escape(t)}</turn>\n") for r, t in own)
         want[conv_id] = len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)), len(loss), sha(loss), size
     assert got == want
+    read = chat.read_back(pieces, chat.public_codec).collect()
+    assert sum(r.n_turns for r in read) == len(rows) and all(hashlib.sha256(r.loss.encode()) for r in read)
+    counts = defaultdict(int)
+    for r in pieces.collect():
+        counts[r.conv_id] += 1
+    assert all(counts[r.conv_id] == 1 for r in pieces.where("alone").collect())
     whole = defaultdict(str)
     for r in chat.texts(pieces, chat.public_codec).orderBy("part", "piece").collect():
         whole[r.conv_id] += r.formatted
@@ -188,7 +196,7 @@ def test_conversations_of_any_kind(spark, turns, chars, parts):
 
 def test_no_conversations_give_no_pieces(spark):
     pieces = chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), chat.public_codec)
-    assert chat.digests(chat.read_back(pieces, chat.public_codec)).collect() == []
+    assert chat.digests(pieces, chat.public_codec).collect() == []
 
 
 def plain_whitening(rows, k=4):
