@@ -37,11 +37,11 @@ def test_numbers_of_utterances(spark):
 
 
 def test_ranges_bounds_and_approximations(spark):
-    said = ["एक से डेढ़ लाख के बीच", "1 से 2 लाख", "18-40", "5 to 3", "2 लाख से कम", "more than three lakh", "तीन लाख से ज्यादा", "लगभग दो लाख", "two and three", None, "1,000 to 2,000 people"]
+    said = ["एक से डेढ़ लाख के बीच", "1 से 2 लाख", "18-40", "5 to 3", "2 लाख से कम", "more than three lakh", "तीन लाख से ज्यादा", "लगभग दो लाख", "two and three", None, "1,000 to 2,000 people", "between one lakh and two lakh", "between 18 and 40"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i long, s string")
     c = F.col("s")
     got = {r.i: r for r in df.select("i", numbers.number_range(c).alias("r"), numbers.bounds(c).alias("b"), numbers.about(c).alias("a")).collect()}
-    assert {i: tuple(r.r) for i, r in got.items() if r.r} == {0: (100000, 150000), 1: (100000, 200000), 2: (18, 40), 10: (1000, 2000)}
+    assert {i: tuple(r.r) for i, r in got.items() if r.r} == {0: (100000, 150000), 1: (100000, 200000), 2: (18, 40), 10: (1000, 2000), 11: (100000, 200000), 12: (18, 40)}
     assert {i: tuple(r.b) for i, r in got.items() if tuple(r.b) != (None, None)} == {4: (None, 200000), 5: (300000, None), 6: (300000, None)}
     assert [i for i, r in got.items() if r.a] == [7]
 
