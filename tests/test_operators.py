@@ -219,7 +219,7 @@ def test_profiles_and_candidates(spark):
 def test_evaluation_edges(spark):
     df = spark.createDataFrame([([], []), (["a"], []), ([], ["a"]), (["a", "b"], ["b", "c"])], "e array<string>, f array<string>")
     p, r, f1 = evaluation.set_scores(F.col("e"), F.col("f"))
-    assert [tuple(x) for x in df.select(p, r, f1).collect()] == [(1, 1, 1), (0, 0, 0), (0, 0, 0), (0.5, 0.5, 0.5)]
+    assert [tuple(x) for x in df.select(p, r, f1).collect()] == [(1, 1, 1), (0, 0, 0), (0, 1, 0), (0.5, 0.5, 0.5)]
     none = evaluation.confusion(spark.createDataFrame([], "e string, p string"), "e", "p", ["A", "B"]).collect()
     assert [(x["class"], x.a, x.precision, x.f1) for x in none] == [("A", 0, 0, 0), ("B", 0, 0, 0)]
     judged = spark.createDataFrame([(1, 0)], "q int, g int")
@@ -242,6 +242,26 @@ def test_document_functions(spark):
     assert {r.u: (r.a, r.p) for r in got} == urls
 
 
+def test_addresses_that_are_not_public(spark):
+    private = ["127.0.0.1", "10.0.0.1", "100.64.1.1", "169.254.169.254", "172.31.0.1", "192.168.1.1", "0.0.0.0", "224.0.0.1", "240.1.1.1", "198.18.0.1", "2130706433", "localhost", "LOCALHOST.", "a.local", "x.localhost", "metadata.google.internal", "instance-data"]
+    private += ["[::1]", "[::]", "[fd00::1]", "[fe80::1]", "[FF02::1]", "[::ffff:10.0.0.1]", "[::ffff:7f00:1]", "[2001:db8::5]", "[::g]", "[1:2]", "[1::2::3]", ""]
+    public = ["10.example.com", "172.40.0.1", "100.128.0.1", "8.8.8.8", "11.0.0.1", "192.169.0.1", "[2606:4700::1111]", "[::ffff:8.8.8.8]", "256.1.1.1", "local", "127.0.0.1.example.com", "1.2.3"]
+    got = spark.createDataFrame([(h, f"http://u:p@{h}:80/x?y") for h in private + public], "h string, u string").select("h", documents.private_host(F.col("u")).alias("p")).collect()
+    assert {r.h for r in got if r.p} == set(private)
+
+
+def test_relations_need_whole_phrases(spark):
+    from trivalent.operators import relations
+
+    said = {
+        "in supersession of the order": "SUPERSEDES", "the word shall be read as other": "CORRIGENDUM_TO", "in partial modification of": "AMENDS", "shall be substituted": "AMENDS", "shall be inserted": "ADDENDUM_TO", "for the removal of doubt": "CLARIFIES",
+        "validity extended": "EXTENDS", "ask the extension officer": None, "an extended family": None, "a superseding order, amended": "SUPERSEDES", "के स्थान पर पढ़ा जावे": "CORRIGENDUM_TO",
+    }
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    got = df.select("s", relations.relationship(F.col("s"), F.lit("x"), F.lit(""))[0].alias("r")).collect()
+    assert {r.s: r.r for r in got} == said
+
+
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
 def test_index_percentiles_are_exact(spark, q):
     import random

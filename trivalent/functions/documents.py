@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,10 +70,60 @@ def allowed(url: Column, domains: list[str]) -> Column:
     return F.coalesce(url.rlike("(?i)^https?://") & inside, F.lit(False))
 
 
+# Networks that are not public, and names of this machine or of its surroundings.
+NETWORKS = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    "::/128", "::1/128", "100::/64", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8",
+)
+LOCAL_NAMES = ("localhost", "metadata.google.internal", "instance-data")
+_MAPPED = "0" * 20 + "ffff"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ipv4(text: Column) -> Column:
+    """The number of an address in four parts or in one, null if the text is none."""
+    parts = F.transform(F.split(text, r"\."), lambda p: p.try_cast("long"))
+    four = F.when(text.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _let(parts, lambda ps: F.when(F.forall(ps, lambda p: p <= 255), F.aggregate(ps, F.lit(0).cast("long"), lambda n, p: n * 256 + p))))
+    one = F.when(text.rlike("^[0-9]{1,10}$") & (text.try_cast("long") < 1 << 32), text.try_cast("long"))
+    return F.coalesce(four, one)
+
+
+def _ipv6(text: Column) -> Column:
+    """The 32 hexadecimal digits of an address, null if the text is none; its end may be in four decimal parts."""
+    tail = _ipv4(F.regexp_extract(text, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1))
+    words = _let(tail, lambda n: F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535))))
+    groups = lambda h: F.filter(F.split(F.coalesce(h, F.lit("")), ":"), lambda g: g != "")
+
+    def filled(halves):
+        """All eight groups: noughts stand for a double colon."""
+        both = F.struct(groups(F.get(halves, F.lit(0))).alias("l"), groups(F.get(halves, F.lit(1))).alias("r"), F.size(halves).alias("n"))
+        return _let(both, lambda x: F.when(x["n"] == 1, x["l"]).when((x["n"] == 2) & (F.size(x["l"]) + F.size(x["r"]) < 8), F.concat(x["l"], F.array_repeat(F.lit("0"), 8 - F.size(x["l"]) - F.size(x["r"])), x["r"])))
+
+    every = _let(F.split(F.lower(F.when(text.contains("."), words).otherwise(text)), "::"), filled)
+    return _let(every, lambda gs: F.when((F.size(gs) == 8) & F.forall(gs, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")))
+
+
 def private_host(url: Column) -> Column:
-    """Whether the host is this machine, or an address of a private, loopback, link-local or unspecified range."""
-    h = host(url)
-    return (h == "") | h.rlike(r"^(?:localhost|.*\.local|0\..*|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(?:1[6-9]|2[0-9]|3[01])\..*)$")
+    """Whether the host is an address of a network that isn't public (in any notation), a name of this machine or its surroundings, empty, or an address that is none."""
+    host_of = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/:?#]*)", 1)), r"\.+$", "")
+    nets = [ipaddress.ip_network(n) for n in NETWORKS]
+    bound = lambda n: (n[0], n[-1])
+    any_of = lambda tests: functools.reduce(lambda x, y: x | y, tests)
+    in_v4 = lambda number: _let(number, lambda c: any_of([c.between(*map(int, bound(n))) for n in nets if n.version == 4]))
+
+    def in_v6(six):
+        mapped = F.when(F.startswith(six, F.lit(_MAPPED)), F.conv(F.substring(six, 25, 8), 16, 10).cast("long"))
+        return F.coalesce(in_v4(mapped), any_of([six.between(*(f"{int(x):032x}" for x in bound(n))) for n in nets if n.version == 6]), F.lit(True))
+
+    def closed(h):
+        named = (h == "") | h.isin(*LOCAL_NAMES) | h.rlike(r"\.(?:local|localhost)$")
+        return F.when(h.startswith("["), _let(_ipv6(F.regexp_extract(h, r"^\[(.*)\]$", 1)), in_v6)).otherwise(named | F.coalesce(in_v4(_ipv4(h)), F.lit(False)))
+
+    return _let(host_of, closed)
 
 
 def markdown_table(rows: Column) -> Column:

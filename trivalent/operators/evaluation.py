@@ -54,10 +54,11 @@ def confusion(df: DataFrame, expected: str, predicted: str, classes: list[str])
 
 
 def set_scores(expected: Column, found: Column) -> tuple[Column, Column, Column]:
-    """Precision, recall and f1 of a set of names: nothing expected and nothing found is perfect, nothing found of some has no precision."""
+    """Precision, recall and f1 of a set of names: nothing expected and nothing found is perfect, nothing found of some has
+    no precision, and something found where nothing is expected has lost nothing."""
     both, e, f = F.size(F.array_intersect(expected, found)), F.size(F.array_distinct(expected)), F.size(F.array_distinct(found))
     nothing = (e == 0) & (f == 0)
-    p, r = F.when(nothing, 1.0).otherwise(ratio(both, f)), F.when(nothing, 1.0).otherwise(ratio(both, e))
+    p, r = F.when(nothing, 1.0).otherwise(ratio(both, f)), ratio(both, e, 1.0)
     return p, r, ratio(2 * p * r, p + r)
 
 

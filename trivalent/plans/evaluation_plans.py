@@ -95,9 +95,12 @@ def stable_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls of pages, some with private hosts instead, against a list of domains."""
+    """Urls of pages, a third of them with addresses made of their ids instead, against a list of domains."""
     k = F.col("page_id")
-    other = F.concat(F.lit("http://"), F.element_at(F.array(*map(F.lit, ("10.1.2.3", "localhost", "172.20.0.1", "172.40.0.1", "u:p@192.168.0.9:80"))), (k % 5 + 1).cast("int")), F.lit("/x"))
+    first = F.element_at(F.array(*map(F.lit, (10, 100, 127, 169, 172, 192, 198, 224, 8))), (k % 9 + 1).cast("int"))
+    address = F.concat_ws(".", *(c.cast("string") for c in (first, F.when(k % 2 == 0, k * 37 % 256).otherwise(F.when(first == 192, 168).otherwise(254)), k % 256, k * 7 % 256)))
+    forms = (address, F.lit("localhost."), F.concat(F.lit("10."), k.cast("string"), F.lit(".example.com")), F.concat(F.lit("[fd00::"), F.lower(F.hex(k % 4096)), F.lit("]")), F.concat(F.lit("u:p@"), address, F.lit(":80")), F.concat(F.lit("[::ffff:"), address, F.lit("]")))
+    other = F.concat(F.lit("http://"), F.element_at(F.array(*forms), (k / 3 % 6 + 1).cast("int")), F.lit("/x"))
     urls = _read(spark, sf_dir, "pages").select("page_id", F.when(k % 3 == 0, other).otherwise(F.col("url")).alias("url"))
     return urls.groupBy(d.allowed(F.col("url"), ["example.com", "example.org"]).alias("allowed"), d.private_host(F.col("url")).alias("private")).agg(F.count("*").alias("n"))
 
@@ -185,7 +188,7 @@ ORACLE_SQL = {
       s AS (SELECT *, CASE WHEN found > 0 THEN tp / found ELSE 0 END AS pr, CASE WHEN there > 0 THEN tp / there ELSE 0 END AS re FROM n)
       SELECT class, good, bad, toxic, round(pr, 4) AS precision, round(re, 4) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 4) AS f1 FROM s""",
     "missing_field_scores": """WITH o AS (SELECT l_orderkey, coalesce(list(DISTINCT l_linenumber) FILTER (l_quantity > 30), []) AS e, coalesce(list(DISTINCT l_linenumber) FILTER (l_extendedprice > 30000), []) AS f FROM lineitem GROUP BY 1),
-      b AS (SELECT *, len(list_intersect(e, f)) AS n FROM o), s AS (SELECT l_orderkey % 10 AS slice, CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1 WHEN len(f) = 0 THEN 0 ELSE n / len(f) END AS p, CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1 WHEN len(e) = 0 THEN 0 ELSE n / len(e) END AS r FROM b)
+      b AS (SELECT *, len(list_intersect(e, f)) AS n FROM o), s AS (SELECT l_orderkey % 10 AS slice, CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1 WHEN len(f) = 0 THEN 0 ELSE n / len(f) END AS p, CASE WHEN len(e) = 0 THEN 1 ELSE n / len(e) END AS r FROM b)
       SELECT slice, count(*) AS n, round(avg(p), 4) AS p, round(avg(r), 4) AS r, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 4) AS f1 FROM s GROUP BY slice""",
     "fact_outcomes": """WITH l AS (SELECT l_orderkey, l_linenumber, l_orderkey + l_linenumber AS k, min(l_quantity)::INT AS v, (['age', 'income', 'land', 'marks', 'size', 'x', 'y'])[l_linenumber] AS field FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1, 2),
       o AS (SELECT field, CASE WHEN k % 11 <> 0 AND k % 7 = 0 THEN 'MISSING' WHEN k % 11 = 0 AND k % 7 <> 0 THEN 'EXTRA' WHEN k % 11 = 0 THEN NULL WHEN k % 6 = 0 THEN 'WRONG_OPERATOR' WHEN k % 5 = 0 AND v <> 10 THEN 'WRONG_VALUE' ELSE 'MATCH' END AS outcome FROM l)
@@ -199,8 +202,10 @@ ORACLE_SQL = {
       SELECT b.doc_id, len(b.l) - len(list_intersect(a.l, b.l)) AS added, len(a.l) - len(list_intersect(a.l, b.l)) AS removed, coalesce(b.y > a.y, false) AS later FROM l a JOIN l b ON b.doc_id = a.doc_id + 1""",
     "stable_embeddings": """WITH r AS (SELECT n_nationkey, i, md5(n_name || ':' || i) AS h FROM nation, range(8) t(i)), x AS (SELECT n_nationkey, i, ('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT / 4294967296::DOUBLE - 0.5::DOUBLE AS x FROM r)
       SELECT n_nationkey, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY n_nationkey)), 6) AS x FROM x""",
-    "host_checks": """WITH u AS (SELECT page_id, page_id % 3 = 0 AS own, page_id % 5 AS k, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS h FROM pages)
-      SELECT NOT own AND (h IN ('example.com', 'example.org') OR h LIKE '%.example.com' OR h LIKE '%.example.org') AS allowed, own AND k <> 3 AS private, count(*) AS n FROM u GROUP BY ALL""",
+    "host_checks": """WITH u AS (SELECT page_id % 3 = 0 AS own, (page_id // 3) % 6 AS form, ([10, 100, 127, 169, 172, 192, 198, 224, 8])[page_id % 9 + 1] AS a, page_id, page_id % 256 AS c, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS h FROM pages),
+      v AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN page_id * 37 % 256 WHEN a = 192 THEN 168 ELSE 254 END AS b FROM u),
+      x AS (SELECT *, a IN (10, 127, 224) OR (a = 100 AND b // 64 = 1) OR (a = 169 AND b = 254) OR (a = 172 AND b // 16 = 1) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)))) OR (a = 198 AND (b // 2 = 9 OR (b = 51 AND c = 100))) AS closed FROM v)
+      SELECT CASE WHEN own THEN form = 2 ELSE h IN ('example.com', 'example.org') OR h LIKE '%.example.com' OR h LIKE '%.example.org' END AS allowed, own AND CASE form WHEN 2 THEN false WHEN 1 THEN true WHEN 3 THEN true ELSE closed END AS private, count(*) AS n FROM x GROUP BY ALL""",
     "markdown_tables": r"""SELECT n_regionkey, '| key | a\|name | note |' || chr(10) || '| --- | --- | --- |' || string_agg(chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |  |', '' ORDER BY n_nationkey) AS "table" FROM nation GROUP BY 1""",
     "canonical_hashes": """SELECT event_id, sha256('{"a":"' || user_id || '","k":"' || json_extract_string(props, '$.k') || '","z":"' || event_type || '"}') AS hash FROM events""",
     "dates_in_formats": f"""WITH t(id, s) AS (VALUES {", ".join(f"({i}::BIGINT, '{s}')" for i, s in enumerate(_DAYS))}), u AS (SELECT id, translate(s, '०१२३४५६७८९', '0123456789') AS s FROM t)

@@ -123,7 +123,7 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' types as texts in which some words stand for the signals."""
     k = F.col("p_partkey")
-    said = F.element_at(F.array(*map(F.lit, ("in supersession of", "Corrigendum to", "as amended by", "Addendum", "clarification", "extension of date", "see", ""))), (k % 8 + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, ("in supersession of", "shall be read as", "as amended by", "shall be  inserted", "for the removal of doubt", "validity extended to", "see the extension officer", ""))), (k % 8 + 1).cast("int"))
     name = F.when(k % 16 == 7, "amendment.pdf").otherwise("order.pdf")
     text = F.concat(said, F.lit(" "), F.when(k % 3 == 0, "order 12/2024").otherwise("a rule"))
     relation, strength = relations.relationship(text, name, F.lit("Order 12/2024"))
@@ -181,7 +181,10 @@ ORACLE_SQL = {
       b AS (SELECT doc_id, i, i = 7 OR trim(line) = '' OR (length(trim(line)) < 40 AND regexp_matches(trim(line), '(?i)https?://|www[.]|page\s*[0-9]+|^[0-9]+$')) AS bp FROM l),
       g AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (bp) AS boilerplate, count(*) FILTER (NOT bp AND i % 5 <> 3) AS covered, count(*) FILTER (NOT bp AND i % 5 = 3) AS missing FROM b GROUP BY 1)
       SELECT *, CASE WHEN covered + missing > 0 THEN round(covered / (covered + missing), 4) ELSE 1 END AS coverage FROM g""",
-    "relationships": """WITH p AS (SELECT p_partkey % 8 AS k, p_partkey % 16 = 7 AS weak, p_partkey % 3 = 0 AS cited FROM part),
-      r AS (SELECT CASE k WHEN 0 THEN 'SUPERSEDES' WHEN 1 THEN 'CORRIGENDUM_TO' WHEN 2 THEN 'AMENDS' WHEN 3 THEN 'ADDENDUM_TO' WHEN 4 THEN 'CLARIFIES' WHEN 5 THEN 'EXTENDS' END AS said, weak, cited FROM p)
+    "relationships": r"""WITH p AS (SELECT (['in supersession of', 'shall be read as', 'as amended by', 'shall be  inserted', 'for the removal of doubt', 'validity extended to', 'see the extension officer', ''])[p_partkey % 8 + 1]
+        || CASE WHEN p_partkey % 3 = 0 THEN ' order 12/2024' ELSE ' a rule' END AS text, CASE WHEN p_partkey % 16 = 7 THEN 'amendment.pdf' ELSE 'order.pdf' END AS file FROM part),
+      r AS (SELECT CASE WHEN regexp_matches(text, 'supersession|superseded') THEN 'SUPERSEDES' WHEN regexp_matches(text, 'be\s+read\s+as|corrigendum') THEN 'CORRIGENDUM_TO' WHEN regexp_matches(text, 'amended|amendment|substituted') THEN 'AMENDS'
+        WHEN regexp_matches(text, 'addendum|be\s+inserted') THEN 'ADDENDUM_TO' WHEN regexp_matches(text, 'clarif|removal\s+of\s+doubt') THEN 'CLARIFIES' WHEN regexp_matches(text, '(validity|deadline)\s+extended') THEN 'EXTENDS' END AS said,
+        file LIKE '%amendment%' AS weak, text LIKE '%order 12/2024%' AS cited FROM p)
       SELECT coalesce(said, CASE WHEN weak THEN 'AMENDS' WHEN cited THEN 'REFERENCES' END) AS relation, CASE WHEN said IS NOT NULL THEN CASE WHEN cited THEN 'EXPLICIT' ELSE 'STRONG' END WHEN weak THEN 'WEAK' WHEN cited THEN 'EXPLICIT' END AS strength, count(*) AS n FROM r GROUP BY ALL""",
 }
