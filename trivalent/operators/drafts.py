@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import host
 from ..functions.text import indian_number
+from . import verification
 from .validation import issues
 
 Rule = tuple[str, str, Column]
@@ -67,8 +68,7 @@ def verified(facts: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame
     itself, the same or another; else more context is needed."""
     cited = facts.select(*key, F.explode_outer("refs").alias("evidence_id"))
     joined = cited.join(evidence.withColumn("known", F.lit(True)), [key[0], "evidence_id"], "left")
-    text = F.lower("text")
-    monthly, annual = text.rlike("month|मासिक|प्रति माह"), text.rlike("annual|year|वार्षिक|प्रति वर्ष")
+    monthly, annual = verification.monthly(F.lower("text")), verification.annual(F.lower("text"))
     seen = joined.groupBy(*key).agg(
         F.count("evidence_id").alias("refs_n"), F.count_if(F.col("evidence_id").isNotNull() & F.col("known").isNull()).alias("broken"), F.array_sort(F.collect_set(indian_number(F.col("text")))).alias("numbers"),
         F.max(F.when(monthly, 1).otherwise(0)).alias("monthly"), F.max(F.when(annual, 1).otherwise(0)).alias("annual"),
@@ -79,7 +79,7 @@ def verified(facts: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame
     same = F.abs(F.get("numbers", F.lit(0)) - F.col("value").cast("double")) < 0.001
     steps = [
         (F.col("refs_n") == 0, "NOT_ENOUGH_EVIDENCE", "EVIDENCE_MISSING"), (F.col("broken") > 0, "NOT_ENOUGH_EVIDENCE", "FACT_NOT_PRESENT"), (F.size("numbers") > 1, "NOT_ENOUGH_EVIDENCE", "AMBIGUOUS_SOURCE"),
-        (wrong_period, "CONTRADICTED", "PERIODICITY_CONFLICT"), (same, "SUPPORTED", "DIRECT_MATCH"), (~same, "CONTRADICTED", "VALUE_CONFLICT"),
+        (wrong_period, "CONTRADICTED", "PERIOD_CONFLICT"), (same, "SUPPORTED", "DIRECT_MATCH"), (~same, "CONTRADICTED", "VALUE_CONFLICT"),
     ]
     result, reason = F.lit("NOT_ENOUGH_EVIDENCE"), F.lit("INSUFFICIENT_CONTEXT")
     for holds, name, why in reversed(steps):
