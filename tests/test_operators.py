@@ -300,5 +300,8 @@ def test_chunks_keep_provisos_and_share_blocks(spark):
     df = spark.createDataFrame(rows, "t array<bigint>, b array<boolean>").select("b", F.explode(F.array(chunking.sums(F.col("t")))).alias("r"))
     got = [[(c.first, c.last) for c in r.c] for r in df.select(chunking.packed(F.col("r"), F.col("b"), 25, 10).alias("c")).collect()]
     assert got == [[(0, 1), (1, 2), (2, 3)], [(0, 2), (2, 3)], [(0, 0)], [], [(0, 0), (0, 1), (2, 2)]]
-    merged = spark.createDataFrame([([3, 9, 2],), ([1],), ([],), ([9, 2],)], "t array<bigint>").select(chunking.merged(F.col("t"), 5, 12).alias("m")).collect()
-    assert [list(r.m) for r in merged] == [[12, 2], [1], [], [11]]
+    rows = [([3, 9, 2], [(0, 0), (1, 1), (2, 2)]), ([1], [(0, 0)]), ([], []), ([9, 2], [(0, 0), (1, 1)]), ([8, 3], [(0, 1), (1, 1)]), ([2, 2, 9], [(0, 1), (1, 2)])]
+    df = spark.createDataFrame(rows, "t array<bigint>, c array<struct<first:bigint,last:bigint>>").select("c", F.explode(F.array(chunking.sums(F.col("t")))).alias("r"))
+    merged = df.select("r", F.explode(F.array(chunking.merged(F.col("r"), F.col("c"), 5, 14))).alias("m")).select("m", F.transform("m", lambda x: chunking.size_of(F.col("r"), x)).alias("n")).collect()
+    assert [[tuple(x) for x in r.m] for r in merged] == [[(0, 2)], [(0, 0)], [], [(0, 1)], [(0, 1)], [(0, 1), (1, 2)]]
+    assert [r.n for r in merged] == [[14], [1], [], [11], [11], [4, 11]]

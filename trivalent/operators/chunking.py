@@ -46,24 +46,30 @@ def packed(running: Column, provisos: Column, target: int = TARGET, overlap: int
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), start, step, end)).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>"))
 
 
-def merged(tokens: Column, tiny: int = TINY, most: int = MOST) -> Column:
-    """Tokens of chunks of one section after tiny ones are joined with the next, or else with the one before, where both fit."""
-    n = F.size(tokens)
-    at = lambda i: F.element_at(tokens, (i + 1).cast("int"))
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(False).alias("skip"))
+def size_of(running: Column, chunk: Column) -> Column:
+    """The tokens of a chunk (first, last) of blocks with running sums."""
+    return F.element_at(running, (chunk["last"] + 2).cast("int")) - F.element_at(running, (chunk["first"] + 1).cast("int"))
+
+
+def merged(running: Column, chunks: Column, tiny: int = TINY, most: int = MOST) -> Column:
+    """Chunks (see packed) of one section after tiny ones are joined with the next, or else with the one before, where the tokens of both are few enough.
+
+    A joined chunk has each of its blocks once, also those that the two shared; running and chunks are columns of their own."""
+    kind = "array<struct<first:bigint,last:bigint>>"
+    start = F.struct(F.array().cast(kind).alias("out"), F.lit(False).alias("skip"))
+    both = lambda x, y: F.array(F.struct(F.least(x["first"], y["first"]).alias("first"), F.greatest(x["last"], y["last"]).alias("last")))
+    then = lambda out, skip=False: F.struct(out.alias("out"), F.lit(skip).alias("skip"))
 
     def step(a, i):
-        own, last = at(i), F.coalesce(F.element_at(a.out, -1), F.lit(most))
-        with_next = (own < tiny) & (i + 1 < n) & (own + F.coalesce(F.get(tokens, (i + 1).cast("int")), F.lit(most)) <= most)
-        with_last = (own < tiny) & (F.size(a.out) > 0) & (own + last <= most)
+        own, following, last = F.get(chunks, i), F.get(chunks, i + 1), F.try_element_at(a.out, F.lit(-1))
+        is_tiny = size_of(running, own) < tiny
+        fits = lambda other: is_tiny & other.isNotNull() & (size_of(running, own) + size_of(running, other) <= most)
         return (
-            F.when(a.skip, F.struct(a.out.alias("out"), F.lit(False).alias("skip")))
-            .when(with_next, F.struct(F.concat(a.out, F.array(own + F.get(tokens, (i + 1).cast("int")))).alias("out"), F.lit(True).alias("skip")))
-            .when(with_last, F.struct(F.concat(F.slice(a.out, 1, F.size(a.out) - 1), F.array(last + own)).alias("out"), F.lit(False).alias("skip")))
-            .otherwise(F.struct(F.concat(a.out, F.array(own)).alias("out"), F.lit(False).alias("skip")))
+            F.when(a.skip, then(a.out)).when(fits(following), then(F.concat(a.out, both(own, following)), True))
+            .when(fits(last), then(F.concat(F.slice(a.out, 1, F.size(a.out) - 1), both(last, own)))).otherwise(then(F.concat(a.out, F.array(own))))
         )
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), start, step, lambda a: a.out)).otherwise(tokens)
+    return F.when(F.size(chunks) > 0, F.aggregate(F.sequence(F.lit(0), F.size(chunks) - 1), start, step, lambda a: a.out)).otherwise(F.array().cast(kind))
 
 
 def coverage(blocks: DataFrame, chunks: DataFrame, document: str, block: str, boilerplate: Column) -> DataFrame:

@@ -107,8 +107,9 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = F.transform("l", lambda s: F.lower(s).startswith("the"))
     rows = lines.select("doc_id", bound.alias("b"), F.explode(F.array(chunking.sums(tokens))).alias("r"))  # the generator keeps the sums a column
     rows = rows.select("doc_id", "r", F.explode(F.array(chunking.packed(F.col("r"), F.col("b")))).alias("c"))
-    rows = rows.select("doc_id", F.explode(F.array(F.transform("c", lambda x: F.element_at("r", (x.last + 2).cast("int")) - F.element_at("r", (x.first + 1).cast("int"))))).alias("t"))
-    rows = rows.select("doc_id", "t", F.explode(F.array(chunking.merged(F.col("t")))).alias("m"))
+    sized = lambda c: F.transform(c, lambda x: chunking.size_of(F.col("r"), x))
+    rows = rows.select("doc_id", "r", sized("c").alias("t"), F.explode(F.array(chunking.merged(F.col("r"), F.col("c")))).alias("m"))
+    rows = rows.select("doc_id", "t", sized("m").alias("m"))
     return rows.select("doc_id", F.array_join("t", ",").alias("tokens"), F.array_join("m", ",").alias("merged"))
 
 
@@ -167,16 +168,17 @@ ORACLE_SQL = {
           greatest(largest, CASE WHEN open + n[i + 1] <= 400 THEN open + n[i + 1] ELSE n[i + 1] END) FROM f WHERE i < len(n))
       SELECT doc_id, chunks, largest FROM f WHERE i = len(n)""",
     "chunk_overlap": r"""WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: greatest(ceil(length(s) / 4), 1)::BIGINT) AS n, list_transform(string_split(text, chr(10)), lambda s: lower(s) LIKE 'the%') AS b FROM documents),
-      f AS (SELECT doc_id, n, b, 1 AS i, [n[1]] AS cur, []::BIGINT[] AS done FROM l
+      f AS (SELECT doc_id, n, b, 1 AS i, [n[1]] AS cur, []::STRUCT(f BIGINT, l BIGINT)[] AS done FROM l
         UNION ALL SELECT doc_id, n, b, i + 1, CASE WHEN list_sum(cur) + n[i + 1] > 400 AND NOT b[i + 1]
             THEN list_append(list_slice(cur, len(cur) + 1 - list_max(list_filter(range(0, len(cur) + 1), lambda k: coalesce(list_sum(list_slice(cur, len(cur) + 1 - k, len(cur))), 0) <= 200)), len(cur)), n[i + 1]) ELSE list_append(cur, n[i + 1]) END,
-          CASE WHEN list_sum(cur) + n[i + 1] > 400 AND NOT b[i + 1] THEN list_append(done, list_sum(cur)::BIGINT) ELSE done END FROM f WHERE i < len(n)),
-      c AS (SELECT doc_id, list_append(done, list_sum(cur)::BIGINT) AS t FROM f WHERE i = len(n)),
-      m AS (SELECT doc_id, t, 0 AS i, []::BIGINT[] AS o, false AS skip FROM c
-        UNION ALL SELECT doc_id, t, i + 1, CASE WHEN skip THEN o WHEN t[i + 1] < 100 AND i + 1 < len(t) AND t[i + 1] + t[i + 2] <= 800 THEN list_append(o, t[i + 1] + t[i + 2])
-          WHEN t[i + 1] < 100 AND len(o) > 0 AND t[i + 1] + o[len(o)] <= 800 THEN list_append(list_slice(o, 1, len(o) - 1), o[len(o)] + t[i + 1]) ELSE list_append(o, t[i + 1]) END,
-          NOT skip AND t[i + 1] < 100 AND i + 1 < len(t) AND t[i + 1] + t[i + 2] <= 800 FROM m WHERE i < len(t))
-      SELECT doc_id, array_to_string(t, ',') AS tokens, array_to_string(o, ',') AS merged FROM m WHERE i = len(t)""",
+          CASE WHEN list_sum(cur) + n[i + 1] > 400 AND NOT b[i + 1] THEN list_append(done, {'f': (i - len(cur) + 1)::BIGINT, 'l': i::BIGINT}) ELSE done END FROM f WHERE i < len(n)),
+      c AS (SELECT doc_id, n, list_append(done, {'f': (i - len(cur) + 1)::BIGINT, 'l': i::BIGINT}) AS t FROM f WHERE i = len(n)),
+      z AS (SELECT doc_id, n, t, list_transform(t, lambda x: list_sum(list_slice(n, x.f, x.l))::BIGINT) AS s FROM c),
+      m AS (SELECT doc_id, n, t, s, 0 AS i, []::STRUCT(f BIGINT, l BIGINT)[] AS o, false AS skip FROM z
+        UNION ALL SELECT doc_id, n, t, s, i + 1, CASE WHEN skip THEN o WHEN s[i + 1] < 100 AND i + 1 < len(t) AND s[i + 1] + s[i + 2] <= 800 THEN list_append(o, {'f': least(t[i + 1].f, t[i + 2].f), 'l': greatest(t[i + 1].l, t[i + 2].l)})
+          WHEN s[i + 1] < 100 AND len(o) > 0 AND s[i + 1] + list_sum(list_slice(n, o[len(o)].f, o[len(o)].l)) <= 800 THEN list_append(list_slice(o, 1, len(o) - 1), {'f': least(o[len(o)].f, t[i + 1].f), 'l': greatest(o[len(o)].l, t[i + 1].l)}) ELSE list_append(o, t[i + 1]) END,
+          NOT skip AND s[i + 1] < 100 AND i + 1 < len(t) AND s[i + 1] + s[i + 2] <= 800 FROM m WHERE i < len(t))
+      SELECT doc_id, array_to_string(s, ',') AS tokens, array_to_string(list_transform(o, lambda x: list_sum(list_slice(n, x.f, x.l))::BIGINT), ',') AS merged FROM m WHERE i = len(t)""",
     "chunk_coverage": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
       b AS (SELECT doc_id, i, i = 7 OR trim(line) = '' OR (length(trim(line)) < 40 AND regexp_matches(trim(line), '(?i)https?://|www[.]|page\s*[0-9]+|^[0-9]+$')) AS bp FROM l),
       g AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (bp) AS boilerplate, count(*) FILTER (NOT bp AND i % 5 <> 3) AS covered, count(*) FILTER (NOT bp AND i % 5 = 3) AS missing FROM b GROUP BY 1)
