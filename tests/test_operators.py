@@ -242,6 +242,19 @@ def test_document_functions(spark):
     assert {r.u: (r.a, r.p) for r in got} == urls
 
 
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 0.999, 1.0])
+def test_interpolated_percentiles_are_exact(spark, q):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(n, rng.choice([rng.random(), 0.5, 0.25])) for n in [*range(1, 24), 3000] for _ in range(n)]
+    got = {r.g: r.value for r in metrics.interpolated_percentile(spark.createDataFrame([*rows, (99, None), (2, None)], "g int, v double"), "g", "v", q).collect()}
+    want = {g: float(np.quantile([v for h, v in rows if h == g], q)) for g in {g for g, _ in rows}}
+    assert set(got) == set(want) and all(abs(got[g] - want[g]) < 1e-12 for g in want)
+
+
 def test_addresses_that_are_not_public(spark):
     private = ["127.0.0.1", "10.0.0.1", "100.64.1.1", "169.254.169.254", "172.31.0.1", "192.168.1.1", "0.0.0.0", "224.0.0.1", "240.1.1.1", "198.18.0.1", "2130706433", "localhost", "LOCALHOST.", "a.local", "x.localhost", "metadata.google.internal", "instance-data"]
     private += ["[::1]", "[::]", "[fd00::1]", "[fe80::1]", "[FF02::1]", "[::ffff:10.0.0.1]", "[::ffff:7f00:1]", "[2001:db8::5]", "[::g]", "[1:2]", "[1::2::3]", ""]

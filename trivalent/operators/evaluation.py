@@ -81,11 +81,6 @@ def fact_matches(expected: DataFrame, found: DataFrame, keys: list[str], field:
     return both.select(*keys, "field", outcome.alias("outcome"))
 
 
-def interpolated_percentile(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
-    """The q-quantile of each group between the two nearest values, exact; counts of equal values are merged before the shuffle."""
-    return df.groupBy(by).agg(F.percentile(value, q).alias("value"))
-
-
 def attributed(cases: DataFrame, causes: list[tuple[str, Column]], fallback: str = "NONE") -> DataFrame:
     """cases with cause: the first that holds."""
     out = F.lit(fallback)

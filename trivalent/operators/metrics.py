@@ -77,3 +77,22 @@ def index_percentile(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
     upto = F.sum("own").over(Window.partitionBy(by).orderBy(F.asc_nulls_first("value")))
     place = F.least(F.floor(F.col("n") * q), F.col("n") - 1)
     return counts.withColumn("upto", upto).where(F.col("upto") > place).groupBy(by).agg(F.min("value").alias("value"))
+
+
+def interpolated_percentile(df: DataFrame, by: str, value: str, q: float) -> DataFrame:
+    """The q-quantile of each group between the two nearest values, exact. Null values are left out.
+
+    As in index_percentile approximate quantiles just below and above q bound the place, and only what lies between them is put in
+    order; of what is below the largest value is kept, and of what is above the smallest, as these may be neighbours in small groups."""
+    rows = df.select(by, F.col(value).cast("double").alias("v")).where("v is not null")
+    bounds = F.percentile_approx("v", F.array(F.lit(max(0.0, q - AROUND)), F.lit(min(1.0, q + AROUND))), F.lit(ACCURACY))
+    groups = rows.groupBy(by).agg(F.count("*").alias("n"), bounds.alias("bounds"))
+    v, low, high = F.col("v"), F.col("bounds")[0], F.col("bounds")[1]
+    zone = F.when(v < low, 0).when(v <= high, 1).otherwise(2)
+    counts = rows.join(hinted(groups, 50), by).groupBy(by, zone.alias("zone"), F.when(zone == 1, v).alias("own")).agg(F.count("*").alias("k"), F.min("v").alias("least"), F.max("v").alias("most"), F.first("n").alias("n"))
+    near = F.when(F.col("zone") == 0, F.col("most")).otherwise(F.col("least"))
+    upto = F.sum("k").over(Window.partitionBy(by).orderBy("zone", "own"))  # the different values near the quantile
+    place = (F.col("n") - 1) * F.lit(float(q))
+    at = lambda p: F.min(F.when(F.col("upto") > p, F.struct("zone", "near")))["near"]
+    out = counts.withColumn("near", near).withColumn("upto", upto).groupBy(by).agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), F.first(place - F.floor(place)).alias("part"))
+    return out.select(by, (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import documents as d
-from ..operators import dedup, evaluation, retrieval
+from ..operators import dedup, evaluation, metrics, retrieval
 from ..operators.sizes import hinted
 from .text_plans import PHRASES, phrases
 
@@ -63,7 +63,7 @@ def fact_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 95th percentile between neighbours, by event type."""
-    return evaluation.interpolated_percentile(_read(spark, sf_dir, "events"), "event_type", "value", 0.95).withColumn("value", F.round("value", 6))
+    return metrics.interpolated_percentile(_read(spark, sf_dir, "events"), "event_type", "value", 0.95).withColumn("value", F.round("value", 6))
 
 
 def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
