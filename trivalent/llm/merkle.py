@@ -169,16 +169,18 @@ def paths(trees: Forest, tops: DataFrame) -> DataFrame:
     carried = [c for c in tops.columns if c not in ("grp", "path")]
     above = trees.tops.join(tops, "grp").withColumnRenamed("level", "top_level")
     alone = above.where("top_level = 0").select("key", "changed", "digest", "grp", "path", *carried)
-    upper, start = None, above.where("top_level > 0").select("grp", F.lit(0).cast("long").alias("run"), "path", (F.col("top_level") - 1).alias("level"), *carried)
+    # what a group's last run lies below has no run of its own: a row without digests stands for it
+    none = F.lit(None).cast("array<string>")
+    start = above.where("top_level > 0").select("grp", F.lit(0).cast("long").alias("parent"), none.alias("above"), "path", F.col("top_level").alias("level"), *carried)
+    upper = None
     for level in reversed(levels):
-        here = trees.runs.where(F.col("level") == level).drop("level")
-        known = start.where(F.col("level") == level).drop("level")
+        known = start.where(F.col("level") == level + 1).drop("level")
         if upper is not None:
-            place = (F.col("run") % trees.fanout).cast("int")
-            lower = here.select("grp", "run", (F.col("run") / trees.fanout).cast("long").alias("parent"))
-            down = lower.join(upper.withColumnRenamed("run", "parent"), ["grp", "parent"])
-            known = known.unionByName(down.select("grp", "run", F.concat(F.array(_step(F.col("digests"), place)), "path").alias("path"), *carried))
-        upper = here.join(known, ["grp", "run"])
+            known = known.unionByName(upper.select("grp", F.col("run").alias("parent"), F.col("digests").alias("above"), "path", *carried))
+        here = trees.runs.where(F.col("level") == level).drop("level").withColumn("parent", (F.col("run") / trees.fanout).cast("long"))
+        place = (F.col("run") % trees.fanout).cast("int")
+        path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat(F.array(_step(F.col("above"), place)), "path"))
+        upper = here.join(known, ["grp", "parent"]).select("grp", "run", "keys", "digests", "changed", path.alias("path"), *carried)
     if upper is None:
         return alone
     leaf = upper.select("grp", "path", *carried, "digests", F.posexplode(F.arrays_zip("keys", "changed", "digests")).alias("at", "leaf"))
