@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession):
+    """Within it, an action's shuffle files are removed when it ends, not when the driver next collects garbage; the setting is put back.
+
+    For steps that each end in a checkpoint: nothing reads the shuffle files of a step that is done."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def hinted(small: DataFrame, row_bytes: int = 16) -> DataFrame:
     """small (already computed) with a broadcast hint if its counted rows, of about row_bytes each, allow it."""
     return F.broadcast(small) if small.count() * row_bytes <= SMALL_BYTES else small

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, hinted, map_columns, schema_of, text_bytes
+from .common import checkpointed, fresh, hinted, map_columns, released_shuffles, schema_of, text_bytes
 from .components import components
 from .simhash import WORDS, candidate_links, set_fingerprint, shingle_hashes
 
 #: Sets that are compared with each other in one step, and about how many bytes of them.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Sets that a task holds while others pass by, in blocks, and those that pass by.
+HELD, PASSING = 8, 32
 #: Members of sets in one matrix, and rows that are unpacked at once.
 STEP, ROWS = 4096, 256
 
@@ -110,21 +114,36 @@ def _block_labels(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, schema_of("node long, root long, label long"))
 
 
-def _crossing_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links between labels for sets (root, pair, rest, label, hashes): of each that is rest with all of its pair of blocks."""
+def _crossing_links(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b: links between labels for sets (root, pair, rest, label, hashes): of each that is rest with all others of its pair.
+
+    A task holds the rest of a pair, which comes first, and the others pass by, a block at a time."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def links(label, held, others):
+        i, j = np.nonzero(_similar(held, _sets(h for _, h in others), similarity))
+        other = np.array([x for x, _ in others], np.int64)
+        ends = np.unique(np.sort(np.stack([np.array(label, np.int64)[i], other[j]], 1), 1), axis=0)
+        ends = ends[ends[:, 0] != ends[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=arrow)
+
     def run(batches):
-        for _, (rest, label, hashes) in _groups(batches):
-            rest, label, held = np.array(rest), np.array(label, np.int64), _sets(hashes)
-            one, two = np.flatnonzero(rest), np.flatnonzero(~rest)
-            if len(one) and len(two):
-                i, j = np.nonzero(_similar([held[x] for x in one], [held[x] for x in two], similarity))
-                ends = np.unique(np.sort(np.stack([label[one[i]], label[two[j]]], 1), 1), axis=0)
-                ends = ends[ends[:, 0] != ends[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=arrow)
-
-    rows = sets.select("root", "pair", "rest", "label", "hashes").repartition("root", "pair").sortWithinPartitions("root", "pair")
+        key, label, held = None, [], []
+        for batch in (b.slice(at, block) for b in batches for at in range(0, b.num_rows, block)):
+            for pair, rows in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: r[:2]):
+                if pair != key:
+                    key, label, held = pair, [], []
+                others = []
+                for _, _, rest, own, hashes in rows:
+                    if rest:
+                        label.append(own)
+                        held += _sets([hashes])
+                    else:
+                        others.append((own, hashes))
+                if held and others:
+                    yield links(label, held, others)
+
+    rows = sets.select("root", "pair", "rest", "label", "hashes").repartition("root", "pair").sortWithinPartitions("root", "pair", F.col("rest").desc())
     return rows.mapInArrow(run, schema_of("a long, b long"))
 
 
@@ -133,8 +152,10 @@ def verified_groups(sets: DataFrame, similarity: float, block: int = BLOCK) -> D
 
     A link is a pair of one root with at least `similarity`, each pair's whole sets compared. Roots with more than a block of nodes are cut into
     blocks: first each block is grouped on its own, then one node a group stands for it among the others' as long as that joins any,
-    and last all nodes outside of their root's largest group are compared with all blocks. So a group of any number of
-    similar nodes takes work in proportion to it, and no pair is left out but those of nodes that are joined anyway."""
+    and last all nodes outside of their root's largest group are compared with all: some blocks of them are held while all others pass by, so that
+    sets are sent to a task for every HELD blocks outside of the largest group, not for every block. A group of any number of similar
+    nodes takes work in proportion to it, and no pair is left out but those of nodes that are joined anyway. `sets` is read again
+    for each step, so it should be computed; what steps keep are numbers."""
 
     def blocks(df):
         n, size = F.count("*"), F.sum(F.length("hashes"))
@@ -147,14 +168,14 @@ def verified_groups(sets: DataFrame, similarity: float, block: int = BLOCK) -> D
     labels = checkpointed(_block_labels(dealt(sets, large, 0), similarity))
     if large.isEmpty():
         return labels.select("node", "label")
-    sets = checkpointed(sets.join(hinted(large.select("root")), "root", "left_semi"))
     own = checkpointed(labels.join(hinted(large.select("root")), "root", "left_semi"))
     links, heads, salt = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").limit(0), own.where("node = label"), 0
     while True:
         several = checkpointed(heads.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"))
-        heads = checkpointed(sets.join(heads.select("node"), "node", "left_semi").join(hinted(several.select("root")), "root", "left_semi"))
+        heads = checkpointed(heads.join(hinted(several.select("root")), "root", "left_semi").select("node"))
         before, salt = heads.count(), salt + 1
-        found = checkpointed(_block_labels(dealt(heads, checkpointed(blocks(heads)), salt), similarity))
+        held = sets.join(hinted(heads), "node", "left_semi")
+        found = checkpointed(_block_labels(dealt(held, checkpointed(blocks(held)), salt), similarity))
         links = links.union(found.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b"))
         heads = found.where("node = label")
         if heads.count() == before:
@@ -164,15 +185,19 @@ def verified_groups(sets: DataFrame, similarity: float, block: int = BLOCK) -> D
     main = sizes.groupBy("root").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
     main = checkpointed(main.select("root", F.col("m.label").alias("main")))
     if not main.isEmpty():
-        rows = checkpointed(sets.join(own.drop("root"), "node").join(hinted(main), "root").withColumn("rest", F.col("label") != F.col("main")))
-        of = lambda rest: F.greatest(F.lit(1), F.ceil(F.count(rest) / block), F.ceil(F.sum(F.when(rest.isNotNull(), F.length("hashes"))) / BLOCK_BYTES))
-        counts = checkpointed(rows.groupBy("root").agg(of(F.when(F.col("rest"), 1)).alias("few"), of(F.lit(1)).alias("many")))
-        rows = rows.join(hinted(counts), "root")
+        rows = checkpointed(own.join(hinted(main), "root").select("node", "label", (F.col("label") != F.col("main")).alias("rest")))
+        rows = sets.join(hinted(rows), "node")
+        size = F.length("hashes")
+        parts = lambda n, size, blocks: F.greatest(F.lit(1), F.ceil(n / (blocks * block)), F.ceil(size / (blocks * BLOCK_BYTES)))
+        counts = rows.groupBy("root").agg(
+            parts(F.count_if("rest"), F.sum(F.when(F.col("rest"), size)), HELD).alias("few"), parts(F.count("*"), F.sum(size), PASSING).alias("many")
+        )
+        rows = rows.join(hinted(checkpointed(counts)), "root")
         to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
         place = lambda n: F.pmod(F.xxhash64("node", F.lit(-1)), F.col(n))
         one = rows.where("rest").withColumn("pair", F.explode(F.transform(to("many"), lambda k: place("few") * F.col("many") + k)))
         two = rows.withColumn("rest", F.lit(False)).withColumn("pair", F.explode(F.transform(to("few"), lambda k: k * F.col("many") + place("many"))))
-        own = _relabelled(own, _crossing_links(one.unionByName(two), similarity))
+        own = _relabelled(own, _crossing_links(one.unionByName(two), similarity, block))
     return labels.join(hinted(large.select("root")), "root", "left_anti").select("node", "label").union(own.select("node", "label"))
 
 
@@ -200,7 +225,11 @@ def similar_nodes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
 
     Null and empty texts are one node; repeated rows and rows with null ids are rows like any other; an empty table gives empty ones.
     Of ties the smallest id is first (null last), and of equal ids the smallest hash of the text."""
+    with released_shuffles(docs.sparkSession):
+        return _similar_nodes(docs, words, similarity, radius, wide, text, block)
+
 
+def _similar_nodes(docs: DataFrame, words: int, similarity: float, radius: int, wide: int, text: str, block: int) -> tuple[DataFrame, DataFrame]:
     def make():
         def each(doc_id, text_hash, text):
             return doc_id, text_hash, *([*c] for c in zip(*(set_fingerprint(shingle_hashes(t, words)) for t in text)))

@@ -315,15 +315,16 @@ def candidate_links(nodes: DataFrame, radius: int, wide: int, seed: int = 1, buc
     The first half of the fingerprint is cut into PARTS of 32 bits, each with a covering family of `radius`: a pair that differs in at
     most PARTS * (radius + 1) - 1 of these bits is within the radius in one part at least, and so certainly meets in a table; of
     pairs further apart most do. Pairs that meet and differ in at most `wide` of all bits are candidates."""
-    prints = [f"f{i}" for i in range(WORDS)]
-    keys = []
-    for part in range(PARTS):
+    prints, links = [f"f{i}" for i in range(WORDS)], None
+    for part in range(PARTS):  # one after the other, so that a part's buckets alone are on disk
         value = F.shiftrightunsigned(f"f{part // 2}", 32 * (part % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
         masks = covering_masks(radius, seed + part, range(32))
-        keys += [F.xxhash64(F.lit(part), F.lit(t), value.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]
-    rows = nodes.select("node", *prints, F.explode(F.array(*keys)).alias("bucket"))
-    rows = split_buckets(rows, "node", bucket).select("bucket", "node", *prints)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_candidates(wide), schema_of("a long, b long")).distinct()
+        keys = F.array(*(F.xxhash64(F.lit(part), F.lit(t), value.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)))
+        rows = split_buckets(nodes.select("node", *prints, F.explode(keys).alias("bucket")), "node", bucket).select("bucket", "node", *prints)
+        found = rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_candidates(wide), schema_of("a long, b long"))
+        found = checkpointed(found.distinct())
+        links = links.union(found) if links else found
+    return links.distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", bucket: int = BUCKET) -> DataFrame:
