@@ -3,12 +3,13 @@
 A page is read as a row of text nodes, each with the path of tags from the root to it. For
 every path the text length and the punctuation a node are summed up; both ratios are smoothed
 over the nodes in page order and fused to the node's score. What an element calls itself (nav,
-footer, class="sidebar") is a prior that weighs the score; it removes nothing by itself.
+footer, class="sidebar", form) is a prior that weighs the score; menus, notices, adverts, forms and
+comments are never content, however long they are.
 
 Nodes whose score reaches a part of the scores' deviation are content. The gaps between them
 are filled: short nodes of the same article belong to it (in pages without article or main,
-those of the deepest element that holds nearly all content), unless the prior is against them.
-A heading belongs to what follows it.
+those of the deepest element that holds nearly all content), unless the prior is against them or
+their path's text is mostly links. A heading belongs to what follows it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .common import map_columns, table
 SMOOTHING, PART, SHARE = (0.25, 0.5, 0.25), 0.5, 0.9
 #: Priors that weigh a node's score: in an element that calls itself something else than content, and in an article.
 AGAINST, FOR = 0.05, 4.0
-#: Part of the page from which a class or a form that holds it isn't believed.
-MOST = 0.5
+#: Paragraphs, beside a first heading, of an element that is a page's layout, whatever its class; and the part of a path's text in links from
+#: which its nodes must reach the threshold themselves.
+PARAGRAPHS, LINKED = 2, 0.5
 
 #: Elements nested deeper stand beside each other, as in browsers.
 DEEPEST = 512
@@ -58,12 +60,13 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、؟।]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "skipped", "against", "depth")
+    __slots__ = ("tag", "path", "parent", "skipped", "against", "depth", "linked")
 
     def __init__(self, tag, parent, skipped=False, against=""):
         self.tag, self.parent, self.skipped, self.against = tag, parent, skipped, against
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
+        self.linked = tag == "a" or parent is not None and parent.linked
 
 
 def _element(tag: str, rest: str, parent: _Element) -> _Element:
@@ -84,18 +87,20 @@ def _element(tag: str, rest: str, parent: _Element) -> _Element:
     return _Element(tag, parent, skipped, against)
 
 
-def text_blocks(html: str) -> list[tuple[_Element, str]]:
-    """Blocks in page order with the element that holds each: text between the borders of block elements, white space made one space."""
+def text_blocks(html: str) -> list[tuple[_Element, str, int]]:
+    """Blocks in page order with the element that holds each and its characters in links: text between the borders of block elements, white
+    space made one space."""
     root = _Element("", None)
-    top, blocks, held, at = root, [], [], 0
+    top, blocks, held, linked, at = root, [], [], [], 0
     owner = root
 
     def flush():
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                blocks.append((owner, text))
+                blocks.append((owner, text, min(len(text), sum(map(len, linked)))))
             held.clear()
+            linked.clear()
 
     def close(to):
         nonlocal top
@@ -106,6 +111,8 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
             if not held:
                 owner = top
             held.append(html[at : m.start()])
+            if top.linked:
+                linked.append(held[-1])
         at = m.end()
         tag = m["tag"]
         if not tag:
@@ -147,21 +154,25 @@ def _above(e: _Element):
         e = e.parent
 
 
-def priors(elements: list[_Element], weights: np.ndarray) -> np.ndarray:
+def priors(elements: list[_Element]) -> np.ndarray:
     """Each node's prior by the elements around it: AGAINST, FOR in an article or main, or 1.
 
-    An element that holds an article isn't believed against it, nor is a class or a form that holds MOST of the page's weight."""
-    inside, held = defaultdict(float), set()
-    for e, w in zip(elements, weights):
+    An element that holds an article isn't believed against it, nor is a class or a form that holds a first heading and PARAGRAPHS paragraphs:
+    that is a page's layout."""
+    held, first, paragraphs = set(), set(), defaultdict(set)
+    for e in elements:
         for x in _above(e):
-            inside[x] += w
             if x.tag in ("article", "main") and not x.against and x.parent not in held:
                 held.update(y for y in _above(x.parent) if y.tag not in ("nav", "footer", "aside", "dialog"))
-    total = sum(weights) or 1
-    believed = {x for x in inside if x.against and x not in held and (x.against == "tag" or inside[x] < MOST * total)}
+            elif x.tag == "h1":
+                first.update(_above(x))
+            elif x.tag == "p":
+                for y in _above(x):
+                    if y.against:
+                        paragraphs[y].add(x)
     out = np.ones(len(elements))
     for i, e in enumerate(elements):
-        if any(x in believed for x in _above(e)):
+        if any(x.against and x not in held and (x.against == "tag" or x not in first or len(paragraphs[x]) < PARAGRAPHS) for x in _above(e)):
             out[i] = AGAINST
         elif any(x.tag in ("article", "main") for x in _above(e)):
             out[i] = FOR
@@ -180,14 +191,22 @@ def content_scores(elements: list[_Element], texts: list[str]) -> tuple[np.ndarr
     padded = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
     smooth = sum(w * padded[i : i + len(ratios)] for i, w in enumerate(SMOOTHING))
     fused = smooth[:, 0] * (1 + smooth[:, 1])
-    prior = priors(elements, np.array([len(t) for t in texts], float))
+    prior = priors(elements)
     return fused * prior, prior
 
 
 def content_nodes(score: np.ndarray, against: np.ndarray) -> np.ndarray:
-    """Nodes at or above a part of the scores' deviation. Where the prior is against a node, it must reach the mean of the others too."""
-    least = min(PART * score.std(), score.max())
-    return (score >= least) & (~against | (score >= (score[~against].mean() if not against.all() else np.inf)))
+    """Nodes at or above a part of the scores' deviation, and that the prior isn't against."""
+    return (score >= min(PART * score.std(), score[~against].max(initial=0))) & ~against
+
+
+def linked_paths(elements: list[_Element], texts: list[str], links: list[int]) -> np.ndarray:
+    """Whether each node's path has most of its text in links."""
+    length, inside = defaultdict(int), defaultdict(int)
+    for e, t, n in zip(elements, texts, links):
+        length[e.path] += len(t)
+        inside[e.path] += n
+    return np.array([inside[e.path] > LINKED * length[e.path] for e in elements])
 
 
 def main_text(html: str) -> str:
@@ -195,7 +214,7 @@ def main_text(html: str) -> str:
     blocks = text_blocks(html)
     if not blocks:
         return ""
-    elements, texts = [e for e, _ in blocks], [t for _, t in blocks]
+    elements, texts, links = (list(x) for x in zip(*blocks))
     score, prior = content_scores(elements, texts)
     content = content_nodes(score, prior < 1)
     if not content.any():
@@ -209,7 +228,8 @@ def main_text(html: str) -> str:
     if not articles:
         most = max(inside.values())
         articles = {max((x for x in inside if inside[x] >= SHARE * most and x.tag not in _INLINE), key=lambda x: x.depth)}
-    kept = [c or p >= 1 and any(x in articles for x in _above(e)) for e, c, p in zip(elements, content, prior)]
+    linked = linked_paths(elements, texts, links)
+    kept = [c or p >= 1 and not n and any(x in articles for x in _above(e)) for e, c, p, n in zip(elements, content, prior, linked)]
     for i in range(len(kept) - 2, -1, -1):  # a heading belongs to what follows it
         if not kept[i] and kept[i + 1] and prior[i] >= 1 and any(x.tag in _HEADINGS for x in _above(elements[i])):
             kept[i] = True
@@ -219,7 +239,8 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages' page_id and url with text and n_chars (code points).
 
-    Null and empty pages have empty text; pages of any length are read whole and may be cut off anywhere; repeated rows are each extracted."""
+    Null and empty pages have empty text; pages of any length are read whole and may be cut off anywhere; repeated rows are each extracted;
+    an empty table gives an empty one; other columns, whatever their names, are left out."""
 
     def make():
         def each(page_id, url, html):
