@@ -213,13 +213,36 @@ def test_content_of_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+BODY = "<p>First para, with a comma, and a second sentence. And a third one.</p><p>Then another, as long as that, and no shorter. The end.</p>"
+SHOWN = "First para, with a comma, and a second sentence. And a third one.\nThen another, as long as that, and no shorter. The end."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article>{BODY}</article><div class="comments"><p>{"A comment, longer than all of it. " * 40}</p></div>',
+        f'<article>{BODY}<div class="comments"><p>{"A comment, longer than all of it. " * 40}</p></div></article>',
+        f'<div id="cookie-consent"><p>{"We use cookies, and so on. " * 40}</p></div><article>{BODY}</article>',
+        f'<article>{BODY}<ul><li><a href=x>Share on X</a></li><li><a href=y>Share on Y</a></li></ul></article>',
+        f'<div><div>{BODY}</div><ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul></div>',
+        f'<form class="login"><p>{"Log in, or sign up. " * 40}</p></form><main>{BODY}</main>',
+    ],
+)
+def test_boxes_of_any_length_and_lists_of_links_are_left_out(page):
+    assert html_text.main_text(page) == SHOWN
+
+
+def test_nothing_but_a_form():
+    assert html_text.main_text('<form class="login"><p>Name, and password.</p></form>') == ""
+
+
 def test_scores_decide(monkeypatch):
-    """Without the ratios what the prior is against comes in: nothing is selected by names alone."""
-    page = '<body><div class="ad"><p>Buy it now.</p></div><article><h1>Title</h1><p>First para, with a comma, and a second sentence. And a third one.</p></article></body>'
-    assert html_text.main_text(page) == "Title\nFirst para, with a comma, and a second sentence. And a third one."
+    """With the ratios made constant, and the prior as it is, unmarked lists of links come in."""
+    page = f"<article>{BODY}<ul><li><a href=x>Share on X</a></li></ul></article>"
+    assert html_text.main_text(page) == SHOWN
     scores = html_text.content_scores
-    monkeypatch.setattr(html_text, "content_scores", lambda e, t: (np.ones(len(t)), scores(e, t)[1]))
-    assert html_text.main_text(page).startswith("Buy it now.")
+    monkeypatch.setattr(html_text, "content_scores", lambda e, t: (scores(e, t)[1], scores(e, t)[1]))
+    assert html_text.main_text(page) == f"{SHOWN}\nShare on X"
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -324,3 +347,10 @@ def test_limits_of_sparse_lengths_are_no_maximum():
 def test_toxic_text_is_not_trusted(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     assert sorted(r.trusted_id for r in quality._trusted(labels).collect()) == [1, 5]
+
+
+def test_redact_any_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", 5), (1, "a@b.co", 5), (2, None, None)], "doc_id long, text string, `back``tick` int")
+    want = [(1, "[email]", 5), (1, "[email]", 5), (2, None, None)]
+    assert sorted(map(tuple, pii.redact(docs).collect())) == want
+    assert pii.redact(docs.limit(0)).columns == docs.columns and pii.redact(docs.limit(0)).count() == 0

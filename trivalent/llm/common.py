@@ -80,13 +80,14 @@ def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterator | list]], ddl: str, rows: int = 1000) -> DataFrame:
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterator | list]], ddl: str | T.StructType, rows: int = 1000) -> DataFrame:
     """Run a function over slices of at most `rows` rows in Arrow batches.
 
     make() is called once a task and returns the function; that gets one Python list a
     column and returns the output columns, each a list or an Arrow array.
     """
-    arrow = to_arrow_schema(schema_of(ddl))
+    schema = schema_of(ddl) if isinstance(ddl, str) else ddl
+    arrow = to_arrow_schema(schema)
     # texts are long: batches of the default size of 10,000 rows would be held by the executor and its Python worker at once
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -98,7 +99,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterator | list]
                 out = each(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: str = "text"):

@@ -315,8 +315,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every finding, plain or disguised, replaced by its kind in brackets; the other columns stay as they are.
 
-    A null text stays null. Findings that overlap are replaced as one, by the kind that begins first."""
-    rest = [f"`{c}` {t.dataType.simpleString()}" for c, t in zip(docs.columns, docs.schema.fields)]
+    A null text stays null. Findings that overlap are replaced as one, by the kind that begins first. Repeated rows
+    are each redacted; an empty table gives an empty one; columns may have any names."""
     at = docs.columns.index(text)
 
     def cover(t: str | None) -> str | None:
@@ -330,7 +330,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def make():
         return lambda *cols: [[cover(t) for t in c] if i == at else c for i, c in enumerate(cols)]
 
-    return map_columns(docs, make, ", ".join(rest))
+    return map_columns(docs, make, docs.schema)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
