@@ -330,7 +330,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def make():
         return lambda *cols: [[cover(t) for t in c] if i == at else c for i, c in enumerate(cols)]
 
-    return map_columns(docs, make, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name may be one that Spark would parse
+    return map_columns(numbered, make, numbered.schema).toDF(*docs.columns)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
