@@ -93,3 +93,22 @@ def test_base_documents_are_the_plain_ones(spark):
         assert (r.base_id, r.score, r.n_bases) == (min(b for b, s in own.items() if s == top), top, len(own))
         assert r.conflict or sum(round(top - s, 4) < 0.1 for s in own.values()) == 1
     assert {a for a, _ in want} == set(best) and {r.conflict for r in best.values()} == {True, False}
+
+
+def test_titles_that_only_share_words_leave_no_pair(spark):
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(80), rng.randint(1, 25))) for _ in range(150)]
+    sets += [sorted({*rng.sample(s, len(s) - len(s) // 5), rng.randint(0, 80)}) for s in sets[:60]]
+    rows = [(i, None, " ".join(f"w{x:02}" for x in s) + f" {i}", [f"w{x:02}" for x in s], "d") for i, s in enumerate(sets)]
+    ddl = "{} long, citation string, title string, tokens array<string>, department string"
+    new, bases = spark.createDataFrame(rows, ddl.format("new_id")), spark.createDataFrame(rows, ddl.format("base_id"))
+    alike = lambda s, t: len({*s} & {*t}) / len({*s} | {*t})
+    want = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if i == j or alike(s, t) >= 0.5}
+    assert {(r.new_id, r.base_id) for r in candidates.candidates(new, bases).collect()} == want
+    bits = [F.expr(candidates._BITS.format(n=candidates.LONGS, i=i)).alias(f"bits{i}") for i in range(candidates.LONGS)]
+    titles = new.select(F.col("new_id").alias("id"), "department", "tokens", *bits)
+    counts = titles.select("department", F.explode("tokens").alias("token")).groupBy("department", "token").agg(F.count("*").alias("n"))
+    x, y = (candidates._prefixes(titles.withColumnRenamed("id", id), counts, id, 0.5) for id in "ab")
+    shared = x.select("a", "token").join(y.select("b", "token"), "token")
+    kept = {tuple(r) for r in x.alias("x").join(y.alias("y"), candidates._may_be_alike(0.5)).select("a", "b").collect()}
+    assert want <= kept and len(kept) < 2 * len(want) < shared.select("a", "b").distinct().count() / 2
