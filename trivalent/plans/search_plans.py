@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunking, dedup, relations, retrieval
-from ..operators.sizes import hinted
 
 BM25_QUERIES = [(1, "the of and"), (2, "de la que"), (3, "der die und der")]
 
@@ -29,9 +28,8 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every vector whose id is divisible by 50, exact."""
     v = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # a stated query set against all
-    scored = v.join(hinted(q, 600), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 4).alias("similarity"))
-    return retrieval.top_k(scored, ["query_id"], [F.desc("similarity"), F.col("vec_id")], 5)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # a stated query set against all
+    return retrieval.nearest_by_cosine(q, v, "vec_id", "embedding", 5, 4)
 
 
 def bm25_tf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
