@@ -344,3 +344,23 @@ def test_nearest_by_cosine_and_gains_are_all_pairs(spark, monkeypatch):
     alone = v.where("id = 0")
     assert retrieval.nearest_by_cosine(q.where("query_id = 0"), alone, "id", "v", 7, 4).isEmpty()
     assert evaluation.label_gains(alone, q.where("query_id = 0"), "id", "label", worth).isEmpty()
+
+
+def test_candidates_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    day = F.lit("2024-06-01").cast("date")
+    pick = rng.choice
+    schemes = [
+        (i, pick((True, True, None)), pick((True, True, True, False)), pick((None, date(2024, 1, 1), date(2024, 7, 1))), pick((None, date(2024, 8, 1), date(2024, 2, 1))), pick((None, "Rajasthan", "ALL_INDIA", "gujarat", "any", "open")),
+         pick((None, [], ["Kota"], ["kota", "Kota"], ["jaipur", None], ["any"], ["open"])), pick((None, "BOTH", "ALL", "RURAL", "URBAN", "urban")), pick(("UNKNOWN", "CENTRAL", None)), pick(("a", "B", None)))
+        for i in range(400)
+    ]
+    s = spark.createDataFrame(schemes, "scheme_id int, verified boolean, active boolean, valid_from date, valid_until date, state string, districts array<string>, rural_urban string, origin string, category string")
+    profiles_ = [(i, pick((None, "RAJASTHAN", "Gujarat", "all_india", "any", "")), pick((None, "Kota", "JAIPUR", "any", "open", "")), pick((None, "rural", "Urban", "both", "x")), pick((None, " b ", "c"))) for i in range(150)]
+    p = spark.createDataFrame(profiles_, "profile_id int, p_state string, p_district string, p_rural_urban string, wish string")
+    for category, central in ((None, False), (F.col("wish"), True)):
+        plain = discovery.top_k(p.join(F.broadcast(s), discovery.admits(day, category, central)), ["profile_id"], [F.col("scheme_id")], 9)
+        got = discovery.candidates(p, s, day, 9, category, central)
+        assert got.columns == plain.columns
+        assert sorted(got.collect(), key=lambda r: (r.profile_id, r.rank)) == sorted(plain.collect(), key=lambda r: (r.profile_id, r.rank))
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
