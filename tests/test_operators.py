@@ -364,3 +364,15 @@ def test_candidates_are_those_of_all_pairs(spark, monkeypatch):
         assert got.columns == plain.columns
         assert sorted(got.collect(), key=lambda r: (r.profile_id, r.rank)) == sorted(plain.collect(), key=lambda r: (r.profile_id, r.rank))
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_rows_of_rules_deal_profiles_by_their_states(spark, monkeypatch):
+    facts = spark.createDataFrame([(p, f, float(p), None, None) for p in range(40) for f in ("age", "x")], "profile_id int, field string, num double, str string, flag_value boolean")
+    rows = [(str(s), *r) for s in range(5) for r in (("0", None, 0, "AND", None, None, None, None, None, None, 2, 2, 0), ("0.0", "0", 1, "COND", "age", "GTE", 20.0 + s, None, None, None, 0, 2, 0), ("0.1", "0", 1, "COND", "no", "EXISTS", None, None, None, None, 0, 2, 0))]
+    nodes = spark.createDataFrame(rows, rules.NODES)
+    monkeypatch.setattr(rules, "STATES", 10)
+    assert rules._dealt(facts, nodes).rdd.getNumPartitions() == 20  # 40 profiles, one fact each that five conditions ask for
+    out = rules.evaluate_nodes(facts, nodes, 1)
+    assert {(r.profile_id, r.scheme_id): r.state for r in out.collect()} == {(p, str(s)): 0 if p < 20 + s else 1 for p in range(40) for s in range(5)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "scheme_id" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)  # groups stay with their profile

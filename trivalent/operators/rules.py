@@ -160,10 +160,23 @@ def evaluate_nodes(facts: DataFrame, nodes: DataFrame, deepest: int) -> DataFram
     unknown 1 and true 2, so AND is the minimum, OR the maximum and NOT two less the state. A condition without a fact is
     unknown, whether the fact's row is null or there is none: a group counts the children that it should have.
     Every profile with any fact has a state under every scheme. Rules are sent to all tasks while they are small."""
+    facts = _dealt(facts, nodes)
     states, _ = _rolled_up(facts, nodes, deepest)
     return _with_all_roots(facts, nodes, states)
 
 
+#: States of conditions that a partition of profiles has, about.
+STATES = 2_000_000
+
+
+def _dealt(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """facts dealt by profile: so all that is grouped by profile and more stays where it is, and partitions keep their size when profiles grow."""
+    each = facts.groupBy("field").count().join(nodes.where("kind = 'COND'").groupBy("field").agg(F.count("*").alias("leaves")), "field")
+    states = each.agg(F.sum(F.col("count") * F.col("leaves"))).first()[0] or 0
+    least = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return facts.repartition(max(least, -(-states // STATES)), "profile_id")
+
+
 def _rolled_up(facts: DataFrame, nodes: DataFrame, deepest: int) -> tuple[DataFrame, DataFrame]:
     """profile_id, scheme_id, path, parent, depth, state: of the roots, and of all nodes with a fact below."""
     num, low, high = (F.col(c).cast(truth.DECIMAL) for c in ("num", "low", "high"))
@@ -196,8 +209,9 @@ def _with_all_roots(facts: DataFrame, nodes: DataFrame, level: DataFrame) -> Dat
     # a tree none of whose conditions has a fact: unknown, or what its fixed parts decide
     alone = F.when(F.col("kind") == "COND", 1).when(F.col("kind") == "AND", F.least("least", F.when(F.col("open") > 0, 1))).when(F.col("kind") == "OR", F.greatest("most", F.when(F.col("open") > 0, 1))).otherwise(1)
     roots = hinted(nodes.where("depth = 0").select("scheme_id", alone.alias("alone")), 50)
-    grid = facts.select("profile_id").distinct().join(roots)  # the result's own rows
-    return grid.join(level.select("profile_id", "scheme_id", "state"), ["profile_id", "scheme_id"], "left").select("profile_id", "scheme_id", F.coalesce("state", "alone").alias("state"))
+    grid = facts.select("profile_id").distinct().join(roots).select("profile_id", "scheme_id", "alone", F.lit(None).cast("int").alias("state"))  # the result's own rows
+    both = grid.unionByName(level.select("profile_id", "scheme_id", F.lit(None).cast("int").alias("alone"), "state"))
+    return both.groupBy("profile_id", "scheme_id").agg(F.coalesce(F.max("state"), F.max("alone")).alias("state"))
 
 
 OUTCOMES = ("FALSE", "UNKNOWN", "TRUE")
