@@ -376,3 +376,10 @@ def test_rows_of_rules_deal_profiles_by_their_states(spark, monkeypatch):
     assert {(r.profile_id, r.scheme_id): r.state for r in out.collect()} == {(p, str(s)): 0 if p < 20 + s else 1 for p in range(40) for s in range(5)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "scheme_id" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)  # groups stay with their profile
+
+
+def test_shingles_are_taken_once(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, "AA bb, cc dd"), (3, "aa bb cc"), (4, None)], "id int, text string")
+    out = dedup.shingle_classes(docs, "id", "text")
+    assert sorted(tuple(r) for r in out.where("id < 4").collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+    assert "text" not in out._jdf.queryExecution().optimizedPlan().toString()  # both sides of the join read kept keys
