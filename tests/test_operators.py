@@ -383,3 +383,17 @@ def test_shingles_are_taken_once(spark):
     out = dedup.shingle_classes(docs, "id", "text")
     assert sorted(tuple(r) for r in out.where("id < 4").collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
     assert "text" not in out._jdf.queryExecution().optimizedPlan().toString()  # both sides of the join read kept keys
+
+
+def test_pairs_that_share_too_little_cost_no_sets(spark):
+    rng = random.Random(11)
+    texts = [[rng.choice("abcdefgh") * 2 for _ in range(rng.randint(1, 60))] for _ in range(60)]
+    texts += [[w if rng.random() > 0.03 else "zz" for w in t] for t in texts[:40]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id int, text string")
+    sets = [frozenset(tuple(t[i : i + 3]) for i in range(len(t) - 2)) or frozenset([tuple(t)]) for t in texts]
+    first = {s: i for i, s in reversed([*enumerate(sets)])}
+    want = {(i, j): round(len(s & t) / len(s | t), 4) for s, i in first.items() for t, j in first.items() if i < j and len(s & t) / len(s | t) >= 0.6}
+    assert {(r.a, r.b): r.similarity for r in dedup.jaccard_pairs(docs, "id", "text", 0.6).collect()} == want and len(want) > 15
+    rows = spark.createDataFrame([([*range(k, k + 300)],) for k in (0, 40, 900)], "s array<bigint>").select(F.expr(dedup.PARITIES.replace("h,", "xxhash64(h),")).alias("b")).collect()
+    differ = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x.b, y.b))
+    assert differ(rows[0], rows[1]) <= 80 < 250 < differ(rows[0], rows[2])
