@@ -397,3 +397,12 @@ def test_pairs_that_share_too_little_cost_no_sets(spark):
     rows = spark.createDataFrame([([*range(k, k + 300)],) for k in (0, 40, 900)], "s array<bigint>").select(F.expr(dedup.PARITIES.replace("h,", "xxhash64(h),")).alias("b")).collect()
     differ = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x.b, y.b))
     assert differ(rows[0], rows[1]) <= 80 < 250 < differ(rows[0], rows[2])
+
+
+def test_schemes_are_cut_before_their_keys_are_listed(spark, monkeypatch):
+    s = spark.createDataFrame([(i, True, True, None, None, None, [], "BOTH", "UNKNOWN") for i in range(30)], "scheme_id int, verified boolean, active boolean, valid_from date, valid_until date, state string, districts array<string>, rural_urban string, origin string")
+    p = spark.createDataFrame([(1, "rajasthan", "kota", "rural")], "profile_id int, p_state string, p_district string, p_rural_urban string")
+    plans, keep = [], discovery.written
+    monkeypatch.setattr(discovery, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    assert [r.scheme_id for r in discovery.candidates(p, s, F.lit("2024-06-01").cast("date"), 3).orderBy("rank").collect()] == [0, 1, 2]
+    assert plans[0].rindex("Window") > plans[0].rindex("Generate explode(in_residence")  # further down: before
