@@ -354,3 +354,16 @@ def test_redact_any_names(spark):
     want = [(1, "[email]", 5), (1, "[email]", 5), (2, None, None)]
     assert sorted(map(tuple, pii.redact(docs).collect())) == want
     assert pii.redact(docs.limit(0)).columns == docs.columns and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_archives_are_zipped_at_the_fast_level(spark, monkeypatch, tmp_path):
+    words = random.Random(5).choices(["page", "line", "menu", "text", "article", "river", "house"], k=40_000)
+    pages = spark.createDataFrame([(1, "http://a/", " ".join(words))], "page_id long, url string, html string")
+
+    def size(folder):
+        warc.write_arc(pages, folder)
+        return sum(f.stat().st_size for f in (tmp_path / folder.rpartition("/")[2]).glob("part-*"))
+
+    fast = size(f"{tmp_path}/fast")
+    monkeypatch.setattr(warc, "GZIP_LEVEL", "DEFAULT_COMPRESSION")
+    assert fast != size(f"{tmp_path}/default")
