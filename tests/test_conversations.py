@@ -123,3 +123,15 @@ def test_stream_tells_of_duplicates_and_late_turns_and_ends_where_the_batch_does
 
 def test_no_turns(spark):
     assert c.states(spark.createDataFrame([], c.EVENT)).collect() == []
+
+
+def test_only_a_partitions_first_session_is_followed_from_all_places(spark, monkeypatch):
+    rows = [*history(5, sessions=12, turns=20), (None, "a", START, "SESSION_STARTED", None, None), (None, "b", START, "NEED_PROVIDED", None, None)]
+    kept, keep = [], c.written
+    monkeypatch.setattr(c, "written", lambda df: kept.append(keep(df)) or kept[-1])
+    turns = spark.createDataFrame(rows, c.EVENT)
+    want = {r.session_id: tuple(r) for r in c.states(turns, parts=1).collect()}
+    assert want[None][1] == "PROCESSING_DISCOVERY"
+    assert {r.session_id: tuple(r) for r in c.states(turns, parts=5).collect()} == want
+    runs = kept[-1].groupBy("part").agg({"table": "count", "session_id": "count"}).collect()
+    assert len(runs) == 5 and all(r["count(table)"] == 1 < r["count(session_id)"] for r in runs)

@@ -171,26 +171,35 @@ def moves(event: str, has_field: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.array([_NUMBER[p] for p, _ in after], np.int16), np.array([not meant for _, meant in after], np.int64)
 
 
-_RUN = "session_id long, part int, first long, last long, table binary, ignored binary, again binary"
-_RUN_ARROW = pa.schema([("session_id", pa.int64()), ("part", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("table", pa.binary()), ("ignored", pa.binary()), ("again", pa.binary())])
+_RUN = "session_id long, part int, first long, last long, at int, state string, pending boolean, expected boolean, n_ignored long, n_again long, table binary, ignored binary"
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_RUN_ARROW = pa.schema([(c.split(" ")[0], k) for c, k in zip(_RUN.split(", "), _KINDS)])
 _HERE = np.arange(len(PLACES), dtype=np.int16)
 _NEW = np.full(len(PLACES), _NUMBER[START], np.int16)
 
 
+@functools.cache
+def _move(place: int, event: str, has_field: bool) -> tuple[int, int]:
+    after, meant = step(PLACES[place], event, has_field)
+    return _NUMBER[after], not meant
+
+
 def states(turns: DataFrame, ttl: int = TTL, parts: int | None = None) -> DataFrame:
     """session_id, state, pending, expected, n_ignored, n_sessions after all turns (session_id, turn_id, at, event, field), in order of time and turn.
 
     A pause of ttl minutes begins a session anew. A turn that repeats another's session and turn_id is left out, whenever it comes: its first stays.
-    Null events mean nothing. A row a session and partition is brought together, whatever the length of a history."""
+    Null events mean nothing. Turns are dealt by ranges of session and time, so only a partition's first session can have begun in another: its events
+    are composed for all places, the others are followed from the start. A session in several partitions is put together from a row each."""
     first = turns.groupBy("session_id", "turn_id").agg(F.min(F.struct("at", "event", "field")).alias("t")).select("session_id", "turn_id", "t.*")
     order = [F.col(c) for c in ("session_id", "at", "turn_id")]
     ordered = in_ranges(first, order, parts).select("part", "session_id", F.unix_micros(F.col("at")).alias("us"), F.coalesce("event", F.lit("")).alias("event"), F.col("field").isNotNull().alias("has_field"))
+    pause, start = ttl * 60_000_000, _NUMBER[START]
 
     def run(batches):
-        now, held, out = None, None, []
+        now, out, tables = START, [], None  # no session has this name
 
         def done():
-            out.append((now[1], now[0], held[0], held[1], held[2].tobytes(), held[3].tobytes(), held[4].tobytes()))
+            out.append((now, part, begun, last, at, *PLACES[at][:3], n_ignored, n_again, *(t.tobytes() for t in tables or ()), *(() if tables else (None, None))))
 
         def handed():
             batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _RUN_ARROW)], schema=_RUN_ARROW)
@@ -199,32 +208,43 @@ def states(turns: DataFrame, ttl: int = TTL, parts: int | None = None) -> DataFr
 
         for batch in batches:
             for part, session, us, event, has_field in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != (part, session):
-                    if now:
+                if session != now:
+                    if now is not START:
                         done()
-                    now, held = (part, session), [us, us, _HERE, np.zeros(len(PLACES), np.int64), np.zeros(1, np.int64)]
-                if us - held[1] >= ttl * 60_000_000:
-                    held[2] = _NEW
-                    held[4] = held[4] + 1
-                to, ignored = moves(event, has_field)
-                held[3] = held[3] + ignored[held[2]]
-                held[1], held[2] = us, to[held[2]]
-            if len(out) > 200:
+                    # the first may go on from another partition, so from any place
+                    tables = (_HERE, np.zeros(len(PLACES), np.int64)) if now is START else None
+                    now, begun, last, at, n_ignored, n_again = session, us, us, start, 0, 0
+                if us - last >= pause:
+                    at, n_again = start, n_again + 1
+                    tables = tables and (_NEW, tables[1])
+                if tables:
+                    to, ignored = moves(event, has_field)
+                    tables = to[tables[0]], tables[1] + ignored[tables[0]]
+                at, nothing = _move(at, event, has_field)
+                n_ignored, last = n_ignored + nothing, us
+            if len(out) > 5_000:
                 yield handed()
-        if now:
+        if now is not START:
             done()
             yield handed()
 
     def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at, n_ignored, sessions, last = _NUMBER[START], 0, 1, None
+        at, n_ignored, sessions, last = start, 0, 1, None
         for r in rows.sort_values("part").itertuples():  # at most one a partition
-            if last is not None and r.first - last >= ttl * 60_000_000:
-                at, sessions = _NUMBER[START], sessions + 1
-            n_ignored += int(np.frombuffer(r.ignored, np.int64)[at])
-            sessions += int(np.frombuffer(r.again, np.int64)[0])
-            at, last = int(np.frombuffer(r.table, np.int16)[at]), r.last
+            if last is not None and r.first - last >= pause:
+                at, sessions = start, sessions + 1
+            if r.table is None:
+                at, n_ignored = r.at, n_ignored + r.n_ignored
+            else:
+                n_ignored += int(np.frombuffer(r.ignored, np.int64)[at])
+                at = int(np.frombuffer(r.table, np.int16)[at])
+            sessions, last = sessions + r.n_again, r.last
         state, pending, expected, _ = PLACES[at]
         return pd.DataFrame({"session_id": [key[0]], "state": [state], "pending": [pending], "expected": [expected], "n_ignored": [n_ignored], "n_sessions": [sessions]})
 
     runs = written(ordered.mapInArrow(run, _RUN))
-    return runs.groupBy("session_id").applyInPandas(joined, "session_id long, state string, pending boolean, expected boolean, n_ignored long, n_sessions long")
+    first = F.broadcast(runs.where("table is not null").select(F.col("session_id").alias("s")).distinct())  # one a partition at most; a session in several is among them
+    here = F.col("session_id").eqNullSafe(F.col("s"))
+    whole = runs.join(first, here, "left_anti").select("session_id", "state", "pending", "expected", "n_ignored", (F.col("n_again") + 1).alias("n_sessions"))
+    several = runs.join(first, here, "left_semi").groupBy("session_id").applyInPandas(joined, "session_id long, state string, pending boolean, expected boolean, n_ignored long, n_sessions long")
+    return whole.union(several)
