@@ -118,3 +118,12 @@ def test_mentions_are_the_plain_ones(spark, shard_bytes):
     first = {r.id: r.name for r in dictionary.first_mention(dictionary.mentions(docs, "id", "text", table, "n"), "id").collect()}
     assert first == {i: plain_mentions(t or "", names, False)[0][2] for i, t in texts if plain_mentions(t or "", names, False)}
     assert dictionary.mentions(docs, "id", "text", table.limit(0), "n").collect() == []
+
+
+def test_texts_are_read_once_for_many_names(spark):
+    docs = spark.createDataFrame([(i, f"w{i} of w{i + 1} and x") for i in range(50)], "id int, text string")
+    names = spark.createDataFrame([(f"w{i}{end}",) for i in range(60) for end in ("", " and X", " of")], "n string")
+    found = dictionary.mentions(docs, "id", "text", names, "n", True, 100)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = [(i, n, at, to) for i in range(50) for n, at, to in ((f"w{i}", 0, 1), (f"w{i} of", 0, 2), (f"w{i + 1}", 2, 3), (f"w{i + 1} and X", 2, 5))]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
