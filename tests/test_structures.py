@@ -308,3 +308,12 @@ def test_decisive_conditions_tell_only_what_was_looked_at(spark):
 def test_written_rows_are_kept(spark):
     df = json_trees.written(spark.range(3).withColumn("r", F.rand()))
     assert df.collect() == df.collect()
+
+
+def test_trees_of_one_input_partition_are_dealt_to_many(spark, monkeypatch):
+    from trivalent.operators import json_trees, sizes, trees
+
+    monkeypatch.setattr(sizes, "PART_ROWS", 5)
+    docs = spark.createDataFrame([(i, f'{{"type":"AND","children":[{{"field":"age","value":{i}}}]}}') for i in range(100)], "id int, j string").coalesce(1)
+    for nodes, n in ((trees.nodes(docs, "id", "j"), 200), (json_trees.walk(docs, "id", "j"), 600)):
+        assert nodes.count() == n and nodes.where("depth = 0").rdd.getNumPartitions() >= 20

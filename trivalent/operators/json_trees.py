@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import written
+from .sizes import dealt, written
 
 NODE = ("path", "parent", "key", "pos", "depth", "kind", "value")
 
@@ -37,7 +37,7 @@ def walk(docs: DataFrame, id: str, json: str, names: tuple[str, ...] = ()) -> Da
     text themselves; of equal names in a list the second is name#2, and so on. Without names all elements are keyed by number, from 0.
     Ids must be unique: rows that repeat one would be one document."""
     spark = docs.sparkSession
-    root = docs.select(id, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.try_parse_json(json).alias("v"))
+    root = dealt(docs.select(id, json), id).select(id, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.try_parse_json(json).alias("v"))
     level, found = written(root.where("v is not null").withColumn("kind", _kind(F.col("v")))), []
     while not level.isEmpty():
         found.append(level.select(id, *NODE[:-1], F.when(F.col("kind") == "VALUE", F.to_json("v")).alias("value")))

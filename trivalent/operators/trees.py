@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import written
+from .sizes import dealt, written
 
 # Fields whose conditions are critical, and the names that groups go by.
 CRITICAL = ("age", "min_age", "max_age", "family_income", "annual_income", "income", "caste", "category", "gender", "domicile", "residency", "disability_percentage", "land_holding_acres")
@@ -34,7 +34,7 @@ def nodes(rules: DataFrame, id: str, json: str) -> DataFrame:
 
     What has a field is a condition (COND), fields in lower case; what else has no known kind of group is a group of kind AND. Null or broken texts have no nodes."""
     v = F.col("v")
-    level = rules.select(id, F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.try_parse_json(json).alias("v")).where("v is not null")
+    level = dealt(rules.select(id, json), id).select(id, F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.try_parse_json(json).alias("v")).where("v is not null")
     level, found = written(level), None
     while not level.isEmpty():
         field = F.lower(F.trim(F.try_variant_get(v, "$.field", "string")))
