@@ -257,6 +257,18 @@ def test_arc_records(version):
         list(warc.parse_arc(data[:-12]))
 
 
+def test_counts_of_plain_texts_are_those_of_packed_ones(spark):
+    """One function a task counts texts that need no shuffle, slices are small, and thresholds pass no Python worker."""
+    docs = spark.createDataFrame([(1, "en", "one two two"), (2, None, "é one"), (3, "en", None), (4, "en", "one two " * 400_000)], "doc_id long, lang string, text string")
+    plain = quality.ngram_counts(docs.select(*quality._plain("text", "lang")))
+    assert plain._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = quality.ngram_counts(quality._packed(docs, "text", "lang").select("lang", "packed"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, want.collect()))
+    texts = [b"x" * 300_000] * 10
+    assert max(sum(map(len, texts[a:b])) for a, b in quality._slices(texts)) <= 1 << 20
+    assert [*quality._slices([b"x" * (3 << 20), b"y"])] == [(0, 1), (1, 2)]
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([(1, "en", "abracadabra abba"), (2, "en", "cad bar abra")], "doc_id long, lang string, text string")
     model = quality.kneser_ney(quality.ngram_counts(quality._packed(docs, "text", "lang").select("lang", "packed")))

@@ -54,8 +54,8 @@ def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[own], lengths
 
 
-def _slices(texts, most=4 << 20):
-    """Index ranges of about `most` bytes, so that one slice bounds the memory of a step; a longer text is alone."""
+def _slices(texts, most=1 << 20):
+    """Index ranges of about `most` bytes, so that one slice bounds the memory of a step (some 50 bytes a byte of text); a longer text is alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -67,16 +67,19 @@ def _slices(texts, most=4 << 20):
 
 
 def ngram_counts(trusted: DataFrame) -> DataFrame:
-    """lang, code, n over documents with columns lang and packed (zstd-compressed UTF-8)."""
+    """lang, code, n over documents with columns lang and packed (zstd-compressed UTF-8), or lang and text (bytes).
+
+    Texts that weren't shuffled needn't be packed: packing them is another function in the same task, and so another worker that keeps its memory."""
+    plain = "text" in trusted.columns
 
     def make():
         import zstandard
 
-        def each(lang, packed):
-            unpack = zstandard.ZstdDecompressor().decompress
+        def each(lang, given):
+            unpack = bytes if plain else zstandard.ZstdDecompressor().decompress
             out = []
             for name in sorted(set(lang)):
-                texts = [unpack(p) for g, p in zip(lang, packed) if g == name]
+                texts = [unpack(p) for g, p in zip(lang, given) if g == name]
                 for a, b in _slices(texts):
                     code, n = np.unique(_codes(texts[a:b])[0], return_counts=True)
                     out.append((np.full(len(code), name, object), code, n))
@@ -87,7 +90,11 @@ def ngram_counts(trusted: DataFrame) -> DataFrame:
 
         return each
 
-    return map_columns(trusted, make, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return map_columns(trusted.select("lang", "text" if plain else "packed"), make, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def _plain(text: str, lang: str) -> list:
+    return [F.coalesce(lang, F.lit("")).alias("lang"), text_bytes(text).alias("text")]
 
 
 def _packed(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -99,7 +106,7 @@ def _packed(docs: DataFrame, text: str, lang: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         return lambda doc_id, lang, text: (doc_id, lang, [pack(t) for t in text])
 
-    return map_columns(docs.select("doc_id", F.coalesce(lang, F.lit("")).alias("lang"), text_bytes(text).alias("text")), make, "doc_id long, lang string, packed binary")
+    return map_columns(docs.select("doc_id", *_plain(text, lang)), make, "doc_id long, lang string, packed binary")
 
 
 def _order_tables(counts: DataFrame) -> list[DataFrame]:
@@ -244,7 +251,7 @@ def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", lang: st
     """A row for each row of docs: doc_id, lang, n_bytes, perplexity, text_hash (xxhash64 of the text).
 
     Null languages count as '' and null texts as empty. Empty texts, and languages without trusted text, have no perplexity."""
-    docs = docs.select("doc_id", F.coalesce(lang, F.lit("")).alias("lang"), text_bytes(text).alias("text"))
+    docs = docs.select("doc_id", *_plain(text, lang))
     parts = []
     for number, of, packed in shards(model, shard_rows):
         shared = docs.sparkSession.sparkContext.broadcast(packed)
@@ -332,16 +339,17 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
     train = checkpointed(trusted.where("not held").select("trusted_id"))
     if train.count() <= SMALL_ROWS:  # 8 bytes each: sent to all tasks, so that no text is shuffled
         own = docs.select("doc_id", text, lang)
-        train = _packed(own.join(F.broadcast(train), own.doc_id == F.col("trusted_id"), "left_semi"), text, lang)
+        train = own.join(F.broadcast(train), own.doc_id == F.col("trusted_id"), "left_semi").select(*_plain(text, lang))
     else:
         packed = _packed(docs, text, lang)
-        train = packed.join(train, packed.doc_id == F.col("trusted_id"), "left_semi")
-    train = train.select("lang", "packed")
+        train = packed.join(train, packed.doc_id == F.col("trusted_id"), "left_semi").select("lang", "packed")
     model = kneser_ney(checkpointed(ngram_counts(train)))
     scored = checkpointed(perplexities(docs, model, text, lang, shard_rows))
     held = scored.where("perplexity is not null").join(trusted.where("held"), scored.doc_id == F.col("trusted_id")).select("lang", _band(F.col("n_bytes")).alias("band"), F.log("perplexity").alias("x"))
     counts = held.groupBy("lang", "band", F.floor(F.col("x") / STEP).alias("step")).count().collect()  # as many as steps, not as documents
-    bounds = docs.sparkSession.createDataFrame(limits([tuple(c) for c in counts], quantile), "lang string, band int, q double")
+    found = limits([tuple(c) for c in counts], quantile)
+    columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))]
+    bounds = docs.sparkSession.createDataFrame(pa.table(columns, ["lang", "band", "q"]))  # of an Arrow table, as rows would pass Python workers
     out = scored.withColumn("band", _band(F.col("n_bytes"))).join(F.broadcast(bounds), ["lang", "band"], "left")
     threshold = F.exp(F.col("q") + F.lit(margin))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("keep"), "text_hash")
