@@ -65,6 +65,20 @@ def test_canonical_roots_end_cycles_and_chains(spark):
     assert {r.id: r.root for r in dedup.canonical_roots(links, "id", "parent").collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 9}
 
 
+def test_sets_are_made_once_of_words_hashed_once(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc dd bb cc dd"), (2, "aa bb"), (3, "aa"), (4, "bb aa"), (5, ""), (6, None), (7, "AA, bb!"), (8, "aa aa aa aa")], "id long, t string")
+    hashed = docs.select("id", F.explode(F.array(dedup.word_hashes(F.col("t")))).alias("w")).select("id", dedup.shingle_hashes(F.col("w"), 3).alias("s"))
+    got = {r.id: r.s for r in hashed.collect()}
+    assert [len(got[i]) for i in range(1, 9)] == [4, 1, 1, 1, 0, 0, 1, 1]
+    assert got[2] == got[7] and len({tuple(got[i]) for i in (2, 3, 4, 8)}) == 4 and got[1] == sorted(got[1])
+    assert sorted(map(tuple, dedup.shingle_classes(docs, "id", "t").select("id", "class_id").collect())) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 2), (8, 8)]
+    plans = []
+    with pytest.MonkeyPatch.context() as m:  # the plan that makes the sets names the sets' hashes once, not again in a filter
+        m.setattr(type(docs), "checkpoint", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.localCheckpoint())
+        dedup.jaccard_pairs(docs, "id", "t", 0.5).collect()
+    assert plans[0].count("array_distinct") == 1
+
+
 def test_jaccard_of_empty_and_equal_texts(spark):
     docs = spark.createDataFrame([(1, "a1 b1 c1 d1 e1"), (2, "a1 b1 c1 d1 e1"), (3, ""), (4, None), (5, "aa bb")], "id long, t string")
     assert dedup.jaccard_pairs(docs, "id", "t", 0.5).collect() == []
