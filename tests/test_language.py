@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trivalent.functions import numbers
 from trivalent.operators import dictionary, matching
+from trivalent.plans import language_plans
 
 
 def test_numbers_survive_being_spoken(spark):
@@ -127,3 +128,12 @@ def test_texts_are_read_once_for_many_names(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     want = [(i, n, at, to) for i in range(50) for n, at, to in ((f"w{i}", 0, 1), (f"w{i} of", 0, 2), (f"w{i + 1}", 2, 3), (f"w{i + 1} and X", 2, 5))]
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_only_the_way_asked_for_is_said_and_words_are_taken_once(spark, sf):
+    plan = language_plans.spoken_amounts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(array(" not in plan and "RepartitionByExpression" in plan
+    found = spark.createDataFrame([("between two and nine lakh",)], "s string").select("s", numbers.numbers(F.col("s")).alias("found"))
+    read = found.select(numbers.number_range(F.col("s"), F.col("found")).alias("r"))
+    assert read._jdf.queryExecution().analyzed().toString().split("\n")[0].count("regexp_extract_all") == 1
+    assert tuple(read.first().r) == (200000.0, 900000.0)

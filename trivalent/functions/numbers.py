@@ -119,14 +119,22 @@ def number_range(c: Column, found: Column | None = None) -> Column:
     """low, high of the first two numbers that stand on both sides of a word for `to` (or a dash, or of `and` after `between`), null if there are none or they fall.
 
     A scale that only the second has is the first's too."""
-    found, words = numbers(c) if found is None else found, tokens(c)
+    found = numbers(c) if found is None else found
     pairs = F.transform(F.sequence(F.lit(0), F.size(found) - 2), lambda i: F.struct(F.get(found, i).alias("a"), F.get(found, i + 1).alias("b")))
-    middle = lambda p: F.get(words, p["b"]["at"] - 1)
-    both = lambda p: middle(p).isin(*JOINERS) & (F.get(words, p["a"]["at"] - 1) == "between")
-    side = F.filter(F.when(F.size(found) > 1, pairs), lambda p: (p["b"]["at"] - p["a"]["to"] <= 2) & (middle(p).isin(*BETWEEN) | F.coalesce(both(p), F.lit(False))))
-    p = F.get(side, F.lit(0))
-    low = p["a"]["value"] * F.when(p["a"]["scale"].isNull(), F.coalesce(p["b"]["scale"], F.lit(1.0))).otherwise(1.0)
-    return F.when(low <= p["b"]["value"], F.struct(low.alias("low"), p["b"]["value"].alias("high")))
+
+    def beside(words):
+        middle = lambda p: F.get(words, p["b"]["at"] - 1)
+        both = lambda p: middle(p).isin(*JOINERS) & (F.get(words, p["a"]["at"] - 1) == "between")
+        return F.filter(pairs, lambda p: (p["b"]["at"] - p["a"]["to"] <= 2) & (middle(p).isin(*BETWEEN) | F.coalesce(both(p), F.lit(False))))
+
+    # an array of one, so that a text's words are taken once, not for each pair of numbers, and only of texts with two numbers
+    side = F.get(F.when(F.size(found) > 1, F.transform(F.array(tokens(c)), beside)), F.lit(0))
+
+    def ends(p):
+        low = p["a"]["value"] * F.when(p["a"]["scale"].isNull(), F.coalesce(p["b"]["scale"], F.lit(1.0))).otherwise(1.0)
+        return F.when(low <= p["b"]["value"], F.struct(low.alias("low"), p["b"]["value"].alias("high")))
+
+    return F.get(F.transform(F.slice(side, 1, 1), ends), F.lit(0))
 
 
 def _says(c: Column, phrases: tuple[str, ...]) -> Column:
