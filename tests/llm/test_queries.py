@@ -344,6 +344,53 @@ def test_recall_of_pairs_at_the_border_and_a_large_group(spark):
     assert len({(got[i], want[i]) for i in range(400, 800)}) == len({want[i] for i in range(400, 800)})
 
 
+@pytest.mark.parametrize("bucket", [20, 8192])
+def test_near_copies_are_linked_a_few_times_each(spark, monkeypatch, bucket):
+    """Components of all pairs that meet in a table within 60 bits, whether buckets are cut or not, from links in proportion to the nodes."""
+    rng = np.random.default_rng(3)
+    flipped = lambda x, n: x ^ np.isin(np.arange(256), rng.choice(256, n, False))
+    base, chain = rng.integers(0, 2, (2, 256))
+    far = flipped(base, 70)  # shares buckets with the first group
+    bits = [flipped(base, rng.integers(0, 24)) for _ in range(150)] + [flipped(far, rng.integers(0, 10)) for _ in range(40)] + [*rng.integers(0, 2, (60, 256))]
+    for _ in range(30):
+        bits.append(chain := flipped(chain, 12))
+    prints = np.packbits(np.array(bits, np.uint8), axis=1, bitorder="little").view("<u8")
+    made, plain = spark.sparkContext.accumulator(0), simhash._candidates
+
+    def counted(wide):
+        links = plain(wide)
+
+        def run(batches):
+            for out in links(batches):
+                made.add(out.num_rows)
+                yield out
+
+        return run
+
+    monkeypatch.setattr(simhash, "_candidates", counted)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        nodes = spark.createDataFrame([(i, *x) for i, x in enumerate(prints.view("<i8").tolist())], "node long, f0 long, f1 long, f2 long, f3 long")
+        got = {r.node: r.root for r in simhash.candidate_roots(nodes, 4, 60, bucket=bucket).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    meet = np.zeros((len(bits), len(bits)), bool)
+    for part in range(simhash.PARTS):
+        value = prints[:, part // 2] >> np.uint64(32 * (part % 2)) & np.uint64(0xFFFFFFFF)
+        for mask in simhash.covering_masks(4, 1 + part, range(32)):
+            kept = value & np.uint64(mask)
+            meet |= kept[:, None] == kept[None, :]
+    near = meet & (np.bitwise_count(prints[:, None] ^ prints[None, :]).sum(-1) <= 60)
+    ids = [*range(len(bits))]
+    want = groups([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)))], ids)
+    assert got == {i: want[i] for i in ids if near[i].sum() > 1}
+    assert 0 < made.value <= 6 * len(bits)
+
+
 def test_columns_that_clash_with_helpers(spark):
     docs = spark.createDataFrame([(1, "a b", "en", 0, 0, 0, 0), (1, "a b", "en", 0, 0, 0, 0), (2, "A b", "en", 0, 0, 0, 0), (3, "c", "en", 0, 0, 0, 0)], "doc_id long, text string, lang string, key_id int, key_hash int, trusted_id int, text_hash int")
     assert corpus.one_of_each_group(docs).columns == docs.columns and sorted(r.doc_id for r in corpus.one_of_each_group(docs).collect()) == [1, 3]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, hinted, map_columns, released_shuffles, schema_of, text_bytes
 from .components import components
-from .simhash import WORDS, candidate_links, set_fingerprint, shingle_hashes
+from .simhash import WORDS, candidate_roots, set_fingerprint, shingle_hashes
 
 #: Sets that are compared with each other in one step, and about how many bytes of them.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
@@ -241,8 +241,7 @@ def _similar_nodes(docs: DataFrame, words: int, similarity: float, radius: int,
     known = checkpointed(map_columns(rows, make, "doc_id long, text_hash long, node long, " + ", ".join(f"{p} long" for p in prints)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = checkpointed(known.groupBy("node", *prints).agg(F.min(order).alias("first")))
-    links = candidate_links(nodes.select("node", *prints), radius, wide)
-    roots = checkpointed(components(links, "a", "b"))
+    roots = candidate_roots(nodes.select("node", *prints), radius, wide)
     need = nodes.join(roots, "node").select("node", "root", F.col("first.doc_id").alias("key_id"), F.col("first.text_hash").alias("key_hash"))
     need = hinted(checkpointed(need), 32)
     texts = rows.join(need, rows.doc_id.eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))

@@ -251,37 +251,42 @@ def _forest(prints: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(wide: int):
-    """A function over partitions sorted by bucket (bucket, node, fingerprint's numbers): a, b, links whose components are those of
-    all pairs of the partition's buckets within `wide` bits. They lead from each node to the smallest of its component, so that
-    partitions that see parts of one large group give the same ones."""
+    """A function over partitions sorted by bucket (bucket, label, fingerprint's numbers): a, b, links between labels, whose components are
+    those of all pairs of the partition's buckets within `wide` bits and under two labels. They lead from each label to the smallest of its
+    component, so that partitions that see parts of one large group give the same ones."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs_of(prints):
-        n, i, j = len(prints), [], []
+    def pairs_of(label, prints):
+        values, counts = np.unique(label, return_counts=True)
+        main = label == values[counts.argmax()]
+        order, rest = np.argsort(main, kind="stable"), len(label) - counts.max()  # what has the commonest label comes last, as it is only met
+        label, prints = label[order], prints[order]
+        n, i, j = len(prints), [order[:0]], [order[:0]]
         step = max(1, (1 << 18) // n)
-        for s in range(0, n, step):
-            u, v = np.nonzero(_distance(prints[s : s + step, None], prints[None, s:]) <= wide)
+        for s in range(0, rest, step):
+            e = min(s + step, rest)
+            u, v = np.nonzero((_distance(prints[s:e, None], prints[None, s:]) <= wide) & (label[s:e, None] != label[None, s:]))
             u, v = u[v > u] + s, v[v > u] + s
             i.append(u)
             j.append(v)
             if sum(map(len, i)) > DENSE * n:
-                return _forest(prints, wide)
-        return np.concatenate(i), np.concatenate(j)
+                u, v = _forest(prints, wide)
+                return label[u], label[v]
+        return label[np.concatenate(i)], label[np.concatenate(j)]
 
-    def buckets(key, node, prints):
+    def buckets(key, label, prints):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         for s, n in zip(starts[sizes > 2 * DENSE], sizes[sizes > 2 * DENSE]):
-            i, j = pairs_of(prints[s : s + n])
-            yield node[s + i], node[s + j]
+            yield pairs_of(label[s : s + n], prints[s : s + n])
         group, end = np.repeat(sizes, sizes), np.repeat(starts + sizes, sizes)
         at = np.flatnonzero((group <= 2 * DENSE) & (group > 1))
         for o in range(1, 2 * DENSE):  # together at most DENSE pairs a member
             at = at[at + o < end[at]]
             if not len(at):
                 break
-            near = at[_distance(prints[at], prints[at + o]) <= wide]
-            yield node[near], node[near + o]
+            near = at[(_distance(prints[at], prints[at + o]) <= wide) & (label[at] != label[at + o])]
+            yield label[near], label[near + o]
 
     def run(batches):
         held, left, right = None, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -292,8 +297,8 @@ def _candidates(wide: int):
                 right.append(b)
 
         for batch in batches:
-            key, node, *prints = (c.to_numpy() for c in batch.columns)
-            new = key, node, np.stack(prints, 1).view(np.uint64)
+            key, label, *prints = (c.to_numpy() for c in batch.columns)
+            new = key, label, np.stack(prints, 1).view(np.uint64)
             held = tuple(np.concatenate(x) for x in zip(held, new)) if held else new
             if len(held[0]):
                 whole = int(np.searchsorted(held[0] == held[0][-1], True))  # the last bucket may go on
@@ -302,29 +307,93 @@ def _candidates(wide: int):
                     held = tuple(c[whole:] for c in held)
         if held and len(held[0]):
             take(held)
-        nodes, smallest = least_of_components(np.concatenate(left), np.concatenate(right))
-        own = nodes != smallest
-        yield pa.RecordBatch.from_arrays([pa.array(smallest[own]), pa.array(nodes[own])], schema=arrow)
+        labels, smallest = least_of_components(np.concatenate(left), np.concatenate(right))
+        own = labels != smallest
+        yield pa.RecordBatch.from_arrays([pa.array(smallest[own]), pa.array(labels[own])], schema=arrow)
 
     return run
 
 
-def candidate_links(nodes: DataFrame, radius: int, wide: int, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
-    """a, b over nodes (node, f0 to f3): links whose components are those of all candidates.
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with label: what their node is joined under in roots (node, root), or else the node."""
+    return rows.join(hinted(roots), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def _met(rows: DataFrame, wide: int) -> DataFrame:
+    """a, b: links between labels that meet in a bucket of rows (bucket, label, f0 to f3)."""
+    rows = rows.select("bucket", "label", *(f"f{i}" for i in range(WORDS))).repartition("bucket").sortWithinPartitions("bucket", "label")
+    return checkpointed(rows.mapInArrow(_candidates(wide), schema_of("a long, b long")).distinct())
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) with what links (a, b) between their labels join."""
+    return roots if links.isEmpty() else checkpointed(components(links.union(roots.select("root", "node")), "a", "b"))
+
+
+def _in_blocks(rows: DataFrame, large: DataFrame, salt: int) -> DataFrame:
+    """rows with the key `bucket` of each that is in large (bucket, blocks) replaced by keys of that many blocks, dealt anew for each salt."""
+    block = F.xxhash64("bucket", F.lit(salt), F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")))
+    dealt = rows.join(hinted(large), "bucket", "left")
+    return dealt.withColumn("bucket", F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(block)).drop("blocks")
+
+
+def _joined_in_large(rows: DataFrame, large: DataFrame, roots: DataFrame, wide: int, bucket: int) -> DataFrame:
+    """roots with the candidates of large buckets (bucket, blocks), whose blocks are compared on their own already.
+
+    Members are dealt to blocks anew as long as that halves the buckets' labels at least. Then what lies outside of a bucket's commonest
+    label is compared with all, in pairs of blocks. So near copies take work in proportion to them, whatever their number, and no
+    pair is left out but those under one label; members that nothing joins take pairs of all their blocks."""
+    rows = rows.join(hinted(large), "bucket", "left_semi")
+    before, salt = None, 0
+    while True:
+        sizes = _labelled(rows, roots).groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+        several = checkpointed(several.where("labels > 1").select("bucket", F.col("most.label").alias("main"), F.col("most.n").alias("few"), "n", "labels"))
+        now = several.agg(F.sum("labels")).first()[0]
+        if now is None:
+            return roots
+        if before and 2 * now > before:
+            break
+        before, salt = now, salt + 1
+        held = rows.join(hinted(several.select("bucket")), "bucket", "left_semi")
+        roots = _merged(roots, _met(_labelled(_in_blocks(held, large, salt), roots), wide))
+    blocks = several.select("bucket", "main", F.ceil((F.col("n") - F.col("few")) / bucket).alias("rest"), F.ceil(F.col("few") / bucket).alias("others"))
+    held = _labelled(rows, roots).join(hinted(blocks, 32), "bucket")
+    out, place = F.col("label") != F.col("main"), F.xxhash64("node", F.lit(SEED))
+    own = F.when(out, F.pmod(place, F.col("rest"))).otherwise(F.col("rest") + F.pmod(place, F.col("others")))
+    last = F.col("rest") - 1 + F.when(out, F.col("others")).otherwise(0)
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
+    return _merged(roots, _met(held.withColumn("bucket", F.explode(keys)), wide))
+
+
+def candidate_roots(nodes: DataFrame, radius: int, wide: int, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """node, root over nodes (node, f0 to f3), for every node that has a candidate: the components of all candidates.
 
     The first half of the fingerprint is cut into PARTS of 32 bits, each with a covering family of `radius`: a pair that differs in at
     most PARTS * (radius + 1) - 1 of these bits is within the radius in one part at least, and so certainly meets in a table; of
-    pairs further apart most do. Pairs that meet and differ in at most `wide` of all bits are candidates."""
-    prints, links = [f"f{i}" for i in range(WORDS)], None
-    for part in range(PARTS):  # one after the other, so that a part's buckets alone are on disk
+    pairs further apart most do. Pairs that meet and differ in at most `wide` of all bits are candidates.
+
+    What one table a part joins has one label in the other tables, which give links between labels only: a group of near copies is linked
+    a few times a member, not once a table."""
+    prints, tables = [f"f{i}" for i in range(WORDS)], []
+    for part in range(PARTS):
         value = F.shiftrightunsigned(f"f{part // 2}", 32 * (part % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
         masks = covering_masks(radius, seed + part, range(32))
-        keys = F.array(*(F.xxhash64(F.lit(part), F.lit(t), value.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)))
-        rows = split_buckets(nodes.select("node", *prints, F.explode(keys).alias("bucket")), "node", bucket).select("bucket", "node", *prints)
-        found = rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_candidates(wide), schema_of("a long, b long"))
-        found = checkpointed(found.distinct())
-        links = links.union(found) if links else found
-    return links.distinct()
+        tables.append([F.xxhash64(F.lit(part), F.lit(t), value.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+    roots = nodes.sparkSession.createDataFrame([], "node long, root long")
+    links = nodes.sparkSession.createDataFrame([], "a long, b long")
+    none = links
+    steps = [[t[0] for t in tables], *(t[1:] for t in tables)]
+    for n, keys in enumerate(steps):  # one part after the other, so that a part's buckets alone are on disk
+        rows = nodes.select("node", *prints, F.explode(F.array(*keys)).alias("bucket"))
+        large = checkpointed(rows.groupBy("bucket").agg(F.ceil(F.count("*") / bucket).alias("blocks")).where("blocks > 1"))
+        hot = not large.isEmpty()
+        links = links.union(_met(_labelled(_in_blocks(rows, large, 0) if hot else rows, roots), wide))
+        if hot or n in (0, len(steps) - 1):
+            roots, links = _merged(roots, links), none
+        if hot:
+            roots = _joined_in_large(rows, large, roots, wide, bucket)
+    return roots
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", bucket: int = BUCKET) -> DataFrame:
