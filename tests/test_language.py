@@ -71,6 +71,22 @@ def test_rounds_of_mutual_best_are_greedy(spark):
     assert matching.one_to_one(spark.createDataFrame([], "case long, l long, r long, s double"), "case", "l", "r", "s").collect() == []
 
 
+def test_rounds_are_dealt_by_their_rows(spark, monkeypatch):
+    """Every shuffle of the rounds has a partition for so many rows left, whatever spark.sql.shuffle.partitions is."""
+    rows = [(case, a, b, float((7 * a + 5 * b) % 4)) for case in range(50) for a in range(3) for b in range(3)]
+    monkeypatch.setattr(matching, "PART_ROWS", 8)
+    seen, plain = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: seen.append(df.rdd.getNumPartitions()) or plain(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = matching.one_to_one(spark.createDataFrame(rows, "case long, l long, r long, s double"), "case", "l", "r", "s").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.case, r.l, r.r) for r in got} == {(c, *p) for c in range(50) for p in greedy([r[1:] for r in rows if r[0] == c])}
+    assert seen[1:3] == [15, 15]  # 450 pairs
+
+
 def test_facts_and_scores(spark):
     ddl = "case long, n long, field string, op string, value string"
     expected = [(1, 1, "Eligibility/age[0]", "GTE", "18"), (1, 2, "eligibility.age", "LTE", "60"), (1, 3, "benefits.amount", None, "1,000"), (2, 1, "x.a", "EQ", "yes"), (3, 1, "x.a", "EQ", "Hello, World")]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import ratio
-from .sizes import written
+from .sizes import PART_ROWS, written
 
 
 def one_to_one(pairs: DataFrame, case: str, left: str, right: str, score: str) -> DataFrame:
@@ -14,16 +14,18 @@ def one_to_one(pairs: DataFrame, case: str, left: str, right: str, score: str) -
 
     The best has the highest score, then the smallest left, then the smallest right; a null score is below all. In each round all pairs are taken that
     are the best of both their ends: greed takes these too, whatever else it takes before. Repeated pairs count once; pairs
-    without an end are left out. Rounds go on until no pair is left; a round reads and writes only what is left."""
+    without an end are left out. Rounds go on until no pair is left; a round reads and writes only what is left, in partitions that grow with it.
+    The first grouping is partitioned as pairs are, if that is by case."""
     rank = F.struct((-F.coalesce(score, F.lit(float("-inf")))).alias("s"), left, right)
     rest = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(case, left, right).agg(F.max(score).alias(score))
     rest, taken = written(rest.withColumn("rank", rank)), None
     while True:
-        by_left, by_right = (rest.groupBy(case, end).agg(F.min("rank").alias("best")) for end in (left, right))
-        best = by_left.select(F.col(case).alias("c"), F.col("best").alias("rank")).join(by_right.select(F.col(case).alias("c"), F.col("best").alias("rank")), ["c", "rank"])
-        best = written(best.select(F.col("c").alias(case), F.col(f"rank.{left}").alias(left), F.col(f"rank.{right}").alias(right), (-F.col("rank.s")).alias(score)))
+        n = -(-rest.count() // (4 * PART_ROWS)) or 1  # a row is little work
+        by_left, by_right = (rest.repartition(n, case, end).groupBy(case, end).agg(F.min("rank").alias("best")).select(case, f"best.{left}", f"best.{right}", "best.s").repartition(n, case, left, right) for end in (left, right))
+        best = written(by_left.join(by_right.drop("s"), [case, left, right]).select(case, left, right, (-F.col("s")).alias(score)))  # a pair has one rank
         taken = best if taken is None else taken.union(best)
-        rest = rest.join(best.select(case, left), [case, left], "left_anti").join(best.select(case, right), [case, right], "left_anti")
+        for end in (left, right):
+            rest = rest.repartition(n, case, end).join(best.select(case, end).repartition(n, case, end), [case, end], "left_anti")
         rest = written(rest)
         if rest.isEmpty():
             return taken.withColumn(score, F.when(F.col(score) > float("-inf"), F.col(score)))

@@ -84,6 +84,7 @@ SELECT o_orderstatus, cases, round(strict / cases, 4) AS strict_rate, round(tp /
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open and finished lines of each order, paired one to one by how near their prices are."""
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    lines = dealt(lines, "l_orderkey")  # lines, pairs and their grouping have these partitions
     a = lines.where("l_linestatus = 'O'").select("l_orderkey", F.col("l_linenumber").alias("open_line"), F.col("cents").alias("a"))
     b = lines.where("l_linestatus = 'F'").select("l_orderkey", F.col("l_linenumber").alias("done_line"), F.col("cents").alias("b"))
     pairs = a.join(b, "l_orderkey").select("l_orderkey", "open_line", "done_line", (-F.floor(F.abs(F.col("a") - F.col("b")) / 1000000)).cast("double").alias("score"))
