@@ -317,3 +317,33 @@ def test_trees_of_one_input_partition_are_dealt_to_many(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f'{{"type":"AND","children":[{{"field":"age","value":{i}}}]}}') for i in range(100)], "id int, j string").coalesce(1)
     for nodes, n in ((trees.nodes(docs, "id", "j"), 200), (json_trees.walk(docs, "id", "j"), 600)):
         assert nodes.count() == n and nodes.where("depth = 0").rdd.getNumPartitions() >= 20
+
+
+def test_patched_texts_write_no_nodes_and_shuffle_once_by_id(spark, sf):
+    from pathlib import Path
+
+    from trivalent.plans import structure_plans
+
+    json_trees.written(spark.range(1))  # the folder is there
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {f.name for f in folder.iterdir()}
+    out = structure_plans.patched_documents(spark, sf)
+    assert out.count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert {f.name for f in folder.iterdir()} == before
+    shuffles = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "REPARTITION_BY" in line]
+    assert len(shuffles) == 1
+
+
+def test_patched_texts_are_patched_nodes_folded(spark):
+    docs = ['{"a":{"b":1,"c":[{"name":"p","v":1},{"name":"P ","v":2},"p","x"]},"s":5}', "[1,[2,{}],[]]", "7", "{broken", None, '{"":{"":[]}}', '["a","b","a","b","a","a#2"]']
+    patches = [("/a/c/p#2/v", "9", 1, "A"), ("/a/c/q", '{"name":"q","w":["k","k"]}', 4, "B"), ("/a/c/p", None, 5, "C"), ("/s/t/u", '"new"', 5, "D"), ("/s/t/u", '"newer"', 5, "E"), ("/s", None, 3, "F"), ("", '{"z":1}', 6, "G"), ("/y/x", "{broken", 7, "H"), ("/b", "[[]]", 8, None), ("/0", None, 2, "I")]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id long, j string")
+    for some in (patches[:6], patches[:8], patches, patches[7:], []):
+        given = spark.createDataFrame([(i, *p) for i in range(9) for p in some], "id long, path string, value string, seq int, origin string")
+        nodes = json_trees.written(json_trees.patched(json_trees.walk(rows, "id", "j", ("name",)), given, "id", ("name",)))
+        texts, counts = {r.id: r.json for r in json_trees.fold(nodes, "id").collect()}, {r.id: (r.n, r.k) for r in nodes.groupBy("id").agg(F.count("*").alias("n"), F.count("origin").alias("k")).collect()}
+        out = json_trees.patched_texts(rows, given, "id", "j", ("name",)).collect()
+        assert {r.id: (r.json, r.n_nodes, r.n_patched) for r in out} == {i: (t, *counts[i]) for i, t in texts.items()} and set(texts) == {0, 1, 2, 5, 6}
+        assert all(json.loads(t) is not None for t in texts.values())
+    names = json_trees.walk(rows, "id", "j", ("name",)).where("id = 6 and depth = 1").orderBy("pos")
+    assert [r.key for r in names.collect()] == ["a", "b", "a#2", "b#2", "a#3", "a#2"]

@@ -75,10 +75,8 @@ def customer_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' documents walked, patched and folded back: the hash of what they have become, and how many nodes came from patches."""
-    nodes = json_trees.walk(customer_documents(spark, sf_dir), "id", "j", ("name",))
-    out = json_trees.written(json_trees.patched(nodes, customer_patches(spark, sf_dir), "id", ("name",)))
-    counts = out.groupBy("id").agg(F.count("*").alias("n_nodes"), F.count("origin").alias("n_patched"))
-    return json_trees.fold(out, "id").select("id", F.sha2("json", 256).alias("hash")).join(counts, "id")
+    out = json_trees.patched_texts(customer_documents(spark, sf_dir), customer_patches(spark, sf_dir), "id", "j", ("name",))
+    return out.select("id", F.sha2("json", 256).alias("hash"), "n_nodes", "n_patched")
 
 
 PATCHED_DOCUMENTS = """
