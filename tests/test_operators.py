@@ -413,6 +413,41 @@ def test_pairs_that_share_too_little_cost_no_sets(spark):
     assert differ(rows[0], rows[1]) <= 80 < 250 < differ(rows[0], rows[2])
 
 
+def test_jaccard_pairs_of_large_groups_and_common_words(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    near = [rng.choice(words) for _ in range(80)]
+    texts = [[w if rng.random() > 0.03 else rng.choice(words) for w in near] for _ in range(50)]  # all near copies of one
+    texts += [["the", "same", "line", "in", "all", *(rng.choice(words) for _ in range(rng.randint(0, 40)))] for _ in range(60)]
+    texts += [t[: rng.randint(1, len(t))] for t in texts[::3]] + [list(t) for t in texts[::4]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    sets = [frozenset(tuple(t[i : i + 3]) for i in range(len(t) - 2)) or frozenset([tuple(t)]) for t in texts]
+    first = {s: i for i, s in reversed([*enumerate(sets)])}
+    monkeypatch.setattr(dedup, "COMMON", 2)
+    for threshold in (0.5, 0.7, 0.98):
+        want = {(i, j): round(len(s & t) / len(s | t), 4) for s, i in first.items() for t, j in first.items() if i < j and len(s & t) / len(s | t) >= threshold}
+        for block in (256, 7):  # groups whole, and in blocks
+            monkeypatch.setattr(dedup, "BLOCK", block)
+            assert {(r.a, r.b): r.similarity for r in dedup.jaccard_pairs(docs, "id", "text", threshold).collect()} == want
+    assert len(dedup._common(dedup._sets(docs, "id", "text", 3), "id")[0]) > 2
+
+
+def test_sets_are_shuffled_once_a_group_not_once_a_pair(spark):
+    texts = [" ".join(f"w{j}" if (i, j) != (i, 3 * i) else f"x{i}" for j in range(200)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    ids = spark.range(60)
+    pairs = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.expr("a < b"))
+    out = dedup._compared(pairs, dedup._sets(docs, "id", "text", 3), "id", 0.7)
+    rows = []
+    with pytest.MonkeyPatch.context() as m:  # what comes to the tasks that compare
+        m.setattr(type(docs), "mapInArrow", lambda df, *a: rows.append(df.count()) or df)
+        dedup._compared(pairs, dedup._sets(docs, "id", "text", 3), "id", 0.7)
+    assert rows == [60] and out.count() == 60 * 59 // 2
+    met = dedup._met(spark.createDataFrame([(i, 300, list(range(10**9, 10**9 + 10**6 * 90, 10**6))) for i in range(20)], "id long, size int, t array<bigint>"), "id", 0.7)
+    assert met.count() == 190
+
+
 def test_schemes_are_cut_before_their_keys_are_listed(spark, monkeypatch):
     s = spark.createDataFrame([(i, True, True, None, None, None, [], "BOTH", "UNKNOWN") for i in range(30)], "scheme_id int, verified boolean, active boolean, valid_from date, valid_until date, state string, districts array<string>, rural_urban string, origin string")
     p = spark.createDataFrame([(1, "rajasthan", "kota", "rural")], "profile_id int, p_state string, p_district string, p_rural_urban string")
