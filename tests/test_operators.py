@@ -427,8 +427,9 @@ def test_jaccard_pairs_of_large_groups_and_common_words(spark, monkeypatch):
     monkeypatch.setattr(dedup, "COMMON", 2)
     for threshold in (0.5, 0.7, 0.98):
         want = {(i, j): round(len(s & t) / len(s | t), 4) for s, i in first.items() for t, j in first.items() if i < j and len(s & t) / len(s | t) >= threshold}
-        for block in (256, 7):  # groups whole, and in blocks
+        for block, rows in (256, 10**8), (7, 1000):  # groups whole and in blocks, tokens in one round and in several
             monkeypatch.setattr(dedup, "BLOCK", block)
+            monkeypatch.setattr(dedup, "ROUND_ROWS", rows)
             assert {(r.a, r.b): r.similarity for r in dedup.jaccard_pairs(docs, "id", "text", threshold).collect()} == want
     assert len(dedup._common(dedup._sets(docs, "id", "text", 3), "id")[0]) > 2
 
